@@ -1 +1,306 @@
-"""Registered queries (capacity family)."""
+"""Registered queries for capacity, counters and time series (C)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetsight.operators import capacity as C
+from fleetsight.plans.registry import query
+
+
+def _orders_sizes(t):
+    return t.orders.select("o_custkey", "o_orderkey", "o_orderdate",
+                           F.col("o_totalprice").cast("decimal(15,2)").alias("size"))
+
+
+@query("c1_growth_daily", """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(15,2)) AS size FROM orders)
+SELECT o_custkey, o_orderkey, o_orderdate, size,
+  size - COALESCE(LAG(size) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 0) AS size_growth,
+  strftime(o_orderdate, '%d/%m/%Y') AS data_collection_date
+FROM o
+""")
+def c1_growth_daily(t):
+    """Order value minus the previous order's, per customer in time order."""
+    return C.growth_report(_orders_sizes(t), ["o_custkey"], "o_orderdate", ["size"], "day", ["o_orderkey"])
+
+
+_SAMPLE_SQL = """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(o_totalprice AS DECIMAL(15,2)) AS size FROM orders),
+r AS (SELECT *,
+  ROW_NUMBER() OVER (PARTITION BY o_custkey, year(o_orderdate){m} ORDER BY o_orderdate, o_orderkey) AS rp,
+  ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rl FROM o),
+s AS (SELECT o_custkey, o_orderkey, o_orderdate, size FROM r WHERE rp = 1 OR rl = 1)
+"""
+
+
+@query("c2_sample_month", _SAMPLE_SQL.replace("{m}", ", month(o_orderdate)") + "SELECT * FROM s")
+def c2_sample_month(t):
+    """First order of each month per customer plus the last one."""
+    return C.sample_period(_orders_sizes(t), ["o_custkey"], "o_orderdate", "month", ["o_orderkey"])
+
+
+@query("c1_growth_yearly", _SAMPLE_SQL.replace("{m}", "") + """
+SELECT o_custkey, o_orderkey, o_orderdate, size,
+  size - COALESCE(LAG(size) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 0) AS size_growth,
+  strftime(o_orderdate, '%d/%m/%Y') AS data_collection_date
+FROM s
+""")
+def c1_growth_yearly(t):
+    """C1+C2: growth over the yearly samples (first of each year plus the last)."""
+    return C.growth_report(_orders_sizes(t), ["o_custkey"], "o_orderdate", ["size"], "year", ["o_orderkey"])
+
+
+@query("c3_disk_alarm", """
+WITH d AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(15,2)) AS size_mb, CAST(p_size * 5 AS DECIMAL(15,2)) AS free_mb FROM part)
+SELECT p_partkey, size_mb, free_mb, CAST(free_mb * 100 / NULLIF(size_mb, 0) AS DECIMAL(4,1)) AS free_pct,
+  CASE WHEN free_mb * 100 < size_mb * 10 THEN 'Alarm!!!' WHEN free_mb * 100 < size_mb * 20 THEN 'Warning!!!' ELSE '' END AS alarm
+FROM d
+""")
+def c3_disk_alarm(t):
+    """Parts as disks (size = retail price, free = size * 5 MB)."""
+    d = t.part.select("p_partkey", F.col("p_retailprice").cast("decimal(15,2)").alias("size_mb"),
+                      (F.col("p_size") * 5).cast("decimal(15,2)").alias("free_mb"))
+    return C.disk_alarm(d, "free_mb", "size_mb")
+
+
+@query("c4_size_by_type", """
+WITH d AS (SELECT l_returnflag, CASE l_linestatus WHEN 'O' THEN 'ROWS' ELSE 'LOG' END AS type_desc,
+                  CAST(l_extendedprice AS DECIMAL(15,2)) AS size, CAST(l_quantity AS DECIMAL(15,2)) AS used FROM lineitem)
+SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN '***Total***' ELSE l_returnflag END AS l_returnflag,
+  COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0) AS rows_size,
+  COALESCE(SUM(CASE WHEN type_desc = 'LOG' THEN size END), 0) AS log_size,
+  COALESCE(SUM(CASE WHEN type_desc = 'FILESTREAM' THEN size END), 0) AS filestream_size,
+  COALESCE(SUM(CASE WHEN type_desc = 'FULLTEXT' THEN size END), 0) AS fulltext_size,
+  SUM(size) AS total_size, SUM(used) AS used_size, SUM(size) - SUM(used) AS free_size
+FROM d GROUP BY ROLLUP (l_returnflag)
+""")
+def c4_size_by_type(t):
+    """C4: price by 'allocation type' (line status O = ROWS, F = LOG) per return flag, with a grand total."""
+    d = t.lineitem.select("l_returnflag",
+                          F.when(F.col("l_linestatus") == "O", F.lit("ROWS")).otherwise(F.lit("LOG")).alias("type_desc"),
+                          F.col("l_extendedprice").cast("decimal(15,2)").alias("size"),
+                          F.col("l_quantity").cast("decimal(15,2)").alias("used"))
+    return C.size_by_type(d, "l_returnflag", "type_desc", "size", "used")
+
+
+@query("c5_space_used", """
+WITH p AS (SELECT l_suppkey, l_linenumber % 3 AS index_id, CAST(l_quantity * 10 AS BIGINT) AS reserved_page_count,
+                  CAST(l_quantity * 8 AS BIGINT) AS used_page_count, CAST(l_quantity * 5 AS BIGINT) AS in_row_data_page_count,
+                  CAST(l_linenumber AS BIGINT) AS lob_used_page_count, CAST(l_tax * 100 AS BIGINT) AS row_overflow_used_page_count
+           FROM lineitem),
+a AS (SELECT l_suppkey, SUM(reserved_page_count) AS r, SUM(used_page_count) AS u,
+             SUM(CASE WHEN index_id < 2 THEN in_row_data_page_count + lob_used_page_count + row_overflow_used_page_count
+                      ELSE lob_used_page_count + row_overflow_used_page_count END) AS d
+      FROM p GROUP BY l_suppkey)
+SELECT l_suppkey, r * 8 AS reserved_kb, d * 8 AS data_kb, greatest(u - d, 0) * 8 AS index_kb, u * 8 AS used_kb,
+       greatest(r - u, 0) * 8 AS unused_kb
+FROM a
+""")
+def c5_space_used(t):
+    """Page-count space report per supplier over lineitem-derived page counts."""
+    li = t.lineitem
+    p = li.select("l_suppkey", (F.col("l_linenumber") % 3).alias("index_id"),
+                  (F.col("l_quantity") * 10).cast("bigint").alias("reserved_page_count"),
+                  (F.col("l_quantity") * 8).cast("bigint").alias("used_page_count"),
+                  (F.col("l_quantity") * 5).cast("bigint").alias("in_row_data_page_count"),
+                  F.col("l_linenumber").cast("bigint").alias("lob_used_page_count"),
+                  F.round(F.col("l_tax") * 100).cast("bigint").alias("row_overflow_used_page_count"))
+    return C.space_used(p, ["l_suppkey"])
+
+
+_COUNTER_DETAILS_SQL = """
+SELECT DENSE_RANK() OVER (ORDER BY event_type) AS counter_id, '\\\\SRV01' AS machine_name, 'Events' AS object_name,
+       event_type AS counter_name, CAST(NULL AS VARCHAR) AS instance_name
+FROM (SELECT DISTINCT event_type FROM events) x
+"""
+
+
+def counter_tables(t):
+    e = t.events
+    types = e.select("event_type").distinct()
+    from pyspark.sql import Window
+    details = types.select(F.dense_rank().over(Window.orderBy("event_type")).alias("counter_id"),
+                           F.lit("\\\\SRV01").alias("machine_name"), F.lit("Events").alias("object_name"),
+                           F.col("event_type").alias("counter_name"), F.lit(None).cast("string").alias("instance_name"))
+    data = e.join(details.select("counter_id", F.col("counter_name").alias("event_type")), "event_type").select(
+        "counter_id", F.col("event_id").alias("record_index"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("000")).alias("counter_date_time"),
+        F.col("value").cast("decimal(15,2)").alias("counter_value"))
+    return data, details
+
+
+@query("c7_pivot_counters", """
+WITH e AS (SELECT event_type, date_trunc('millisecond', ts) AS counter_ts, CAST(value AS DECIMAL(15,2)) AS v FROM events)
+SELECT 'SRV01' AS machine_name, counter_ts,
+  SUM(CASE WHEN event_type = 'click' THEN v END) AS "Events\\click",
+  SUM(CASE WHEN event_type = 'error' THEN v END) AS "Events\\error",
+  SUM(CASE WHEN event_type = 'purchase' THEN v END) AS "Events\\purchase",
+  SUM(CASE WHEN event_type = 'signup' THEN v END) AS "Events\\signup",
+  SUM(CASE WHEN event_type = 'view' THEN v END) AS "Events\\view",
+  CAST(counter_ts AS DATE) AS counter_date, strftime(counter_ts, '%H:%M:%S.%g') AS counter_time
+FROM e GROUP BY counter_ts
+""".replace("\\\\", "\\"))
+def c7_pivot_counters(t):
+    """Events as counter readings (counter per event type), pivoted wide by time."""
+    data, details = counter_tables(t)
+    return C.pivot_counters(data, details)
+
+
+def _event_values(t):
+    return t.events.select("ts", "user_id", "event_type", F.col("value").cast("decimal(15,2)").alias("value"))
+
+
+@query("c8_rollup_dow_ampm", """
+SELECT CAST(dayofweek(ts) + 1 AS INTEGER) AS day_of_week, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS am_pm,
+  CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) / COUNT(value) AS avg_value,
+  MAX(CAST(value AS DECIMAL(15,2))) AS max_value, COUNT(*) AS n_readings
+FROM events GROUP BY 1, 2
+""")
+def c8_rollup_dow_ampm(t):
+    """Mean and max event value by weekday and AM/PM."""
+    return C.calendar_rollup(_event_values(t), "ts", ["value"], ["day_of_week", "am_pm"])
+
+
+@query("c8_rollup_week_hour_working", """
+SELECT event_type, CAST(year(ts) AS INTEGER) AS year,
+  CAST((dayofyear(ts) + dayofweek(make_date(year(ts), 1, 1)) + 1 - 2) // 7 + 1 AS INTEGER) AS week,
+  CAST(hour(ts) AS INTEGER) AS hour,
+  CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) / COUNT(value) AS avg_value,
+  MIN(CAST(value AS DECIMAL(15,2))) AS min_value, COUNT(*) AS n_readings
+FROM events
+WHERE hour(ts) >= 7 AND hour(ts) < 19 AND dayofweek(ts) NOT IN (0, 6)
+  AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00'
+GROUP BY 1, 2, 3, 4
+""")
+def c8_rollup_week_hour_working(t):
+    """Per event type, year, week and hour over working hours of weekdays in a range (min measure)."""
+    return C.calendar_rollup(_event_values(t), "ts", ["value"], ["year", "week", "hour"],
+                             date_from=F.lit("2024-01-03 00:00:00").cast("timestamp_ntz"),
+                             date_to=F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"),
+                             working_hours=True, weekend=False, min_measures=["value"], extra_keys=["event_type"])
+
+
+_LOG_SQL = """
+WITH e AS (SELECT user_id, event_type, ts, event_id, CAST(value AS DECIMAL(15,2)) AS value FROM events {where}),
+l AS (SELECT *, LAG(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM e),
+a AS (SELECT user_id, event_type,
+        SUM(CASE WHEN prev IS NULL THEN value WHEN prev > value THEN value ELSE value - prev END) AS total_value,
+        COUNT(CASE WHEN prev > value THEN 1 END) AS resets_value,
+        arg_max(value, (ts, event_id)) AS value, MAX(ts) AS last_reading_time
+      FROM l GROUP BY user_id, event_type)
+"""
+
+
+@query("c9_accumulate_log", _LOG_SQL.replace("{where}", "") + "SELECT * FROM a")
+def c9_accumulate_log(t):
+    """C9 (log form): cumulative counter totals per (user, event type) over the
+    ordered readings; a lower reading is a reset."""
+    return C.accumulate_log(_event_values(t).withColumn("event_id", F.lit(0)).drop("event_id")
+                            .join(t.events.select("ts", "user_id", "event_type", "event_id"),
+                                  ["ts", "user_id", "event_type"]),
+                            ["user_id", "event_type"], "ts", ["value"], ["event_id"])
+
+
+@query("c9_accumulate_state", _LOG_SQL.replace("{where}", "WHERE ts < TIMESTAMP '2024-01-20 00:00:00'") + """,
+r AS (SELECT user_id, event_type, arg_max(CAST(value AS DECIMAL(15,2)), (ts, event_id)) AS rv FROM events
+      WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id, event_type)
+SELECT COALESCE(a.user_id, r.user_id) AS user_id, COALESCE(a.event_type, r.event_type) AS event_type,
+  CASE WHEN r.rv IS NOT NULL THEN r.rv ELSE a.value END AS value,
+  CASE WHEN r.rv IS NOT NULL THEN COALESCE(a.total_value, 0) +
+         CASE WHEN a.value IS NULL THEN r.rv WHEN a.value > r.rv THEN r.rv ELSE r.rv - a.value END
+       ELSE a.total_value END AS total_value
+FROM a FULL OUTER JOIN r ON a.user_id = r.user_id AND a.event_type = r.event_type
+""")
+def c9_accumulate_state(t):
+    """C9 (state form): state from readings before Jan 20, merged with one
+    snapshot (latest reading per key since then)."""
+    ev = t.events.select("ts", "user_id", "event_type", "event_id", F.col("value").cast("decimal(15,2)").alias("value"))
+    cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    state = C.accumulate_log(ev.filter(F.col("ts") < cut), ["user_id", "event_type"], "ts", ["value"], ["event_id"])
+    snap = ev.filter(F.col("ts") >= cut).groupBy("user_id", "event_type").agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    return C.accumulate_counters(state.select("user_id", "event_type", "value", "total_value"), snap,
+                                 ["user_id", "event_type"], ["value"])
+
+
+@query("c10_share_of_total", """
+WITH d AS (SELECT l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * 100 AS BIGINT) AS bytes_read,
+                  CAST(l_quantity AS BIGINT) * 1048576 AS size_bytes FROM lineitem WHERE l_returnflag <> 'R'),
+a AS (SELECT l_suppkey, SUM(bytes_read) AS r, SUM(size_bytes) AS s FROM d GROUP BY l_suppkey),
+t AS (SELECT SUM(bytes_read) AS total FROM d)
+SELECT l_suppkey, CAST(r AS DOUBLE) / 1024 / 1024 AS mb_read, CAST(r AS DOUBLE) / 1024 / 1024 / 1024 AS gb_read,
+  CAST(r AS DOUBLE) / 1024 / 1024 / 1024 / 1024 AS tb_read, CAST(s AS DOUBLE) / 1024 / 1024 AS size_on_disk_mb,
+  CAST(r AS DOUBLE) / 720.0 / 1024 / 1024 / 1024 AS gb_read_hour, CAST(r AS DOUBLE) / 720.0 / CAST(s AS DOUBLE) AS ratio_read_hour,
+  CAST(r AS DOUBLE) * 100 / CAST(t.total AS DOUBLE) AS percentage_reads
+FROM a, t
+""")
+def c10_share_of_total(t):
+    """C10: 'bytes read' (price in cents) per supplier, returned lines excluded as log files; 30 days since start."""
+    d = t.lineitem.select("l_suppkey", "l_returnflag",
+                          (F.col("l_extendedprice").cast("decimal(15,2)") * 100).cast("bigint").alias("bytes_read"),
+                          (F.col("l_quantity").cast("bigint") * 1048576).alias("size_bytes"))
+    return C.share_of_total(d, ["l_suppkey"], "bytes_read", "size_bytes", 30 * 86400 * 1000,
+                            exclude=F.col("l_returnflag") == "R")
+
+
+@query("c11_execution_rate", """
+WITH p AS (SELECT user_id, MIN(ts) AS cached_time, MAX(ts) AS last_execution_time, COUNT(*) AS execution_count,
+                  CAST(SUM(CAST(CAST(value AS DECIMAL(15,2)) * 100 AS BIGINT)) AS BIGINT) AS total_worker_time FROM events GROUP BY user_id),
+g AS (SELECT *, CAST(epoch(date_trunc('second', last_execution_time)) - epoch(date_trunc('second', cached_time)) AS BIGINT) AS secs FROM p)
+SELECT user_id, cached_time, last_execution_time, execution_count, total_worker_time,
+  CASE WHEN (secs // execution_count) // 86400 <> 0 THEN CAST((secs // execution_count) // 86400 AS VARCHAR) || '.' ELSE '' END
+  || lpad(CAST(((secs // execution_count) // 3600) % 24 AS VARCHAR), 2, '0') || ':'
+  || lpad(CAST(((secs // execution_count) // 60) % 60 AS VARCHAR), 2, '0') || ':'
+  || lpad(CAST((secs // execution_count) % 60 AS VARCHAR), 2, '0') || '.'
+  || lpad(CAST(CAST(trunc((CAST(secs AS DOUBLE) / execution_count - floor(CAST(secs AS DOUBLE) / execution_count)) * 1000) AS INTEGER) AS VARCHAR), 3, '0')
+  AS executes_every,
+  CAST(secs AS DOUBLE) / execution_count AS gap_seconds,
+  total_worker_time // execution_count AS avg_cpu
+FROM g
+""")
+def c11_execution_rate(t):
+    """C11: users as procedures: mean gap between events, CPU (value) per execution."""
+    p = t.events.groupBy("user_id").agg(
+        F.min("ts").alias("cached_time"), F.max("ts").alias("last_execution_time"),
+        F.count(F.lit(1)).alias("execution_count"),
+        F.sum((F.col("value").cast("decimal(15,2)") * 100).cast("bigint")).cast("bigint").alias("total_worker_time"))
+    return C.execution_rate(p, "cached_time", "last_execution_time", "execution_count", {"cpu": "total_worker_time"})
+
+
+@query("c13_reclaim_candidates", """
+WITH d AS (SELECT o_custkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) / 1000 AS data_mb,
+                  CAST(COUNT(*) * 100 AS DOUBLE) AS log_mb,
+                  CAST(COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) * 100 AS DOUBLE) / COUNT(*) AS log_used_pct
+           FROM orders GROUP BY o_custkey)
+SELECT *, greatest(least(log_mb * 0.5, data_mb * 0.2), 500.0) AS target_mb FROM d
+WHERE log_mb > 1000.0 AND log_used_pct < 40.0
+""")
+def c13_reclaim_candidates(t):
+    """Customers as databases: data = order value / 1000, log = 100 MB per order,
+    log used = share of finished orders."""
+    d = t.orders.groupBy("o_custkey").agg(
+        (F.sum(F.col("o_totalprice").cast("decimal(15,2)")).cast("double") / 1000).alias("data_mb"),
+        (F.count(F.lit(1)) * 100).cast("double").alias("log_mb"),
+        ((F.count(F.when(F.col("o_orderstatus") == "F", 1)) * 100).cast("double") / F.count(F.lit(1))).alias("log_used_pct"))
+    return C.reclaim_candidates(d, ["o_custkey"], "data_mb", "log_mb", "log_used_pct", 1000.0, 40.0, 500.0)
+
+
+@query("c14_fragment_stats", """
+SELECT l_suppkey, l_linenumber % 10 AS status_code, SUM(CAST(l_quantity AS DECIMAL(15,2))) AS total_row_count,
+  COUNT(*) AS n_fragments,
+  CAST(trunc(CASE WHEN COUNT(l_quantity) > 1 THEN sqrt(CAST(COUNT(l_quantity) * SUM(CAST(l_quantity AS DECIMAL(20,4)) * CAST(l_quantity AS DECIMAL(20,4)))
+       - SUM(CAST(l_quantity AS DECIMAL(20,4))) * SUM(CAST(l_quantity AS DECIMAL(20,4))) AS DOUBLE)
+       / CAST(COUNT(l_quantity) * (COUNT(l_quantity) - 1) AS DOUBLE)) END) AS INTEGER) AS stdev_row_count,
+  MAX(CAST(l_quantity AS DECIMAL(15,2))) AS max_row_count, MIN(CAST(l_quantity AS DECIMAL(15,2))) AS min_row_count,
+  CASE l_linenumber % 10 WHEN 0 THEN 'Idle' WHEN 1 THEN 'Full population in progress' WHEN 2 THEN 'Paused'
+    WHEN 3 THEN 'Throttled' WHEN 4 THEN 'Recovering' WHEN 5 THEN 'Shutdown' WHEN 6 THEN 'Incremental population in progress'
+    WHEN 7 THEN 'Building index' WHEN 8 THEN 'Disk is full. Paused.' WHEN 9 THEN 'Change tracking' END AS status
+FROM lineitem GROUP BY l_suppkey, l_linenumber % 10
+""")
+def c14_fragment_stats(t):
+    """C14: per supplier and line-number status code: fragment (quantity) statistics."""
+    d = t.lineitem.select("l_suppkey", (F.col("l_linenumber") % 10).alias("status_code"),
+                          F.col("l_quantity").cast("decimal(15,2)").alias("rows"))
+    out = C.fragment_stats(d, ["l_suppkey", "status_code"], "rows", status="status_code")
+    return out
