@@ -152,7 +152,7 @@ def duplicate_signatures(members: DataFrame, item_key: list[str], member: str, o
     counted with a partial aggregation; only signatures with count > 1 are
     joined back (AQE splits a hot signature on the item side).
     """
-    key_list = ordered_list(f"cast(`{member}` as string)", f"`{order}`", ",")
+    key_list = ordered_list(f"cast(`{member}` as string)", [f"`{order}`", f"`{member}`"], ",")
     aggs = [key_list.alias("key_list")]
     if included:
         aggs.append(ordered_list(f"cast(`{included}` as string)", [f"`{included}`"], ",").alias("included_list"))

@@ -1 +1,241 @@
-"""Registered queries (compliance family)."""
+"""Registered queries for backup and job compliance (E).
+
+Orders stand in for backup sets of customer 'databases' (1-URGENT orders
+are log backups, 2-HIGH differentials, the rest full), their line items for
+the media families; events stand in for backup files and chains.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetsight.operators import compliance as E
+from fleetsight.plans.registry import query
+
+SETS_SQL = """
+SELECT o_orderkey AS backup_set_id, o_orderkey AS media_set_id, o_custkey AS database_id,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'L' WHEN '2-HIGH' THEN 'I' ELSE 'D' END AS type,
+  o_orderdate AS backup_start_date,
+  o_orderdate + to_seconds(CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT) // 1000) AS backup_finish_date,
+  CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT) * 1024 AS backup_size,
+  CAST(CAST(o_totalprice AS DECIMAL(15,2)) * 100 AS BIGINT) * 600 AS compressed_backup_size
+FROM orders
+"""
+
+
+def backup_sets(t):
+    o = t.orders
+    cents = (F.col("o_totalprice").cast("decimal(15,2)") * 100).cast("bigint")
+    typ = (F.when(F.col("o_orderpriority") == "1-URGENT", "L").when(F.col("o_orderpriority") == "2-HIGH", "I")
+           .otherwise("D"))
+    return o.select(F.col("o_orderkey").alias("backup_set_id"), F.col("o_orderkey").alias("media_set_id"),
+                    F.col("o_custkey").alias("database_id"), typ.alias("type"),
+                    F.col("o_orderdate").alias("backup_start_date"),
+                    (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (cents / 1000).cast("bigint")))
+                    .alias("backup_finish_date"),
+                    (cents * 1024).alias("backup_size"), (cents * 600).alias("compressed_backup_size"))
+
+
+def backup_media(t):
+    return t.lineitem.select(F.col("l_orderkey").alias("media_set_id"),
+                             F.concat(F.lit("\\\\nas\\dev"), F.col("l_linenumber").cast("string"), F.lit("_"),
+                                      F.col("l_suppkey").cast("string")).alias("physical_device_name"),
+                             F.col("l_linenumber").alias("family_sequence_number"))
+
+
+_E1_SQL = f"""
+WITH s AS ({SETS_SQL}),
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_start_date DESC, backup_set_id DESC) AS backup_rank
+                       FROM s WHERE type <> 'L') x WHERE backup_rank <= 3),
+dev AS (SELECT l_orderkey AS media_set_id,
+               string_agg('\\\\nas\\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR), ', ' ORDER BY l_linenumber, '\\nas\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR)) AS devices
+        FROM lineitem GROUP BY l_orderkey),
+m AS (SELECT top.*, CAST(epoch(date_trunc('second', backup_finish_date)) - epoch(date_trunc('second', backup_start_date)) AS BIGINT) AS secs
+      FROM top)
+SELECT m.backup_set_id, m.media_set_id, m.database_id, m.type, m.backup_start_date, m.backup_finish_date, m.backup_size,
+  m.compressed_backup_size, CAST(m.backup_rank AS INTEGER) AS backup_rank,
+  CAST(trunc(m.backup_size / 1048576) AS BIGINT) AS size_mb, CAST(trunc(m.compressed_backup_size / 1048576) AS BIGINT) AS compressed_size_mb,
+  100.0 - CAST(m.compressed_backup_size AS DOUBLE) * 100 / NULLIF(CAST(m.backup_size AS DOUBLE), 0.0) AS compression_pct,
+  CAST(m.compressed_backup_size AS DOUBLE) / 1048576 / CAST(m.secs + 1 AS DOUBLE) AS mb_per_sec,
+  CASE WHEN m.secs // 86400 <> 0 THEN CAST(m.secs // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST((m.secs // 3600) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((m.secs // 60) % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(m.secs % 60 AS VARCHAR), 2, '0') AS duration,
+  CASE m.type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' WHEN 'L' THEN 'Log' END AS backup_type,
+  dev.devices
+FROM m LEFT JOIN dev ON dev.media_set_id = m.media_set_id
+""".replace("\\\\\\\\", "\\\\")
+
+
+@query("e1_last_n_backups", _E1_SQL)
+def e1_last_n_backups(t):
+    """Last 3 non-log backups per customer with measures and device lists."""
+    return E.last_n_backups(backup_sets(t), backup_media(t), 3, key=["database_id"])
+
+
+@query("e1_last_n_backups_all_entities", """
+WITH s AS (""" + SETS_SQL + """),
+top AS (SELECT backup_set_id, database_id, type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id
+          ORDER BY backup_start_date DESC, backup_set_id DESC) AS rn FROM s WHERE type = 'D') x WHERE rn <= 2)
+SELECT c.c_custkey AS database_id, c.c_name, top.backup_set_id,
+  COALESCE(CASE top.type WHEN 'D' THEN 'Database' END, '-') AS backup_type
+FROM customer c LEFT JOIN top ON top.database_id = c.c_custkey
+""")
+def e1_last_n_backups_all_entities(t):
+    """E1 variant: last 2 full backups per customer, customers without any shown with '-'."""
+    ent = t.customer.select(F.col("c_custkey").alias("database_id"), "c_name")
+    out = E.last_n_backups(backup_sets(t), None, 2, key=["database_id"], backup_type="D", entities=ent)
+    return out.select("database_id", "c_name", "backup_set_id", "backup_type")
+
+
+SCHEDULE_SQL = """CASE c_mktsegment WHEN 'BUILDING' THEN 'DIIIIII' WHEN 'MACHINERY' THEN 'D-D-D-D' ELSE 'DDDDDDD' END"""
+
+
+def schedules(t):
+    seg = F.col("c_mktsegment")
+    return t.customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal",
+                             F.when(seg == "BUILDING", "DIIIIII").when(seg == "MACHINERY", "D-D-D-D")
+                             .otherwise("DDDDDDD").alias("backup_schedule"))
+
+
+@query("e2_schedule_compliance", f"""
+WITH s AS ({SETS_SQL}),
+d AS (SELECT CAST(g AS DATE) AS date FROM generate_series(TIMESTAMP '1998-07-02', TIMESTAMP '1998-07-31', INTERVAL 1 DAY) t(g)),
+e AS (SELECT c_custkey, {SCHEDULE_SQL} AS backup_schedule FROM customer),
+b AS (SELECT *, CAST(backup_start_date AS DATE) AS bd FROM s WHERE type IN ('D', 'I')
+      AND backup_start_date >= TIMESTAMP '1998-07-02' AND backup_start_date < TIMESTAMP '1998-08-01')
+SELECT e.c_custkey, e.backup_schedule, d.date, substr(e.backup_schedule, dayofweek(d.date) + 1, 1) AS scheduled_type,
+  b.backup_set_id, b.media_set_id, b.database_id, b.type, b.backup_start_date, b.backup_finish_date, b.backup_size,
+  b.compressed_backup_size, CASE b.type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' END AS backup_type
+FROM e CROSS JOIN d LEFT JOIN b ON b.database_id = e.c_custkey AND b.bd = d.date
+""")
+def e2_schedule_compliance(t):
+    """30-day spine per customer with the planned backup type and the orders ('backups') of that day."""
+    ent = schedules(t).select("c_custkey", "backup_schedule")
+    return E.schedule_compliance(ent, backup_sets(t), key="c_custkey", schedule="backup_schedule",
+                                 today=F.lit("1998-08-01").cast("date"), days=30, event_key="database_id",
+                                 event_ts="backup_start_date", event_type="type")
+
+
+@query("e3_due_today", f"""
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, {SCHEDULE_SQL} AS backup_schedule,
+  substr({SCHEDULE_SQL}, 3, 1) AS scheduled_type,
+  CASE WHEN c_acctbal > 9000 THEN 'PHYSICAL_ONLY' ELSE 'FULL' END AS check_type
+FROM customer
+WHERE substr({SCHEDULE_SQL}, 3, 1) IN ('D') AND COALESCE(c_nationkey % 4, 0) = 1
+""")
+def e3_due_today(t):
+    """Customers with a full backup due on Tuesday in batch 1 (nation % 4);
+    big accounts get the light check outside every fourth week."""
+    s = schedules(t).withColumn("batch_no", F.col("c_nationkey") % 4)
+    out = E.due_today(s, schedule="backup_schedule", weekday=3, wanted=["D"], batch_col="batch_no", batch=1,
+                      size_col="c_acctbal", big_size=9000, week_of_month=1)
+    return out.drop("batch_no")
+
+
+FILES_SQL = """
+SELECT user_id, event_id AS file_id,
+  'db' || CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y%m%d%H') || '_' || CAST(event_id AS VARCHAR) ||
+  CASE event_type WHEN 'purchase' THEN '.bak' WHEN 'error' THEN '.bak' WHEN 'view' THEN '.trn'
+                  WHEN 'click' THEN '.diff' ELSE '.log' END AS file_name
+FROM events
+"""
+
+
+def backup_files(t):
+    et = F.col("event_type")
+    ext = (F.when(et.isin("purchase", "error"), ".bak").when(et == "view", ".trn").when(et == "click", ".diff")
+           .otherwise(".log"))
+    return t.events.select("user_id", F.col("event_id").alias("file_id"),
+                           F.concat(F.lit("db"), F.col("user_id").cast("string"), F.lit("_"),
+                                    F.date_format("ts", "yyyyMMddHH"), F.lit("_"), F.col("event_id").cast("string"), ext)
+                           .alias("file_name"))
+
+
+@query("e4_retention_expired", f"""
+WITH f AS ({FILES_SQL}),
+g AS (SELECT user_id, split_part(file_name, '_', 1) || '_' || split_part(file_name, '_', 2) AS prefix, MIN(file_id) AS min_id
+      FROM f WHERE file_name LIKE '%.bak' GROUP BY 1, 2),
+k AS (SELECT user_id, min_id AS min_id_to_keep FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY min_id DESC) AS rn FROM g) x WHERE rn = 5)
+SELECT f.user_id, f.file_id, f.file_name, k.min_id_to_keep FROM f JOIN k ON k.user_id = f.user_id
+WHERE (f.file_name LIKE '%.bak' OR f.file_name LIKE '%.trn' OR f.file_name LIKE '%.diff') AND f.file_id < k.min_id_to_keep
+""")
+def e4_retention_expired(t):
+    """Per user 'database', files older than the 5th newest full-backup
+    group (grouped by name prefix up to the hour) expire."""
+    prefix = F.concat(F.substring_index("file_name", "_", 2))
+    return E.retention_expired(backup_files(t), key=["user_id"], file_id="file_id", file_name="file_name",
+                               prefix=prefix, keep_n=5)
+
+
+CHAIN_SQL = """
+SELECT user_id, event_id AS backup_set_id, ts AS backup_start_date,
+  CASE event_type WHEN 'signup' THEN 'D' WHEN 'error' THEN 'D' WHEN 'purchase' THEN 'I' ELSE 'L' END AS type,
+  event_type = 'error' AS is_copy_only
+FROM events
+"""
+
+
+@query("e5_restore_chain", f"""
+WITH b AS ({CHAIN_SQL}), c AS (SELECT * FROM b WHERE backup_start_date <= TIMESTAMP '2024-01-20 00:00:00'),
+f AS (SELECT user_id, MAX(backup_start_date) AS fmax FROM c WHERE type = 'D' AND NOT is_copy_only GROUP BY user_id),
+j AS (SELECT c.*, f.fmax FROM c JOIN f ON f.user_id = c.user_id WHERE c.backup_start_date >= f.fmax),
+d AS (SELECT user_id, MAX(backup_start_date) AS dmax FROM j WHERE type = 'I' GROUP BY user_id)
+SELECT j.user_id, j.backup_set_id, j.backup_start_date, j.type, j.is_copy_only,
+  CASE WHEN j.type = 'D' THEN 1 WHEN j.type = 'I' THEN 2 ELSE 3 END AS step
+FROM j LEFT JOIN d ON d.user_id = j.user_id
+WHERE (j.type = 'D' AND j.backup_start_date = j.fmax AND NOT j.is_copy_only)
+   OR (j.type = 'I' AND j.backup_start_date = d.dmax)
+   OR (j.type = 'L' AND j.backup_start_date > COALESCE(d.dmax, j.fmax))
+""")
+def e5_restore_chain(t):
+    """E5: per user the chain full -> differential -> logs needed for a restore to Jan 20."""
+    et = F.col("event_type")
+    b = t.events.select("user_id", F.col("event_id").alias("backup_set_id"), F.col("ts").alias("backup_start_date"),
+                        F.when(et.isin("signup", "error"), "D").when(et == "purchase", "I").otherwise("L").alias("type"),
+                        (et == "error").alias("is_copy_only"))
+    return E.restore_chain(b, key=["user_id"], target=F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
+@query("e6_last_n_checks", """
+SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS check_rank
+FROM orders) x WHERE check_rank <= 2
+""")
+def e6_last_n_checks(t):
+    """Last 2 'checks' (orders) per (status as server, customer as database)."""
+    return E.last_n_checks(t.orders, ["o_orderstatus", "o_custkey"], "o_orderdate", 2, "o_orderkey")
+
+
+@query("e6_last_check", """
+SELECT o_orderstatus, o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice,
+  arg_max(o_orderdate, o_orderkey) AS o_orderdate, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority
+FROM orders GROUP BY o_orderstatus, o_custkey
+""")
+def e6_last_check(t):
+    """Latest check by id per (server, database)."""
+    return E.last_check(t.orders, ["o_orderstatus", "o_custkey"], "o_orderkey")
+
+
+@query("e8_align_steps_to_run", """
+WITH runs AS (SELECT user_id, event_id AS run_first_id, ts AS run_start FROM events WHERE event_type = 'signup'),
+types AS (SELECT DISTINCT event_type FROM events),
+r AS (SELECT runs.*, types.event_type FROM runs CROSS JOIN types),
+h AS (SELECT user_id, event_type, event_id, ts, value FROM events)
+SELECT r.user_id, r.run_first_id, r.run_start, r.event_type,
+  (SELECT MIN(h.event_id) FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id) AS step_event_id,
+  (SELECT arg_min(h.ts, h.event_id) FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id) AS step_ts
+FROM r
+""")
+def e8_align_steps_to_run(t):
+    """For each 'run' (signup event) and 'step' (event type), the first event of that
+    type with id >= the run's first id (forward as-of)."""
+    e = t.events
+    runs = e.filter(F.col("event_type") == "signup").select("user_id", F.col("event_id").alias("run_first_id"),
+                                                            F.col("ts").alias("run_start"))
+    types = e.select("event_type").distinct()
+    runs = runs.crossJoin(F.broadcast(types))  # one row per run and step; 'types' is the small step list
+    hist = e.select("user_id", "event_type", "event_id", "ts", "value")
+    out = E.align_steps_to_run(runs, hist, keys=["user_id", "event_type"], run_first_id="run_first_id",
+                               hist_id="event_id", hist_cols=["ts"], bucket_width=512)
+    return out.select("user_id", "run_first_id", "run_start", "event_type",
+                      F.col("step_row.event_id").alias("step_event_id"), F.col("step_row.ts").alias("step_ts"))

@@ -84,3 +84,36 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n
         return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+
+
+def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str,
+                 right_cols: list[str], bucket_width: int, out: str = "match") -> DataFrame:
+    """For each left row, the first right row of the same key whose position
+    is >= the left row's position (forward as-of join).
+
+    Left and right rows are unioned and scanned per (key, position bucket) in
+    descending position, keeping the last right row seen. A left row with no
+    right row after it in its bucket takes the first right row of the nearest
+    later bucket, found with a window over the small per-(key, bucket)
+    summary. No pairs are generated, and a hot key is spread over its
+    buckets. ``out`` is a struct of ``right_pos`` and ``right_cols``, NULL
+    when there is none.
+    """
+    payload = F.struct(F.col(right_pos).alias(right_pos), *[F.col(c) for c in right_cols])
+    lrow = F.struct(*[F.col(c) for c in left.columns])
+    r = right.select(*keys, F.col(right_pos).alias("__pos"), F.lit(1).alias("__tag"), payload.alias("__pay"))
+    r = r.withColumn("__row", F.lit(None).cast(left.select(lrow.alias("x")).schema["x"].dataType))
+    l_ = left.select(*keys, F.col(left_pos).alias("__pos"), F.lit(0).alias("__tag"),
+                     F.lit(None).cast(r.schema["__pay"].dataType).alias("__pay"), lrow.alias("__row"))
+    u = r.unionByName(l_).withColumn("__b", F.floor(F.col("__pos") / bucket_width).cast("long"))
+    w = (Window.partitionBy(*keys, "__b").orderBy(F.col("__pos").desc(), F.col("__tag").desc())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    u = u.withColumn("__nxt", F.last("__pay", ignorenulls=True).over(w))
+    summary = u.groupBy(*keys, "__b").agg(
+        F.min_by(F.col("__pay"), F.when(F.col("__tag") == 1, F.col("__pos"))).alias("__first"),
+        F.max(F.col("__tag")).alias("__has_right"))
+    summary = summary.withColumn("__first", F.when(F.col("__has_right") == 1, F.col("__first")))
+    bw = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*keys, "__b", F.last("__first", ignorenulls=True).over(bw).alias("__carry"))
+    res = u.filter(F.col("__tag") == 0).join(summary, [*keys, "__b"], "left")
+    return res.select("__row.*", F.coalesce(F.col("__nxt"), F.col("__carry")).alias(out))

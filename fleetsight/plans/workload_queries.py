@@ -151,7 +151,7 @@ def d7_totals_with_grand(t):
 @query("d8_duplicate_signatures", """
 WITH sig AS (
   SELECT l_orderkey,
-         string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS key_list
+         string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS key_list
   FROM lineitem GROUP BY l_orderkey),
 c AS (SELECT key_list, COUNT(*) AS n_duplicates FROM sig GROUP BY key_list HAVING COUNT(*) > 1)
 SELECT sig.key_list, sig.l_orderkey, c.n_duplicates FROM sig JOIN c ON c.key_list = sig.key_list
