@@ -1 +1,143 @@
-"""Registered queries (profile family)."""
+"""Registered queries for profiling, search and events (G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetsight.operators import profile as G
+from fleetsight.plans.registry import query
+from fleetsight.plans.snapshot_queries import FEED_SQL, feed
+
+
+@query("g1_null_profile", """
+WITH d AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+a AS (SELECT COUNT(*) AS n, COUNT(doc_id) AS a1, COUNT(lang) AS a2, COUNT(source) AS a3, COUNT(quality) AS a4, COUNT(toxic) AS a5,
+             MAX(length(lang)) AS l2, MAX(length(source)) AS l3 FROM d)
+SELECT column_name, data_type, n - nn AS null_rows, nn AS not_null_rows,
+  COALESCE(CAST(CAST(n - nn AS DECIMAL(20,0)) * 100 / NULLIF(n, 0) AS DECIMAL(10,2)), 0) AS null_percent,
+  CAST(n - nn AS DOUBLE) * CAST(COALESCE(w, 0) AS DOUBLE) / 1048576.0 AS null_mb
+FROM a, LATERAL (VALUES ('doc_id', 'bigint', a1, 8), ('lang', 'string', a2, l2), ('source', 'string', a3, l3),
+                        ('quality', 'int', a4, 4), ('toxic', 'int', a5, 4)) v(column_name, data_type, nn, w)
+""")
+def g1_null_profile(t):
+    """G1: NULL profile of documents left-joined to their labels."""
+    d = t.documents.select("doc_id", "lang", "source").join(t.labels, "doc_id", "left")
+    return G.null_profile(d)
+
+
+@query("g3_search_text", """
+SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS object_id, strpos(lower(text), 'license') AS match_position,
+  substr(text, greatest(strpos(lower(text), 'license') - 40, 1), 87) AS context
+FROM documents WHERE text ILIKE '%license%'
+UNION ALL
+SELECT 'page', CAST(page_id AS VARCHAR), strpos(lower(html), 'license'),
+  substr(html, greatest(strpos(lower(html), 'license') - 40, 1), 87)
+FROM pages WHERE html ILIKE '%license%'
+UNION ALL
+SELECT 'benchmark', CAST(item_id AS VARCHAR), strpos(lower(text), 'license'),
+  substr(text, greatest(strpos(lower(text), 'license') - 40, 1), 87)
+FROM benchmark WHERE text ILIKE '%license%'
+""")
+def g3_search_text(t):
+    """Case-insensitive search for 'license' over document, page and benchmark texts."""
+    return G.search_text({"document": (t.documents, "doc_id", "text"), "page": (t.pages, "page_id", "html"),
+                          "benchmark": (t.benchmark, "item_id", "text")}, "license")
+
+
+_KEY_TABLES = [("region", "r_regionkey", True), ("nation", "n_nationkey", False), ("customer", "c_custkey", False),
+               ("supplier", "s_suppkey", False), ("part", "p_partkey", False), ("orders", "o_orderkey", False),
+               ("lineitem", "l_orderkey", False), ("events", "event_id", False), ("documents", "doc_id", False),
+               ("pages", "page_id", False), ("labels", "doc_id", False), ("conversations", "conv_id", False)]
+
+
+def _key_sql():
+    parts = []
+    for name, col, declared in _KEY_TABLES:
+        if declared:
+            parts.append(f"SELECT '{name}' AS table_name, '{col}' AS key_column, 'declared key' AS reason")
+        else:
+            ok = f"COUNT(DISTINCT {col}) = COUNT(*) AND COUNT({col}) = COUNT(*)"
+            parts.append(f"SELECT '{name}', CASE WHEN {ok} THEN '{col}' END, "
+                         f"CASE WHEN {ok} THEN 'unique and not null' ELSE 'no key: a new key column is needed' END FROM {name}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("g4_key_candidates", _key_sql())
+def g4_key_candidates(t):
+    """Key choice for every driver table (first column as candidate; region's declared)."""
+    return G.key_candidates({name: (getattr(t, name), [col], col if declared else None)
+                             for name, col, declared in _KEY_TABLES})
+
+
+@query("g5_module_inventory", """
+SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) AS name, source AS schema_name, lang AS type_desc, text AS definition,
+  length(text) AS definition_length
+FROM documents WHERE lang IN ('en', 'de') AND ('doc_' || CAST(doc_id AS VARCHAR)) ILIKE '%7%'
+""")
+def g5_module_inventory(t):
+    """Documents as modules: English and German ones whose name holds a 7, with text length."""
+    m = t.documents.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name"),
+                           F.col("source").alias("schema_name"), F.col("lang").alias("type_desc"),
+                           F.col("text").alias("definition"))
+    return G.module_inventory(m, kinds=["en", "de"], name_like="%7%")
+
+
+@query("g6_event_attributes_json", """
+SELECT event_id, user_id, event_type, json_extract_string(props, '$.k') AS k FROM events
+""")
+def g6_event_attributes_json(t):
+    """JSON event payload fields as columns."""
+    e = t.events.select("event_id", "user_id", "event_type", "props")
+    return G.event_attributes(e, "props", ["k"]).drop("props")
+
+
+@query("g6_event_attributes_xml", """
+SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS action_event_type,
+  CAST(user_id AS VARCHAR) AS action_user
+FROM events
+""")
+def g6_event_attributes_xml(t):
+    """Events rendered as XML event documents, read back into data and action columns."""
+    e = t.events
+    k = F.get_json_object("props", "$.k")
+    xml = F.concat(F.lit('<event><action name="user"><value>'), F.col("user_id").cast("string"),
+                   F.lit('</value></action><action name="event_type"><value>'), F.col("event_type"),
+                   F.lit('</value></action><data name="k"><value>'), k, F.lit("</value></data></event>"))
+    x = e.select("event_id", xml.alias("event_data"))
+    out = G.event_attributes(x, "event_data", ["k"], actions=["event_type", "user"], fmt="xml")
+    return out.drop("event_data")
+
+
+@query("g7_explode_delimited", """
+SELECT p_partkey, CAST(pos AS INTEGER) AS position, trim(item) AS item FROM (
+  SELECT p_partkey, unnest(string_split(p_name, ' ')) AS item, generate_subscripts(string_split(p_name, ' '), 1) AS pos
+  FROM part) x WHERE trim(item) <> ''
+""")
+def g7_explode_delimited(t):
+    """Part name words, one per row with their position."""
+    return G.explode_delimited(t.part, "p_name", " ", keep=["p_partkey"])
+
+
+@query("g9_desired_vs_actual", f"""
+WITH f AS ({FEED_SQL})
+SELECT * FROM f EXCEPT ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer
+""")
+def g9_desired_vs_actual(t):
+    """Rows of the desired customer state (the feed) to change or add."""
+    return G.desired_vs_actual(feed(t), t.customer)
+
+
+@query("g9_missing_members", f"""
+WITH f AS ({FEED_SQL})
+SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM f)
+""")
+def g9_missing_members(t):
+    """Customers missing from the published list (the feed)."""
+    return G.missing_members(feed(t), t.customer, ["c_custkey"])
+
+
+@query("g8_preview")
+def g8_preview(t):
+    """First 5 rows of every table whose name matches 'p%' (no order; rows-only check)."""
+    tables = {n: getattr(t, n) for n in ["part", "pages", "orders", "nation"]}
+    return G.preview(tables, "p%", 5)
