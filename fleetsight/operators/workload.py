@@ -78,8 +78,11 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
         raise ValueError(f"order_by must be one of {sorted(choices)}")
     ranked = top_n_per_group(per_plan, group_cols, [F.col(choices[order_by]).desc(), *[F.col(k) for k in keys]], n)
 
-    # D3: period totals per group, derived from the per-plan aggregate
-    totals = per_plan.groupBy(*group_cols).agg(*[F.sum(f"total_{m}").alias(f"period_{m}") for m in measures])
+    # D3: period totals per group straight from the statistics: a partial
+    # aggregate that ships one row per group and input partition (a second
+    # narrow scan of the same columns rather than a cache of the per-plan
+    # aggregate).
+    totals = stats.groupBy(*group_cols).agg(*[F.sum(cnt * F.col(c)).alias(f"period_{m}") for m, c in measures.items()])
     # one row per group (a single row without groups): joined to n rows per group
     out = (ranked.join(totals, on=group_cols, how="inner") if group_cols
            else ranked.crossJoin(keyed_totals(totals, [])))

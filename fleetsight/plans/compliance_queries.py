@@ -43,12 +43,14 @@ def backup_media(t):
                              F.col("l_linenumber").alias("family_sequence_number"))
 
 
+DEV = r"""'\\nas\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR)"""
+
 _E1_SQL = f"""
 WITH s AS ({SETS_SQL}),
 top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_start_date DESC, backup_set_id DESC) AS backup_rank
                        FROM s WHERE type <> 'L') x WHERE backup_rank <= 3),
 dev AS (SELECT l_orderkey AS media_set_id,
-               string_agg('\\\\nas\\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR), ', ' ORDER BY l_linenumber, '\\nas\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR)) AS devices
+               string_agg({DEV}, ', ' ORDER BY l_linenumber, {DEV}) AS devices
         FROM lineitem GROUP BY l_orderkey),
 m AS (SELECT top.*, CAST(epoch(date_trunc('second', backup_finish_date)) - epoch(date_trunc('second', backup_start_date)) AS BIGINT) AS secs
       FROM top)
@@ -63,7 +65,7 @@ SELECT m.backup_set_id, m.media_set_id, m.database_id, m.type, m.backup_start_da
   CASE m.type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' WHEN 'L' THEN 'Log' END AS backup_type,
   dev.devices
 FROM m LEFT JOIN dev ON dev.media_set_id = m.media_set_id
-""".replace("\\\\\\\\", "\\\\")
+"""
 
 
 @query("e1_last_n_backups", _E1_SQL)
