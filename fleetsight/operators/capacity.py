@@ -343,3 +343,68 @@ def fragment_stats(df: DataFrame, keys: list[str], rows: str, status: str | None
             ladder = ladder.when(F.col(status) == code, F.lit(text))
         out = out.withColumn("status", ladder)
     return out
+
+
+# ------------------------------------------------------------------ C6
+def _pages_mb(c: Column) -> Column:
+    return (c.cast("decimal(20,0)") * 8 / 1024).cast("decimal(10,2)")
+
+
+def growth_tier_mb(size_mb: Column) -> Column:
+    """Suggested growth step by file size (MB)."""
+    return (F.when(size_mb > 10000, F.lit(4000)).when(size_mb > 4000, F.lit(1000))
+             .when(size_mb > 1000, F.lit(500)).otherwise(F.lit(100)))
+
+
+def file_usage(files: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
+    """Per data/log file: size, used and free MB, percent used, growth and cap
+    as text, path and file name, the volume of its drive, a shrink target
+    (files of 1 GB or more: 1024, 2048, else used rounded up to whole GB)
+    and a suggested growth step when the current one is a percent or below
+    the tier for its size.
+
+    files: database_id, file_id, logical_name, type_desc, size, space_used,
+    growth, is_percent_growth, max_size (pages of 8 KB), physical_name.
+    volumes: drive, size_mb, free_mb.
+    """
+    from fleetsight.functions.scalar import file_dir, file_drive, file_name
+    f = files
+    size_mb = _pages_mb(F.col("size"))
+    used_mb = _pages_mb(F.col("space_used"))
+    growth_mb = (F.col("growth") * 8 / 1024).cast("bigint")
+    cap = (F.when(F.col("max_size") == 0, F.lit("No")).when(F.col("max_size") == -1, F.lit("Unlimited"))
+           .otherwise(F.concat(F.lit("Limited to "), ((F.col("max_size").cast("bigint") * 8) / 1024).cast("bigint")
+                               .cast("string"), F.lit(" MB"))))
+    grow = F.when(F.col("growth") == 0, F.lit("None")).otherwise(F.concat(
+        F.lit("By "), F.when(F.col("is_percent_growth"), F.concat(F.col("growth").cast("string"), F.lit("%")))
+        .otherwise(F.concat(growth_mb.cast("string"), F.lit(" MB"))), F.lit(", "), cap))
+    size_int = (F.col("size") * 8 / 1024).cast("bigint")
+    used_int = (F.col("space_used") * 8 / 1024).cast("bigint")
+    shrink = (F.when(size_int < 1024, F.lit(None).cast("bigint")).when(used_int < 1024, F.lit(1024))
+              .when(used_int < 2048, F.lit(2048))
+              .otherwise(F.ceil(F.col("space_used") * 8 / 1024 / 1024).cast("bigint") * 1024))
+    size_d = F.col("size").cast("double") * 8 / 1024
+    tier = growth_tier_mb(size_d)
+    out = f.select(
+        "*", size_mb.alias("size_mb"), used_mb.alias("used_mb"), (size_mb - used_mb).alias("free_mb"),
+        (F.col("space_used").cast("decimal(20,4)") * 100 / F.nullif(F.col("size"), F.lit(0))).cast("decimal(10,2)")
+        .alias("percentage_used"),
+        grow.alias("autogrowth_maxsize"), file_dir("physical_name").alias("path"),
+        file_name("physical_name").alias("file_name"), file_drive("physical_name").alias("drive"),
+        shrink.alias("shrink_target_mb"),
+        F.when(F.col("is_percent_growth") | (growth_mb < tier), tier).alias("suggested_growth_mb"))
+    if volumes is not None:
+        v = volumes.select(file_drive(F.col("drive")).alias("__drive"),
+                           (F.col("size_mb") / 1024).cast("decimal(10,2)").alias("drive_size_gb"),
+                           (F.col("free_mb") / 1024).cast("decimal(10,2)").alias("drive_free_gb"),
+                           (F.col("free_mb") * 100 / F.col("size_mb")).cast("bigint").alias("drive_free_percent"))
+        out = out.join(v, out["drive"] == v["__drive"], "left").drop("__drive")
+    return out
+
+
+def one_file_per_drive(files: DataFrame) -> DataFrame:
+    """One file per drive: the smallest (database_id, file_id) on it."""
+    from fleetsight.functions.scalar import file_drive
+    row = F.struct(*[F.col(c) for c in files.columns])
+    return files.groupBy(file_drive("physical_name").alias("drive")).agg(
+        F.min_by(row, F.struct("database_id", "file_id")).alias("__r")).select("drive", "__r.*")

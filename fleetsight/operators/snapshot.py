@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.functions.aggregates import ordered_list
-from fleetsight.functions.checksum import row_checksum
+from fleetsight.functions.checksum import row_checksum, with_row_checksum  # noqa: F401
 from fleetsight.plans.strategies import broadcast_if_small
 
 # Merge actions.
@@ -276,3 +276,62 @@ def assemble_wide(base: DataFrame, key: str, parts: list[tuple[DataFrame, str]])
         if k != key:
             out = out.drop(df[k])
     return out
+
+
+# --------------------------------------------------------------------- A16
+def capture_lines(df: DataFrame, source: str, text: str) -> DataFrame:
+    """Captured command output (one text per source, e.g. read with
+    ``spark.read.text(path, wholetext=True)``) -> (source, line_no, line).
+    A capture is one small file, so splitting it inside a row is bounded."""
+    return df.select(source, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
+
+
+def parse_key_value(lines: DataFrame, source: str, keys: dict[str, str] | None = None,
+                    sum_keys: dict[str, str] | None = None, count_keys: dict[str, str] | None = None,
+                    paren_keys: dict[str, str] | None = None) -> DataFrame:
+    """'Key: value' lines -> one record per source.
+
+    ``keys``: {key: out_col} first value of the key; ``sum_keys``: values of
+    all lines of a key summed (leading number of the value); ``count_keys``:
+    number of lines of a key; ``paren_keys``: the text in parentheses of
+    the key's value. Lines without a colon are ignored.
+    """
+    kv = lines.select(source, "line_no",
+                      F.trim(F.regexp_extract("line", r"^([^:]+):", 1)).alias("__k"),
+                      F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)).alias("__v")).filter(F.col("__k") != "")
+    aggs = []
+    for k, out in (keys or {}).items():
+        aggs.append(F.min_by(F.when(F.col("__k") == k, F.col("__v")),
+                             F.when(F.col("__k") == k, F.col("line_no"))).alias(out))
+    for k, out in (sum_keys or {}).items():
+        num = F.regexp_replace(F.regexp_extract("__v", r"^([0-9][0-9,.]*)", 1), ",", "").try_cast("decimal(20,2)")
+        aggs.append(F.sum(F.when(F.col("__k") == k, num)).alias(out))
+    for k, out in (count_keys or {}).items():
+        aggs.append(F.count(F.when(F.col("__k") == k, 1)).alias(out))
+    for k, out in (paren_keys or {}).items():
+        aggs.append(F.max(F.when(F.col("__k") == k, F.regexp_extract("__v", r"\(([^)]*)\)", 1))).alias(out))
+    return kv.groupBy(source).agg(*aggs)
+
+
+def parse_fixed_width(lines: DataFrame, source: str, columns: list[str], header_regex: str,
+                      keep: str | None = None) -> DataFrame:
+    """Fixed-width text whose column offsets come from each source's header line.
+
+    The header line (first line matching ``header_regex``) gives the start
+    of every column name; data lines are cut at those offsets and trimmed.
+    Blank lines, the header itself and lines not matching ``keep`` are
+    dropped as junk. The header offsets are one row per source.
+    """
+    hdr = lines.filter(F.col("line").rlike(header_regex)).groupBy(source).agg(
+        F.min_by("line", "line_no").alias("__h"), F.min("line_no").alias("__hno"))
+    starts = [F.instr(F.col("__h"), c) for c in columns]
+    hdr = hdr.select(source, "__hno", *[s.alias(f"__s{i}") for i, s in enumerate(starts)])
+    d = lines.join(hdr, source).filter((F.col("line_no") > F.col("__hno")) & (F.trim("line") != ""))
+    if keep:
+        d = d.filter(F.col("line").rlike(keep))
+    cols = []
+    for i, c in enumerate(columns):
+        start = F.col(f"__s{i}")
+        length = (F.col(f"__s{i + 1}") - start) if i + 1 < len(columns) else F.lit(10000)
+        cols.append(F.trim(F.substring(F.col("line"), start, length)).alias(c))
+    return d.select(source, "line_no", *cols)

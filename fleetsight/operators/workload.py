@@ -251,3 +251,81 @@ def command_log_report(log: DataFrame, kind: str) -> DataFrame:
                .withColumn("operation", F.when(F.col("command").contains("REBUILD"), F.lit("REBUILD"))
                            .when(F.col("command").contains("REORGANIZE"), F.lit("REORGANIZE"))))
     return out
+
+
+# --------------------------------------------------------------------- D10
+def describe_items(kinds: dict[str, DataFrame], index_columns: DataFrame, sizes: DataFrame | None = None,
+                   usage: DataFrame | None = None, frag: DataFrame | None = None,
+                   key: list[str] = ("object_id", "index_id")) -> DataFrame:
+    """One list of all index kinds (rowstore, XML, spatial, full-text...).
+
+    ``kinds``: {kind: df with key columns, name and option columns}; each is
+    tagged and unioned by name. Per index the ordered key column list and
+    the included column list (bounded by the index's columns), size in MB
+    from pages, usage and fragmentation are left-joined, each pre-aggregated
+    to one row per index.
+    """
+    key = list(key)
+    parts = [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()]
+    items = parts[0]
+    for p in parts[1:]:
+        items = items.unionByName(p, allowMissingColumns=True)
+    cols = index_columns.groupBy(*key).agg(
+        ordered_list("CASE WHEN NOT is_included THEN column_name || CASE WHEN is_descending THEN ' DESC' ELSE '' END END",
+                     ["key_ordinal", "column_name"], ", ").alias("key_columns"),
+        ordered_list("CASE WHEN is_included THEN column_name END", ["column_name"], ", ").alias("included_columns"))
+    out = items.join(cols, key, "left")
+    if sizes is not None:
+        s = sizes.groupBy(*key).agg((F.sum("used_pages") * 8 / 1024.0).alias("size_mb"))
+        out = out.join(s, key, "left")
+    if usage is not None:
+        u = usage.groupBy(*key).agg(F.sum("user_seeks").alias("user_seeks"), F.sum("user_scans").alias("user_scans"),
+                                    F.sum("user_lookups").alias("user_lookups"),
+                                    F.sum("user_updates").alias("user_updates"))
+        out = out.join(u, key, "left")
+    if frag is not None:
+        fr = frag.groupBy(*key).agg(F.max("avg_fragmentation_in_percent").alias("fragmentation"))
+        out = out.join(fr, key, "left")
+    return out
+
+
+# --------------------------------------------------------------------- D11
+# Allocation unit types of table storage.
+ALLOC_TYPES = ["IN_ROW_DATA", "LOB_DATA", "ROW_OVERFLOW_DATA"]
+
+
+def describe_tables(partitions: DataFrame, usage: DataFrame | None = None, key: str = "object_id") -> DataFrame:
+    """Per table: rows, total/used/data/index/unused MB and total MB per
+    allocation type (conditional sums = static pivot), and from usage the
+    last read (greatest of last seek, scan and lookup) and the reads (sum of
+    seeks, scans and lookups)."""
+    mb = lambda c: (F.sum(c) * 8 / 1024.0)
+    aggs = [F.sum(F.when(F.col("index_id") < 2, F.col("rows"))).alias("rows"),
+            mb("total_pages").alias("total_mb"), mb("used_pages").alias("used_mb"),
+            mb("data_pages").alias("data_mb"),
+            (F.greatest(F.sum("used_pages") - F.sum("data_pages"), F.lit(0)) * 8 / 1024.0).alias("index_mb"),
+            (F.greatest(F.sum("total_pages") - F.sum("used_pages"), F.lit(0)) * 8 / 1024.0).alias("unused_mb")]
+    for t in ALLOC_TYPES:
+        aggs.append((F.coalesce(F.sum(F.when(F.col("type_desc") == t, F.col("total_pages"))), F.lit(0)) * 8 / 1024.0)
+                    .alias(t.lower() + "_mb"))
+    out = partitions.groupBy(key).agg(*aggs)
+    if usage is not None:
+        u = usage.groupBy(key).agg(
+            F.greatest(F.max("last_user_seek"), F.max("last_user_scan"), F.max("last_user_lookup")).alias("last_read"),
+            (F.coalesce(F.sum("user_seeks"), F.lit(0)) + F.coalesce(F.sum("user_scans"), F.lit(0))
+             + F.coalesce(F.sum("user_lookups"), F.lit(0))).alias("reads"))
+        out = out.join(u, key, "left")
+    return out
+
+
+def describe_columns(columns: DataFrame, index_columns: DataFrame | None = None,
+                     key: list[str] = ("object_id", "column_name")) -> DataFrame:
+    """Per column: its attributes plus the indexes that use it (distinct,
+    ordered; bounded by the table's indexes)."""
+    key = list(key)
+    out = columns
+    if index_columns is not None:
+        ix = index_columns.groupBy(*key).agg(
+            ordered_list("index_name", "index_name", ", ", distinct=True).alias("used_by_indexes"))
+        out = out.join(ix, key, "left")
+    return out

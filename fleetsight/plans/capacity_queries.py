@@ -304,3 +304,86 @@ def c14_fragment_stats(t):
                           F.col("l_quantity").cast("decimal(15,2)").alias("rows"))
     out = C.fragment_stats(d, ["l_suppkey", "status_code"], "rows", status="status_code")
     return out
+
+
+FILES_SQL = r"""
+SELECT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS database_id, p_partkey AS file_id, p_name AS logical_name,
+  CASE WHEN p_size % 2 = 0 THEN 'ROWS' ELSE 'LOG' END AS type_desc, CAST(p_size * 20000 AS BIGINT) AS size,
+  CAST(floor(p_retailprice * 10) AS BIGINT) AS space_used,
+  CASE WHEN p_size % 5 = 0 THEN 10 ELSE p_size * 128 END AS growth, p_size % 5 = 0 AS is_percent_growth,
+  CASE p_size % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE p_size * 100000 END AS max_size,
+  CASE p_size % 3 WHEN 0 THEN 'C:' WHEN 1 THEN 'D:' ELSE 'E:' END || '\data\' || p_type || '\' || replace(p_name, ' ', '_') || '.mdf'
+    AS physical_name
+FROM part
+"""
+
+
+def data_files(t):
+    p = t.part
+    sz = F.col("p_size")
+    drive = F.when(sz % 3 == 0, "C:").when(sz % 3 == 1, "D:").otherwise("E:")
+    return p.select(
+        F.substring_index("p_brand", "#", -1).cast("int").alias("database_id"), F.col("p_partkey").alias("file_id"),
+        F.col("p_name").alias("logical_name"), F.when(sz % 2 == 0, "ROWS").otherwise("LOG").alias("type_desc"),
+        (sz * 20000).cast("bigint").alias("size"), F.floor(F.col("p_retailprice") * 10).cast("bigint").alias("space_used"),
+        F.when(sz % 5 == 0, 10).otherwise(sz * 128).alias("growth"), (sz % 5 == 0).alias("is_percent_growth"),
+        F.when(sz % 3 == 0, -1).when(sz % 3 == 1, 0).otherwise(sz * 100000).alias("max_size"),
+        F.concat(drive, F.lit("\\data\\"), F.col("p_type"), F.lit("\\"), F.regexp_replace("p_name", " ", "_"),
+                 F.lit(".mdf")).alias("physical_name"))
+
+
+def volumes(files):
+    from fleetsight.functions.scalar import file_drive, int_div
+    v = files.groupBy(file_drive("physical_name").alias("drive")).agg(
+        F.sum("size").alias("__s"), F.sum("space_used").alias("__u"))
+    size_mb = int_div(F.col("__s") * 16, 1024)
+    return v.select("drive", size_mb.alias("size_mb"), (size_mb - int_div(F.col("__u") * 8, 1024)).alias("free_mb"))
+
+
+@query("c6_file_usage", f"""
+WITH f AS ({FILES_SQL}),
+v AS (SELECT split_part(physical_name, '\\', 1) AS drive, SUM(size) * 16 // 1024 AS size_mb,
+             SUM(size) * 16 // 1024 - SUM(space_used) * 8 // 1024 AS free_mb FROM f GROUP BY 1)
+SELECT f.*, CAST(CAST(size AS DECIMAL(20,0)) * 8 / 1024 AS DECIMAL(10,2)) AS size_mb,
+  CAST(CAST(space_used AS DECIMAL(20,0)) * 8 / 1024 AS DECIMAL(10,2)) AS used_mb,
+  CAST(CAST(size AS DECIMAL(20,0)) * 8 / 1024 AS DECIMAL(10,2)) - CAST(CAST(space_used AS DECIMAL(20,0)) * 8 / 1024 AS DECIMAL(10,2)) AS free_mb,
+  -- exact half-up rounding of space_used * 100 / size to 2 decimals
+  CAST(CAST((space_used * 20000 + size) // (2 * NULLIF(size, 0)) AS DOUBLE) / 100 AS DECIMAL(10,2)) AS percentage_used,
+  CASE WHEN growth = 0 THEN 'None' ELSE 'By ' || CASE WHEN is_percent_growth THEN CAST(growth AS VARCHAR) || '%'
+       ELSE CAST(CAST(trunc(growth * 8 / 1024) AS BIGINT) AS VARCHAR) || ' MB' END || ', ' ||
+       CASE WHEN max_size = 0 THEN 'No' WHEN max_size = -1 THEN 'Unlimited'
+            ELSE 'Limited to ' || CAST(CAST(trunc(CAST(max_size AS BIGINT) * 8 / 1024) AS BIGINT) AS VARCHAR) || ' MB' END END
+    AS autogrowth_maxsize,
+  substr(physical_name, 1, length(physical_name) - length(split_part(physical_name, '\\', -1))) AS path,
+  split_part(physical_name, '\\', -1) AS file_name, split_part(physical_name, '\\', 1) AS drive,
+  CASE WHEN size * 8 // 1024 < 1024 THEN NULL WHEN space_used * 8 // 1024 < 1024 THEN 1024
+       WHEN space_used * 8 // 1024 < 2048 THEN 2048 ELSE CAST(ceil(space_used * 8 / 1024 / 1024) AS BIGINT) * 1024 END
+    AS shrink_target_mb,
+  CASE WHEN is_percent_growth OR CAST(trunc(growth * 8 / 1024) AS BIGINT) <
+       (CASE WHEN size * 8.0 / 1024 > 10000 THEN 4000 WHEN size * 8.0 / 1024 > 4000 THEN 1000
+             WHEN size * 8.0 / 1024 > 1000 THEN 500 ELSE 100 END)
+       THEN (CASE WHEN size * 8.0 / 1024 > 10000 THEN 4000 WHEN size * 8.0 / 1024 > 4000 THEN 1000
+                  WHEN size * 8.0 / 1024 > 1000 THEN 500 ELSE 100 END) END AS suggested_growth_mb,
+  CAST(v.size_mb / 1024 AS DECIMAL(10,2)) AS drive_size_gb, CAST(v.free_mb / 1024 AS DECIMAL(10,2)) AS drive_free_gb,
+  CAST(trunc(v.free_mb * 100 / v.size_mb) AS BIGINT) AS drive_free_percent
+FROM f LEFT JOIN v ON v.drive = split_part(f.physical_name, '\\', 1)
+""".replace("\\\\", "\\"))
+def c6_file_usage(t):
+    """Parts as data/log files on three drives; volumes derived per drive."""
+    f = data_files(t)
+    return C.file_usage(f, volumes(f))
+
+
+@query("c6_one_file_per_drive", f"""
+WITH f AS ({FILES_SQL})
+SELECT split_part(physical_name, '\\', 1) AS drive, arg_min(database_id, (database_id, file_id)) AS database_id,
+  arg_min(file_id, (database_id, file_id)) AS file_id, arg_min(logical_name, (database_id, file_id)) AS logical_name,
+  arg_min(type_desc, (database_id, file_id)) AS type_desc, arg_min(size, (database_id, file_id)) AS size,
+  arg_min(space_used, (database_id, file_id)) AS space_used, arg_min(growth, (database_id, file_id)) AS growth,
+  arg_min(is_percent_growth, (database_id, file_id)) AS is_percent_growth,
+  arg_min(max_size, (database_id, file_id)) AS max_size, arg_min(physical_name, (database_id, file_id)) AS physical_name
+FROM f GROUP BY 1
+""".replace("\\\\", "\\"))
+def c6_one_file_per_drive(t):
+    """One file per drive (smallest database id, then file id)."""
+    return C.one_file_per_drive(data_files(t))

@@ -336,3 +336,68 @@ def a15_assemble_wide(t):
     base = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
     out = A.assemble_wide(base, "o_custkey", [(cust, "c_custkey")])
     return A.assemble_wide(out, "o_orderkey", [(li, "l_orderkey")])
+
+
+@query("a3_row_checksum")
+def a3_row_checksum(t):
+    """A3: change fingerprint of every customer over the monitored columns
+    (xxhash64 has no SQL twin: rows-only check; equality is tested in tests/)."""
+    return A.with_row_checksum(t.customer, ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]) \
+        .select("c_custkey", "row_checksum")
+
+
+def _capture(t):
+    """Render a 'systeminfo'-like capture text per supplier (derived from the table)."""
+    s = t.supplier.join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    mem1 = F.floor(F.abs(F.col("s_acctbal"))).cast("bigint")
+    hotfixes = F.transform(F.sequence(F.lit(1), F.col("s_nationkey") % 3 + 1),
+                           lambda i: F.concat(F.lit("Hotfix:                    KB"), F.col("s_suppkey").cast("string"),
+                                              i.cast("string")))
+    lines = F.concat(F.array(
+        F.concat(F.lit("Host Name:                 "), F.col("s_name")),
+        F.concat(F.lit("OS Name:                   Windows Server ("), F.col("n_name"), F.lit(")")),
+        F.lit("-----"),
+        F.concat(F.lit("Memory Module:             "), mem1.cast("string"), F.lit(" MB")),
+        F.concat(F.lit("Memory Module:             "), F.col("s_suppkey").cast("string"), F.lit(" MB")),
+        F.lit("")), hotfixes)
+    return s.select("s_suppkey", F.array_join(lines, "\n").alias("capture"))
+
+
+@query("a16_parse_key_value", """
+SELECT s.s_suppkey, s.s_name AS host_name, n.n_name AS os_detail,
+  CAST(floor(abs(s.s_acctbal)) + s.s_suppkey AS DECIMAL(20,2)) AS memory_mb,
+  CAST(s.s_nationkey % 3 + 1 AS BIGINT) AS n_hotfixes
+FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey
+""")
+def a16_parse_key_value(t):
+    """A16: 'Key: value' capture text per supplier parsed back to one record
+    (first value, sum of several lines, line count, text in parentheses)."""
+    lines = A.capture_lines(_capture(t), "s_suppkey", "capture")
+    return A.parse_key_value(lines, "s_suppkey", keys={"Host Name": "host_name"},
+                             sum_keys={"Memory Module": "memory_mb"}, count_keys={"Hotfix": "n_hotfixes"},
+                             paren_keys={"OS Name": "os_detail"})
+
+
+def _disk_lines(t):
+    """Fixed-width 'logical disk' listing per nation, as (source, line_no, line) rows."""
+    s = t.supplier
+    free = F.floor(F.abs(F.col("s_acctbal"))).cast("bigint")
+    data = s.select(F.col("s_nationkey").alias("source"), (F.col("s_suppkey") + 2).alias("line_no"),
+                    F.concat(F.rpad(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), 12, " "),
+                             F.rpad(free.cast("string"), 14, " "), (free + 1000).cast("string")).alias("line"))
+    nat = t.nation.select(F.col("n_nationkey").alias("source"))
+    header = nat.select("source", F.lit(0).cast("bigint").alias("line_no"),
+                        F.lit("Caption     FreeSpace     Size").alias("line"))
+    junk = nat.select("source", F.lit(1).cast("bigint").alias("line_no"), F.lit("   ").alias("line"))
+    return header.unionByName(junk).unionByName(data)
+
+
+@query("a16_parse_fixed_width", """
+SELECT s_nationkey AS source, s_suppkey + 2 AS line_no, 'S' || CAST(s_suppkey AS VARCHAR) AS "Caption",
+  CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) AS VARCHAR) AS "FreeSpace",
+  CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) + 1000 AS VARCHAR) AS "Size"
+FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)
+""")
+def a16_parse_fixed_width(t):
+    """Fixed-width disk listing per nation; column offsets from each header line."""
+    return A.parse_fixed_width(_disk_lines(t), "source", ["Caption", "FreeSpace", "Size"], r"^Caption")

@@ -214,3 +214,76 @@ def d13_stale_statistics(t):
         .alias("modification_counter"))
     excl = t.part.filter(F.col("p_type") == "PROMO").select(F.col("p_partkey").alias("l_partkey"))
     return W.stale_statistics(s, exclude=excl, exclude_keys=["l_partkey"])
+
+
+def _partitions(t):
+    rf = F.col("l_returnflag")
+    q = F.col("l_quantity").cast("bigint")
+    return t.lineitem.select(
+        F.col("l_suppkey").alias("object_id"), (F.col("l_linenumber") % 3).alias("index_id"),
+        F.when(rf == "A", "IN_ROW_DATA").when(rf == "N", "LOB_DATA").otherwise("ROW_OVERFLOW_DATA").alias("type_desc"),
+        (q * 10).alias("total_pages"), (q * 8).alias("used_pages"), (q * 5).alias("data_pages"),
+        F.lit(1).cast("bigint").alias("rows"))
+
+
+def _usage(t):
+    ls = F.col("l_linestatus")
+    return t.lineitem.select(
+        F.col("l_suppkey").alias("object_id"),
+        F.when(ls == "O", F.col("l_shipdate")).alias("last_user_seek"),
+        F.when(ls == "F", F.col("l_shipdate")).alias("last_user_scan"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("last_user_lookup"),
+        F.when(ls == "O", 1).otherwise(0).alias("user_seeks"), F.when(ls == "F", 1).otherwise(0).alias("user_scans"),
+        F.lit(0).alias("user_lookups"))
+
+
+@query("d11_describe_tables", """
+WITH p AS (SELECT l_suppkey AS object_id, l_linenumber % 3 AS index_id,
+                  CASE l_returnflag WHEN 'A' THEN 'IN_ROW_DATA' WHEN 'N' THEN 'LOB_DATA' ELSE 'ROW_OVERFLOW_DATA' END AS type_desc,
+                  CAST(l_quantity AS BIGINT) AS q, l_linestatus, l_returnflag, l_shipdate FROM lineitem),
+a AS (SELECT object_id, SUM(CASE WHEN index_id < 2 THEN 1 END) AS "rows",
+        SUM(q * 10) * 8 / 1024.0 AS total_mb, SUM(q * 8) * 8 / 1024.0 AS used_mb, SUM(q * 5) * 8 / 1024.0 AS data_mb,
+        greatest(SUM(q * 8) - SUM(q * 5), 0) * 8 / 1024.0 AS index_mb,
+        greatest(SUM(q * 10) - SUM(q * 8), 0) * 8 / 1024.0 AS unused_mb,
+        COALESCE(SUM(CASE WHEN type_desc = 'IN_ROW_DATA' THEN q * 10 END), 0) * 8 / 1024.0 AS in_row_data_mb,
+        COALESCE(SUM(CASE WHEN type_desc = 'LOB_DATA' THEN q * 10 END), 0) * 8 / 1024.0 AS lob_data_mb,
+        COALESCE(SUM(CASE WHEN type_desc = 'ROW_OVERFLOW_DATA' THEN q * 10 END), 0) * 8 / 1024.0 AS row_overflow_data_mb,
+        greatest(MAX(CASE WHEN l_linestatus = 'O' THEN l_shipdate END), MAX(CASE WHEN l_linestatus = 'F' THEN l_shipdate END),
+                 MAX(CASE WHEN l_returnflag = 'R' THEN l_shipdate END)) AS last_read,
+        SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) + SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS reads
+      FROM p GROUP BY object_id)
+SELECT * FROM a
+""")
+def d11_describe_tables(t):
+    """Suppliers as tables; their line items as partitions (flag = allocation type)."""
+    return W.describe_tables(_partitions(t), _usage(t))
+
+
+@query("d14_command_log_index", """
+WITH l AS (SELECT event_id AS id, user_id AS database_name, ts AS start_time,
+                  ts + to_microseconds(CAST(CAST(value AS DECIMAL(15,2)) * 1000000 AS BIGINT)) AS end_time,
+                  CASE WHEN value > 50 THEN 'ALTER INDEX ix ON t REBUILD' ELSE 'ALTER INDEX ix ON t REORGANIZE' END AS command,
+                  user_id * 100 AS pc, value AS fr
+           FROM events WHERE event_type = 'purchase')
+SELECT id, database_name, start_time, end_time, command, 'ALTER_INDEX' AS command_type,
+  CASE WHEN s // 86400 <> 0 THEN CAST(s // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST((s // 3600) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((s // 60) % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS duration,
+  pc AS page_count, fr AS fragmentation, pc * 8 / 1024.0 AS size_mb,
+  CASE WHEN value_gt THEN 'REBUILD' ELSE 'REORGANIZE' END AS operation
+FROM (SELECT *, CAST(floor(epoch(end_time)) - floor(epoch(start_time)) AS BIGINT) AS s, fr > 50 AS value_gt FROM l) x
+""")
+def d14_command_log_index(t):
+    """Purchase events as index maintenance commands with XML extended info."""
+    e = t.events.filter(F.col("event_type") == "purchase")
+    micros = (F.col("value").cast("decimal(15,2)") * 1000000).cast("bigint")
+    xml = F.concat(F.lit("<ExtendedInfo><PageCount>"), (F.col("user_id") * 100).cast("string"),
+                   F.lit("</PageCount><Fragmentation>"), F.col("value").cast("string"),
+                   F.lit("</Fragmentation></ExtendedInfo>"))
+    log = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("database_name"),
+                   F.col("ts").alias("start_time"),
+                   F.timestamp_add("MICROSECOND", micros, F.col("ts")).alias("end_time"),
+                   F.when(F.col("value") > 50, F.lit("ALTER INDEX ix ON t REBUILD"))
+                   .otherwise(F.lit("ALTER INDEX ix ON t REORGANIZE")).alias("command"),
+                   F.lit("ALTER_INDEX").alias("command_type"), xml.alias("extended_info"))
+    return W.command_log_report(log, "index").drop("extended_info")
