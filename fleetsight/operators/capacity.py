@@ -288,27 +288,28 @@ def execution_rate(df: DataFrame, first: str, last: str, count: str, totals: dic
 
 # ------------------------------------------------------------------ C12
 def running_report(requests: DataFrame, texts: DataFrame, now, *, session_filter: Column | None = None) -> DataFrame:
-    """Running requests: elapsed time, extrapolated end (start + elapsed /
-    percent * 100), the statement slice from byte offsets (UTF-16: /2) and
-    the blocking session's statement (self left join)."""
+    """Running requests: elapsed time, extrapolated end (start + elapsed *
+    100 / percent complete, whole seconds), the running statement cut from
+    the batch text by its byte offsets (UTF-16: two bytes per character, end
+    -1 = to the end) and the blocking session's statement (self left join).
+
+    requests: session_id, start_time, percent_complete, statement_start_offset,
+    statement_end_offset, blocking_session_id, sql_handle; texts: sql_handle, text.
+    """
     r = requests.join(texts, "sql_handle", "left")
     now_col = now if isinstance(now, Column) else F.lit(now)
     elapsed = F.unix_timestamp(now_col) - F.unix_timestamp(F.col("start_time"))
-    start_off = F.col("statement_start_offset") / 2 + 1
+    start = int_div(F.col("statement_start_offset"), 2) + 1
     length = F.when(F.col("statement_end_offset") == -1, F.length("text") + 1) \
-        .otherwise((F.col("statement_end_offset") - F.col("statement_start_offset")) / 2 + 1)
-    r = r.withColumn("elapsed", fmt_seconds(elapsed)) \
-         .withColumn("statement", F.expr("substring(text, cast(statement_start_offset / 2 + 1 as int), "
-                                         "cast(CASE WHEN statement_end_offset = -1 THEN length(text) + 1 "
-                                         "ELSE (statement_end_offset - statement_start_offset) / 2 + 1 END as int))")) \
-         .withColumn("estimated_end", F.when(F.col("percent_complete") > 0, F.col("start_time") +
-                     F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                        (elapsed / F.col("percent_complete") * 100).cast("decimal(18,6)"))))
-    _ = (start_off, length)
+        .otherwise(int_div(F.col("statement_end_offset") - F.col("statement_start_offset"), 2) + 1)
+    r = (r.withColumn("elapsed", fmt_seconds(elapsed))
+          .withColumn("statement", F.substring(F.col("text"), start.cast("int"), length.cast("int")))
+          .withColumn("estimated_end", F.when(F.col("percent_complete") > 0, F.timestamp_add(
+              "SECOND", int_div(elapsed * 100, F.col("percent_complete")), F.col("start_time")))))
     if session_filter is not None:
         r = r.filter(session_filter)
-    blockers = r.select(F.col("session_id").alias("blocking_session_id"), F.col("statement").alias("blocking_statement"))
-    return r.join(blockers, "blocking_session_id", "left")
+    blockers = r.select(F.col("session_id").alias("__bs"), F.col("statement").alias("blocking_statement"))
+    return r.join(blockers, r["blocking_session_id"] == blockers["__bs"], "left").drop("__bs")
 
 
 # ------------------------------------------------------------------ C13

@@ -176,14 +176,18 @@ def column_selectivity(df: DataFrame, cols: list[str], approx: bool = False) ->
     return long.withColumn("density", F.when(F.col("n_distinct") > 0, F.lit(1.0) / F.col("n_distinct")))
 
 
-def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: DataFrame) -> DataFrame:
-    """Missing-index suggestions: equality columns before inequality columns,
-    each most selective first; included columns already in the key dropped.
-
-    details: item_id, impact; columns: item_id, column_name, usage
-    ('EQUALITY'|'INEQUALITY'|'INCLUDE'); selectivity: column_name, density.
+def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: DataFrame,
+                       group: list[str] = ("database_id",)) -> DataFrame:
+    """Missing-index suggestions: key = equality columns then inequality
+    columns, each most selective (lowest density) first; include columns
+    that are already in the key are dropped; ranked by impact per group.
+
+    details: item_id, group columns, impact; columns: item_id, column_name,
+    usage ('EQUALITY' | 'INEQUALITY' | 'INCLUDE'); selectivity: column_name,
+    density (from :func:`column_selectivity`, a small one-row-per-column table).
     """
-    c = columns.join(selectivity.select("column_name", "density"), "column_name", "left")
+    group = [g for g in group if g in details.columns]
+    c = columns.join(F.broadcast(selectivity.select("column_name", "density")), "column_name", "left")
     key = c.filter(F.col("usage").isin("EQUALITY", "INEQUALITY"))
     key_cols = key.groupBy("item_id").agg(ordered_list(
         "column_name", ["CASE usage WHEN 'EQUALITY' THEN 0 ELSE 1 END", "density", "column_name"], ", ")
@@ -191,8 +195,11 @@ def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: Data
     inc = c.filter(F.col("usage") == "INCLUDE").join(
         key.select("item_id", "column_name"), ["item_id", "column_name"], "left_anti")
     inc_cols = inc.groupBy("item_id").agg(ordered_list("column_name", "column_name", ", ").alias("include_columns"))
-    return (details.join(key_cols, "item_id", "left").join(inc_cols, "item_id", "left")
-            .withColumn("impact_rank", F.dense_rank().over(Window.orderBy(F.col("impact").desc()))))
+    out = details.join(key_cols, "item_id", "left").join(inc_cols, "item_id", "left")
+    if group:
+        out = out.withColumn("impact_rank", F.dense_rank().over(
+            Window.partitionBy(*group).orderBy(F.col("impact").desc())))
+    return out
 
 
 # --------------------------------------------------------------------- D12

@@ -387,3 +387,44 @@ FROM f GROUP BY 1
 def c6_one_file_per_drive(t):
     """One file per drive (smallest database id, then file id)."""
     return C.one_file_per_drive(data_files(t))
+
+
+def requests_from_turns(t):
+    c = t.conversations
+    sid = F.col("conv_id") * 100 + F.col("turn")
+    return c.select(
+        sid.alias("session_id"), sid.alias("sql_handle"), F.col("text"),
+        F.timestamp_add("MINUTE", F.col("conv_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("start_time"),
+        ((F.col("turn") + 1) * 10 % 100).alias("percent_complete"),
+        (F.col("turn") * 2).alias("statement_start_offset"),
+        F.when(F.col("turn") % 2 == 0, F.lit(-1)).otherwise(F.col("turn") * 2 + 40).alias("statement_end_offset"),
+        F.when(F.col("turn") > 0, sid - 1).alias("blocking_session_id"))
+
+
+@query("c12_running_report", """
+WITH r AS (
+  SELECT conv_id * 100 + turn AS session_id, conv_id * 100 + turn AS sql_handle, text,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS start_time, (turn + 1) * 10 % 100 AS percent_complete,
+    turn * 2 AS statement_start_offset, CASE WHEN turn % 2 = 0 THEN -1 ELSE turn * 2 + 40 END AS statement_end_offset,
+    CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 END AS blocking_session_id
+  FROM conversations),
+s AS (SELECT *, CAST(epoch(TIMESTAMP '2024-01-02 00:00:00') - epoch(start_time) AS BIGINT) AS el,
+        substr(text, CAST(statement_start_offset // 2 + 1 AS INTEGER),
+               CAST(CASE WHEN statement_end_offset = -1 THEN length(text) + 1
+                         ELSE (statement_end_offset - statement_start_offset) // 2 + 1 END AS INTEGER)) AS statement
+      FROM r)
+SELECT s.sql_handle, s.session_id, s.text, s.start_time, s.percent_complete, s.statement_start_offset,
+  s.statement_end_offset, s.blocking_session_id,
+  CASE WHEN s.el // 86400 <> 0 THEN CAST(s.el // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST((s.el // 3600) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((s.el // 60) % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(s.el % 60 AS VARCHAR), 2, '0') AS elapsed,
+  s.statement,
+  CASE WHEN s.percent_complete > 0 THEN s.start_time + to_seconds(s.el * 100 // s.percent_complete) END AS estimated_end,
+  b.statement AS blocking_statement
+FROM s LEFT JOIN s b ON b.session_id = s.blocking_session_id
+""")
+def c12_running_report(t):
+    """Conversation turns as running requests (turn n blocked by turn n-1)."""
+    r = requests_from_turns(t)
+    texts = r.select("sql_handle", "text")
+    return C.running_report(r.drop("text"), texts, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))

@@ -241,3 +241,148 @@ def e8_align_steps_to_run(t):
                                hist_id="event_id", hist_cols=["ts"], bucket_width=512)
     return out.select("user_id", "run_first_id", "run_start", "event_type",
                       F.col("step_row.event_id").alias("step_event_id"), F.col("step_row.ts").alias("step_ts"))
+
+
+def job_tables(t):
+    """Events as a job system: a job per event type (plus one idle job per type
+    that never ran), steps 1-3 per job, every event a history row whose step is
+    user_id % 4 (step 0 rows have no step definition)."""
+    e = t.events
+    types = e.select(F.col("event_type").alias("job_id")).distinct()
+    jobs = types.select("job_id", F.upper("job_id").alias("job_name"), F.lit(True).alias("enabled")).unionByName(
+        types.select(F.concat(F.lit("idle_"), F.col("job_id")).alias("job_id"),
+                     F.upper(F.concat(F.lit("idle_"), F.col("job_id"))).alias("job_name"), F.lit(False).alias("enabled")))
+    steps = (e.select(F.col("event_type").alias("job_id"), (F.col("user_id") % 4).cast("int").alias("step_id"))
+             .filter(F.col("step_id") > 0).distinct()
+             .withColumn("step_name", F.concat(F.lit("step "), F.col("step_id").cast("string"))))
+    hist = e.select(F.col("event_type").alias("job_id"), (F.col("user_id") % 4).cast("int").alias("step_id"),
+                    F.col("event_id").alias("instance_id"),
+                    F.date_format("ts", "yyyyMMdd").cast("int").alias("run_date"),
+                    F.date_format("ts", "HHmmss").cast("int").alias("run_time"),
+                    F.floor(F.col("value") * 100).cast("int").alias("run_duration"),
+                    (F.col("event_id") % 5).cast("int").alias("run_status"))
+    return jobs, steps, hist
+
+
+_STATUS_SQL = ("CASE run_status WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' "
+               "WHEN 3 THEN 'Canceled' WHEN 4 THEN 'In Progress' ELSE 'Unknown' END")
+
+
+@query("e7_job_history", f"""
+WITH jobs AS (SELECT DISTINCT event_type AS job_id, upper(event_type) AS job_name, true AS enabled FROM events
+              UNION ALL SELECT DISTINCT 'idle_' || event_type, upper('idle_' || event_type), false FROM events),
+steps AS (SELECT DISTINCT event_type AS job_id, CAST(user_id % 4 AS INTEGER) AS step_id,
+                 'step ' || CAST(user_id % 4 AS VARCHAR) AS step_name FROM events WHERE user_id % 4 > 0),
+h AS (SELECT event_type AS job_id, CAST(user_id % 4 AS INTEGER) AS step_id, event_id AS instance_id,
+             CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS run_date, CAST(strftime(ts, '%H%M%S') AS INTEGER) AS run_time,
+             CAST(floor(value * 100) AS INTEGER) AS run_duration, CAST(event_id % 5 AS INTEGER) AS run_status,
+             date_trunc('second', ts) AS run_datetime FROM events),
+h2 AS (SELECT *, {_STATUS_SQL} AS run_status_text,
+         CASE WHEN run_duration // 10000 // 24 <> 0 THEN CAST(run_duration // 10000 // 24 AS VARCHAR) || '.' ELSE '' END
+         || lpad(CAST((run_duration // 10000) % 24 AS VARCHAR), 2, '0') || ':'
+         || lpad(CAST((run_duration // 100) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST(run_duration % 100 AS VARCHAR), 2, '0')
+           AS run_duration_text,
+         CAST(ROW_NUMBER() OVER (PARTITION BY job_id, step_id ORDER BY run_datetime DESC, instance_id DESC) AS INTEGER) AS run_rank
+       FROM h),
+js AS (SELECT COALESCE(j.job_id, s.job_id) AS job_id, j.job_name, j.enabled, s.step_id, s.step_name
+       FROM jobs j FULL OUTER JOIN steps s ON s.job_id = j.job_id)
+SELECT COALESCE(js.job_id, h2.job_id) AS job_id, COALESCE(js.step_id, h2.step_id) AS step_id, js.job_name, js.enabled,
+  js.step_name, h2.instance_id, h2.run_date, h2.run_time, h2.run_duration, h2.run_status, h2.run_datetime,
+  h2.run_status_text, h2.run_duration_text, h2.run_rank
+FROM js FULL OUTER JOIN (SELECT * FROM h2 WHERE run_rank <= 3) h2 ON h2.job_id = js.job_id AND h2.step_id = js.step_id
+""")
+def e7_job_history(t):
+    """Last 3 runs per job and step, with never-run jobs and step-less history kept."""
+    jobs, steps, hist = job_tables(t)
+    return E.job_history(jobs, steps, hist, 3)
+
+
+@query("e9_job_activity", f"""
+WITH s AS (SELECT event_type AS job_id, 'srv' || CAST(user_id % 3 AS VARCHAR) AS server_name,
+                  CAST(strftime(MAX(ts), '%Y%m%d') AS INTEGER) AS last_run_date,
+                  CAST(strftime(MAX(ts), '%H%M%S') AS INTEGER) AS last_run_time,
+                  CAST(arg_max(event_id, ts) % 5 AS INTEGER) AS last_run_outcome
+           FROM events GROUP BY 1, 2),
+l AS (SELECT job_id, arg_max(last_run_outcome, CAST(last_run_date AS BIGINT) * 1000000 + last_run_time) AS o,
+             arg_max(server_name, CAST(last_run_date AS BIGINT) * 1000000 + last_run_time) AS srv, COUNT(*) AS n_servers
+      FROM s GROUP BY job_id),
+j AS (SELECT DISTINCT event_type AS job_id, upper(event_type) AS job_name FROM events)
+SELECT j.job_id, j.job_name, l.n_servers, l.srv = 'srv0' AS is_local,
+  CASE WHEN l.srv = 'srv0' THEN CASE l.o WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry'
+       WHEN 3 THEN 'Canceled' WHEN 4 THEN 'In Progress' ELSE 'Unknown' END ELSE 'Unknown' END AS last_outcome
+FROM j LEFT JOIN l ON l.job_id = j.job_id
+""")
+def e9_job_activity(t):
+    """Per job the last outcome over its servers (greatest date*10^6+time); local = srv0."""
+    e = t.events
+    srv = (e.groupBy(F.col("event_type").alias("job_id"),
+                     F.concat(F.lit("srv"), (F.col("user_id") % 3).cast("string")).alias("server_name"))
+           .agg(F.max("ts").alias("__ts"), F.max_by("event_id", "ts").alias("__id")))
+    srv = srv.select("job_id", "server_name", F.date_format("__ts", "yyyyMMdd").cast("int").alias("last_run_date"),
+                     F.date_format("__ts", "HHmmss").cast("int").alias("last_run_time"),
+                     (F.col("__id") % 5).cast("int").alias("last_run_outcome"))
+    jobs = e.select(F.col("event_type").alias("job_id")).distinct().withColumn("job_name", F.upper("job_id"))
+    return E.job_activity(jobs, srv, local_server="srv0")
+
+
+SCHED_SQL = """
+SELECT p_partkey // 2 AS job_id, p_partkey AS schedule_id,
+  CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 16 WHEN 4 THEN 32 ELSE 64 END AS freq_type,
+  CASE p_size % 6 WHEN 1 THEN p_size % 3 + 1 WHEN 2 THEN p_size WHEN 3 THEN p_size % 28 + 1 WHEN 4 THEN p_size % 10 + 1
+       ELSE 0 END AS freq_interval,
+  CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END AS freq_relative_interval,
+  CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS freq_subday_type,
+  p_size % 12 + 1 AS freq_subday_interval, (p_size % 24) * 10000 AS active_start_time, 235959 AS active_end_time
+FROM part
+"""
+
+
+def job_schedules(t):
+    sz = F.col("p_size")
+    ft = (F.when(sz % 6 == 0, 1).when(sz % 6 == 1, 4).when(sz % 6 == 2, 8).when(sz % 6 == 3, 16)
+          .when(sz % 6 == 4, 32).otherwise(64))
+    fi = (F.when(sz % 6 == 1, sz % 3 + 1).when(sz % 6 == 2, sz).when(sz % 6 == 3, sz % 28 + 1)
+          .when(sz % 6 == 4, sz % 10 + 1).otherwise(0))
+    rel = F.when(sz % 5 == 0, 1).when(sz % 5 == 1, 2).when(sz % 5 == 2, 4).when(sz % 5 == 3, 8).otherwise(16)
+    sub = F.when(sz % 4 == 0, 1).when(sz % 4 == 1, 2).when(sz % 4 == 2, 4).otherwise(8)
+    return t.part.select((F.col("p_partkey") / 2).cast("bigint").alias("job_id"), F.col("p_partkey").alias("schedule_id"),
+                         ft.alias("freq_type"), fi.alias("freq_interval"), rel.alias("freq_relative_interval"),
+                         sub.alias("freq_subday_type"), (sz % 12 + 1).alias("freq_subday_interval"),
+                         ((sz % 24) * 10000).alias("active_start_time"), F.lit(235959).alias("active_end_time"))
+
+
+def _hms(c):
+    return (f"substr(lpad(CAST({c} AS VARCHAR), 6, '0'), 1, 2) || ':' || substr(lpad(CAST({c} AS VARCHAR), 6, '0'), 3, 2)"
+            f" || ':' || substr(lpad(CAST({c} AS VARCHAR), 6, '0'), 5, 2)")
+
+
+@query("e10_job_description", f"""
+WITH s AS ({SCHED_SQL}),
+d AS (SELECT s.*, COALESCE((SELECT string_agg(name, ', ' ORDER BY bit) FROM (VALUES (1, 'Sunday'), (2, 'Monday'),
+        (4, 'Tuesday'), (8, 'Wednesday'), (16, 'Thursday'), (32, 'Friday'), (64, 'Saturday')) w(bit, name)
+        WHERE (s.freq_interval & bit) = bit), 'None') AS days FROM s),
+x AS (SELECT job_id,
+  CASE WHEN freq_type IN (64, 128) THEN CASE freq_type WHEN 64 THEN 'When SQL Server Agent starts' ELSE 'When the computer is idle' END
+  ELSE (CASE freq_type WHEN 1 THEN 'Once'
+          WHEN 4 THEN CASE WHEN freq_interval = 1 THEN 'Every day' ELSE 'Every ' || CAST(freq_interval AS VARCHAR) || ' days' END
+          WHEN 8 THEN 'Weekly on ' || days
+          WHEN 16 THEN 'Monthly on day ' || CAST(freq_interval AS VARCHAR)
+          WHEN 32 THEN 'Monthly on the ' || CASE freq_relative_interval WHEN 1 THEN 'first' WHEN 2 THEN 'second'
+               WHEN 4 THEN 'third' WHEN 8 THEN 'fourth' WHEN 16 THEN 'last' END || ' ' ||
+               CASE freq_interval WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' WHEN 3 THEN 'Tuesday' WHEN 4 THEN 'Wednesday'
+               WHEN 5 THEN 'Thursday' WHEN 6 THEN 'Friday' WHEN 7 THEN 'Saturday' WHEN 8 THEN 'day' WHEN 9 THEN 'weekday'
+               WHEN 10 THEN 'weekend day' END END)
+       || CASE WHEN freq_subday_type = 1 THEN ' at ' || {_hms('active_start_time')}
+               ELSE ' every ' || CAST(freq_subday_interval AS VARCHAR) || ' ' ||
+                    CASE freq_subday_type WHEN 2 THEN 'second(s)' WHEN 4 THEN 'minute(s)' WHEN 8 THEN 'hour(s)' END
+                    || ' from ' || {_hms('active_start_time')} || ' till ' || {_hms('active_end_time')} END
+  END AS schedule_text FROM d),
+j AS (SELECT DISTINCT p_partkey // 2 AS job_id FROM part)
+SELECT j.job_id, (SELECT string_agg(schedule_text, ' [AND] ' ORDER BY schedule_text) FROM x WHERE x.job_id = j.job_id) AS schedules
+FROM j
+""")
+def e10_job_description(t):
+    """Every job (two parts per job) with its schedules as text."""
+    s = job_schedules(t)
+    jobs = s.select("job_id").distinct()
+    return E.job_description(jobs, s)
