@@ -54,7 +54,7 @@ def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str]
 
     Partitioned by the full entity key and ordered by time (see SURVEY 7.4).
     With ``include_deleted=False`` only entities present in ``current`` stay.
-    For 'day' the previous row comes from :func:`previous_in_order` (day
+    For 'day' the previous row comes from :func:`previous_in_order` (hour
     buckets, so a hot entity is spread over many tasks); sampled periods have
     one row per entity and month at most, so a plain window suffices.
     """
@@ -68,7 +68,7 @@ def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str]
     d = sample_period(d, entity, ts, period, tiebreak)
     order = [ts, *tiebreak]
     if period == "day":
-        d = previous_in_order(d, entity, order, measures, F.to_date(F.col(ts)), prefix="__prev_")
+        d = previous_in_order(d, entity, order, measures, F.date_trunc("hour", F.col(ts)), prefix="__prev_")
     else:
         w = Window.partitionBy(*entity).orderBy(*order)
         for m in measures:
@@ -145,7 +145,9 @@ def pivot_counters(data: DataFrame, details: DataFrame, names: list[str] | None
     j = data.join(d, "counter_id")
     ts = F.to_timestamp(F.substring("counter_date_time", 1, 23), "yyyy-MM-dd HH:mm:ss.SSS").cast("timestamp_ntz")
     j = j.withColumn("counter_ts", ts)
-    wide = j.groupBy("machine_name", "counter_ts").pivot("counter", names).agg(F.sum("counter_value"))
+    # static pivot as conditional sums: one aggregation, partial map-side
+    wide = j.groupBy("machine_name", "counter_ts").agg(
+        *[F.sum(F.when(F.col("counter") == n, F.col("counter_value"))).alias(n) for n in names])
     return wide.withColumn("counter_date", F.to_date("counter_ts")) \
                .withColumn("counter_time", F.date_format("counter_ts", "HH:mm:ss.SSS"))
 
@@ -236,11 +238,11 @@ def accumulate_counters(state: DataFrame, reading: DataFrame, keys: list[str], c
 def accumulate_log(log: DataFrame, keys: list[str], ts: str, counters: list[str],
                    tiebreak: list[str] = ()) -> DataFrame:
     """Ordered-sequence form: the same totals computed over a whole reading
-    log. The previous reading comes from :func:`previous_in_order` (day
+    log. The previous reading comes from :func:`previous_in_order` (hour
     buckets split a hot key), then totals are a partial-aggregated sum."""
     order = [ts, *tiebreak]
     d = previous_in_order(log.select(*keys, *order, *counters), keys, order, counters,
-                          F.to_date(F.col(ts)), prefix="__prev_")
+                          F.date_trunc("hour", F.col(ts)), prefix="__prev_")
     aggs = []
     for c in counters:
         inc = counter_increment(F.col("__prev_" + c), F.col(c))

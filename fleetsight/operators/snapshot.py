@@ -252,11 +252,14 @@ def pivot_settings(df: DataFrame, key: str, name: str, value: str, names: list[s
                    enabled: Column | None = None) -> DataFrame:
     """Name/value rows -> one row per key with a column per name (static list,
     so no distinct job), plus the ordered list of enabled names."""
-    wide = df.groupBy(key).pivot(name, names).agg(F.max(value))
     flag = enabled if enabled is not None else F.col(value).isNotNull()
-    flags = (df.filter(flag).select(key, name).distinct().groupBy(key)
-             .agg(ordered_list(f"`{name}`", f"`{name}`", ", ").alias("enabled_list")))
-    return wide.join(flags, key, "left")
+    # one aggregation with a conditional max per name (a static pivot with
+    # map-side partial aggregation) plus the ordered list of enabled names,
+    # bounded by the length of ``names``
+    cols = [F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names]
+    enabled_list = F.array_join(F.array_sort(F.collect_set(F.when(flag, F.col(name)))), ", ")
+    out = df.groupBy(key).agg(*cols, enabled_list.alias("enabled_list"))
+    return out.withColumn("enabled_list", F.when(F.col("enabled_list") != "", F.col("enabled_list")))
 
 
 # --------------------------------------------------------------------- A14

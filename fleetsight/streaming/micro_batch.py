@@ -75,7 +75,8 @@ class CounterStateSink:
             rows = rows.unionByName(seed)
         else:
             state = None
-        d = previous_in_order(rows, self.keys, order, self.counters, F.to_date(F.col(self.ts)), prefix="__prev_")
+        d = previous_in_order(rows, self.keys, order, self.counters, F.date_trunc("hour", F.col(self.ts)),
+                              prefix="__prev_")
         d = d.filter(~F.col("__seed"))
         aggs = [F.sum(counter_increment(F.col("__prev_" + c), F.col(c))).alias("__inc_" + c) for c in self.counters]
         last = F.max_by(F.struct(*[F.col(c) for c in self.counters]), F.struct(*[F.col(o) for o in order]))
