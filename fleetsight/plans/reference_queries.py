@@ -306,3 +306,21 @@ def b11_inventory_report(t):
                                  (t.region, "n_regionkey", "r_regionkey")],
                              flags={"__urgent": "is_urgent"})
     return out.drop("__urgent", "c_nationkey", "n_regionkey")
+
+
+@query("b5_clock_dim_events", """
+WITH c AS (SELECT CAST(hour(ts) * 3600 + minute(ts) * 60 AS INTEGER) AS second_of_day FROM events)
+SELECT lpad(CAST(second_of_day // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((second_of_day // 60) % 60 AS VARCHAR), 2, '0')
+    AS hours_minutes,
+  CASE WHEN second_of_day // 3600 < 12 THEN 'AM' ELSE 'PM' END AS am_pm,
+  second_of_day // 3600 >= 7 AND second_of_day // 3600 < 19 AS is_working_hours, COUNT(*) AS n_events
+FROM c GROUP BY 1, 2, 3
+""")
+def b5_clock_dim_events(t):
+    """The minute clock dimension (1,440 rows, a bounded broadcast) joined
+    to the events by minute of day; events counted per clock minute."""
+    from fleetsight.functions.calendar import clock_dim
+    clock = F.broadcast(clock_dim(t.events.sparkSession, 60))
+    e = t.events.select((F.hour("ts") * 3600 + F.minute("ts") * 60).cast("int").alias("second_of_day"))
+    j = e.join(clock, "second_of_day")
+    return j.groupBy("hours_minutes", "am_pm", "is_working_hours").agg(F.count(F.lit(1)).alias("n_events"))
