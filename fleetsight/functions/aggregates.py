@@ -40,3 +40,11 @@ def pct_of(part, total, scale_type: str = "double") -> Column:
     t = F.col(total) if isinstance(total, str) else total
     return F.coalesce((p.cast("double") * F.lit(100.0) / F.nullif(t.cast("double"), F.lit(0.0)))
                       .cast(scale_type), F.lit(0).cast(scale_type))
+
+
+def exact_mean(c) -> Column:
+    """Mean as (exact sum) / count, returned as DOUBLE; NULL for an empty
+    group (no division by zero under ANSI mode). With decimal or integer
+    input the sum is exact, so the mean does not depend on task order."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(col).cast("double") / F.nullif(F.count(col), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetsight.functions.aggregates import exact_mean
 from fleetsight.functions.calendar import WORK_END_HOUR, WORK_START_HOUR, sql_week_of_year
 from fleetsight.functions.scalar import fmt_seconds, int_div
 from fleetsight.plans.strategies import one_row, previous_in_order
@@ -201,7 +202,7 @@ def calendar_rollup(df: DataFrame, ts: str, measures: list[str], by: list[str],
     keys = [parts[b].alias(b) for b in by]
     aggs = []
     for m in ms:
-        aggs.append((F.sum(m).cast("double") / F.count(m)).alias("avg_" + m))
+        aggs.append(exact_mean(m).alias("avg_" + m))
         aggs.append((F.min(m) if m in min_measures else F.max(m)).alias(("min_" if m in min_measures else "max_") + m))
     return d.groupBy(*extra_keys, *keys).agg(*aggs, F.count(F.lit(1)).alias("n_readings"))
 
@@ -270,8 +271,8 @@ def share_of_total(df: DataFrame, group: list[str], bytes_read: str, size_bytes:
         (r / 1024 / 1024 / 1024 / 1024).alias("tb_read"),
         (F.col("__size").cast("double") / 1024 / 1024).alias("size_on_disk_mb"),
         (r / F.lit(hours) / 1024 / 1024 / 1024).alias("gb_read_hour"),
-        (r / F.lit(hours) / F.col("__size").cast("double")).alias("ratio_read_hour"),
-        (r * 100 / F.col("__total").cast("double")).alias("percentage_reads"))
+        (r / F.lit(hours) / F.nullif(F.col("__size").cast("double"), F.lit(0.0))).alias("ratio_read_hour"),
+        (r * 100 / F.nullif(F.col("__total").cast("double"), F.lit(0.0))).alias("percentage_reads"))
     return out
 
 
@@ -279,7 +280,7 @@ def share_of_total(df: DataFrame, group: list[str], bytes_read: str, size_bytes:
 def execution_rate(df: DataFrame, first: str, last: str, count: str, totals: dict[str, str]) -> DataFrame:
     """Mean gap between executions as d.hh:mm:ss.mmm, and each total per execution."""
     secs = F.unix_timestamp(F.col(last)) - F.unix_timestamp(F.col(first))
-    gap = secs.cast("double") / F.col(count)
+    gap = secs.cast("double") / F.nullif(F.col(count), F.lit(0))
     ms = F.lpad((((gap - F.floor(gap)) * 1000).cast("int")).cast("string"), 3, "0")
     out = df.withColumn("executes_every", F.concat(fmt_seconds(int_div(secs, F.col(count))), F.lit("."), ms))
     out = out.withColumn("gap_seconds", gap)
@@ -400,7 +401,7 @@ def file_usage(files: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
         v = volumes.select(file_drive(F.col("drive")).alias("__drive"),
                            (F.col("size_mb") / 1024).cast("decimal(10,2)").alias("drive_size_gb"),
                            (F.col("free_mb") / 1024).cast("decimal(10,2)").alias("drive_free_gb"),
-                           (F.col("free_mb") * 100 / F.col("size_mb")).cast("bigint").alias("drive_free_percent"))
+                           (F.col("free_mb") * 100 / F.nullif(F.col("size_mb"), F.lit(0))).cast("bigint").alias("drive_free_percent"))
         out = out.join(v, out["drive"] == v["__drive"], "left").drop("__drive")
     return out
 

@@ -35,7 +35,7 @@ def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compress
     return (df.withColumn("size_mb", (F.col(size) / 1048576).cast("bigint"))
               .withColumn("compressed_size_mb", (F.col(compressed) / 1048576).cast("bigint"))
               .withColumn("compression_pct", F.lit(100.0) - comp_d * 100 / F.nullif(size_d, F.lit(0.0)))
-              .withColumn("mb_per_sec", comp_d / 1048576 / (secs + 1).cast("double"))
+              .withColumn("mb_per_sec", comp_d / 1048576 / F.nullif((secs + 1).cast("double"), F.lit(0.0)))
               .withColumn("duration", fmt_seconds(secs)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetsight.functions.aggregates import ordered_list
+from fleetsight.functions.aggregates import exact_mean, ordered_list
 from fleetsight.functions.scalar import fmt_seconds
 from fleetsight.plans.strategies import keyed_totals, top_n_per_group
 
@@ -69,7 +69,7 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
         for o, name in zip(OUTCOMES, ["total_exec_successful", "total_exec_aborted", "total_exec_exceptions"]):
             aggs.append(F.coalesce(F.sum(F.when(F.col(outcome_col) == o, cnt)), F.lit(0)).cast("bigint").alias(name))
     for m, c in measures.items():
-        aggs.append((F.sum(F.col(c)).cast("double") / F.count(F.col(c))).alias(f"avg_{m}"))
+        aggs.append(exact_mean(c).alias(f"avg_{m}"))
         aggs.append(F.sum(cnt * F.col(c)).alias(f"total_{m}"))
     per_plan = stats.groupBy(*keys).agg(*aggs)
 
@@ -113,7 +113,7 @@ def category_breakdown(df: DataFrame, key: list[str], category: str, total: str,
     the sum, the mean of means and "CAT (Total: x - Avg: y), ..." by total desc."""
     per_cat = df.groupBy(*key, category).agg(
         F.sum(F.col(total)).alias("cat_total"),
-        (F.sum(F.col(avg)).cast("double") / F.count(F.col(avg))).alias("cat_avg"))
+        exact_mean(avg).alias("cat_avg"))
     per_cat = per_cat.withColumn("cat_avg_int", F.col("cat_avg").cast("bigint"))
     item = (f"concat(`{category}`, ' (Total: ', cast(cat_total as string), ' - Avg: ', "
             f"cast(cat_avg_int as string), ')')")

@@ -12,8 +12,25 @@ TABLE_NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "li
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer files than task slots over all slots.
+
+    A table stored as one or a few files with a single row group is read by
+    one task, which then also runs every narrow operator up to the first
+    shuffle. When the scan has fewer files than the default parallelism a
+    round-robin repartition follows it (column pruning and filters still
+    reach the Parquet reader below it). A table of many files - the layout
+    at scale - is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < slots:
+        return df.repartition(slots)
+    return df
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, balance: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if balance else df
 
 
 class Tables:
