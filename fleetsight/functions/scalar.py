@@ -156,8 +156,9 @@ def split_instance_name(c) -> Column:
 
 
 def text_date_time(date_int, time_int) -> Column:
-    """yyyymmdd and hhmmss integers -> TIMESTAMP_NTZ (0 dates -> NULL)."""
-    d = F.lpad(col_of(date_int).cast("string"), 8, "0")
-    t = F.lpad(col_of(time_int).cast("string"), 6, "0")
-    return F.when(col_of(date_int) > 0,
-                  F.try_to_timestamp(F.concat(d, t), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))
+    """yyyymmdd and hhmmss integers -> TIMESTAMP_NTZ (0 or invalid dates -> NULL).
+    Built from its parts, so no session time zone is involved."""
+    d, t = col_of(date_int).cast("bigint"), col_of(time_int).cast("bigint")
+    return F.when(d > 0, F.try_make_timestamp_ntz(
+        int_div(d, 10000), int_div(d, 100) % 100, d % 100,
+        int_div(t, 10000), int_div(t, 100) % 100, (t % 100).cast("decimal(8,6)")))

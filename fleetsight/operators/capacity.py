@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetsight.functions.aggregates import exact_mean
 from fleetsight.functions.calendar import WORK_END_HOUR, WORK_START_HOUR, sql_week_of_year
 from fleetsight.functions.scalar import fmt_seconds, int_div
-from fleetsight.plans.strategies import one_row, previous_in_order
+from fleetsight.plans.strategies import one_row, previous_in_order, time_bucket
 
 # Disk alarm thresholds (percent free) and texts.
 DISK_ALARM_PCT, DISK_WARNING_PCT = 10, 20
@@ -69,7 +69,7 @@ def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str]
     d = sample_period(d, entity, ts, period, tiebreak)
     order = [ts, *tiebreak]
     if period == "day":
-        d = previous_in_order(d, entity, order, measures, F.date_trunc("hour", F.col(ts)), prefix="__prev_")
+        d = previous_in_order(d, entity, order, measures, time_bucket(ts), prefix="__prev_")
     else:
         w = Window.partitionBy(*entity).orderBy(*order)
         for m in measures:
@@ -144,7 +144,7 @@ def pivot_counters(data: DataFrame, details: DataFrame, names: list[str] | None
     if names is None:
         names = sorted(r[0] for r in d.select("counter").distinct().collect())
     j = data.join(d, "counter_id")
-    ts = F.to_timestamp(F.substring("counter_date_time", 1, 23), "yyyy-MM-dd HH:mm:ss.SSS").cast("timestamp_ntz")
+    ts = F.to_timestamp_ntz(F.substring("counter_date_time", 1, 23), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
     j = j.withColumn("counter_ts", ts)
     # static pivot as conditional sums: one aggregation, partial map-side
     wide = j.groupBy("machine_name", "counter_ts").agg(
@@ -243,7 +243,7 @@ def accumulate_log(log: DataFrame, keys: list[str], ts: str, counters: list[str]
     buckets split a hot key), then totals are a partial-aggregated sum."""
     order = [ts, *tiebreak]
     d = previous_in_order(log.select(*keys, *order, *counters), keys, order, counters,
-                          F.date_trunc("hour", F.col(ts)), prefix="__prev_")
+                          time_bucket(ts), prefix="__prev_")
     aggs = []
     for c in counters:
         inc = counter_increment(F.col("__prev_" + c), F.col(c))

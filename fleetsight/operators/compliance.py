@@ -30,7 +30,9 @@ def backup_type_text(c: Column) -> Column:
 
 
 def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compressed: str) -> DataFrame:
-    secs = F.unix_timestamp(F.date_trunc("second", F.col(finish))) - F.unix_timestamp(F.date_trunc("second", F.col(start)))
+    # unix_timestamp truncates to whole seconds: counts second boundaries,
+    # and on TIMESTAMP_NTZ it does not depend on the session time zone
+    secs = F.unix_timestamp(F.col(finish)) - F.unix_timestamp(F.col(start))
     size_d, comp_d = F.col(size).cast("double"), F.col(compressed).cast("double")
     return (df.withColumn("size_mb", (F.col(size) / 1048576).cast("bigint"))
               .withColumn("compressed_size_mb", (F.col(compressed) / 1048576).cast("bigint"))

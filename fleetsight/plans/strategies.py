@@ -70,6 +70,13 @@ def previous_in_order(df: DataFrame, keys: list[str], order_cols: list[str], val
     return out.drop(b, "__first", "__carry", *["__in_" + v for v in value_cols])
 
 
+def time_bucket(ts, seconds: int = 3600) -> Column:
+    """Monotone bucket number of a timestamp (``seconds`` wide), independent
+    of the session time zone for TIMESTAMP_NTZ."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.floor(F.unix_timestamp(c) / seconds).cast("bigint")
+
+
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n: int,
                     rank_col: str = "rn") -> DataFrame:
     """Top-n rows per group via ``row_number() <= n``.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.operators.capacity import counter_increment
 from fleetsight.operators.snapshot import merged_current, pre_images, snapshot_merge
-from fleetsight.plans.strategies import previous_in_order
+from fleetsight.plans.strategies import previous_in_order, time_bucket
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -75,7 +75,7 @@ class CounterStateSink:
             rows = rows.unionByName(seed)
         else:
             state = None
-        d = previous_in_order(rows, self.keys, order, self.counters, F.date_trunc("hour", F.col(self.ts)),
+        d = previous_in_order(rows, self.keys, order, self.counters, time_bucket(self.ts),
                               prefix="__prev_")
         d = d.filter(~F.col("__seed"))
         aggs = [F.sum(counter_increment(F.col("__prev_" + c), F.col(c))).alias("__inc_" + c) for c in self.counters]
