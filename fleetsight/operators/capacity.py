@@ -243,16 +243,17 @@ def accumulate_log(log: DataFrame, keys: list[str], ts: str, counters: list[str]
     buckets split a hot key), then totals are a partial-aggregated sum."""
     order = [ts, *tiebreak]
     d = previous_in_order(log.select(*keys, *order, *counters), keys, order, counters,
-                          time_bucket(ts), prefix="__prev_")
+                          time_bucket(ts), prefix="__prev_", keep_bucket_last=True)
     aggs = []
     for c in counters:
         inc = counter_increment(F.col("__prev_" + c), F.col(c))
         aggs.append(F.sum(inc).alias("total_" + c))
         aggs.append(F.count(F.when(F.col("__prev_" + c) > F.col(c), 1)).alias("resets_" + c))
-    last = F.max_by(F.struct(*[F.col(c) for c in counters]), F.struct(*[F.col(o) for o in order]))
-    out = d.groupBy(*keys).agg(*aggs, last.alias("__last"), F.max(ts).alias("last_reading_time"))
-    return out.select(*keys, *[F.col("__last")[c].alias(c) for c in counters],
-                      *[x for c in counters for x in ("total_" + c, "resets_" + c)], "last_reading_time")
+        # the last reading is the last row of the key's latest bucket
+        aggs.append(F.max_by(F.col("__last_" + c), F.col("__bucket")).alias(c))
+    out = d.groupBy(*keys).agg(*aggs, F.max(ts).alias("last_reading_time"))
+    return out.select(*keys, *counters, *[x for c in counters for x in ("total_" + c, "resets_" + c)],
+                      "last_reading_time")
 
 
 # ------------------------------------------------------------------ C10

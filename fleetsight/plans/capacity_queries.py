@@ -196,10 +196,9 @@ a AS (SELECT user_id, event_type,
 def c9_accumulate_log(t):
     """C9 (log form): cumulative counter totals per (user, event type) over the
     ordered readings; a lower reading is a reset."""
-    return C.accumulate_log(_event_values(t).withColumn("event_id", F.lit(0)).drop("event_id")
-                            .join(t.events.select("ts", "user_id", "event_type", "event_id"),
-                                  ["ts", "user_id", "event_type"]),
-                            ["user_id", "event_type"], "ts", ["value"], ["event_id"])
+    ev = t.events.select("ts", "user_id", "event_type", "event_id",
+                         F.col("value").cast("decimal(15,2)").alias("value"))
+    return C.accumulate_log(ev, ["user_id", "event_type"], "ts", ["value"], ["event_id"])
 
 
 @query("c9_accumulate_state", _LOG_SQL.replace("{where}", "WHERE ts < TIMESTAMP '2024-01-20 00:00:00'") + """,

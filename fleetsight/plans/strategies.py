@@ -41,33 +41,45 @@ def keyed_totals(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_BROADCA
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
-                      bucket: Column, prefix: str = "prev_") -> DataFrame:
+                      bucket: Column, prefix: str = "prev_", keep_bucket_last: bool = False) -> DataFrame:
     """Add ``prefix + v`` = value of ``v`` in the previous row of the same key.
 
-    Order is ``order_cols`` (must be unique within a key for a deterministic
-    answer). ``bucket`` must be monotone in the order (e.g. the day of the
-    timestamp), so a key's rows are split into independent window partitions.
+    Order is ``order_cols`` (unique within a key for a deterministic
+    answer). ``bucket`` must be monotone in that order (e.g. the hour of the
+    timestamp), so a key's rows fall into independent window partitions.
     The first row of a key gets NULLs.
+
+    One sort per (key, bucket) gives the in-bucket previous row and the
+    bucket's last row; the summary (one row per key and bucket, a hash
+    aggregate on the already partitioned data) is windowed per key to carry
+    the last row of the previous bucket. With ``keep_bucket_last`` the
+    columns ``__bucket`` and ``__last_<v>`` stay in the output.
     """
     b = "__bucket"
     d = df.withColumn(b, bucket)
     w = Window.partitionBy(*keys, b).orderBy(*order_cols)
-    firsts = F.row_number().over(w) == 1
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for v in value_cols:
-        d = d.withColumn("__in_" + v, F.lag(v).over(w))
-    d = d.withColumn("__first", firsts)
+        d = d.withColumn("__in_" + v, F.lag(v).over(w)).withColumn("__last_" + v, F.last(v).over(whole))
+    d = d.withColumn("__first", F.row_number().over(w) == 1)
 
-    # last row of every (key, bucket): small summary, one row per bucket
-    last = F.max_by(F.struct(*[F.col(v) for v in value_cols]), F.struct(*[F.col(c) for c in order_cols]))
-    summary = d.groupBy(*keys, b).agg(last.alias("__last"))
+    summary = d.groupBy(*keys, b).agg(*[F.first("__last_" + v).alias("__last_" + v) for v in value_cols])
     sw = Window.partitionBy(*keys).orderBy(b)
-    summary = summary.select(*keys, b, F.lag("__last").over(sw).alias("__carry"))
-
-    out = d.join(summary, on=[*keys, b], how="left")
+    summary = summary.select(*keys, b, *[F.lag("__last_" + v).over(sw).alias("__carry_" + v) for v in value_cols])
+
+    # NULL-safe equality: no null filter is inferred for one side only, so
+    # both sides keep the same shuffle below the window and it is reused
+    s = summary.select(*[F.col(c).alias("__s_" + c) for c in [*keys, b]],
+                       *["__carry_" + v for v in value_cols])
+    cond = [d[c].eqNullSafe(s["__s_" + c]) for c in [*keys, b]]
+    out = d.join(s, cond, how="left").drop(*["__s_" + c for c in [*keys, b]])
     for v in value_cols:
-        out = out.withColumn(prefix + v, F.when(F.col("__first"), F.col("__carry")[v])
+        out = out.withColumn(prefix + v, F.when(F.col("__first"), F.col("__carry_" + v))
                              .otherwise(F.col("__in_" + v)))
-    return out.drop(b, "__first", "__carry", *["__in_" + v for v in value_cols])
+    drop = ["__first", *["__carry_" + v for v in value_cols], *["__in_" + v for v in value_cols]]
+    if not keep_bucket_last:
+        drop += [b, *["__last_" + v for v in value_cols]]
+    return out.drop(*drop)
 
 
 def time_bucket(ts, seconds: int = 3600) -> Column:
