@@ -127,12 +127,16 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_pos: s
     u = r.unionByName(l_).withColumn("__b", F.floor(F.col("__pos") / bucket_width).cast("long"))
     w = (Window.partitionBy(*keys, "__b").orderBy(F.col("__pos").desc(), F.col("__tag").desc())
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("__nxt", F.last("__pay", ignorenulls=True).over(w))
-    summary = u.groupBy(*keys, "__b").agg(
-        F.min_by(F.col("__pay"), F.when(F.col("__tag") == 1, F.col("__pos"))).alias("__first"),
-        F.max(F.col("__tag")).alias("__has_right"))
-    summary = summary.withColumn("__first", F.when(F.col("__has_right") == 1, F.col("__first")))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # __nxt: nearest right row at or after this position within the bucket;
+    # __bfirst: the bucket's first right row (same sort, no extra shuffle)
+    u = (u.withColumn("__nxt", F.last("__pay", ignorenulls=True).over(w))
+          .withColumn("__bfirst", F.last("__pay", ignorenulls=True).over(whole)))
+    summary = u.groupBy(*keys, "__b").agg(F.first("__bfirst").alias("__first"))
     bw = Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(*keys, "__b", F.last("__first", ignorenulls=True).over(bw).alias("__carry"))
-    res = u.filter(F.col("__tag") == 0).join(summary, [*keys, "__b"], "left")
+    summary = summary.select(*[F.col(k).alias("__s_" + k) for k in keys], F.col("__b").alias("__s_b"),
+                             F.last("__first", ignorenulls=True).over(bw).alias("__carry"))
+    # NULL-safe keys keep both join sides on the same (reused) shuffle
+    cond = [u[k].eqNullSafe(summary["__s_" + k]) for k in keys] + [u["__b"].eqNullSafe(summary["__s_b"])]
+    res = u.filter(F.col("__tag") == 0).join(summary, cond, "left")
     return res.select("__row.*", F.coalesce(F.col("__nxt"), F.col("__carry")).alias(out))
