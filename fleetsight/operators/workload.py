@@ -70,7 +70,7 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
             aggs.append(F.coalesce(F.sum(F.when(F.col(outcome_col) == o, cnt)), F.lit(0)).cast("bigint").alias(name))
     for m, c in measures.items():
         aggs.append(exact_mean(c).alias(f"avg_{m}"))
-        aggs.append(F.sum(cnt * F.col(c)).alias(f"total_{m}"))
+        aggs.append(F.sum(_weighted(stats, cnt, c)).alias(f"total_{m}"))
     per_plan = stats.groupBy(*keys).agg(*aggs)
 
     choices = sort_choices(list(measures))
@@ -82,7 +82,8 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
     # aggregate that ships one row per group and input partition (a second
     # narrow scan of the same columns rather than a cache of the per-plan
     # aggregate).
-    totals = stats.groupBy(*group_cols).agg(*[F.sum(cnt * F.col(c)).alias(f"period_{m}") for m, c in measures.items()])
+    totals = stats.groupBy(*group_cols).agg(*[F.sum(_weighted(stats, cnt, c)).alias(f"period_{m}")
+                                              for m, c in measures.items()])
     # one row per group (a single row without groups): joined to n rows per group
     out = (ranked.join(totals, on=group_cols, how="inner") if group_cols
            else ranked.crossJoin(keyed_totals(totals, [])))
@@ -99,6 +100,14 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
     return out
 
 
+def _weighted(stats: DataFrame, cnt: Column, c: str) -> Column:
+    """count * measure; integral products are summed as decimal(38,0), which
+    stays exact and cannot overflow however many rows a plan has."""
+    from pyspark.sql.types import IntegralType
+    prod = cnt * F.col(c)
+    return prod.cast("decimal(38,0)") if isinstance(stats.schema[c].dataType, IntegralType) else prod
+
+
 def percent_of_period(df: DataFrame, totals: dict[str, str], names: dict[str, str]) -> DataFrame:
     """D3: each total as a percent of its period total, decimal(5,2), 0 when the period is 0."""
     for part, whole in totals.items():

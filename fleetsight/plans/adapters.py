@@ -21,19 +21,24 @@ def dec(c: str, t: str = "decimal(15,2)"):
 
 def runtime_stats(lineitem: DataFrame) -> DataFrame:
     """lineitem as workload runtime statistics: database = line status, plan =
-    part, interval = ship month, executions = quantity, duration = price,
-    cpu = net price, reads = tax."""
+    part, interval = ship month, executions = quantity, duration = price in
+    cents, cpu = net price in 1/10,000 units, reads = tax in percent points.
+
+    Integer units keep the per-row arithmetic in 64-bit integers (exact and
+    far cheaper than decimal casts of every row); totals are summed as
+    decimals, so they cannot overflow."""
     rf = F.col("l_returnflag")
     outcome = (F.when(rf == "N", "Regular").when(rf == "R", "Aborted").otherwise("Exception"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return lineitem.select(
         F.col("l_linestatus").alias("db"),
         F.col("l_partkey").alias("plan_id"),
         (F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("interval_id"),
         outcome.alias("execution_type_desc"),
         F.col("l_quantity").cast("bigint").alias("count_executions"),
-        dec("l_extendedprice").alias("avg_duration"),
-        (dec("l_extendedprice") * (F.lit(1) - dec("l_discount"))).alias("avg_cpu_time"),
-        dec("l_tax").alias("avg_logical_io_reads"),
+        cents.alias("avg_duration"),
+        (cents * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("bigint"))).alias("avg_cpu_time"),
+        F.round(F.col("l_tax") * 100).cast("bigint").alias("avg_logical_io_reads"),
     )
 
 
@@ -43,8 +48,8 @@ SELECT l_linestatus AS db, l_partkey AS plan_id,
        CASE l_returnflag WHEN 'N' THEN 'Regular' WHEN 'R' THEN 'Aborted' ELSE 'Exception' END
          AS execution_type_desc,
        CAST(l_quantity AS BIGINT) AS count_executions,
-       CAST(l_extendedprice AS DECIMAL(15,2)) AS avg_duration,
-       CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2))) AS avg_cpu_time,
-       CAST(l_tax AS DECIMAL(15,2)) AS avg_logical_io_reads
+       CAST(round(l_extendedprice * 100) AS BIGINT) AS avg_duration,
+       CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) AS avg_cpu_time,
+       CAST(round(l_tax * 100) AS BIGINT) AS avg_logical_io_reads
 FROM lineitem
 """

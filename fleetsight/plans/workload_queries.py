@@ -28,11 +28,11 @@ p AS (
     CAST(COALESCE(SUM(CASE WHEN execution_type_desc = 'Aborted' THEN count_executions END), 0) AS BIGINT) AS total_exec_aborted,
     CAST(COALESCE(SUM(CASE WHEN execution_type_desc = 'Exception' THEN count_executions END), 0) AS BIGINT) AS total_exec_exceptions,
     CAST(SUM(avg_duration) AS DOUBLE) / COUNT(avg_duration) AS avg_duration,
-    CAST(SUM(count_executions * avg_duration) AS DECIMAL(38,2)) AS total_duration,
+    CAST(SUM(CAST(count_executions * avg_duration AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_duration,
     CAST(SUM(avg_cpu_time) AS DOUBLE) / COUNT(avg_cpu_time) AS avg_cpu,
-    CAST(SUM(count_executions * avg_cpu_time) AS DECIMAL(38,4)) AS total_cpu,
+    CAST(SUM(CAST(count_executions * avg_cpu_time AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_cpu,
     CAST(SUM(avg_logical_io_reads) AS DOUBLE) / COUNT(avg_logical_io_reads) AS avg_reads,
-    CAST(SUM(count_executions * avg_logical_io_reads) AS DECIMAL(38,2)) AS total_reads
+    CAST(SUM(CAST(count_executions * avg_logical_io_reads AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_reads
   FROM s GROUP BY db, plan_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db ORDER BY {{order}} DESC, db, plan_id) AS rn FROM p),
 t AS (SELECT db, SUM(total_duration) AS pd, SUM(total_cpu) AS pc, SUM(total_reads) AS pr FROM p GROUP BY db)
