@@ -23,6 +23,10 @@ def ordered_list(value: str, order_by: str | list[str], sep: str = ", ",
     categories of one plan): the list is built in one buffer per group.
     """
     orders = list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
+    if distinct and orders == [value]:
+        # distinct values in their own order: a hashed set, sorted once
+        vals = F.array_sort(F.collect_set(F.expr(value).cast("string")))
+        return F.when(F.size(vals) > 0, F.array_join(vals, sep))
     if not distinct and not any(_DIRECTION.search(o) for o in orders):
         fields = [F.expr(o).alias(f"o{i}") for i, o in enumerate(orders)]
         fields.append(F.expr(value).cast("string").alias("v"))

@@ -13,6 +13,10 @@ DEPRECATED_TYPES = ["text", "ntext", "image"]
 # Bytes per value for fixed-width types (MB held by NULLs).
 TYPE_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "boolean": 1,
               "date": 3, "timestamp": 8, "timestamp_ntz": 8}
+# Shape of an event document: <event timestamp=..><action name=..><value/></action>...
+# <data name=..><value/></data>...</event>
+EVENT_XML_SCHEMA = ("action ARRAY<STRUCT<_name: STRING, value: STRING>>, "
+                    "data ARRAY<STRUCT<_name: STRING, value: STRING>>, _timestamp STRING")
 # Column names that may serve as a key when nothing is declared.
 KEY_NAMES = ["id"]
 
@@ -141,9 +145,11 @@ def event_attributes(events: DataFrame, payload: str, fields: list[str], actions
         m = F.from_json(p, T.MapType(T.StringType(), T.StringType()))
         am = None
     else:
-        m = F.map_from_arrays(F.xpath(p, F.lit("/event/data/@name")), F.xpath(p, F.lit("/event/data/value/text()")))
-        am = F.map_from_arrays(F.xpath(p, F.lit("/event/action/@name")),
-                               F.xpath(p, F.lit("/event/action/value/text()")))
+        # one XML parse per event (from_xml) instead of one xpath walk per field
+        parsed = F.from_xml(p, EVENT_XML_SCHEMA)
+        pair = lambda e: F.struct(e["_name"].alias("k"), e["value"].alias("v"))
+        m = F.map_from_entries(F.transform(F.coalesce(parsed["data"], F.array()), pair))
+        am = F.map_from_entries(F.transform(F.coalesce(parsed["action"], F.array()), pair))
     out = events.withColumn("__m", m)
     for f in fields:
         out = out.withColumn(f, F.col("__m")[f])

@@ -261,8 +261,11 @@ def command_log_report(log: DataFrame, kind: str) -> DataFrame:
     secs = F.unix_timestamp(F.col("end_time")) - F.unix_timestamp(F.col("start_time"))
     out = out.withColumn("duration", fmt_seconds(secs))
     if kind == "index":
-        out = (out.withColumn("page_count", F.xpath_long("extended_info", F.lit("ExtendedInfo/PageCount")))
-               .withColumn("fragmentation", F.xpath_double("extended_info", F.lit("ExtendedInfo/Fragmentation")))
+        # one parse of the <ExtendedInfo> document per row
+        info = F.from_xml(F.col("extended_info"), "PageCount BIGINT, Fragmentation DOUBLE")
+        out = (out.withColumn("__info", info)
+               .withColumn("page_count", F.col("__info.PageCount"))
+               .withColumn("fragmentation", F.col("__info.Fragmentation")).drop("__info")
                .withColumn("size_mb", (F.col("page_count") * 8 / 1024.0))
                .withColumn("operation", F.when(F.col("command").contains("REBUILD"), F.lit("REBUILD"))
                            .when(F.col("command").contains("REORGANIZE"), F.lit("REORGANIZE"))))
