@@ -47,3 +47,28 @@ def test_windowed_rollup_stream(spark, tmpdir_path):
     q.stop()
     n = spark.sql("SELECT sum(n_readings) AS n FROM rollup_out").first()["n"]
     assert n is not None and n > 0
+
+
+def test_snapshot_merge_stream_equals_batch(spark, tmpdir_path):
+    from fleetsight.operators import snapshot as A
+    from fleetsight.streaming import SnapshotMergeSink
+
+    schema = "server string, name string, size int"
+    initial = spark.createDataFrame([("s1", "a", 1), ("s1", "b", 2), ("s2", "c", 3)], schema)
+    loads = [[("s1", "a", 5), ("s1", "d", 7)], [("s1", "a", 6), ("s2", "c", 3)]]
+    src = os.path.join(tmpdir_path, "loads")
+    for i, rows in enumerate(loads):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"load{i}"))
+    cur, hist = os.path.join(tmpdir_path, "current"), os.path.join(tmpdir_path, "history")
+    sink = SnapshotMergeSink(cur, hist, ["server", "name"], initial=initial, source_col="server")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = sorted(map(tuple, spark.read.parquet(latest_version(spark, cur)).collect()))
+
+    state = initial
+    for rows in loads:
+        state = A.merged_current(A.snapshot_merge(state, spark.createDataFrame(rows, schema), ["server", "name"],
+                                                  source_col="server"))
+    assert got == sorted(map(tuple, state.collect()))
