@@ -11,6 +11,7 @@ records which batches are done.
   arrive in any number of micro-batches give the same totals as the
   ordered log form over all readings at once.
 * :class:`SnapshotMergeSink` - A1 + A2 per loaded snapshot.
+* :class:`MeasurementAppendSink` - A6 per batch of measurements.
 * :func:`windowed_rollup` - C8 over event time with a watermark (an
   addition: the reference only rolls up stored data).
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetsight.operators.capacity import counter_increment
-from fleetsight.operators.snapshot import merged_current, pre_images, snapshot_merge
+from fleetsight.operators.snapshot import append_if_changed, merged_current, pre_images, snapshot_merge
 from fleetsight.plans.strategies import previous_in_order, time_bucket
 
 
@@ -123,6 +124,30 @@ class SnapshotMergeSink:
             tagged.unpersist()
 
 
+class MeasurementAppendSink:
+    """foreachBatch sink for A6: each micro-batch of measurements is appended
+    to the history (one partition per batch) unless a stored measurement of
+    the same key has the same values - except on day 1 of a month. A batch
+    compares with the partitions of earlier batches only, so a replayed batch
+    rewrites its own partition identically."""
+
+    def __init__(self, history_path: str, keys: list[str], cols: list[str], ts: str):
+        self.history_path, self.keys, self.cols, self.ts = history_path, keys, cols, ts
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*self.keys, *self.cols, self.ts)
+        try:
+            hist = spark.read.parquet(self.history_path).filter(F.col("batch") < batch_id)
+            new = append_if_changed(hist, rows, self.keys, self.cols, self.ts)
+        except Exception:  # noqa: BLE001 - nothing stored yet
+            new = rows
+        # measurements of one batch repeating each other are stored once per batch
+        new = new.dropDuplicates([*self.keys, *self.cols, self.ts]).withColumn("batch", F.lit(batch_id))
+        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch").parquet(self.history_path))
+
+
 def windowed_rollup(stream: DataFrame, ts: str, measures: list[str], window: str = "1 hour",
                     watermark: str = "2 hours", keys: list[str] = ()) -> DataFrame:
     """C8 on a stream: mean and max per event-time window (and keys); rows

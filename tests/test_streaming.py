@@ -72,3 +72,24 @@ def test_snapshot_merge_stream_equals_batch(spark, tmpdir_path):
         state = A.merged_current(A.snapshot_merge(state, spark.createDataFrame(rows, schema), ["server", "name"],
                                                   source_col="server"))
     assert got == sorted(map(tuple, state.collect()))
+
+
+def test_measurement_append_stream(spark, tmpdir_path):
+    import datetime as dt
+
+    from fleetsight.streaming import MeasurementAppendSink
+
+    schema = "name string, size int, ts timestamp_ntz"
+    loads = [[("db", 10, dt.datetime(2024, 3, 2))], [("db", 10, dt.datetime(2024, 3, 3))],
+             [("db", 10, dt.datetime(2024, 4, 1))], [("db", 11, dt.datetime(2024, 4, 2))]]
+    src = os.path.join(tmpdir_path, "m")
+    for i, rows in enumerate(loads):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"load{i}"))
+    hist = os.path.join(tmpdir_path, "hist")
+    sink = MeasurementAppendSink(hist, ["name"], ["size"], "ts")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", os.path.join(tmpdir_path, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = sorted((r["size"], r["ts"].day) for r in spark.read.parquet(hist).collect())
+    assert got == [(10, 1), (10, 2), (11, 2)]   # unchanged day-3 reading skipped; day 1 always kept
