@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetsight.functions.aggregates import ordered_list
 from fleetsight.functions.checksum import row_checksum, with_row_checksum  # noqa: F401
 from fleetsight.plans.strategies import broadcast_if_small
 

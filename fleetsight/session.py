@@ -60,7 +60,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
             fallback = tempfile.mkdtemp(prefix="fleetsight-ckpt-")
         else:
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder")
-    os.makedirs(fallback, exist_ok=True) if fallback.startswith("/") else None
+    if fallback.startswith("/"):
+        os.makedirs(fallback, exist_ok=True)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
