@@ -209,7 +209,9 @@ def edges(t):
            .select(F.lit("REGION").alias("class_desc"), F.col("r_name").alias("permission_name"),
                    "covering_permission_name", F.lit("SERVER").alias("parent_class_desc"),
                    F.lit("CONTROL SERVER").alias("parent_covering_permission_name")))
-    top = t.region.limit(1).select(F.lit("SERVER").alias("class_desc"), F.lit("CONTROL SERVER").alias("permission_name"),
+    # the server-level permission: one row (a global aggregate of the region table)
+    top = t.region.agg(F.count(F.lit(1)).alias("__n")).select(
+        F.lit("SERVER").alias("class_desc"), F.lit("CONTROL SERVER").alias("permission_name"),
                                    F.lit(None).cast("string").alias("covering_permission_name"),
                                    F.lit(None).cast("string").alias("parent_class_desc"),
                                    F.lit(None).cast("string").alias("parent_covering_permission_name"))
