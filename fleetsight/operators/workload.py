@@ -54,7 +54,10 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
                  measures: dict[str, str], outcome_col: str | None = None,
                  interval_col: str | None = None, per_interval: bool = False,
                  order_by: str = "total_duration", n: int = 10,
-                 lookup: DataFrame | None = None, lookup_key: str | None = None) -> DataFrame:
+                 lookup: DataFrame | None = None, lookup_key: str | None = None,
+                 waits: DataFrame | None = None, wait_category: str = "wait_category_desc",
+                 wait_total: str = "total_query_wait_time_ms",
+                 wait_avg: str = "avg_query_wait_time_ms") -> DataFrame:
     """Top-n plans per group by a sort choice, with D3 percentages.
 
     ``measures`` maps a measure name to a per-row average column; the total
@@ -95,11 +98,36 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
             F.lit("(Successful:"), F.col("total_exec_successful").cast("string"),
             F.lit(", Aborted:"), F.col("total_exec_aborted").cast("string"),
             F.lit(", Exceptions:"), F.col("total_exec_exceptions").cast("string"), F.lit(")")))
+    if waits is not None:
+        out = _with_waits(out, waits, keys, group_cols, wait_category, wait_total, wait_avg)
     if lookup is not None:
         out = out.join(lookup, out[plan_col] == lookup[lookup_key], "left").drop(lookup[lookup_key])
     return out
 
 
+def _with_waits(top: DataFrame, waits: DataFrame, keys: list[str], group_cols: list[str],
+                category: str, total: str, avg: str) -> DataFrame:
+    """Wait totals, mean and per-category breakdown of the chosen plans, and
+    their percent of the period's waits. Only the waits of the top-n plans
+    are aggregated (semi join with the small ranked set)."""
+    chosen = waits.join(top.select(*keys), keys, "left_semi")
+    per_plan = category_breakdown(chosen, keys, category, total, avg).select(
+        *keys, F.col("total").alias("total_query_wait_time_ms"),
+        F.col("breakdown").alias("total_query_wait_time_ms_breakdown"))
+    # mean wait over the plan's wait rows (exact sum / count)
+    means = chosen.groupBy(*keys).agg(exact_mean(avg).alias("avg_query_wait_time_ms"))
+    per_plan = per_plan.join(means, keys, "left")
+    period = waits.groupBy(*group_cols).agg(F.sum(total).alias("__wait_period"))
+    out = top.join(per_plan, keys, "left")
+    out = out.join(period, group_cols, "left") if group_cols else out.crossJoin(keyed_totals(period, []))
+    out = out.withColumn("total_query_wait_time_ms", F.coalesce("total_query_wait_time_ms", F.lit(0)))
+    out = out.withColumn("total_query_wait_time_ms_breakdown",
+                         F.coalesce("total_query_wait_time_ms_breakdown", F.lit("-")))
+    out = percent_of_period(out, {"total_query_wait_time_ms": "__wait_period"},
+                            {"total_query_wait_time_ms": "percent_query_wait_time"})
+    return out.drop("__wait_period")
+
+
 def _weighted(stats: DataFrame, cnt: Column, c: str) -> Column:
     """count * measure; integral products are summed as decimal(38,0), which
     stays exact and cannot overflow however many rows a plan has."""

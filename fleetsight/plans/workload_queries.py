@@ -287,3 +287,53 @@ def d14_command_log_index(t):
                    .otherwise(F.lit("ALTER INDEX ix ON t REORGANIZE")).alias("command"),
                    F.lit("ALTER_INDEX").alias("command_type"), xml.alias("extended_info"))
     return W.command_log_report(log, "index").drop("extended_info")
+
+
+WAITS_SQL = """
+SELECT l_linestatus AS db, l_partkey AS plan_id,
+  CASE l_returnflag WHEN 'A' THEN 'CPU' WHEN 'N' THEN 'Network IO' ELSE 'Lock' END AS wait_category_desc,
+  CAST(round(l_tax * 100) AS BIGINT) * CAST(l_quantity AS BIGINT) AS total_query_wait_time_ms,
+  CAST(round(l_tax * 100) AS BIGINT) AS avg_query_wait_time_ms
+FROM lineitem
+"""
+
+
+def waits(t):
+    rf = F.col("l_returnflag")
+    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    return t.lineitem.select(
+        F.col("l_linestatus").alias("db"), F.col("l_partkey").alias("plan_id"),
+        F.when(rf == "A", "CPU").when(rf == "N", "Network IO").otherwise("Lock").alias("wait_category_desc"),
+        (tax * F.col("l_quantity").cast("bigint")).alias("total_query_wait_time_ms"),
+        tax.alias("avg_query_wait_time_ms"))
+
+
+@query("d2_top_workload_with_waits", f"""
+WITH base AS ({_TOP_SQL.replace("{order}", "total_duration")}),
+w AS ({WAITS_SQL}),
+chosen AS (SELECT w.* FROM w WHERE EXISTS (SELECT 1 FROM base b WHERE b.db = w.db AND b.plan_id = w.plan_id)),
+cat AS (SELECT db, plan_id, wait_category_desc, SUM(total_query_wait_time_ms) AS ct,
+               CAST(trunc(CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms)) AS BIGINT) AS ca
+        FROM chosen GROUP BY ALL),
+pp AS (SELECT db, plan_id, SUM(ct) AS total_query_wait_time_ms,
+              string_agg(wait_category_desc || ' (Total: ' || CAST(ct AS VARCHAR) || ' - Avg: ' || CAST(ca AS VARCHAR) || ')',
+                         ', ' ORDER BY ct DESC, wait_category_desc) AS total_query_wait_time_ms_breakdown
+       FROM cat GROUP BY db, plan_id),
+mm AS (SELECT db, plan_id, CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms) AS avg_query_wait_time_ms
+       FROM chosen GROUP BY db, plan_id),
+per AS (SELECT db, SUM(total_query_wait_time_ms) AS wp FROM w GROUP BY db)
+SELECT base.*, COALESCE(pp.total_query_wait_time_ms, 0) AS total_query_wait_time_ms,
+  COALESCE(pp.total_query_wait_time_ms_breakdown, '-') AS total_query_wait_time_ms_breakdown, mm.avg_query_wait_time_ms,
+  COALESCE(CAST(CAST(COALESCE(pp.total_query_wait_time_ms, 0) AS DECIMAL(38,4)) * 100 / NULLIF(per.wp, 0) AS DECIMAL(5,2)), 0)
+    AS percent_query_wait_time
+FROM base LEFT JOIN pp ON pp.db = base.db AND pp.plan_id = base.plan_id
+LEFT JOIN mm ON mm.db = base.db AND mm.plan_id = base.plan_id
+LEFT JOIN per ON per.db = base.db
+""")
+def d2_top_workload_with_waits(t):
+    """D2+D3+D5: the flagship with wait totals, mean, per-category breakdown and wait percent."""
+    stats = runtime_stats(t.lineitem)
+    part = t.part.select(F.col("p_partkey"), F.col("p_name"), F.col("p_brand"))
+    return W.top_workload(stats, group_cols=["db"], plan_col="plan_id", count_col="count_executions",
+                          measures=MEASURES, outcome_col="execution_type_desc", n=10,
+                          lookup=part, lookup_key="p_partkey", waits=waits(t))
