@@ -36,3 +36,33 @@ def test_find_types_and_columns(spark):
     assert [r["column_name"] for r in G.find_types(cols, ["int"]).collect()] == ["b"]
     meta = G.schema_columns({"x": spark.createDataFrame([(1, "a")], "id bigint, s string")})
     assert [(r["column_name"], r["data_type"]) for r in meta.collect()] == [("id", "bigint"), ("s", "string")]
+
+
+def test_top_workload_sort_choices_and_per_interval(spark):
+    rows = []
+    for plan in range(1, 6):
+        for interval in (1, 2):
+            for outcome in ("Regular", "Aborted"):
+                rows.append(("db", plan, interval, outcome, plan * interval, 10 * plan, 7 - plan, plan % 3,
+                             plan % 2, 1, 5 - plan % 5, 3))
+    schema = ("db string, plan_id int, interval_id int, execution_type_desc string, count_executions bigint, "
+              "avg_duration bigint, avg_cpu_time bigint, avg_reads bigint, avg_physical_reads bigint, "
+              "avg_writes bigint, avg_memory bigint, avg_rowcount bigint")
+    stats = spark.createDataFrame(rows, schema)
+    measures = {m: f"avg_{m}" for m in ["duration", "cpu_time", "reads", "physical_reads", "writes", "memory"]}
+    choices = W.sort_choices(list(measures))
+    assert len(choices) == 13
+    for choice in choices:
+        out = W.top_workload(stats, group_cols=["db"], plan_col="plan_id", count_col="count_executions",
+                             measures=measures, outcome_col="execution_type_desc", order_by=choice, n=2).collect()
+        assert len(out) == 2
+        best = max(r[choices[choice]] for r in out)
+        assert {r["rn"] for r in out if r[choices[choice]] == best} & {1}
+    top = W.top_workload(stats, group_cols=["db"], plan_col="plan_id", count_col="count_executions",
+                         measures=measures, outcome_col="execution_type_desc", order_by="total_duration", n=3,
+                         interval_col="interval_id", per_interval=True).collect()
+    # total duration per (plan, interval) = 20 * plan^2 * interval
+    assert [(r["plan_id"], r["interval_id"]) for r in sorted(top, key=lambda r: r["rn"])] == [(5, 2), (4, 2), (5, 1)]
+    r = [x for x in top if (x["plan_id"], x["interval_id"]) == (5, 2)][0]
+    assert (r["total_exec_successful"], r["total_exec_aborted"], r["total_executions"]) == (10, 10, 20)
+    assert r["total_executions_breakdown"] == "(Successful:10, Aborted:10, Exceptions:0)"
