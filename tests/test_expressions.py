@@ -75,3 +75,16 @@ def test_calendar_and_clock(spark):
     r = clock.filter("second_of_day = 7 * 3600").first()
     assert (r["full_time"], r["am_pm"], r["is_working_hours"]) == ("07:00:00", "AM", True)
     assert not clock.filter("second_of_day = 19 * 3600").first()["is_working_hours"]
+
+
+def test_time_texts(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 5, 14, 7, 31),)], "t timestamp_ntz")
+    r = df.select(X.now_text("t").alias("n"), X.to_utc_minute(F.col("t"), "Europe/Madrid").alias("u")).first()
+    assert r["n"] == "20240305140731"
+    assert str(r["u"]).startswith("2024-03-05 13:08")      # UTC+1 in March, rounded to the minute
+
+
+def test_yes_no_and_ladders(spark):
+    df = spark.createDataFrame([(True,), (False,), (None,)], "f boolean")
+    assert [r["y"] for r in df.select(X.yes_no("f").alias("y")).collect()] == ["Yes", "No", None]

@@ -105,3 +105,15 @@ def test_upsert_with_change_date(spark):
     now = dt.datetime(2024, 1, 1)
     out = {r["k"]: r["action"] for r in A.upsert_with_change_date(state, feed, ["k"], ["role"], F.lit(now)).collect()}
     assert out == {2: "UPDATE", 3: "UPDATE", 4: "INSERT"}
+
+
+def test_principal_roles_member_lists(spark):
+    from fleetsight.operators import security as S
+    principals = spark.createDataFrame([(1, "alice", b"\x01"), (2, "bob", b"\x02"), (10, "readers", None),
+                                        (11, "writers", None)], "principal_id int, name string, sid binary")
+    members = spark.createDataFrame([(10, 1), (10, 2), (11, 1)], "role_id int, member_id int")
+    logins = spark.createDataFrame([(b"\x01", "DOM\\alice")], "sid binary, login_name string")
+    got = {r["name"]: (r["role_list"], r["member_list"], r["login_name"])
+           for r in S.principal_roles(principals, members, logins=logins).collect()}
+    assert got["alice"] == ("readers, writers", None, "DOM\\alice")
+    assert got["readers"] == (None, "alice, bob", None)
