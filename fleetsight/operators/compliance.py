@@ -267,10 +267,61 @@ def schedule_text(schedules: DataFrame) -> DataFrame:
     return d.withColumn("schedule_text", text).drop("__days")
 
 
-def job_description(jobs: DataFrame, schedules: DataFrame, key: str = "job_id") -> DataFrame:
-    """Jobs with all their schedules as text joined by ' [AND] ' (a job has few schedules)."""
+# When a notification or automatic deletion happens.
+NOTIFY_WHEN = {1: "When the job succeeds", 2: "When the job fails", 3: "When the job completes"}
+# Step outcome actions (4 = go to a given step).
+STEP_ACTIONS = {1: "Quit the job reporting success", 2: "Quit the job reporting failure", 3: "Go to the next step"}
+# Notification channels: (label, level column, operator name column).
+NOTIFY_CHANNELS = [("Email", "notify_level_email", "email_operator"),
+                   ("Page", "notify_level_page", "page_operator"),
+                   ("Net send", "notify_level_netsend", "netsend_operator"),
+                   ("Write to the Windows Application event log", "notify_level_eventlog", "eventlog_operator")]
+
+
+def _when_text(level: Column) -> Column:
+    expr = F.when(F.lit(False), F.lit(None))
+    for k, v in NOTIFY_WHEN.items():
+        expr = expr.when(level == k, F.lit(v))
+    return expr
+
+
+def notify_text(df: DataFrame) -> Column:
+    """'Email: [op] When the job fails;Page: ...' for the channels present in
+    ``df`` (level 0 or a missing operator gives nothing). Each channel uses
+    its own operator column."""
+    parts = []
+    for label, level, op in NOTIFY_CHANNELS:
+        if level in df.columns and op in df.columns:
+            piece = F.concat(F.lit(label + ": ["), F.col(op), F.lit("] "), _when_text(F.col(level)), F.lit(";"))
+            parts.append(F.coalesce(piece, F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def step_action_text(action: Column, step: Column) -> Column:
+    expr = F.when(F.lit(False), F.lit(None))
+    for k, v in STEP_ACTIONS.items():
+        expr = expr.when(action == k, F.lit(v))
+    return expr.when(action == 4, F.concat(F.lit("Go to the step ["), step.cast("string"), F.lit("]")))
+
+
+def job_description(jobs: DataFrame, schedules: DataFrame, key: str = "job_id",
+                    steps: DataFrame | None = None) -> DataFrame:
+    """Jobs with all their schedules as text joined by ' [AND] ' (a job has
+    few schedules), the notification and auto-delete texts when the job
+    table carries them, and one row per step with its success/failure
+    action texts when ``steps`` is given."""
     s = schedule_text(schedules)
     lists = s.groupBy(key).agg(ordered_list("schedule_text", ["schedule_text"], " [AND] ").alias("schedules"))
-    return jobs.join(lists, key, "left")
+    out = jobs.join(lists, key, "left")
+    if any(level in jobs.columns for _, level, _ in NOTIFY_CHANNELS):
+        out = out.withColumn("notify_actions", notify_text(jobs))
+    if "delete_level" in jobs.columns:
+        out = out.withColumn("autodelete", F.coalesce(
+            F.concat(F.lit("Automatically delete job: "), _when_text(F.col("delete_level"))), F.lit("")))
+    if steps is not None:
+        st = steps.withColumn("on_success", step_action_text(F.col("on_success_action"), F.col("on_success_step_id"))) \
+                  .withColumn("on_failure", step_action_text(F.col("on_fail_action"), F.col("on_fail_step_id")))
+        out = out.join(st, key, "left")
+    return out
 
 

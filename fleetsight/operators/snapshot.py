@@ -36,13 +36,15 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
                    custom_defaults: dict | None = None, monitored: DataFrame | None = None,
                    source_col: str | None = None, policy: str = "reported",
-                   flag_col: str | None = None) -> DataFrame:
+                   flag_col: str | None = None, source_defaults: DataFrame | None = None) -> DataFrame:
     """Upsert ``loading`` into ``current`` by ``keys``; returns the tagged frame.
 
     Output: every column of ``current`` holding the *new* value (for DELETE
     rows, the old one), ``action``, and ``pre`` - a struct with the old row
     (NULL for INSERT). Columns of ``current`` that the feed lacks keep their
-    value; new rows take them from ``custom_defaults`` (a Column or literal).
+    value; new rows take them from ``source_defaults`` (one row per source:
+    the source column plus per-source values, e.g. the server's retention)
+    or else from ``custom_defaults`` (a literal).
     ``monitored`` is a one-column DataFrame of monitored sources (the
     server list, a few rows per server) matched on ``source_col``.
     """
@@ -73,6 +75,13 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
             delete_cond = unmonitored | F.col("__rep").isNotNull()
         else:
             delete_cond = unmonitored
+    per_source = set()
+    if source_defaults is not None and source_col:
+        sd_cols = [c for c in source_defaults.columns if c != source_col and c in cur_cols]
+        per_source = set(sd_cols)
+        sd = source_defaults.select(F.col(source_col).alias("__sd_src"),
+                                    *[F.col(c).alias("__sd_" + c) for c in sd_cols])
+        j = j.join(broadcast_if_small(sd), F.col("l__" + source_col) == F.col("__sd_src"), "left")
     action = (F.when(in_c & in_l, F.lit(UPDATE)).when(in_l, F.lit(INSERT))
               .when(delete_cond, F.lit(DELETE))
               .otherwise(F.lit(FLAG if policy == "flag" else KEEP)))
@@ -87,6 +96,8 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
         else:
             default = custom_defaults.get(x)
             dv = default if isinstance(default, Column) else F.lit(default)
+            if x in per_source:
+                dv = F.coalesce(F.col("__sd_" + x), dv)
             v = F.when(in_c, F.col("c__" + x)).otherwise(dv.cast(current.schema[x].dataType))
         if flag_col and x == flag_col:
             v = F.when(F.col("action") == FLAG, F.lit(False)).when(in_l, F.lit(True)).otherwise(v)

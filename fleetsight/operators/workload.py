@@ -163,13 +163,23 @@ def category_breakdown(df: DataFrame, key: list[str], category: str, total: str,
 # --------------------------------------------------------------------- D6
 def unused_items(items: DataFrame, usage: DataFrame, item_key: str, usage_key: str,
                  seeks_col: str = "seeks", threshold: int = 100,
-                 keep: Column | None = None) -> DataFrame:
-    """Items with fewer than ``threshold`` uses; an item absent from usage has 0."""
+                 keep: Column | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """Items with fewer than ``threshold`` uses; an item absent from usage has 0.
+    With ``columns`` (item_key, column_name, key_ordinal, is_included) the
+    ordered key and included column lists are added for the items kept."""
     use = usage.groupBy(usage_key).agg(F.sum(seeks_col).alias("__seeks"))
     out = items.join(use, items[item_key] == use[usage_key], "left").drop(use[usage_key])
     out = out.withColumn("user_seeks", F.coalesce(F.col("__seeks"), F.lit(0)).cast("bigint")).drop("__seeks")
     out = out.filter(F.col("user_seeks") < threshold)
-    return out.filter(keep) if keep is not None else out
+    if keep is not None:
+        out = out.filter(keep)
+    if columns is not None:
+        lists = columns.join(out.select(item_key), item_key, "left_semi").groupBy(item_key).agg(
+            ordered_list("CASE WHEN NOT is_included THEN column_name END", ["key_ordinal", "column_name"], ", ")
+            .alias("key_columns"),
+            ordered_list("CASE WHEN is_included THEN column_name END", ["column_name"], ", ").alias("included_columns"))
+        out = out.join(lists, item_key, "left")
+    return out
 
 
 # --------------------------------------------------------------------- D7
@@ -266,14 +276,26 @@ def plan_maintenance(frag: DataFrame, *, frag_col: str = "avg_fragmentation_in_p
 # --------------------------------------------------------------------- D13
 def stale_statistics(stats: DataFrame, *, modified_col: str = "modification_counter",
                      rows_col: str = "rows", rows_threshold: int = 100_000, pct_threshold: float = 10.0,
-                     exclude: DataFrame | None = None, exclude_keys: list[str] | None = None) -> DataFrame:
-    """Statistics with modified rows > 0 and >= a row threshold or >= pct of rows."""
+                     exclude: DataFrame | None = None, exclude_keys: list[str] | None = None,
+                     sampled_col: str | None = None, table_rows_col: str | None = None) -> DataFrame:
+    """Statistics with modified rows > 0 and >= a row threshold or >= pct of rows.
+    With ``sampled_col`` the sampled percent is given against the statistic's
+    rows and (with ``table_rows_col``) against the table's rows. ``exclude``
+    drops statistics of objects listed there (NOT EXISTS, e.g. objects with
+    column types that cannot be updated online)."""
     m = F.col(modified_col)
     cond = (m > 0) & ((m >= rows_threshold) |
                       (m.cast("double") * 100.0 >= F.col(rows_col).cast("double") * pct_threshold))
     out = stats.filter(cond).withColumn(
         "modified_percent",
         (m.cast("decimal(38,4)") * 100 / F.nullif(F.col(rows_col), F.lit(0))).cast("decimal(19,2)"))
+    if sampled_col is not None:
+        out = out.withColumn("sampled_percent", (F.col(sampled_col).cast("decimal(38,4)") * 100
+                                                 / F.nullif(F.col(rows_col), F.lit(0))).cast("decimal(19,2)"))
+        if table_rows_col is not None:
+            out = out.withColumn("sampled_percent_of_table", (F.col(sampled_col).cast("decimal(38,4)") * 100
+                                                              / F.nullif(F.col(table_rows_col), F.lit(0)))
+                                 .cast("decimal(19,2)"))
     if exclude is not None:
         out = out.join(exclude, exclude_keys, "left_anti")
     return out
@@ -297,6 +319,14 @@ def command_log_report(log: DataFrame, kind: str) -> DataFrame:
                .withColumn("size_mb", (F.col("page_count") * 8 / 1024.0))
                .withColumn("operation", F.when(F.col("command").contains("REBUILD"), F.lit("REBUILD"))
                            .when(F.col("command").contains("REORGANIZE"), F.lit("REORGANIZE"))))
+    elif kind == "statistics":
+        info = F.from_xml(F.col("extended_info"), "RowCount BIGINT, ModificationCounter BIGINT")
+        out = (out.withColumn("__info", info)
+               .withColumn("row_count", F.col("__info.RowCount"))
+               .withColumn("modification_counter", F.col("__info.ModificationCounter")).drop("__info")
+               .withColumn("modification_percent",
+                           (F.col("modification_counter").cast("decimal(38,4)") * 100
+                            / F.nullif(F.col("row_count"), F.lit(0))).cast("decimal(15,2)")))
     return out
 
 

@@ -337,3 +337,28 @@ def d2_top_workload_with_waits(t):
     return W.top_workload(stats, group_cols=["db"], plan_col="plan_id", count_col="count_executions",
                           measures=MEASURES, outcome_col="execution_type_desc", n=10,
                           lookup=part, lookup_key="p_partkey", waits=waits(t))
+
+
+@query("d14_command_log_statistics", """
+WITH l AS (SELECT event_id AS id, user_id AS database_name, ts AS start_time, ts + INTERVAL 90 SECOND AS end_time,
+                  'UPDATE STATISTICS t s' || CAST(user_id AS VARCHAR) AS command, 'UPDATE_STATISTICS' AS command_type,
+                  CAST(user_id * 1000 + 1000 AS BIGINT) AS row_count, CAST(floor(value * 10) AS BIGINT) AS modification_counter
+           FROM events WHERE event_type = 'view')
+SELECT id, database_name, start_time, end_time, command, command_type, '00:01:30' AS duration, row_count,
+  modification_counter,
+  CAST(CAST((modification_counter * 20000 + row_count) // (2 * row_count) AS DOUBLE) / 100 AS DECIMAL(15,2))
+    AS modification_percent
+FROM l
+""")
+def d14_command_log_statistics(t):
+    """View events as statistics updates with row and modification counts in XML."""
+    e = t.events.filter(F.col("event_type") == "view")
+    rows = (F.col("user_id") * 1000 + 1000).cast("bigint")
+    mods = F.floor(F.col("value") * 10).cast("bigint")
+    xml = F.concat(F.lit("<ExtendedInfo><RowCount>"), rows.cast("string"), F.lit("</RowCount><ModificationCounter>"),
+                   mods.cast("string"), F.lit("</ModificationCounter></ExtendedInfo>"))
+    log = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("database_name"),
+                   F.col("ts").alias("start_time"), F.timestamp_add("SECOND", F.lit(90), F.col("ts")).alias("end_time"),
+                   F.concat(F.lit("UPDATE STATISTICS t s"), F.col("user_id").cast("string")).alias("command"),
+                   F.lit("UPDATE_STATISTICS").alias("command_type"), xml.alias("extended_info"))
+    return W.command_log_report(log, "statistics").drop("extended_info")

@@ -68,3 +68,31 @@ def test_maintenance_thresholds(spark):
     df = spark.createDataFrame(rows, "id int, frag double, pages int")
     got = {r["id"]: r["operation"] for r in W.plan_maintenance(df, frag_col="frag", pages_col="pages").collect()}
     assert got == {1: "REORGANIZE", 2: "REORGANIZE", 3: "REORGANIZE", 4: "REBUILD"}
+
+
+def test_job_description_texts(spark):
+    jobs = spark.createDataFrame([("j1", 2, 1, "ops", None, 3)],
+                                 "job_id string, notify_level_email int, notify_level_page int, email_operator string, "
+                                 "page_operator string, delete_level int")
+    sched = spark.createDataFrame([("j1", 4, 1, 0, 1, 0, 10000, 235959)],
+                                  "job_id string, freq_type int, freq_interval int, freq_relative_interval int, "
+                                  "freq_subday_type int, freq_subday_interval int, active_start_time int, "
+                                  "active_end_time int")
+    steps = spark.createDataFrame([("j1", 1, 3, None, 4, 3)], "job_id string, step_id int, on_success_action int, "
+                                  "on_success_step_id int, on_fail_action int, on_fail_step_id int")
+    r = E.job_description(jobs, sched, steps=steps).first()
+    assert r["schedules"] == "Every day at 01:00:00"
+    assert r["notify_actions"] == "Email: [ops] When the job fails;"
+    assert r["autodelete"] == "Automatically delete job: When the job completes"
+    assert (r["on_success"], r["on_failure"]) == ("Go to the next step", "Go to the step [3]")
+
+
+def test_merge_new_row_takes_source_default(spark):
+    from fleetsight.operators import snapshot as A
+    current = spark.createDataFrame([("s1", "a", 5)], "server string, name string, keep_n int")
+    feed = spark.createDataFrame([("s1", "a"), ("s1", "b"), ("s2", "c")], "server string, name string")
+    settings = spark.createDataFrame([("s1", 7)], "server string, keep_n int")
+    got = {r["name"]: r["keep_n"] for r in A.merged_current(A.snapshot_merge(
+        current, feed, ["server", "name"], custom_defaults={"keep_n": 10}, source_col="server",
+        source_defaults=settings)).collect()}
+    assert got == {"a": 5, "b": 7, "c": 10}

@@ -66,3 +66,30 @@ def test_top_workload_sort_choices_and_per_interval(spark):
     r = [x for x in top if (x["plan_id"], x["interval_id"]) == (5, 2)][0]
     assert (r["total_exec_successful"], r["total_exec_aborted"], r["total_executions"]) == (10, 10, 20)
     assert r["total_executions_breakdown"] == "(Successful:10, Aborted:10, Exceptions:0)"
+
+
+def test_unused_items_with_columns_and_stats_sampling(spark):
+    items = spark.createDataFrame([(1, "ix_a"), (2, "ix_b")], "index_id int, name string")
+    usage = spark.createDataFrame([(2, 500)], "index_id int, seeks int")
+    cols = spark.createDataFrame([(1, "b", 2, False), (1, "a", 1, False), (1, "z", 0, True)],
+                                 "index_id int, column_name string, key_ordinal int, is_included boolean")
+    out = W.unused_items(items, usage, "index_id", "index_id", threshold=100, columns=cols).collect()
+    assert [(r["index_id"], r["user_seeks"], r["key_columns"], r["included_columns"]) for r in out] == \
+        [(1, 0, "a, b", "z")]
+    stats = spark.createDataFrame([(1, 1000, 150, 500, 2000), (2, 1000, 0, 10, 2000)],
+                                  "id int, rows bigint, modification_counter bigint, rows_sampled bigint, t bigint")
+    got = W.stale_statistics(stats, sampled_col="rows_sampled", table_rows_col="t").collect()
+    assert [(r["id"], str(r["modified_percent"]), str(r["sampled_percent"]), str(r["sampled_percent_of_table"]))
+            for r in got] == [(1, "15.00", "50.00", "25.00")]
+
+
+def test_command_log_statistics(spark):
+    import datetime as dt
+    log = spark.createDataFrame([(1, "UPDATE_STATISTICS", "UPDATE STATISTICS t s",
+                                  "<ExtendedInfo><RowCount>800</RowCount><ModificationCounter>100</ModificationCounter>"
+                                  "</ExtendedInfo>", dt.datetime(2024, 1, 1, 0, 0, 0), dt.datetime(2024, 1, 1, 1, 0, 5))],
+                                "id int, command_type string, command string, extended_info string, "
+                                "start_time timestamp_ntz, end_time timestamp_ntz")
+    r = W.command_log_report(log, "statistics").first()
+    assert (r["row_count"], r["modification_counter"], str(r["modification_percent"]), r["duration"]) == \
+        (800, 100, "12.50", "01:00:05")
