@@ -1,5 +1,5 @@
 """Micro-batch (Structured Streaming) forms of the stateful operators."""
 
 from fleetsight.streaming.micro_batch import (  # noqa: F401
-    CounterStateSink, MeasurementAppendSink, SnapshotMergeSink, windowed_rollup,
+    CounterStateSink, MeasurementAppendSink, SnapshotMergeSink, counter_totals_stream, windowed_rollup,
 )

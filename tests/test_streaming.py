@@ -93,3 +93,26 @@ def test_measurement_append_stream(spark, tmpdir_path):
     q.awaitTermination(300)
     got = sorted((r["size"], r["ts"].day) for r in spark.read.parquet(hist).collect())
     assert got == [(10, 1), (10, 2), (11, 2)]   # unchanged day-3 reading skipped; day 1 always kept
+
+
+def test_counter_state_store_stream_equals_batch(spark, tmpdir_path):
+    from fleetsight.streaming.micro_batch import counter_totals_stream
+
+    ev, src = _split_events(spark, tmpdir_path)
+    ev = ev.withColumn("v", (F.col("value") * 100).cast("bigint"))
+    src2 = os.path.join(tmpdir_path, "src2")
+    for i, p in enumerate(sorted(os.listdir(src))):
+        spark.read.parquet(os.path.join(src, p)).withColumn("v", (F.col("value") * 100).cast("bigint")) \
+            .coalesce(1).write.parquet(os.path.join(src2, f"p{i}"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src2, "*"))
+    out = counter_totals_stream(stream, ["user_id", "event_type"], "ts", ["v"],
+                                {"user_id": "bigint", "event_type": "string"}, tiebreak=["event_id"])
+    q = (out.writeStream.outputMode("update").format("memory").queryName("counter_totals")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    latest = spark.sql("SELECT user_id, event_type, max_by(total_v, last_reading_time) AS t FROM counter_totals "
+                       "GROUP BY user_id, event_type")
+    want = C.accumulate_log(ev.drop("value"), ["user_id", "event_type"], "ts", ["v"], ["event_id"])
+    g = sorted((r["user_id"], r["event_type"], r["t"]) for r in latest.collect())
+    w = sorted((r["user_id"], r["event_type"], r["total_v"]) for r in want.collect())
+    assert g == w
