@@ -13,7 +13,7 @@ __all__ = [
     "col_of", "int_div", "fmt_seconds", "fmt_hhmmss", "now_text", "to_utc_minute",
     "unquote_name", "file_name", "file_dir", "file_ext", "file_drive", "decode_version",
     "numeric_version", "hex_text", "space_mb", "yes_no", "split_instance_machine",
-    "split_instance_name", "text_date_time",
+    "split_instance_name", "text_date_time", "code_text",
 ]
 
 # Product names by major version prefix, tested in this order
@@ -139,6 +139,17 @@ def space_mb(rows, nbytes) -> Column:
     return (prod.cast("decimal(38,6)") / F.lit(1048576)).cast("decimal(10,2)")
 
 
+def code_text(c, mapping: dict, default=None) -> Column:
+    """Code -> text through a fixed mapping (a CASE ladder); ``default`` for
+    other codes (NULL when not given)."""
+    v = col_of(c)
+    items = list(mapping.items())
+    expr = F.when(v == items[0][0], F.lit(items[0][1]))
+    for k, text in items[1:]:
+        expr = expr.when(v == k, F.lit(text))
+    return expr.otherwise(F.lit(default) if default is not None else F.lit(None).cast("string"))
+
+
 def yes_no(c, yes: str = "Yes", no: str = "No") -> Column:
     v = col_of(c)
     return F.when(v.isNull(), F.lit(None).cast("string")).when(v.cast("boolean"), F.lit(yes)).otherwise(F.lit(no))

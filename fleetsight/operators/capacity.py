@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import exact_mean
 from fleetsight.functions.calendar import WORK_END_HOUR, WORK_START_HOUR, sql_week_of_year
-from fleetsight.functions.scalar import fmt_seconds, int_div
+from fleetsight.functions.scalar import code_text, fmt_seconds, int_div
 from fleetsight.plans.strategies import one_row, previous_in_order, time_bucket
 
 # Disk alarm thresholds (percent free) and texts.
@@ -343,10 +343,7 @@ def fragment_stats(df: DataFrame, keys: list[str], rows: str, status: str | None
                                 exact_stddev(rows).cast("int").alias("stdev_row_count"),
                                 F.max(rows).alias("max_row_count"), F.min(rows).alias("min_row_count"))
     if status:
-        ladder = F.when(F.lit(False), F.lit(None))
-        for code, text in POPULATE_STATUS.items():
-            ladder = ladder.when(F.col(status) == code, F.lit(text))
-        out = out.withColumn("status", ladder)
+        out = out.withColumn("status", code_text(status, POPULATE_STATUS))
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import ordered_list
-from fleetsight.functions.scalar import fmt_hhmmss, fmt_seconds, text_date_time
+from fleetsight.functions.scalar import code_text, fmt_hhmmss, fmt_seconds, text_date_time
 from fleetsight.operators.reference import WEEKDAY_BITS, bitmask_names
 from fleetsight.plans.strategies import asof_forward, top_n_per_group
 
@@ -23,10 +23,7 @@ RUN_STATUS = {0: "Failed", 1: "Succeeded", 2: "Retry", 3: "Canceled", 4: "In Pro
 
 
 def backup_type_text(c: Column) -> Column:
-    expr = F.when(F.lit(False), F.lit(None))
-    for k, v in BACKUP_TYPES.items():
-        expr = expr.when(c == k, F.lit(v))
-    return expr
+    return code_text(c, BACKUP_TYPES)
 
 
 def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compressed: str) -> DataFrame:
@@ -177,10 +174,7 @@ def last_check(history: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 # --------------------------------------------------------------------- E7
 def run_status_text(c: Column) -> Column:
-    expr = F.when(F.lit(False), F.lit(None))
-    for k, v in RUN_STATUS.items():
-        expr = expr.when(c == k, F.lit(v))
-    return expr.otherwise(F.lit("Unknown"))
+    return code_text(c, RUN_STATUS, "Unknown")
 
 
 def job_history(jobs: DataFrame, steps: DataFrame, history: DataFrame, n: int,
@@ -244,21 +238,15 @@ def schedule_text(schedules: DataFrame) -> DataFrame:
     active_start_time, active_end_time)."""
     d = bitmask_names(schedules, "freq_interval", [(b, n) for b, n, _ in WEEKDAY_BITS], out="__days")
     ft, fi = F.col("freq_type"), F.col("freq_interval")
-    rel = F.when(F.lit(False), F.lit(None))
-    for k, v in RELATIVE.items():
-        rel = rel.when(F.col("freq_relative_interval") == k, F.lit(v))
-    rday = F.when(F.lit(False), F.lit(None))
-    for k, v in RELATIVE_DAYS.items():
-        rday = rday.when(fi == k, F.lit(v))
+    rel = code_text("freq_relative_interval", RELATIVE)
+    rday = code_text(fi, RELATIVE_DAYS)
     main = (F.when(ft == 1, F.lit("Once"))
             .when(ft == 4, F.when(fi == 1, F.lit("Every day")).otherwise(F.concat(F.lit("Every "), fi.cast("string"), F.lit(" days"))))
             .when(ft == 8, F.concat(F.lit("Weekly on "), F.col("__days")))
             .when(ft == 16, F.concat(F.lit("Monthly on day "), fi.cast("string")))
             .when(ft == 32, F.concat(F.lit("Monthly on the "), rel, F.lit(" "), rday))
             .when(ft == 64, F.lit(FREQ_TYPES[64])).when(ft == 128, F.lit(FREQ_TYPES[128])))
-    unit = F.when(F.lit(False), F.lit(None))
-    for k, v in SUBDAY_UNITS.items():
-        unit = unit.when(F.col("freq_subday_type") == k, F.lit(v))
+    unit = code_text("freq_subday_type", SUBDAY_UNITS)
     sub = F.when(F.col("freq_subday_type") == 1, F.concat(F.lit(" at "), _hhmmss_text(F.col("active_start_time")))) \
         .otherwise(F.concat(F.lit(" every "), F.col("freq_subday_interval").cast("string"), F.lit(" "), unit,
                             F.lit(" from "), _hhmmss_text(F.col("active_start_time")), F.lit(" till "),
@@ -279,10 +267,7 @@ NOTIFY_CHANNELS = [("Email", "notify_level_email", "email_operator"),
 
 
 def _when_text(level: Column) -> Column:
-    expr = F.when(F.lit(False), F.lit(None))
-    for k, v in NOTIFY_WHEN.items():
-        expr = expr.when(level == k, F.lit(v))
-    return expr
+    return code_text(level, NOTIFY_WHEN)
 
 
 def notify_text(df: DataFrame) -> Column:
@@ -298,10 +283,8 @@ def notify_text(df: DataFrame) -> Column:
 
 
 def step_action_text(action: Column, step: Column) -> Column:
-    expr = F.when(F.lit(False), F.lit(None))
-    for k, v in STEP_ACTIONS.items():
-        expr = expr.when(action == k, F.lit(v))
-    return expr.when(action == 4, F.concat(F.lit("Go to the step ["), step.cast("string"), F.lit("]")))
+    goto = F.concat(F.lit("Go to the step ["), step.cast("string"), F.lit("]"))
+    return F.when(action == 4, goto).otherwise(code_text(action, STEP_ACTIONS))
 
 
 def job_description(jobs: DataFrame, schedules: DataFrame, key: str = "job_id",
