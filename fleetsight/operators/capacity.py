@@ -22,10 +22,6 @@ SIZE_TYPES = ["ROWS", "LOG", "FILESTREAM", "FULLTEXT"]
 TOTAL_LABEL = "***Total***"
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 # ------------------------------------------------------------------ C2
 def sample_period(df: DataFrame, entity: list[str], ts: str, period: str, tiebreak: list[str] = ()) -> DataFrame:
     """'day': every row. 'month'/'year': first row of each month/year per

@@ -34,10 +34,23 @@ def test_top_n_is_partial_before_shuffle(spark):
 
 
 def test_scan_is_pruned(spark):
+    """The flagship reads only the lineitem columns it uses (no l_orderkey,
+    l_suppkey, l_linenumber or l_shipdate)."""
+    import re
     df = registry.QUERIES["d2_top_workload_by_duration"](spark, SF_SMALL)
-    text = plan_text(df)
-    # lineitem columns that the query never reads stay out of the scan
-    assert "l_shipdate" not in text.split("lineitem")[0] or "l_orderkey" not in text
+    text = df._jdf.queryExecution().executedPlan().toString()
+    scans = [m for m in re.findall(r"FileScan parquet \[([^\]]*)\]", text) if "lineitem" in text and "l_" in m]
+    assert scans
+    for cols_text in scans:
+        cols = {c.split("#")[0] for c in cols_text.split(",")}
+        assert cols <= {"l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+                        "l_linestatus"}
+
+
+def test_filters_pushed_to_scan(spark):
+    df = registry.QUERIES["c8_rollup_week_hour_working"](spark, SF_SMALL)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in text
 
 
 def test_lookup_broadcast(spark):
