@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetsight.functions.aggregates import exact_mean
 from fleetsight.functions.calendar import WORK_END_HOUR, WORK_START_HOUR, sql_week_of_year
 from fleetsight.functions.scalar import code_text, fmt_seconds, int_div
-from fleetsight.plans.strategies import one_row, previous_in_order, time_bucket
+from fleetsight.plans.strategies import previous_in_order, time_bucket
 
 # Disk alarm thresholds (percent free) and texts.
 DISK_ALARM_PCT, DISK_WARNING_PCT = 10, 20
@@ -260,10 +260,11 @@ def share_of_total(df: DataFrame, group: list[str], bytes_read: str, size_bytes:
     broadcast)."""
     d = df.filter(~exclude) if exclude is not None else df
     agg = d.groupBy(*group).agg(F.sum(bytes_read).alias("__read"), F.sum(size_bytes).alias("__size"))
-    total = one_row(d.agg(F.sum(bytes_read).alias("__total")))
+    # grand total as a scalar subquery: computed once, used as a constant
+    total = d.agg(F.sum(bytes_read)).scalar()
     hours = boot_ms / 1000.0 / 3600.0
     r = F.col("__read").cast("double")
-    out = agg.crossJoin(total).select(
+    out = agg.withColumn("__total", total).select(
         *group, (r / 1024 / 1024).alias("mb_read"), (r / 1024 / 1024 / 1024).alias("gb_read"),
         (r / 1024 / 1024 / 1024 / 1024).alias("tb_read"),
         (F.col("__size").cast("double") / 1024 / 1024).alias("size_on_disk_mb"),

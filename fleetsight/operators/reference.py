@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.scalar import split_instance_machine, split_instance_name, yes_no
-from fleetsight.plans.strategies import broadcast_if_small, one_row, top_n_per_group
+from fleetsight.plans.strategies import broadcast_if_small, top_n_per_group
 from fleetsight.session import cut_lineage
 
 # Weekday bits (bit value, name, day number with Monday = 1).
@@ -200,11 +200,10 @@ def maintenance_candidates(df: DataFrame, *, name: str = "name", online: str = "
 
 # --------------------------------------------------------------------- B11
 def current_rows(df: DataFrame, ts: str, slack_days: int = 1) -> DataFrame:
-    """Rows newer than (latest collection time - slack): the max is a one-row
-    aggregate broadcast to the scan."""
-    mx = one_row(df.agg(F.max(ts).alias("__max")))
-    return df.crossJoin(mx).filter(F.col(ts) > F.col("__max") - F.expr(f"INTERVAL {int(slack_days)} DAY")) \
-             .drop("__max")
+    """Rows newer than (latest collection time - slack). The max is a scalar
+    subquery (computed once, then a constant in the filter; no join)."""
+    mx = df.agg(F.max(ts)).scalar()
+    return df.filter(F.col(ts) > mx - F.expr(f"INTERVAL {int(slack_days)} DAY"))
 
 
 def inventory_report(base: DataFrame, lookups: list[tuple[DataFrame, str, str]],

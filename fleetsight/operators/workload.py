@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import exact_mean, ordered_list
 from fleetsight.functions.scalar import fmt_seconds
-from fleetsight.plans.strategies import keyed_totals, top_n_per_group
+from fleetsight.plans.strategies import top_n_per_group
 
 # Execution outcomes, in report order.
 OUTCOMES = ["Regular", "Aborted", "Exception"]
@@ -87,9 +87,14 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
     # aggregate).
     totals = stats.groupBy(*group_cols).agg(*[F.sum(_weighted(stats, cnt, c)).alias(f"period_{m}")
                                               for m, c in measures.items()])
-    # one row per group (a single row without groups): joined to n rows per group
-    out = (ranked.join(totals, on=group_cols, how="inner") if group_cols
-           else ranked.crossJoin(keyed_totals(totals, [])))
+    # one row per group joined to n rows per group; without groups the totals
+    # are scalar subqueries (computed once, constants in the projection)
+    if group_cols:
+        out = ranked.join(totals, on=group_cols, how="inner")
+    else:
+        out = ranked
+        for m in measures:
+            out = out.withColumn(f"period_{m}", totals.select(f"period_{m}").scalar())
     out = percent_of_period(out, {f"total_{m}": f"period_{m}" for m in measures},
                             {f"total_{m}": f"percent_{m}" for m in measures})
     out = out.drop(*[f"period_{m}" for m in measures])
@@ -119,7 +124,10 @@ def _with_waits(top: DataFrame, waits: DataFrame, keys: list[str], group_cols: l
     per_plan = per_plan.join(means, keys, "left")
     period = waits.groupBy(*group_cols).agg(F.sum(total).alias("__wait_period"))
     out = top.join(per_plan, keys, "left")
-    out = out.join(period, group_cols, "left") if group_cols else out.crossJoin(keyed_totals(period, []))
+    if group_cols:
+        out = out.join(period, group_cols, "left")
+    else:
+        out = out.withColumn("__wait_period", period.scalar())
     out = out.withColumn("total_query_wait_time_ms", F.coalesce("total_query_wait_time_ms", F.lit(0)))
     out = out.withColumn("total_query_wait_time_ms_breakdown",
                          F.coalesce("total_query_wait_time_ms_breakdown", F.lit("-")))

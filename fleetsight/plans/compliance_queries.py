@@ -220,8 +220,8 @@ def e6_last_check(t):
 
 @query("e8_align_steps_to_run", """
 WITH runs AS (SELECT user_id, event_id AS run_first_id, ts AS run_start FROM events WHERE event_type = 'signup'),
-types AS (SELECT DISTINCT event_type FROM events),
-r AS (SELECT runs.*, types.event_type FROM runs CROSS JOIN types),
+steps AS (SELECT DISTINCT user_id, event_type FROM events),
+r AS (SELECT runs.*, steps.event_type FROM runs JOIN steps ON steps.user_id = runs.user_id),
 h AS (SELECT user_id, event_type, event_id, ts, value FROM events)
 SELECT r.user_id, r.run_first_id, r.run_start, r.event_type,
   (SELECT MIN(h.event_id) FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id) AS step_event_id,
@@ -234,8 +234,9 @@ def e8_align_steps_to_run(t):
     e = t.events
     runs = e.filter(F.col("event_type") == "signup").select("user_id", F.col("event_id").alias("run_first_id"),
                                                             F.col("ts").alias("run_start"))
-    types = e.select("event_type").distinct()
-    runs = runs.crossJoin(F.broadcast(types))  # one row per run and step; 'types' is the small step list
+    # one row per run and step of that job: the steps are the user's own event types
+    steps = e.select("user_id", "event_type").distinct()
+    runs = runs.join(steps, "user_id")
     hist = e.select("user_id", "event_type", "event_id", "ts", "value")
     out = E.align_steps_to_run(runs, hist, keys=["user_id", "event_type"], run_first_id="run_first_id",
                                hist_id="event_id", hist_cols=["ts"], bucket_width=512)

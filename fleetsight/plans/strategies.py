@@ -3,7 +3,8 @@
 * :func:`broadcast_if_small` - broadcast only behind a row-count check; above
   the bound the side is left to the planner (sort-merge / shuffled hash join,
   which AQE may still turn into a broadcast from runtime statistics).
-* :func:`one_row` - mark a global aggregate (exactly one row) for broadcast.
+* one-row aggregates (grand totals, latest collection time) are attached
+  with ``DataFrame.scalar()`` - a scalar subquery computed once - not joined.
 * :func:`previous_in_order` - "previous row of the same key" (LAG) that does
   not send a hot key to a single task: rows are windowed per (key, time
   bucket) and the first row of each bucket takes the last row of the nearest
@@ -30,18 +31,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """A global aggregate (no grouping keys) has exactly one row: broadcast it."""
-    return F.broadcast(df)
-
-
-def keyed_totals(df: DataFrame, keys: list[str], max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Per-key totals are one row per key; broadcast only when there are few keys."""
-    if not keys:
-        return one_row(df)
-    return broadcast_if_small(df, max_rows)
-
-
 def previous_in_order(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
                       bucket: Column, prefix: str = "prev_", keep_bucket_last: bool = False) -> DataFrame:
     """Add ``prefix + v`` = value of ``v`` in the previous row of the same key.

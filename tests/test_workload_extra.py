@@ -93,3 +93,12 @@ def test_command_log_statistics(spark):
     r = W.command_log_report(log, "statistics").first()
     assert (r["row_count"], r["modification_counter"], str(r["modification_percent"]), r["duration"]) == \
         (800, 100, "12.50", "01:00:05")
+
+
+def test_top_workload_without_groups(spark):
+    stats = spark.createDataFrame([(1, 2, 10), (2, 1, 30), (3, 1, 5)],
+                                  "plan_id int, count_executions bigint, avg_duration bigint")
+    out = W.top_workload(stats, group_cols=[], plan_col="plan_id", count_col="count_executions",
+                         measures={"duration": "avg_duration"}, n=2).collect()
+    got = sorted((r["rn"], r["plan_id"], str(r["percent_duration"])) for r in out)
+    assert got == [(1, 2, "54.55"), (2, 1, "36.36")]
