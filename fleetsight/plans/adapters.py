@@ -2,7 +2,7 @@
 
 Each adapter is a projection (plus at most a cheap expression) of one table,
 so it adds no shuffle: Catalyst folds it into the scan's column pruning.
-Measures are cast to exact decimals before any sum, so totals do not depend
+Measures are exact (integer units or decimals) before any sum, so totals do not depend
 on summation order.
 """
 
@@ -11,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetsight.functions.scalar import code_text
+
 # Return flag -> execution outcome used for the workload views.
 RETURNFLAG_OUTCOME = {"N": "Regular", "R": "Aborted", "A": "Exception"}
 
 
-def dec(c: str, t: str = "decimal(15,2)"):
-    return F.col(c).cast(t)
-
-
 def runtime_stats(lineitem: DataFrame) -> DataFrame:
     """lineitem as workload runtime statistics: database = line status, plan =
     part, interval = ship month, executions = quantity, duration = price in
@@ -27,8 +25,7 @@ def runtime_stats(lineitem: DataFrame) -> DataFrame:
     Integer units keep the per-row arithmetic in 64-bit integers (exact and
     far cheaper than decimal casts of every row); totals are summed as
     decimals, so they cannot overflow."""
-    rf = F.col("l_returnflag")
-    outcome = (F.when(rf == "N", "Regular").when(rf == "R", "Aborted").otherwise("Exception"))
+    outcome = code_text("l_returnflag", RETURNFLAG_OUTCOME)
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return lineitem.select(
         F.col("l_linestatus").alias("db"),
