@@ -100,21 +100,44 @@ def size_by_type(df: DataFrame, entity: str, type_col: str, size: str, used: str
 
 
 # ------------------------------------------------------------------ C5
-def space_used(pages: DataFrame, keys: list[str], *, index_id: str = "index_id",
-               reserved: str = "reserved_page_count", used: str = "used_page_count",
-               in_row: str = "in_row_data_page_count", lob: str = "lob_used_page_count",
-               overflow: str = "row_overflow_used_page_count", page_kb: int = 8) -> DataFrame:
-    """Reserved/data/index/used/unused KB from page counts; never negative."""
-    data_pages = F.when(F.col(index_id) < 2, F.col(in_row) + F.col(lob) + F.col(overflow)) \
-        .otherwise(F.col(lob) + F.col(overflow))
-    agg = pages.groupBy(*keys).agg(F.sum(reserved).alias("__res"), F.sum(used).alias("__used"),
-                                   F.sum(data_pages).alias("__data"))
+# Internal table types whose pages count as index, not data
+# (XML and full-text index internals).
+INDEX_INTERNAL_TYPES = [202, 204, 211, 212, 213, 214, 215, 216]
+
+
+def space_used(units: DataFrame, keys: list[str], files: DataFrame | None = None, *,
+               index_id: str = "index_id", unit_type: str = "type", internal_type: str = "internal_type",
+               total: str = "total_pages", used: str = "used_pages", data: str = "data_pages",
+               page_kb: int = 8) -> DataFrame:
+    """Space report per database from allocation units (and files).
+
+    reserved = total pages; data = data pages of heaps and clustered indexes
+    plus used pages of LOB/overflow units, except internal XML/full-text
+    tables (counted as index); index = used - data; unused = reserved - used.
+    With ``files`` (keys, size pages, is_log) also database size, log size and
+    unallocated space (data file pages not reserved; never negative). All in
+    KB; conditional sums in one aggregation per input.
+    """
+    it = F.col(internal_type) if internal_type in units.columns else F.lit(None)
+    pages = (F.when(it.isin(INDEX_INTERNAL_TYPES), F.lit(0))
+              .when(F.col(unit_type) != 1, F.col(used))
+              .when(F.col(index_id) < 2, F.col(data)).otherwise(F.lit(0)))
+    agg = units.groupBy(*keys).agg(F.sum(total).alias("__res"), F.sum(used).alias("__used"),
+                                   F.sum(pages).alias("__data"))
     kb = F.lit(page_kb)
-    return agg.select(
+    out = agg.select(
         *keys, (F.col("__res") * kb).alias("reserved_kb"), (F.col("__data") * kb).alias("data_kb"),
-        (F.greatest(F.col("__used") - F.col("__data"), F.lit(0)) * kb).alias("index_kb"),
-        (F.col("__used") * kb).alias("used_kb"),
-        (F.greatest(F.col("__res") - F.col("__used"), F.lit(0)) * kb).alias("unused_kb"))
+        ((F.col("__used") - F.col("__data")) * kb).alias("index_kb"), (F.col("__used") * kb).alias("used_kb"),
+        ((F.col("__res") - F.col("__used")) * kb).alias("unused_kb"), "__res")
+    if files is not None:
+        f = files.groupBy(*keys).agg(
+            F.sum(F.when(~F.col("is_log"), F.col("size")).otherwise(F.lit(0))).alias("__db"),
+            F.sum(F.when(F.col("is_log"), F.col("size")).otherwise(F.lit(0))).alias("__log"))
+        out = out.join(f, keys, "left").select(
+            "*", ((F.col("__db") + F.col("__log")) * kb).alias("database_size_kb"),
+            (F.col("__log") * kb).alias("log_kb"),
+            (F.greatest(F.col("__db") - F.col("__res"), F.lit(0)) * kb).alias("unallocated_kb")).drop("__db", "__log")
+    return out.drop("__res")
 
 
 # ------------------------------------------------------------------ C7

@@ -85,28 +85,37 @@ def c4_size_by_type(t):
 
 
 @query("c5_space_used", """
-WITH p AS (SELECT l_suppkey, l_linenumber % 3 AS index_id, CAST(l_quantity * 10 AS BIGINT) AS reserved_page_count,
-                  CAST(l_quantity * 8 AS BIGINT) AS used_page_count, CAST(l_quantity * 5 AS BIGINT) AS in_row_data_page_count,
-                  CAST(l_linenumber AS BIGINT) AS lob_used_page_count, CAST(l_tax * 100 AS BIGINT) AS row_overflow_used_page_count
-           FROM lineitem),
-a AS (SELECT l_suppkey, SUM(reserved_page_count) AS r, SUM(used_page_count) AS u,
-             SUM(CASE WHEN index_id < 2 THEN in_row_data_page_count + lob_used_page_count + row_overflow_used_page_count
-                      ELSE lob_used_page_count + row_overflow_used_page_count END) AS d
-      FROM p GROUP BY l_suppkey)
-SELECT l_suppkey, r * 8 AS reserved_kb, d * 8 AS data_kb, greatest(u - d, 0) * 8 AS index_kb, u * 8 AS used_kb,
-       greatest(r - u, 0) * 8 AS unused_kb
-FROM a
+WITH u AS (SELECT l_suppkey, l_linenumber % 3 AS index_id,
+                  CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS type,
+                  CASE WHEN l_linenumber = 7 THEN 202 END AS internal_type,
+                  CAST(l_quantity AS BIGINT) * 10 AS total_pages, CAST(l_quantity AS BIGINT) * 8 AS used_pages,
+                  CAST(l_quantity AS BIGINT) * 5 AS data_pages FROM lineitem),
+a AS (SELECT l_suppkey, SUM(total_pages) AS r, SUM(used_pages) AS u,
+             SUM(CASE WHEN internal_type IN (202, 204, 211, 212, 213, 214, 215, 216) THEN 0
+                      WHEN type <> 1 THEN used_pages WHEN index_id < 2 THEN data_pages ELSE 0 END) AS d
+      FROM u GROUP BY l_suppkey),
+f AS (SELECT s_suppkey AS l_suppkey, CAST((s_suppkey % 7 + 1) * 100000 AS BIGINT) AS db, CAST(20000 AS BIGINT) AS lg
+      FROM supplier)
+SELECT a.l_suppkey, r * 8 AS reserved_kb, d * 8 AS data_kb, (u - d) * 8 AS index_kb, u * 8 AS used_kb,
+       (r - u) * 8 AS unused_kb, (f.db + f.lg) * 8 AS database_size_kb, f.lg * 8 AS log_kb,
+       greatest(f.db - r, 0) * 8 AS unallocated_kb
+FROM a LEFT JOIN f ON f.l_suppkey = a.l_suppkey
 """)
 def c5_space_used(t):
-    """Page-count space report per supplier over lineitem-derived page counts."""
+    """Space report per supplier 'database': line items as allocation units (flag = unit
+    type, line 7 = XML index internals), a data and a log file per supplier."""
     li = t.lineitem
-    p = li.select("l_suppkey", (F.col("l_linenumber") % 3).alias("index_id"),
-                  (F.col("l_quantity") * 10).cast("bigint").alias("reserved_page_count"),
-                  (F.col("l_quantity") * 8).cast("bigint").alias("used_page_count"),
-                  (F.col("l_quantity") * 5).cast("bigint").alias("in_row_data_page_count"),
-                  F.col("l_linenumber").cast("bigint").alias("lob_used_page_count"),
-                  F.round(F.col("l_tax") * 100).cast("bigint").alias("row_overflow_used_page_count"))
-    return C.space_used(p, ["l_suppkey"])
+    q = F.col("l_quantity").cast("bigint")
+    rf = F.col("l_returnflag")
+    units = li.select("l_suppkey", (F.col("l_linenumber") % 3).alias("index_id"),
+                      F.when(rf == "A", 1).when(rf == "N", 2).otherwise(3).alias("type"),
+                      F.when(F.col("l_linenumber") == 7, F.lit(202)).alias("internal_type"),
+                      (q * 10).alias("total_pages"), (q * 8).alias("used_pages"), (q * 5).alias("data_pages"))
+    files = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.array(
+        F.struct(((F.col("s_suppkey") % 7 + 1) * 100000).cast("bigint").alias("size"), F.lit(False).alias("is_log")),
+        F.struct(F.lit(20000).cast("bigint").alias("size"), F.lit(True).alias("is_log")))).alias("f")) \
+        .select("l_suppkey", "f.size", "f.is_log")
+    return C.space_used(units, ["l_suppkey"], files)
 
 
 _COUNTER_DETAILS_SQL = """
