@@ -260,21 +260,31 @@ def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: Data
 # --------------------------------------------------------------------- D12
 def plan_maintenance(frag: DataFrame, *, frag_col: str = "avg_fragmentation_in_percent",
                      pages_col: str = "page_count", lob_col: str | None = None,
-                     min_reorg: float = 10.0, min_rebuild: float = 30.0, min_pages: int = 1000,
+                     view_no_ansi_col: str | None = None, min_reorg: float = 10.0, min_rebuild: float = 30.0,
+                     min_pages: int = 1000, enterprise: bool = False,
                      table_key: list[str] | None = None) -> DataFrame:
-    """Choose REORGANIZE / REBUILD for fragmented items over ``min_pages`` pages.
-
-    REORGANIZE when fragmentation is within [min_reorg, min_rebuild] (or the
-    item holds large objects, which cannot be rebuilt online); REBUILD above.
-    Items under min_reorg or with too few pages are not listed.
+    """Choose REORGANIZE / REBUILD for fragmented items.
+
+    Candidates: fragmentation above ``min_reorg`` and more than ``min_pages``
+    pages (heaps, index_id 0, are skipped when the column is there).
+    REORGANIZE when fragmentation is within [min_reorg, min_rebuild], or the
+    item holds large objects (``lob_col``), or it is an indexed view created
+    without ANSI_NULLS (``view_no_ansi_col``); REBUILD otherwise. A
+    reorganize is always online; a rebuild is online only on an edition that
+    supports it (``enterprise``). With ``table_key`` the number of
+    candidate partitions of the same index is added.
     """
     f = F.col(frag_col)
-    cand = frag.filter((f >= min_reorg) & (F.col(pages_col) > min_pages))
-    reorg = f <= min_rebuild
+    cand = frag.filter(f.isNotNull() & (f > min_reorg) & (F.col(pages_col) > min_pages))
+    if "index_id" in frag.columns:
+        cand = cand.filter(F.col("index_id") > 0)
+    reorg = f.between(min_reorg, min_rebuild)
     if lob_col:
-        reorg = reorg | F.col(lob_col)
+        reorg = reorg | F.coalesce(F.col(lob_col), F.lit(False))
+    if view_no_ansi_col:
+        reorg = reorg | F.coalesce(F.col(view_no_ansi_col), F.lit(False))
     out = cand.withColumn("operation", F.when(reorg, F.lit("REORGANIZE")).otherwise(F.lit("REBUILD")))
-    out = out.withColumn("online", F.col("operation") == "REBUILD")
+    out = out.withColumn("online", (F.col("operation") == "REORGANIZE") | F.lit(enterprise))
     if table_key:
         parts = out.groupBy(*table_key).agg(F.count(F.lit(1)).alias("n_items_in_table"))
         out = out.join(parts, table_key, "left")

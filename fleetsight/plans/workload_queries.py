@@ -180,11 +180,11 @@ WITH f AS (
   SELECT l_orderkey, l_linenumber, CAST(l_discount * 400 AS DECIMAL(10,2)) AS frag, CAST(l_quantity * 40 AS BIGINT) AS pages
   FROM lineitem)
 SELECT l_orderkey, l_linenumber, frag, pages,
-  CASE WHEN frag <= 30 THEN 'REORGANIZE' ELSE 'REBUILD' END AS operation,
-  frag > 30 AS online, n_items_in_table
-FROM f JOIN (SELECT l_orderkey AS k, COUNT(*) AS n_items_in_table FROM f WHERE frag >= 10 AND pages > 1000 GROUP BY 1) c
+  CASE WHEN frag BETWEEN 10 AND 30 THEN 'REORGANIZE' ELSE 'REBUILD' END AS operation,
+  frag BETWEEN 10 AND 30 AS online, n_items_in_table
+FROM f JOIN (SELECT l_orderkey AS k, COUNT(*) AS n_items_in_table FROM f WHERE frag > 10 AND pages > 1000 GROUP BY 1) c
   ON c.k = f.l_orderkey
-WHERE frag >= 10 AND pages > 1000
+WHERE frag > 10 AND pages > 1000
 """)
 def d12_plan_maintenance(t):
     """REORGANIZE/REBUILD per lineitem 'index' (fragmentation = discount * 400,

@@ -64,10 +64,16 @@ def test_restore_chain(spark):
 
 
 def test_maintenance_thresholds(spark):
-    rows = [(1, 10.0, 1001), (2, 10.01, 1001), (3, 30.0, 1001), (4, 30.01, 1001), (5, 50.0, 1000), (6, 9.99, 5000)]
-    df = spark.createDataFrame(rows, "id int, frag double, pages int")
-    got = {r["id"]: r["operation"] for r in W.plan_maintenance(df, frag_col="frag", pages_col="pages").collect()}
-    assert got == {1: "REORGANIZE", 2: "REORGANIZE", 3: "REORGANIZE", 4: "REBUILD"}
+    rows = [(1, 10.0, 1001, False), (2, 10.01, 1001, False), (3, 30.0, 1001, False), (4, 30.01, 1001, False),
+            (5, 50.0, 1000, False), (6, 9.99, 5000, False), (7, 50.0, 1001, True)]
+    df = spark.createDataFrame(rows, "id int, frag double, pages int, lob boolean")
+    got = {r["id"]: (r["operation"], r["online"])
+           for r in W.plan_maintenance(df, frag_col="frag", pages_col="pages", lob_col="lob").collect()}
+    # 10 is not above the reorganize threshold; 1000 pages are not above the page threshold
+    assert got == {2: ("REORGANIZE", True), 3: ("REORGANIZE", True), 4: ("REBUILD", False), 7: ("REORGANIZE", True)}
+    ent = {r["id"]: r["online"] for r in W.plan_maintenance(df, frag_col="frag", pages_col="pages",
+                                                            enterprise=True).collect()}
+    assert ent[4] is True
 
 
 def test_job_description_texts(spark):
