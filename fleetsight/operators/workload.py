@@ -296,29 +296,30 @@ def stale_statistics(stats: DataFrame, *, modified_col: str = "modification_coun
                      rows_col: str = "rows", rows_threshold: int = 100_000, pct_threshold: float = 10.0,
                      exclude: DataFrame | None = None, exclude_keys: list[str] | None = None,
                      sampled_col: str | None = None, table_rows_col: str | None = None) -> DataFrame:
-    """Statistics with modified rows > 0 and >= a row threshold or >= pct of rows.
-    With ``sampled_col`` the sampled percent is given against the statistic's
-    rows and (with ``table_rows_col``) against the table's rows. ``exclude``
-    drops statistics of objects listed there (NOT EXISTS, e.g. objects with
-    column types that cannot be updated online)."""
+    """Statistics with modified rows > 0 and at least ``rows_threshold``
+    modifications or ``pct_threshold`` percent of the table's rows
+    (``table_rows_col``, else the statistic's rows). Percentages (modified,
+    sampled against the statistic and against the table) are decimal(19,2),
+    0 when the base is 0. ``exclude`` drops statistics listed there (NOT
+    EXISTS, e.g. those over large-object or MAX columns)."""
     m = F.col(modified_col)
-    cond = (m > 0) & ((m >= rows_threshold) |
-                      (m.cast("double") * 100.0 >= F.col(rows_col).cast("double") * pct_threshold))
-    out = stats.filter(cond).withColumn(
-        "modified_percent",
-        (m.cast("decimal(38,4)") * 100 / F.nullif(F.col(rows_col), F.lit(0))).cast("decimal(19,2)"))
+    base = F.col(table_rows_col or rows_col)
+    cond = (m > 0) & ((m >= rows_threshold) | (m.cast("double") * 100.0 >= base.cast("double") * pct_threshold))
+    out = stats.filter(cond).withColumn("modified_percent", _pct(m, F.col(rows_col)))
     if sampled_col is not None:
-        out = out.withColumn("sampled_percent", (F.col(sampled_col).cast("decimal(38,4)") * 100
-                                                 / F.nullif(F.col(rows_col), F.lit(0))).cast("decimal(19,2)"))
+        out = out.withColumn("sampled_percent", _pct(F.col(sampled_col), F.col(rows_col)))
         if table_rows_col is not None:
-            out = out.withColumn("sampled_percent_of_table", (F.col(sampled_col).cast("decimal(38,4)") * 100
-                                                              / F.nullif(F.col(table_rows_col), F.lit(0)))
-                                 .cast("decimal(19,2)"))
+            out = out.withColumn("sampled_percent_of_table", _pct(F.col(sampled_col), F.col(table_rows_col)))
     if exclude is not None:
         out = out.join(exclude, exclude_keys, "left_anti")
     return out
 
 
+def _pct(part: Column, whole: Column) -> Column:
+    pct = (part.cast("decimal(38,4)") * 100 / F.nullif(whole, F.lit(0))).cast("decimal(19,2)")
+    return F.coalesce(pct, F.lit(0).cast("decimal(19,2)"))
+
+
 # --------------------------------------------------------------------- D14
 def command_log_report(log: DataFrame, kind: str) -> DataFrame:
     """Maintenance command log by kind: duration, and for index commands the

@@ -200,7 +200,7 @@ WITH s AS (
   SELECT l_partkey, COUNT(*) AS rows_, COUNT(*) FILTER (WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00') AS modified
   FROM lineitem GROUP BY l_partkey)
 SELECT l_partkey, rows_ AS "rows", modified AS modification_counter,
-  CAST(CAST(modified AS DECIMAL(38,4)) * 100 / NULLIF(rows_, 0) AS DECIMAL(19,2)) AS modified_percent
+  COALESCE(CAST(CAST(modified AS DECIMAL(38,4)) * 100 / NULLIF(rows_, 0) AS DECIMAL(19,2)), 0) AS modified_percent
 FROM s WHERE modified > 0 AND (modified >= 100000 OR CAST(modified AS DOUBLE) * 100.0 >= CAST(rows_ AS DOUBLE) * 10.0)
   AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
 """)

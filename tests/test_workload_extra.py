@@ -76,11 +76,12 @@ def test_unused_items_with_columns_and_stats_sampling(spark):
     out = W.unused_items(items, usage, "index_id", "index_id", threshold=100, columns=cols).collect()
     assert [(r["index_id"], r["user_seeks"], r["key_columns"], r["included_columns"]) for r in out] == \
         [(1, 0, "a, b", "z")]
-    stats = spark.createDataFrame([(1, 1000, 150, 500, 2000), (2, 1000, 0, 10, 2000)],
+    # the percent threshold is against the table rows (10% of 2000 = 200)
+    stats = spark.createDataFrame([(1, 1000, 250, 500, 2000), (2, 1000, 0, 10, 2000), (3, 1000, 150, 10, 2000)],
                                   "id int, rows bigint, modification_counter bigint, rows_sampled bigint, t bigint")
     got = W.stale_statistics(stats, sampled_col="rows_sampled", table_rows_col="t").collect()
     assert [(r["id"], str(r["modified_percent"]), str(r["sampled_percent"]), str(r["sampled_percent_of_table"]))
-            for r in got] == [(1, "15.00", "50.00", "25.00")]
+            for r in got] == [(1, "25.00", "50.00", "25.00")]
 
 
 def test_command_log_statistics(spark):
