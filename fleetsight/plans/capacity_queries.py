@@ -68,11 +68,12 @@ def c3_disk_alarm(t):
 WITH d AS (SELECT l_returnflag, CASE l_linestatus WHEN 'O' THEN 'ROWS' ELSE 'LOG' END AS type_desc,
                   CAST(l_extendedprice AS DECIMAL(15,2)) AS size, CAST(l_quantity AS DECIMAL(15,2)) AS used FROM lineitem)
 SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN '***Total***' ELSE l_returnflag END AS l_returnflag,
-  COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0) AS rows_size,
-  COALESCE(SUM(CASE WHEN type_desc = 'LOG' THEN size END), 0) AS log_size,
-  COALESCE(SUM(CASE WHEN type_desc = 'FILESTREAM' THEN size END), 0) AS filestream_size,
-  COALESCE(SUM(CASE WHEN type_desc = 'FULLTEXT' THEN size END), 0) AS fulltext_size,
-  SUM(size) AS total_size, SUM(used) AS used_size, SUM(size) - SUM(used) AS free_size
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0) AS DECIMAL(25,2)) AS rows_size,
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'LOG' THEN size END), 0) AS DECIMAL(25,2)) AS log_size,
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'FILESTREAM' THEN size END), 0) AS DECIMAL(25,2)) AS filestream_size,
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'FULLTEXT' THEN size END), 0) AS DECIMAL(25,2)) AS fulltext_size,
+  CAST(SUM(size) AS DECIMAL(25,2)) AS total_size, CAST(SUM(used) AS DECIMAL(25,2)) AS used_size,
+  CAST(SUM(size) - SUM(used) AS DECIMAL(26,2)) AS free_size
 FROM d GROUP BY ROLLUP (l_returnflag)
 """)
 def c4_size_by_type(t):
@@ -96,9 +97,10 @@ a AS (SELECT l_suppkey, SUM(total_pages) AS r, SUM(used_pages) AS u,
       FROM u GROUP BY l_suppkey),
 f AS (SELECT s_suppkey AS l_suppkey, CAST((s_suppkey % 7 + 1) * 100000 AS BIGINT) AS db, CAST(20000 AS BIGINT) AS lg
       FROM supplier)
-SELECT a.l_suppkey, r * 8 AS reserved_kb, d * 8 AS data_kb, (u - d) * 8 AS index_kb, u * 8 AS used_kb,
-       (r - u) * 8 AS unused_kb, (f.db + f.lg) * 8 AS database_size_kb, f.lg * 8 AS log_kb,
-       greatest(f.db - r, 0) * 8 AS unallocated_kb
+SELECT a.l_suppkey, CAST(r * 8 AS BIGINT) AS reserved_kb, CAST(d * 8 AS BIGINT) AS data_kb,
+       CAST((u - d) * 8 AS BIGINT) AS index_kb, CAST(u * 8 AS BIGINT) AS used_kb,
+       CAST((r - u) * 8 AS BIGINT) AS unused_kb, (f.db + f.lg) * 8 AS database_size_kb, f.lg * 8 AS log_kb,
+       CAST(greatest(f.db - r, 0) * 8 AS BIGINT) AS unallocated_kb
 FROM a LEFT JOIN f ON f.l_suppkey = a.l_suppkey
 """)
 def c5_space_used(t):
@@ -142,11 +144,11 @@ def counter_tables(t):
 @query("c7_pivot_counters", """
 WITH e AS (SELECT event_type, date_trunc('millisecond', ts) AS counter_ts, CAST(value AS DECIMAL(15,2)) AS v FROM events)
 SELECT 'SRV01' AS machine_name, counter_ts,
-  SUM(CASE WHEN event_type = 'click' THEN v END) AS "Events\\click",
-  SUM(CASE WHEN event_type = 'error' THEN v END) AS "Events\\error",
-  SUM(CASE WHEN event_type = 'purchase' THEN v END) AS "Events\\purchase",
-  SUM(CASE WHEN event_type = 'signup' THEN v END) AS "Events\\signup",
-  SUM(CASE WHEN event_type = 'view' THEN v END) AS "Events\\view",
+  CAST(SUM(CASE WHEN event_type = 'click' THEN v END) AS DECIMAL(25,2)) AS "Events\\click",
+  CAST(SUM(CASE WHEN event_type = 'error' THEN v END) AS DECIMAL(25,2)) AS "Events\\error",
+  CAST(SUM(CASE WHEN event_type = 'purchase' THEN v END) AS DECIMAL(25,2)) AS "Events\\purchase",
+  CAST(SUM(CASE WHEN event_type = 'signup' THEN v END) AS DECIMAL(25,2)) AS "Events\\signup",
+  CAST(SUM(CASE WHEN event_type = 'view' THEN v END) AS DECIMAL(25,2)) AS "Events\\view",
   CAST(counter_ts AS DATE) AS counter_date, strftime(counter_ts, '%H:%M:%S.%g') AS counter_time
 FROM e GROUP BY counter_ts
 """.replace("\\\\", "\\"))
@@ -194,7 +196,8 @@ _LOG_SQL = """
 WITH e AS (SELECT user_id, event_type, ts, event_id, CAST(value AS DECIMAL(15,2)) AS value FROM events {where}),
 l AS (SELECT *, LAG(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM e),
 a AS (SELECT user_id, event_type,
-        SUM(CASE WHEN prev IS NULL THEN value WHEN prev > value THEN value ELSE value - prev END) AS total_value,
+        CAST(SUM(CASE WHEN prev IS NULL THEN value WHEN prev > value THEN value ELSE value - prev END) AS DECIMAL(26,2))
+          AS total_value,
         COUNT(CASE WHEN prev > value THEN 1 END) AS resets_value,
         arg_max(value, (ts, event_id)) AS value, MAX(ts) AS last_reading_time
       FROM l GROUP BY user_id, event_type)
@@ -215,9 +218,9 @@ r AS (SELECT user_id, event_type, arg_max(CAST(value AS DECIMAL(15,2)), (ts, eve
       WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id, event_type)
 SELECT COALESCE(a.user_id, r.user_id) AS user_id, COALESCE(a.event_type, r.event_type) AS event_type,
   CASE WHEN r.rv IS NOT NULL THEN r.rv ELSE a.value END AS value,
-  CASE WHEN r.rv IS NOT NULL THEN COALESCE(a.total_value, 0) +
+  CAST(CASE WHEN r.rv IS NOT NULL THEN COALESCE(a.total_value, 0) +
          CASE WHEN a.value IS NULL THEN r.rv WHEN a.value > r.rv THEN r.rv ELSE r.rv - a.value END
-       ELSE a.total_value END AS total_value
+       ELSE a.total_value END AS DECIMAL(27,2)) AS total_value
 FROM a FULL OUTER JOIN r ON a.user_id = r.user_id AND a.event_type = r.event_type
 """)
 def c9_accumulate_state(t):
@@ -295,7 +298,7 @@ def c13_reclaim_candidates(t):
 
 
 @query("c14_fragment_stats", """
-SELECT l_suppkey, l_linenumber % 10 AS status_code, SUM(CAST(l_quantity AS DECIMAL(15,2))) AS total_row_count,
+SELECT l_suppkey, l_linenumber % 10 AS status_code, CAST(SUM(CAST(l_quantity AS DECIMAL(15,2))) AS DECIMAL(25,2)) AS total_row_count,
   COUNT(*) AS n_fragments,
   CAST(trunc(CASE WHEN COUNT(l_quantity) > 1 THEN sqrt(CAST(COUNT(l_quantity) * SUM(CAST(l_quantity AS DECIMAL(20,4)) * CAST(l_quantity AS DECIMAL(20,4)))
        - SUM(CAST(l_quantity AS DECIMAL(20,4))) * SUM(CAST(l_quantity AS DECIMAL(20,4))) AS DOUBLE)

@@ -200,8 +200,9 @@ def e5_restore_chain(t):
 
 
 @query("e6_last_n_checks", """
-SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS check_rank
-FROM orders) x WHERE check_rank <= 2
+SELECT * REPLACE (CAST(check_rank AS INTEGER) AS check_rank) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS check_rank
+  FROM orders) x WHERE check_rank <= 2
 """)
 def e6_last_n_checks(t):
     """Last 2 'checks' (orders) per (status as server, customer as database)."""

@@ -14,7 +14,7 @@ WITH d AS (SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents
 a AS (SELECT COUNT(*) AS n, COUNT(doc_id) AS a1, COUNT(lang) AS a2, COUNT(source) AS a3, COUNT(quality) AS a4, COUNT(toxic) AS a5,
              MAX(length(lang)) AS l2, MAX(length(source)) AS l3 FROM d)
 SELECT column_name, data_type, n - nn AS null_rows, nn AS not_null_rows,
-  COALESCE(CAST(CAST(n - nn AS DECIMAL(20,0)) * 100 / NULLIF(n, 0) AS DECIMAL(10,2)), 0) AS null_percent,
+  CAST(COALESCE(CAST(CAST(n - nn AS DECIMAL(20,0)) * 100 / NULLIF(n, 0) AS DECIMAL(10,2)), 0) AS DECIMAL(10,2)) AS null_percent,
   CAST(n - nn AS DOUBLE) * CAST(COALESCE(w, 0) AS DOUBLE) / 1048576.0 AS null_mb
 FROM a, LATERAL (VALUES ('doc_id', 'bigint', a1, 8), ('lang', 'string', a2, l2), ('source', 'string', a3, l3),
                         ('quality', 'int', a4, 4), ('toxic', 'int', a5, 4)) v(column_name, data_type, nn, w)
@@ -26,15 +26,15 @@ def g1_null_profile(t):
 
 
 @query("g3_search_text", """
-SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS object_id, strpos(lower(text), 'license') AS match_position,
+SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS object_id, CAST(strpos(lower(text), 'license') AS INTEGER) AS match_position,
   substr(text, greatest(strpos(lower(text), 'license') - 40, 1), 87) AS context
 FROM documents WHERE text ILIKE '%license%'
 UNION ALL
-SELECT 'page', CAST(page_id AS VARCHAR), strpos(lower(html), 'license'),
+SELECT 'page', CAST(page_id AS VARCHAR), CAST(strpos(lower(html), 'license') AS INTEGER),
   substr(html, greatest(strpos(lower(html), 'license') - 40, 1), 87)
 FROM pages WHERE html ILIKE '%license%'
 UNION ALL
-SELECT 'benchmark', CAST(item_id AS VARCHAR), strpos(lower(text), 'license'),
+SELECT 'benchmark', CAST(item_id AS VARCHAR), CAST(strpos(lower(text), 'license') AS INTEGER),
   substr(text, greatest(strpos(lower(text), 'license') - 40, 1), 87)
 FROM benchmark WHERE text ILIKE '%license%'
 """)
@@ -71,7 +71,7 @@ def g4_key_candidates(t):
 
 @query("g5_module_inventory", """
 SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) AS name, source AS schema_name, lang AS type_desc, text AS definition,
-  length(text) AS definition_length
+  CAST(length(text) AS INTEGER) AS definition_length
 FROM documents WHERE lang IN ('en', 'de') AND ('doc_' || CAST(doc_id AS VARCHAR)) ILIKE '%7%'
 """)
 def g5_module_inventory(t):

@@ -365,7 +365,7 @@ def _capture(t):
 
 @query("a16_parse_key_value", """
 SELECT s.s_suppkey, s.s_name AS host_name, n.n_name AS os_detail,
-  CAST(floor(abs(s.s_acctbal)) + s.s_suppkey AS DECIMAL(20,2)) AS memory_mb,
+  CAST(floor(abs(s.s_acctbal)) + s.s_suppkey AS DECIMAL(30,2)) AS memory_mb,
   CAST(s.s_nationkey % 3 + 1 AS BIGINT) AS n_hotfixes
 FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey
 """)

@@ -39,9 +39,9 @@ t AS (SELECT db, SUM(total_duration) AS pd, SUM(total_cpu) AS pc, SUM(total_read
 SELECT r.db, r.plan_id, r.total_executions, r.total_exec_successful, r.total_exec_aborted,
   r.total_exec_exceptions, r.avg_duration, r.total_duration, r.avg_cpu, r.total_cpu, r.avg_reads,
   r.total_reads, CAST(r.rn AS INTEGER) AS rn,
-  COALESCE(CAST(CAST(r.total_duration AS DECIMAL(38,4)) * 100 / NULLIF(t.pd, 0) AS DECIMAL(5,2)), 0) AS percent_duration,
-  COALESCE(CAST(CAST(r.total_cpu AS DECIMAL(38,4)) * 100 / NULLIF(t.pc, 0) AS DECIMAL(5,2)), 0) AS percent_cpu,
-  COALESCE(CAST(CAST(r.total_reads AS DECIMAL(38,4)) * 100 / NULLIF(t.pr, 0) AS DECIMAL(5,2)), 0) AS percent_reads,
+  CAST(COALESCE(CAST(CAST(r.total_duration AS DECIMAL(38,4)) * 100 / NULLIF(t.pd, 0) AS DECIMAL(5,2)), 0) AS DECIMAL(5,2)) AS percent_duration,
+  CAST(COALESCE(CAST(CAST(r.total_cpu AS DECIMAL(38,4)) * 100 / NULLIF(t.pc, 0) AS DECIMAL(5,2)), 0) AS DECIMAL(5,2)) AS percent_cpu,
+  CAST(COALESCE(CAST(CAST(r.total_reads AS DECIMAL(38,4)) * 100 / NULLIF(t.pr, 0) AS DECIMAL(5,2)), 0) AS DECIMAL(5,2)) AS percent_reads,
   '(Successful:' || CAST(r.total_exec_successful AS VARCHAR) || ', Aborted:' || CAST(r.total_exec_aborted AS VARCHAR)
     || ', Exceptions:' || CAST(r.total_exec_exceptions AS VARCHAR) || ')' AS total_executions_breakdown,
   part.p_name, part.p_brand
@@ -70,7 +70,7 @@ def d2_top_workload_by_avg_cpu(t):
 
 @query("d1_interval_overlap", """
 SELECT interval_id, start_time, end_time FROM (
-  SELECT year(l_shipdate) * 100 + month(l_shipdate) AS interval_id,
+  SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS interval_id,
          MIN(l_shipdate) AS start_time, MAX(l_shipdate) AS end_time
   FROM lineitem GROUP BY 1) i
 WHERE start_time <= TIMESTAMP '1998-06-30 00:00:00' AND end_time >= TIMESTAMP '1997-12-15 00:00:00'
@@ -241,7 +241,7 @@ def _usage(t):
 WITH p AS (SELECT l_suppkey AS object_id, l_linenumber % 3 AS index_id,
                   CASE l_returnflag WHEN 'A' THEN 'IN_ROW_DATA' WHEN 'N' THEN 'LOB_DATA' ELSE 'ROW_OVERFLOW_DATA' END AS type_desc,
                   CAST(l_quantity AS BIGINT) AS q, l_linestatus, l_returnflag, l_shipdate FROM lineitem),
-a AS (SELECT object_id, SUM(CASE WHEN index_id < 2 THEN 1 END) AS "rows",
+a AS (SELECT object_id, CAST(SUM(CASE WHEN index_id < 2 THEN 1 END) AS BIGINT) AS "rows",
         SUM(q * 10) * 8 / 1024.0 AS total_mb, SUM(q * 8) * 8 / 1024.0 AS used_mb, SUM(q * 5) * 8 / 1024.0 AS data_mb,
         greatest(SUM(q * 8) - SUM(q * 5), 0) * 8 / 1024.0 AS index_mb,
         greatest(SUM(q * 10) - SUM(q * 8), 0) * 8 / 1024.0 AS unused_mb,
@@ -250,7 +250,8 @@ a AS (SELECT object_id, SUM(CASE WHEN index_id < 2 THEN 1 END) AS "rows",
         COALESCE(SUM(CASE WHEN type_desc = 'ROW_OVERFLOW_DATA' THEN q * 10 END), 0) * 8 / 1024.0 AS row_overflow_data_mb,
         greatest(MAX(CASE WHEN l_linestatus = 'O' THEN l_shipdate END), MAX(CASE WHEN l_linestatus = 'F' THEN l_shipdate END),
                  MAX(CASE WHEN l_returnflag = 'R' THEN l_shipdate END)) AS last_read,
-        SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) + SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS reads
+        CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) + SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT)
+          AS reads
       FROM p GROUP BY object_id)
 SELECT * FROM a
 """)
@@ -322,10 +323,10 @@ pp AS (SELECT db, plan_id, SUM(ct) AS total_query_wait_time_ms,
 mm AS (SELECT db, plan_id, CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms) AS avg_query_wait_time_ms
        FROM chosen GROUP BY db, plan_id),
 per AS (SELECT db, SUM(total_query_wait_time_ms) AS wp FROM w GROUP BY db)
-SELECT base.*, COALESCE(pp.total_query_wait_time_ms, 0) AS total_query_wait_time_ms,
+SELECT base.*, CAST(COALESCE(pp.total_query_wait_time_ms, 0) AS BIGINT) AS total_query_wait_time_ms,
   COALESCE(pp.total_query_wait_time_ms_breakdown, '-') AS total_query_wait_time_ms_breakdown, mm.avg_query_wait_time_ms,
-  COALESCE(CAST(CAST(COALESCE(pp.total_query_wait_time_ms, 0) AS DECIMAL(38,4)) * 100 / NULLIF(per.wp, 0) AS DECIMAL(5,2)), 0)
-    AS percent_query_wait_time
+  CAST(COALESCE(CAST(CAST(COALESCE(pp.total_query_wait_time_ms, 0) AS DECIMAL(38,4)) * 100 / NULLIF(per.wp, 0)
+    AS DECIMAL(5,2)), 0) AS DECIMAL(5,2)) AS percent_query_wait_time
 FROM base LEFT JOIN pp ON pp.db = base.db AND pp.plan_id = base.plan_id
 LEFT JOIN mm ON mm.db = base.db AND mm.plan_id = base.plan_id
 LEFT JOIN per ON per.db = base.db

@@ -32,3 +32,6 @@ def test_query_matches_sql(spark, con, name):
     orecs = cur.fetchall()
     assert sorted(cols) == sorted(ocols)
     assert rows_of(cols, recs, False) == rows_of(ocols, orecs, False)
+    # column types agree too (Spark type names mapped to DuckDB's)
+    otypes = {r[0]: r[1].replace(" ", "") for r in con.execute(f"DESCRIBE {registry.ORACLE[name]}").fetchall()}
+    assert {n: canon_spark(t) for n, t in df.dtypes} == otypes
