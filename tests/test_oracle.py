@@ -7,6 +7,7 @@ from conftest import SF_SMALL
 from fleetsight.plans import registry
 from fleetsight.sources.tables import TABLE_NAMES
 from oracle_check import rows_of
+from type_check import canon_spark
 
 registry.load_all()
 
