@@ -89,20 +89,26 @@ def search_text(sources: dict[str, tuple[DataFrame, str, str]], pattern: str, co
 
 
 # --------------------------------------------------------------------- G4
-def key_candidates(tables: dict[str, tuple[DataFrame, list[str], str | None]]) -> DataFrame:
-    """Choose a key per table: the declared key; else an identity column; else
-    a candidate column that is unique and holds no NULLs; else none.
-
-    ``tables``: {name: (df, candidate columns, declared key or None)}. Row
-    count, distinct count and NULL count of every candidate come from one
-    aggregation per table."""
+def key_candidates(tables: dict[str, tuple], identities: dict[str, str] | None = None) -> DataFrame:
+    """Choose a key per table: the declared key; else the identity column;
+    else the first candidate column that is unique and holds no NULLs
+    (candidates default to the columns named ``id``); else none, and a new
+    key column is needed.
+
+    ``tables``: {name: (df, candidate columns or None, declared key or None)}.
+    Row count, distinct count and NULL count of every candidate come from
+    one aggregation per table.
+    """
+    identities = identities or {}
     parts = []
     for name, (df, cands, declared) in tables.items():
-        if declared:
+        fixed = ((declared, "declared key") if declared else
+                 (identities[name], "identity column") if name in identities else None)
+        if fixed:
             parts.append(df.sparkSession.range(1).select(
-                F.lit(name).alias("table_name"), F.lit(declared).alias("key_column"),
-                F.lit("declared key").alias("reason")))
+                F.lit(name).alias("table_name"), F.lit(fixed[0]).alias("key_column"), F.lit(fixed[1]).alias("reason")))
             continue
+        cands = cands or [c for c in df.columns if c.lower() in KEY_NAMES]
         aggs = [F.count(F.lit(1)).alias("__rows")]
         for c in cands:
             aggs += [F.count_distinct(F.col(c)).alias("d__" + c), F.count(F.col(c)).alias("n__" + c)]

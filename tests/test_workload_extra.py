@@ -103,3 +103,14 @@ def test_top_workload_without_groups(spark):
                          measures={"duration": "avg_duration"}, n=2).collect()
     got = sorted((r["rn"], r["plan_id"], str(r["percent_duration"])) for r in out)
     assert got == [(1, 2, "54.55"), (2, 1, "36.36")]
+
+
+def test_key_candidates_order(spark):
+    a = spark.createDataFrame([(1, 1), (2, 1)], "id bigint, x int")
+    b = spark.createDataFrame([(1, None), (2, 2)], "k int, id int")
+    c = spark.createDataFrame([(1,), (1,)], "v int")
+    out = {r["table_name"]: (r["key_column"], r["reason"]) for r in G.key_candidates(
+        {"a": (a, None, None), "b": (b, None, None), "c": (c, None, None), "d": (c, None, "v")},
+        identities={"b": "k"}).collect()}
+    assert out == {"a": ("id", "unique and not null"), "b": ("k", "identity column"),
+                   "c": (None, "no key: a new key column is needed"), "d": ("v", "declared key")}
