@@ -206,7 +206,9 @@ def job_activity(jobs: DataFrame, servers: DataFrame, *, job_key: str = "job_id"
                  outcome_col: str = "last_run_outcome", local_server: str | None = None) -> DataFrame:
     """Last outcome per job chosen by the greatest date * 10^6 + time over
     its servers; local or multi-server; outcome text (unknown for remote)."""
-    stamp = F.col(date_col).cast("bigint") * 1000000 + F.col(time_col).cast("bigint")
+    # ties on the stamp are broken by server name, so a recomputation picks the same row
+    stamp = F.struct((F.col(date_col).cast("bigint") * 1000000 + F.col(time_col).cast("bigint")).alias("s"),
+                     F.col("server_name").alias("n"))
     last = servers.groupBy(job_key).agg(F.max_by(F.struct(outcome_col, "server_name"), stamp).alias("__l"),
                                         F.count(F.lit(1)).alias("n_servers"))
     out = jobs.join(last, job_key, "left")

@@ -305,8 +305,9 @@ WITH s AS (SELECT event_type AS job_id, 'srv' || CAST(user_id % 3 AS VARCHAR) AS
                   CAST(strftime(MAX(ts), '%H%M%S') AS INTEGER) AS last_run_time,
                   CAST(arg_max(event_id, ts) % 5 AS INTEGER) AS last_run_outcome
            FROM events GROUP BY 1, 2),
-l AS (SELECT job_id, arg_max(last_run_outcome, CAST(last_run_date AS BIGINT) * 1000000 + last_run_time) AS o,
-             arg_max(server_name, CAST(last_run_date AS BIGINT) * 1000000 + last_run_time) AS srv, COUNT(*) AS n_servers
+l AS (SELECT job_id, arg_max(last_run_outcome, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS o,
+             arg_max(server_name, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS srv,
+             COUNT(*) AS n_servers
       FROM s GROUP BY job_id),
 j AS (SELECT DISTINCT event_type AS job_id, upper(event_type) AS job_name FROM events)
 SELECT j.job_id, j.job_name, l.n_servers, l.srv = 'srv0' AS is_local,
