@@ -31,8 +31,15 @@ def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compress
     # and on TIMESTAMP_NTZ it does not depend on the session time zone
     secs = F.unix_timestamp(F.col(finish)) - F.unix_timestamp(F.col(start))
     size_d, comp_d = F.col(size).cast("double"), F.col(compressed).cast("double")
-    return (df.withColumn("size_mb", (F.col(size) / 1048576).cast("bigint"))
+    gb = F.lit(1073741824)
+    out = df
+    if "has_backup_checksums" in df.columns:
+        out = out.withColumn("has_backup_checksums", F.when(F.col("has_backup_checksums"), F.lit("Yes"))
+                             .otherwise(F.lit("No")))
+    return (out.withColumn("size_mb", (F.col(size) / 1048576).cast("bigint"))
               .withColumn("compressed_size_mb", (F.col(compressed) / 1048576).cast("bigint"))
+              .withColumn("size_gb", (F.col(size).cast("decimal(38,0)") / gb).cast("decimal(10,2)"))
+              .withColumn("compressed_size_gb", (F.col(compressed).cast("decimal(38,0)") / gb).cast("decimal(10,2)"))
               .withColumn("compression_pct", F.lit(100.0) - comp_d * 100 / F.nullif(size_d, F.lit(0.0)))
               .withColumn("mb_per_sec", comp_d / 1048576 / F.nullif((secs + 1).cast("double"), F.lit(0.0)))
               .withColumn("duration", fmt_seconds(secs)))
@@ -40,14 +47,14 @@ def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compress
 
 # --------------------------------------------------------------------- E1
 def last_n_backups(sets: DataFrame, media: DataFrame | None, n: int, *, key: list[str], type_col: str = "type",
-                   backup_type: str = "X", order: str = "backup_start_date", tiebreak: str = "backup_set_id",
+                   backup_type: str = "X", order: str = "backup_set_id", tiebreak: str = "backup_set_id",
                    start: str = "backup_start_date", finish: str = "backup_finish_date",
                    size: str = "backup_size", compressed: str = "compressed_backup_size",
                    entities: DataFrame | None = None) -> DataFrame:
-    """Last ``n`` backups per entity ('X' = every type but log), with sizes,
-    compression, throughput (+1 s) and duration, and the device list of each
-    set in family order. With ``entities``, entities without any backup are
-    kept with '-'."""
+    """Last ``n`` backups per entity (newest set id first; 'X' = every type but
+    log), with sizes in MB and GB, compression, throughput (+1 s), duration,
+    checksum flag and the device list of each set in family order. With
+    ``entities``, entities without any backup are kept with '-'."""
     s = sets.filter(F.col(type_col) != "L") if backup_type == "X" else sets.filter(F.col(type_col) == backup_type)
     top = top_n_per_group(s, key, [F.col(order).desc(), F.col(tiebreak).desc()], n, rank_col="backup_rank")
     top = _backup_measures(top, start, finish, size, compressed).withColumn("backup_type", backup_type_text(F.col(type_col)))

@@ -47,7 +47,7 @@ DEV = r"""'\\nas\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey
 
 _E1_SQL = f"""
 WITH s AS ({SETS_SQL}),
-top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_start_date DESC, backup_set_id DESC) AS backup_rank
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_set_id DESC) AS backup_rank
                        FROM s WHERE type <> 'L') x WHERE backup_rank <= 3),
 dev AS (SELECT l_orderkey AS media_set_id,
                string_agg({DEV}, ', ' ORDER BY l_linenumber, {DEV}) AS devices
@@ -57,6 +57,8 @@ m AS (SELECT top.*, CAST(epoch(date_trunc('second', backup_finish_date)) - epoch
 SELECT m.backup_set_id, m.media_set_id, m.database_id, m.type, m.backup_start_date, m.backup_finish_date, m.backup_size,
   m.compressed_backup_size, CAST(m.backup_rank AS INTEGER) AS backup_rank,
   CAST(trunc(m.backup_size / 1048576) AS BIGINT) AS size_mb, CAST(trunc(m.compressed_backup_size / 1048576) AS BIGINT) AS compressed_size_mb,
+  CAST(m.backup_size / 1073741824 AS DECIMAL(10,2)) AS size_gb,
+  CAST(m.compressed_backup_size / 1073741824 AS DECIMAL(10,2)) AS compressed_size_gb,
   100.0 - CAST(m.compressed_backup_size AS DOUBLE) * 100 / NULLIF(CAST(m.backup_size AS DOUBLE), 0.0) AS compression_pct,
   CAST(m.compressed_backup_size AS DOUBLE) / 1048576 / CAST(m.secs + 1 AS DOUBLE) AS mb_per_sec,
   CASE WHEN m.secs // 86400 <> 0 THEN CAST(m.secs // 86400 AS VARCHAR) || '.' ELSE '' END
@@ -77,7 +79,7 @@ def e1_last_n_backups(t):
 @query("e1_last_n_backups_all_entities", """
 WITH s AS (""" + SETS_SQL + """),
 top AS (SELECT backup_set_id, database_id, type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id
-          ORDER BY backup_start_date DESC, backup_set_id DESC) AS rn FROM s WHERE type = 'D') x WHERE rn <= 2)
+          ORDER BY backup_set_id DESC) AS rn FROM s WHERE type = 'D') x WHERE rn <= 2)
 SELECT c.c_custkey AS database_id, c.c_name, top.backup_set_id,
   COALESCE(CASE top.type WHEN 'D' THEN 'Database' END, '-') AS backup_type
 FROM customer c LEFT JOIN top ON top.database_id = c.c_custkey
