@@ -9,17 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetsight.operators.snapshot import capture_lines
-
-COUNTER_DATA = T.StructType([
-    T.StructField("counter_id", T.IntegerType()), T.StructField("record_index", T.IntegerType()),
-    T.StructField("counter_date_time", T.StringType()), T.StructField("counter_value", T.DoubleType())])
-COUNTER_DETAILS = T.StructType([
-    T.StructField("counter_id", T.IntegerType()), T.StructField("machine_name", T.StringType()),
-    T.StructField("object_name", T.StringType()), T.StructField("counter_name", T.StringType()),
-    T.StructField("instance_name", T.StringType())])
+from fleetsight.sources.schemas import schema
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -40,6 +32,6 @@ def read_xml_events(spark: SparkSession, path: str, row_tag: str = "event") -> D
 
 def read_counter_csv(spark: SparkSession, data_path: str, details_path: str) -> tuple[DataFrame, DataFrame]:
     """Counter exports with declared schemas (no inference pass)."""
-    data = spark.read.schema(COUNTER_DATA).option("header", True).csv(data_path)
-    details = spark.read.schema(COUNTER_DETAILS).option("header", True).csv(details_path)
+    data = spark.read.schema(schema("counter_data")).option("header", True).csv(data_path)
+    details = spark.read.schema(schema("counter_details")).option("header", True).csv(details_path)
     return data, details
