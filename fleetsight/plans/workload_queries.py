@@ -363,3 +363,66 @@ def d14_command_log_statistics(t):
                    F.concat(F.lit("UPDATE STATISTICS t s"), F.col("user_id").cast("string")).alias("command"),
                    F.lit("UPDATE_STATISTICS").alias("command_type"), xml.alias("extended_info"))
     return W.command_log_report(log, "statistics").drop("extended_info")
+
+
+def _index_kinds(t):
+    p = t.part.select(F.substring_index("p_brand", "#", -1).cast("int").alias("object_id"),
+                      F.col("p_partkey").alias("index_id"), F.col("p_name").alias("name"), "p_type")
+    kinds = {"CLUSTERED": F.col("p_type") == "ECONOMY", "XML": F.col("p_type") == "PROMO",
+             "SPATIAL": F.col("p_type") == "SMALL",
+             "NONCLUSTERED": ~F.col("p_type").isin("ECONOMY", "PROMO", "SMALL")}
+    return {k: p.filter(c).drop("p_type") for k, c in kinds.items()}
+
+
+@query("d10_describe_items", """
+WITH p AS (SELECT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS object_id, p_partkey AS index_id, p_name AS name,
+                  p_type, p_size FROM part),
+items AS (SELECT object_id, index_id, name,
+            CASE WHEN p_type = 'ECONOMY' THEN 'CLUSTERED' WHEN p_type = 'PROMO' THEN 'XML'
+                 WHEN p_type = 'SMALL' THEN 'SPATIAL' ELSE 'NONCLUSTERED' END AS kind FROM p),
+c AS (SELECT object_id, index_id, w.column_name, w.key_ordinal,
+             w.key_ordinal > 1 AND p_size % 2 = 0 AS is_included, p_size % 3 = 0 AS is_descending
+      FROM p, LATERAL (SELECT unnest(string_split(name, ' ')) AS column_name,
+                              CAST(generate_subscripts(string_split(name, ' '), 1) AS INTEGER) AS key_ordinal) w),
+l AS (SELECT object_id, index_id,
+        string_agg(CASE WHEN NOT is_included THEN column_name || CASE WHEN is_descending THEN ' DESC' ELSE '' END END,
+                   ', ' ORDER BY key_ordinal, column_name) AS key_columns,
+        string_agg(CASE WHEN is_included THEN column_name END, ', ' ORDER BY column_name) AS included_columns
+      FROM c GROUP BY object_id, index_id),
+li AS (SELECT p.object_id, l.l_partkey AS index_id, CAST(l.l_quantity AS BIGINT) AS used_pages, l.l_linestatus,
+              l.l_returnflag, l.l_discount
+       FROM lineitem l JOIN p ON p.index_id = l.l_partkey),
+s AS (SELECT object_id, index_id, SUM(used_pages) * 8 / 1024.0 AS size_mb,
+        CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS user_seeks,
+        CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS user_scans,
+        CAST(0 AS BIGINT) AS user_lookups,
+        CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS user_updates,
+        MAX(l_discount * 100) AS fragmentation
+      FROM li GROUP BY object_id, index_id)
+SELECT items.*, l.key_columns, l.included_columns, s.size_mb, s.user_seeks, s.user_scans, s.user_lookups,
+       s.user_updates, s.fragmentation
+FROM items LEFT JOIN l USING (object_id, index_id) LEFT JOIN s USING (object_id, index_id)
+""")
+def d10_describe_items(t):
+    """Parts as indexes of four kinds (by type) on their brand's 'table'; the words of the
+    name are the index columns; line items give size, usage and fragmentation."""
+    kinds = _index_kinds(t)
+    p = t.part.select(F.substring_index("p_brand", "#", -1).cast("int").alias("object_id"),
+                      F.col("p_partkey").alias("index_id"), "p_name", "p_size")
+    cols = p.select("object_id", "index_id", "p_size",
+                    F.posexplode(F.split("p_name", " ")).alias("pos", "column_name")).select(
+        "object_id", "index_id", "column_name", (F.col("pos") + 1).cast("int").alias("key_ordinal"),
+        ((F.col("pos") + 1 > 1) & (F.col("p_size") % 2 == 0)).alias("is_included"),
+        (F.col("p_size") % 3 == 0).alias("is_descending"))
+    li = t.lineitem.join(p.select("object_id", F.col("index_id").alias("l_partkey")), "l_partkey").select(
+        "object_id", F.col("l_partkey").alias("index_id"), F.col("l_quantity").cast("bigint").alias("used_pages"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("user_seeks"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("user_scans"),
+        F.lit(0).alias("user_lookups"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("user_updates"),
+        (F.col("l_discount") * 100).alias("avg_fragmentation_in_percent"))
+    out = W.describe_items(kinds, cols, sizes=li, usage=li, frag=li)
+    return out.select("object_id", "index_id", "name", "kind", "key_columns", "included_columns", "size_mb",
+                      F.col("user_seeks").cast("bigint").alias("user_seeks"),
+                      F.col("user_scans").cast("bigint").alias("user_scans"),
+                      F.col("user_lookups").cast("bigint").alias("user_lookups"),
+                      F.col("user_updates").cast("bigint").alias("user_updates"), "fragmentation")
