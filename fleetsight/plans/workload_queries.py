@@ -426,3 +426,57 @@ def d10_describe_items(t):
                       F.col("user_scans").cast("bigint").alias("user_scans"),
                       F.col("user_lookups").cast("bigint").alias("user_lookups"),
                       F.col("user_updates").cast("bigint").alias("user_updates"), "fragmentation")
+
+
+_SEL_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate"]
+
+
+@query("d9_rank_missing_index", """
+WITH f AS (SELECT l_suppkey AS item_id, CAST(SUM(l_quantity) AS BIGINT) AS impact,
+                  MAX(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS has_r,
+                  MAX(CASE WHEN l_shipdate >= TIMESTAMP '2000-01-01' THEN 1 ELSE 0 END) AS has_new,
+                  MAX(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS has_a
+           FROM lineitem GROUP BY l_suppkey),
+d AS (SELECT f.item_id, s.s_nationkey AS database_id, f.impact FROM f JOIN supplier s ON s.s_suppkey = f.item_id),
+c AS (SELECT item_id, 'l_returnflag' AS column_name, 'EQUALITY' AS usage FROM f WHERE has_r = 1
+      UNION ALL SELECT item_id, 'l_partkey', 'EQUALITY' FROM f
+      UNION ALL SELECT item_id, 'l_shipdate', 'INEQUALITY' FROM f WHERE has_new = 1
+      UNION ALL SELECT item_id, 'l_orderkey', 'INCLUDE' FROM f
+      UNION ALL SELECT item_id, 'l_partkey', 'INCLUDE' FROM f WHERE has_a = 1),
+sel AS (SELECT column_name, 1.0 / n_distinct AS density FROM (
+          SELECT COUNT(DISTINCT l_orderkey) AS a, COUNT(DISTINCT l_partkey) AS b, COUNT(DISTINCT l_suppkey) AS c,
+                 COUNT(DISTINCT l_returnflag) AS d, COUNT(DISTINCT l_shipdate) AS e FROM lineitem) w,
+        LATERAL (VALUES ('l_orderkey', a), ('l_partkey', b), ('l_suppkey', c), ('l_returnflag', d), ('l_shipdate', e))
+          v(column_name, n_distinct)),
+cs AS (SELECT c.*, sel.density FROM c LEFT JOIN sel USING (column_name)),
+k AS (SELECT item_id, string_agg(column_name, ', ' ORDER BY CASE usage WHEN 'EQUALITY' THEN 0 ELSE 1 END, density, column_name)
+        AS key_columns FROM cs WHERE usage IN ('EQUALITY', 'INEQUALITY') GROUP BY item_id),
+i AS (SELECT item_id, string_agg(column_name, ', ' ORDER BY column_name) AS include_columns FROM cs x
+      WHERE usage = 'INCLUDE' AND NOT EXISTS (SELECT 1 FROM cs y WHERE y.item_id = x.item_id
+        AND y.column_name = x.column_name AND y.usage IN ('EQUALITY', 'INEQUALITY')) GROUP BY item_id)
+SELECT d.item_id, d.database_id, d.impact, k.key_columns, i.include_columns,
+  CAST(DENSE_RANK() OVER (PARTITION BY d.database_id ORDER BY d.impact DESC) AS INTEGER) AS impact_rank
+FROM d LEFT JOIN k USING (item_id) LEFT JOIN i USING (item_id)
+""")
+def d9_rank_missing_index(t):
+    """One missing-index suggestion per supplier (impact = quantity supplied) with
+    equality/inequality/include columns derived from its lines, ordered by the
+    measured densities of lineitem's columns, ranked per nation."""
+    li = t.lineitem
+    f = li.groupBy(F.col("l_suppkey").alias("item_id")).agg(
+        F.sum("l_quantity").cast("bigint").alias("impact"),
+        F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("has_r"),
+        F.max(F.when(F.col("l_shipdate") >= F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), 1).otherwise(0))
+        .alias("has_new"),
+        F.max(F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).alias("has_a"))
+    details = f.join(t.supplier.select(F.col("s_suppkey").alias("item_id"), F.col("s_nationkey").alias("database_id")),
+                     "item_id").select("item_id", "database_id", "impact")
+    entry = lambda name, usage, cond: F.when(cond, F.struct(F.lit(name).alias("column_name"),
+                                                           F.lit(usage).alias("usage")))
+    arr = F.array(entry("l_returnflag", "EQUALITY", F.col("has_r") == 1), entry("l_partkey", "EQUALITY", F.lit(True)),
+                  entry("l_shipdate", "INEQUALITY", F.col("has_new") == 1), entry("l_orderkey", "INCLUDE", F.lit(True)),
+                  entry("l_partkey", "INCLUDE", F.col("has_a") == 1))
+    cols = f.select("item_id", F.explode(arr).alias("c")).filter(F.col("c").isNotNull()).select("item_id", "c.*")
+    sel = W.column_selectivity(li, _SEL_COLS).select("column_name", "density")
+    out = W.rank_missing_index(details, cols, sel)
+    return out.select("item_id", "database_id", "impact", "key_columns", "include_columns", "impact_rank")
