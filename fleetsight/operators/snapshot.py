@@ -106,6 +106,17 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
     return j.select(*out_cols, F.col("action"), pre.alias("pre"))
 
 
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Natural keys that occur more than once (or are NULL): the uniqueness a
+    merge relies on is checked, not enforced by storage. One aggregation with
+    map-side partial counts."""
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counted.filter((F.col("n_rows") > 1) | null_key)
+
+
 def merged_current(tagged: DataFrame) -> DataFrame:
     """New current state from a tagged merge."""
     return tagged.filter(F.col("action") != DELETE).drop("action", "pre")
@@ -353,7 +364,7 @@ def parse_fixed_width(lines: DataFrame, source: str, columns: list[str], header_
 # ------------------------------------------------------------ lifecycle (3.1)
 def process_snapshot(spark, *, current_path: str, history_path: str, report_path: str, loading: DataFrame,
                      keys: list[str], checksum_cols: list[str], version: int,
-                     initial: DataFrame | None = None, **merge_args) -> dict:
+                     initial: DataFrame | None = None, check_keys: bool = True, **merge_args) -> dict:
     """Load -> merge (A1) -> history (A2) -> change report (A4).
 
     The new current state is written as a new version and becomes visible
@@ -370,6 +381,8 @@ def process_snapshot(spark, *, current_path: str, history_path: str, report_path
 
     if loading.isEmpty():
         return {"status": "empty load", "version": None}
+    if check_keys and not duplicate_keys(loading, keys).isEmpty():
+        raise ValueError(f"loaded snapshot has duplicate or NULL keys {keys}; nothing merged")
     current = read_current(spark, current_path, below=version)
     if current is None:
         current = initial if initial is not None else loading.limit(0)

@@ -25,3 +25,16 @@ def test_process_snapshot_versions_and_rerun(spark, tmpdir_path):
     assert [(x["name"], x["previous_value"], x["current_value"]) for x in r.collect()] == [("a", "1", "5")]
     empty = spark.createDataFrame([], SCHEMA)
     assert process_snapshot(spark, loading=empty, version=3, **args)["status"] == "empty load"
+
+
+def test_duplicate_keys_are_refused(spark, tmpdir_path):
+    import pytest
+
+    from fleetsight.operators.snapshot import duplicate_keys
+    load = spark.createDataFrame([("s1", "a", 1), ("s1", "a", 2), ("s1", None, 3)], SCHEMA)
+    assert sorted((r["name"], r["n_rows"]) for r in duplicate_keys(load, ["server", "name"]).collect()
+                  if r["name"]) == [("a", 2)]
+    with pytest.raises(ValueError):
+        process_snapshot(spark, current_path=os.path.join(tmpdir_path, "c"), history_path=os.path.join(tmpdir_path, "h"),
+                         report_path=os.path.join(tmpdir_path, "r"), loading=load, keys=["server", "name"],
+                         checksum_cols=["size"], version=1)
