@@ -53,8 +53,9 @@ class CounterStateSink:
     """foreachBatch sink that keeps cumulative counter totals.
 
     State schema: keys, <counter> (last reading), total_<counter>,
-    last_reading_time. Readings not newer than the state's last reading
-    time for their key are dropped, as a counter cannot go back in time.
+    last_reading_time, late_readings. Readings not newer than the state's
+    last reading time for their key are dropped, as a counter cannot go back
+    in time, and counted in ``late_readings``.
     """
 
     def __init__(self, state_path: str, keys: list[str], ts: str, counters: list[str],
@@ -67,37 +68,45 @@ class CounterStateSink:
         prev_path = latest_version(spark, self.state_path, below=batch_id)
         order = [self.ts, *self.tiebreak]
         rows = batch.select(*self.keys, *order, *self.counters).withColumn("__seed", F.lit(False))
+        late = None
         if prev_path:
             state = spark.read.parquet(prev_path)
             seed = state.select(*self.keys, F.col("last_reading_time").alias(self.ts),
                                 *[F.lit(None).cast(batch.schema[c].dataType).alias(c) for c in self.tiebreak],
                                 *self.counters, F.lit(True).alias("__seed"))
             cutoff = state.select(*self.keys, F.col("last_reading_time").alias("__cut"))
-            rows = rows.join(cutoff, self.keys, "left").filter(
-                F.col("__cut").isNull() | (F.col(self.ts) > F.col("__cut"))).drop("__cut")
-            rows = rows.unionByName(seed)
+            tagged = rows.join(cutoff, self.keys, "left").withColumn(
+                "__late", F.coalesce(F.col(self.ts) <= F.col("__cut"), F.lit(False)))
+            # readings not newer than the state cannot be placed: dropped, and counted per key
+            late = tagged.filter("__late").groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n_late"))
+            rows = tagged.filter(~F.col("__late")).drop("__cut", "__late").unionByName(seed)
         else:
             state = None
         d = previous_in_order(rows, self.keys, order, self.counters, time_bucket(self.ts),
-                              prefix="__prev_")
+                              prefix="__prev_", keep_bucket_last=True)
         d = d.filter(~F.col("__seed"))
-        aggs = [F.sum(counter_increment(F.col("__prev_" + c), F.col(c))).alias("__inc_" + c) for c in self.counters]
-        last = F.max_by(F.struct(*[F.col(c) for c in self.counters]), F.struct(*[F.col(o) for o in order]))
-        inc = d.groupBy(*self.keys).agg(*aggs, last.alias("__last"), F.max(self.ts).alias("__lt"))
+        aggs = []
+        for c in self.counters:
+            aggs.append(F.sum(counter_increment(F.col("__prev_" + c), F.col(c))).alias("__inc_" + c))
+            aggs.append(F.max_by(F.col("__last_" + c), F.col("__bucket")).alias("__new_" + c))
+        inc = d.groupBy(*self.keys).agg(*aggs, F.max(self.ts).alias("__lt"))
         if state is not None:
-            j = state.join(inc, self.keys, "full_outer")
+            j = state.join(inc, self.keys, "full_outer").join(late, self.keys, "left")
         else:
-            j = inc
+            j = inc.withColumn("last_reading_time", F.lit(None).cast(batch.schema[self.ts].dataType)) \
+                   .withColumn("late_readings", F.lit(0).cast("bigint")).withColumn("__n_late", F.lit(0))
             for c in self.counters:
-                j = j.withColumn(c, F.lit(None)).withColumn("total_" + c, F.lit(None))
-            j = j.withColumn("last_reading_time", F.lit(None))
+                j = j.withColumn(c, F.lit(None).cast(batch.schema[c].dataType)) \
+                     .withColumn("total_" + c, F.lit(None).cast(batch.schema[c].dataType))
         cols = list(self.keys)
         for c in self.counters:
             has = F.col("__lt").isNotNull()
-            cols.append(F.when(has, F.col("__last")[c]).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(has, F.col("__new_" + c)).otherwise(F.col(c)).alias(c))
             cols.append((F.coalesce(F.col("total_" + c), F.lit(0)) + F.coalesce(F.col("__inc_" + c), F.lit(0)))
                         .alias("total_" + c))
         cols.append(F.greatest(F.col("last_reading_time"), F.col("__lt")).alias("last_reading_time"))
+        cols.append((F.coalesce(F.col("late_readings"), F.lit(0)) + F.coalesce(F.col("__n_late"), F.lit(0)))
+                    .cast("bigint").alias("late_readings"))
         j.select(*cols).write.mode("overwrite").parquet(os.path.join(self.state_path, f"batch={batch_id}"))
 
 
@@ -182,21 +191,23 @@ def counter_totals_stream(stream: DataFrame, keys: list[str], ts: str, counters:
 
     key_schema = ", ".join(f"{k} {key_types[k]}" for k in keys)
     out_schema = (f"{key_schema}, " + ", ".join(f"{c} {counter_type}, total_{c} {counter_type}" for c in counters)
-                  + f", last_reading_time timestamp_ntz")
-    state_schema = "last_ts timestamp_ntz, " + ", ".join(f"last_{c} {counter_type}, total_{c} {counter_type}"
-                                                        for c in counters)
+                  + ", last_reading_time timestamp_ntz, late_readings bigint")
+    state_schema = ("last_ts timestamp_ntz, late bigint, "
+                    + ", ".join(f"last_{c} {counter_type}, total_{c} {counter_type}" for c in counters))
 
     def update(key, pdfs, state):
         if state.exists:
             st = state.get
-            last_ts = st[0]
-            last = {c: st[1 + 2 * i] for i, c in enumerate(counters)}
-            total = {c: st[2 + 2 * i] for i, c in enumerate(counters)}
+            last_ts, late = st[0], st[1]
+            last = {c: st[2 + 2 * i] for i, c in enumerate(counters)}
+            total = {c: st[3 + 2 * i] for i, c in enumerate(counters)}
         else:
-            last_ts, last, total = None, {c: None for c in counters}, {c: 0 for c in counters}
+            last_ts, late, last, total = None, 0, {c: None for c in counters}, {c: 0 for c in counters}
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, *tiebreak], kind="stable")
         if last_ts is not None:
-            pdf = pdf[pdf[ts] > pd.Timestamp(last_ts)]
+            fresh = pdf[ts] > pd.Timestamp(last_ts)
+            late += int((~fresh).sum())          # readings older than the state are dropped and counted
+            pdf = pdf[fresh]
         for c in counters:
             v = pdf[c].dropna().to_numpy(dtype="int64")
             if len(v) == 0:
@@ -210,11 +221,12 @@ def counter_totals_stream(stream: DataFrame, keys: list[str], ts: str, counters:
             last[c] = int(v[-1])
         if len(pdf):
             last_ts = pdf[ts].max().to_pydatetime()
-        state.update(tuple([last_ts] + [x for c in counters for x in (last[c], total[c])]))
+        state.update(tuple([last_ts, late] + [x for c in counters for x in (last[c], total[c])]))
         row = dict(zip(keys, key))
         for c in counters:
             row[c], row["total_" + c] = last[c], total[c]
         row["last_reading_time"] = last_ts
+        row["late_readings"] = late
         yield pd.DataFrame([row])
 
     return stream.groupBy(*keys).applyInPandasWithState(

@@ -116,3 +116,18 @@ def test_counter_state_store_stream_equals_batch(spark, tmpdir_path):
     g = sorted((r["user_id"], r["event_type"], r["t"]) for r in latest.collect())
     w = sorted((r["user_id"], r["event_type"], r["total_v"]) for r in want.collect())
     assert g == w
+
+
+def test_counter_sink_counts_late_readings(spark, tmpdir_path):
+    import datetime as dt
+
+    schema = "k string, ts timestamp_ntz, v bigint"
+    batches = [[("a", dt.datetime(2024, 1, 1, 10), 5), ("a", dt.datetime(2024, 1, 1, 11), 8)],
+               [("a", dt.datetime(2024, 1, 1, 9), 1), ("a", dt.datetime(2024, 1, 1, 12), 2)]]
+    state = os.path.join(tmpdir_path, "st")
+    sink = CounterStateSink(state, ["k"], "ts", ["v"])
+    for i, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), i)
+    r = spark.read.parquet(latest_version(spark, state)).first()
+    # 5 -> 8 (+3) -> late 1 dropped -> 2 (reset, +2): 5 + 3 + 2
+    assert (r["v"], r["total_v"], r["late_readings"]) == (2, 10, 1)
