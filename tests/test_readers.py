@@ -52,3 +52,12 @@ def test_counter_csv(spark, tmpdir_path):
     assert r["machine_name"] == "SRV"
     assert r["Memory\\Available MB"] == 5.5 and r["Processor\\% Time (_Total)"] == 1.0
     assert r["counter_time"] == "10:00:00.123"
+
+
+def test_deadlock_report_kept_whole(spark):
+    x = ('<event name="xml_deadlock_report"><data name="xml_report"><value><deadlock><victim-list>'
+         '<victimProcess id="p1"/></victim-list></deadlock></value></data><data name="k"><value>3</value></data></event>')
+    df = spark.createDataFrame([(1, x)], "event_id int, payload string")
+    r = G.event_attributes(df, "payload", ["xml_report", "k"], fmt="xml").first()
+    assert r["k"] == "3"
+    assert r["xml_report"].startswith("<deadlock><victim-list>") and 'id="p1"' in r["xml_report"]
