@@ -53,15 +53,21 @@ def main() -> None:
     names = dict(HEADLINE)
     if os.environ.get("BENCH_ALL") == "1":
         names = {k: k for k in registry.QUERIES}
-    results = {}
+    results, failed = {}, {}
     for label, qname in names.items():
         fn = registry.QUERIES[qname]
-        run_once(fn(spark, sf_dir))  # warm-up (plan, JIT, file cache)
-        times = [run_once(fn(spark, sf_dir)) for _ in range(reps)]
-        results[label] = round(statistics.median(times), 3)
+        try:
+            run_once(fn(spark, sf_dir))  # warm-up (plan, JIT, file cache)
+            times = [run_once(fn(spark, sf_dir)) for _ in range(reps)]
+            results[label] = round(statistics.median(times), 3)
+        except Exception as e:  # noqa: BLE001 - report and go on with the other queries
+            failed[label] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_total_median", "value": round(sum(results.values()), 3), "unit": "sec",
-                      "queries": results, "sf": sf}))
+    out = {"metric": "headline_total_median", "value": round(sum(results.values()), 3), "unit": "sec",
+           "queries": results, "sf": sf}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
