@@ -208,21 +208,61 @@ def align_steps_to_run(runs: DataFrame, history: DataFrame, *, keys: list[str],
 
 
 # --------------------------------------------------------------------- E9
+# Job execution states and last-outcome texts of the activity view.
+EXECUTION_STATUS = {0: "Not idle or suspended", 2: "Waiting For Thread", 3: "Between Retries", 4: "Idle",
+                    5: "Suspended", 6: "WaitingForStepToFinish", 7: "PerformingCompletionActions"}
+ACTIVITY_OUTCOME = {0: "Fail", 1: "Succeed", 3: "Cancel"}
+UNKNOWN_TEXT = "(unknown)"
+
+
+def run_stamp_text(date_int: Column, time_int: Column, none_text: str) -> Column:
+    """yyyymmdd + hhmmss integers -> 'dd/MM/yyyy @ HH:mm:ss'; ``none_text`` for 0/NULL dates."""
+    t = F.lpad(time_int.cast("string"), 6, "0")
+    d = F.lpad(date_int.cast("string"), 8, "0")
+    text = F.concat(F.substring(d, 7, 2), F.lit("/"), F.substring(d, 5, 2), F.lit("/"), F.substring(d, 1, 4),
+                    F.lit(" @ "), F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2), F.lit(":"),
+                    F.substring(t, 5, 2))
+    return F.when(F.coalesce(date_int, F.lit(0)) == 0, F.lit(none_text)).otherwise(text)
+
+
 def job_activity(jobs: DataFrame, servers: DataFrame, *, job_key: str = "job_id",
                  date_col: str = "last_run_date", time_col: str = "last_run_time",
-                 outcome_col: str = "last_run_outcome", local_server: str | None = None) -> DataFrame:
-    """Last outcome per job chosen by the greatest date * 10^6 + time over
-    its servers; local or multi-server; outcome text (unknown for remote)."""
+                 outcome_col: str = "last_run_outcome", local_server: str | None = None,
+                 categories: DataFrame | None = None) -> DataFrame:
+    """Job activity: enabled Yes/No, present state text, and the last run
+    chosen over the job's servers by the greatest date * 10^6 + time (ties
+    by server name) with its date text and outcome text. With
+    ``local_server`` a job last run elsewhere is multi-server and its
+    outcome 'Unknown'. Optional per-job columns: current_execution_status,
+    current_execution_step, next_run_date/next_run_time, category_id."""
     # ties on the stamp are broken by server name, so a recomputation picks the same row
     stamp = F.struct((F.col(date_col).cast("bigint") * 1000000 + F.col(time_col).cast("bigint")).alias("s"),
                      F.col("server_name").alias("n"))
-    last = servers.groupBy(job_key).agg(F.max_by(F.struct(outcome_col, "server_name"), stamp).alias("__l"),
-                                        F.count(F.lit(1)).alias("n_servers"))
+    pick = F.struct(F.col(outcome_col).alias("outcome"), F.col("server_name").alias("server"),
+                    F.col(date_col).alias("d"), F.col(time_col).alias("t"))
+    last = servers.groupBy(job_key).agg(F.max_by(pick, stamp).alias("__l"), F.count(F.lit(1)).alias("n_servers"))
     out = jobs.join(last, job_key, "left")
-    out = out.withColumn("last_outcome", run_status_text(F.col("__l." + outcome_col)))
+    out = out.withColumn("last_run", run_stamp_text(F.col("__l.d"), F.col("__l.t"), "never"))
+    out = out.withColumn("last_outcome", code_text(F.col("__l.outcome"), ACTIVITY_OUTCOME, "Unknown"))
     if local_server is not None:
-        out = out.withColumn("is_local", F.col("__l.server_name") == local_server) \
+        out = out.withColumn("is_local", F.col("__l.server") == local_server) \
                  .withColumn("last_outcome", F.when(F.col("is_local"), F.col("last_outcome")).otherwise(F.lit("Unknown")))
+    if "enabled" in jobs.columns:
+        out = out.withColumn("enabled_text", F.when(F.col("enabled"), F.lit("Yes")).otherwise(F.lit("No")))
+    if "current_execution_status" in jobs.columns:
+        status = F.coalesce(F.col("current_execution_status"), F.lit(0))
+        step = (F.col("current_execution_step") if "current_execution_step" in jobs.columns
+                else F.lit(None).cast("string"))
+        out = out.withColumn("execution_status", F.when(status == 1, F.concat(
+            F.lit("Executing (Step:"), F.coalesce(step.cast("string"), F.lit("0 " + UNKNOWN_TEXT)), F.lit(")")))
+            .otherwise(code_text(status, EXECUTION_STATUS)))
+    if "next_run_date" in jobs.columns:
+        out = out.withColumn("next_run", run_stamp_text(F.col("next_run_date"), F.col("next_run_time"),
+                                                        "not scheduled"))
+    if categories is not None:
+        cat = categories.select(F.col("category_id").alias("__cid"), F.col("name").alias("category"))
+        out = out.join(cat, out["category_id"] == F.col("__cid"), "left").drop("__cid") \
+                 .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_TEXT)))
     return out.drop("__l")
 
 

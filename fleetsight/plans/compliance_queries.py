@@ -309,12 +309,18 @@ WITH s AS (SELECT event_type AS job_id, 'srv' || CAST(user_id % 3 AS VARCHAR) AS
            FROM events GROUP BY 1, 2),
 l AS (SELECT job_id, arg_max(last_run_outcome, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS o,
              arg_max(server_name, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS srv,
+             arg_max(last_run_date, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS d,
+             arg_max(last_run_time, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS t,
              COUNT(*) AS n_servers
       FROM s GROUP BY job_id),
 j AS (SELECT DISTINCT event_type AS job_id, upper(event_type) AS job_name FROM events)
 SELECT j.job_id, j.job_name, l.n_servers, l.srv = 'srv0' AS is_local,
-  CASE WHEN l.srv = 'srv0' THEN CASE l.o WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry'
-       WHEN 3 THEN 'Canceled' WHEN 4 THEN 'In Progress' ELSE 'Unknown' END ELSE 'Unknown' END AS last_outcome
+  CASE WHEN l.srv = 'srv0' THEN CASE l.o WHEN 0 THEN 'Fail' WHEN 1 THEN 'Succeed' WHEN 3 THEN 'Cancel'
+       ELSE 'Unknown' END ELSE 'Unknown' END AS last_outcome,
+  CASE WHEN COALESCE(l.d, 0) = 0 THEN 'never' ELSE
+    substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 7, 2) || '/' || substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 5, 2) || '/' ||
+    substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 1, 4) || ' @ ' || substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 1, 2) || ':' ||
+    substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 3, 2) || ':' || substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 5, 2) END AS last_run
 FROM j LEFT JOIN l ON l.job_id = j.job_id
 """)
 def e9_job_activity(t):

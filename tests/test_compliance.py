@@ -102,3 +102,20 @@ def test_merge_new_row_takes_source_default(spark):
         current, feed, ["server", "name"], custom_defaults={"keep_n": 10}, source_col="server",
         source_defaults=settings)).collect()}
     assert got == {"a": 5, "b": 7, "c": 10}
+
+
+def test_job_activity_texts(spark):
+    jobs = spark.createDataFrame([("j1", True, 1, "3", 20240105, 61500, 7), ("j2", False, 4, None, 0, 0, None)],
+                                 "job_id string, enabled boolean, current_execution_status int, "
+                                 "current_execution_step string, next_run_date int, next_run_time int, category_id int")
+    servers = spark.createDataFrame([("j1", "a", 20240102, 30000, 1), ("j1", "b", 20240102, 30000, 0)],
+                                    "job_id string, server_name string, last_run_date int, last_run_time int, "
+                                    "last_run_outcome int")
+    cats = spark.createDataFrame([(7, "Maintenance")], "category_id int, name string")
+    got = {r["job_id"]: r for r in E.job_activity(jobs, servers, local_server="b", categories=cats).collect()}
+    j1, j2 = got["j1"], got["j2"]
+    assert (j1["enabled_text"], j1["execution_status"], j1["last_run"], j1["last_outcome"], j1["next_run"],
+            j1["category"]) == ("Yes", "Executing (Step:3)", "02/01/2024 @ 03:00:00", "Fail",
+                                "05/01/2024 @ 06:15:00", "Maintenance")
+    assert (j2["execution_status"], j2["last_run"], j2["next_run"], j2["category"]) == \
+        ("Idle", "never", "not scheduled", "(unknown)")
