@@ -181,7 +181,7 @@ def last_check(history: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 # --------------------------------------------------------------------- E7
 def run_status_text(c: Column) -> Column:
-    return code_text(c, RUN_STATUS, "Unknown")
+    return code_text(c, RUN_STATUS, "-")
 
 
 def job_history(jobs: DataFrame, steps: DataFrame, history: DataFrame, n: int,
@@ -190,7 +190,12 @@ def job_history(jobs: DataFrame, steps: DataFrame, history: DataFrame, n: int,
     without a step are kept (two full outer joins). Run time from the
     yyyymmdd and hhmmss integers; duration text from hhmmss."""
     js = jobs.join(steps, "job_id", "full_outer")
+    d = F.lpad(F.col("run_date").cast("string"), 8, "0")
+    run_text = F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2),
+                        F.lit(" "), fmt_hhmmss("run_time"))
     h = history.withColumn("run_datetime", text_date_time("run_date", "run_time")) \
+               .withColumn("run_text", F.when(F.coalesce(F.col("run_date"), F.lit(0)) > 0, run_text)
+                           .otherwise(F.lit("-"))) \
                .withColumn("run_status_text", run_status_text(F.col("run_status"))) \
                .withColumn("run_duration_text", fmt_hhmmss("run_duration"))
     h = top_n_per_group(h, ["job_id", "step_id"], [F.col("run_datetime").desc(), F.col("instance_id").desc()], n,

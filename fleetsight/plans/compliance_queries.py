@@ -269,7 +269,7 @@ def job_tables(t):
 
 
 _STATUS_SQL = ("CASE run_status WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' "
-               "WHEN 3 THEN 'Canceled' WHEN 4 THEN 'In Progress' ELSE 'Unknown' END")
+               "WHEN 3 THEN 'Canceled' WHEN 4 THEN 'In Progress' ELSE '-' END")
 
 
 @query("e7_job_history", f"""
@@ -282,6 +282,13 @@ h AS (SELECT event_type AS job_id, CAST(user_id % 4 AS INTEGER) AS step_id, even
              CAST(floor(value * 100) AS INTEGER) AS run_duration, CAST(event_id % 5 AS INTEGER) AS run_status,
              date_trunc('second', ts) AS run_datetime FROM events),
 h2 AS (SELECT *, {_STATUS_SQL} AS run_status_text,
+         CASE WHEN COALESCE(run_date, 0) > 0 THEN
+           substr(lpad(CAST(run_date AS VARCHAR), 8, '0'), 1, 4) || '-' || substr(lpad(CAST(run_date AS VARCHAR), 8, '0'), 5, 2)
+           || '-' || substr(lpad(CAST(run_date AS VARCHAR), 8, '0'), 7, 2) || ' ' ||
+           CASE WHEN run_time // 10000 // 24 <> 0 THEN CAST(run_time // 10000 // 24 AS VARCHAR) || '.' ELSE '' END
+           || lpad(CAST((run_time // 10000) % 24 AS VARCHAR), 2, '0') || ':'
+           || lpad(CAST((run_time // 100) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST(run_time % 100 AS VARCHAR), 2, '0')
+         ELSE '-' END AS run_text,
          CASE WHEN run_duration // 10000 // 24 <> 0 THEN CAST(run_duration // 10000 // 24 AS VARCHAR) || '.' ELSE '' END
          || lpad(CAST((run_duration // 10000) % 24 AS VARCHAR), 2, '0') || ':'
          || lpad(CAST((run_duration // 100) % 100 AS VARCHAR), 2, '0') || ':' || lpad(CAST(run_duration % 100 AS VARCHAR), 2, '0')
@@ -292,7 +299,7 @@ js AS (SELECT COALESCE(j.job_id, s.job_id) AS job_id, j.job_name, j.enabled, s.s
        FROM jobs j FULL OUTER JOIN steps s ON s.job_id = j.job_id)
 SELECT COALESCE(js.job_id, h2.job_id) AS job_id, COALESCE(js.step_id, h2.step_id) AS step_id, js.job_name, js.enabled,
   js.step_name, h2.instance_id, h2.run_date, h2.run_time, h2.run_duration, h2.run_status, h2.run_datetime,
-  h2.run_status_text, h2.run_duration_text, h2.run_rank
+  h2.run_text, h2.run_status_text, h2.run_duration_text, h2.run_rank
 FROM js FULL OUTER JOIN (SELECT * FROM h2 WHERE run_rank <= 3) h2 ON h2.job_id = js.job_id AND h2.step_id = js.step_id
 """)
 def e7_job_history(t):
