@@ -229,11 +229,19 @@ def freshness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A10
-def stale_sources(df: DataFrame, source_col: str, ts_col: str, now, max_age_hours: float = 3.0,
+def stale_sources(df, source_col: str, ts_col: str, now, max_age_hours: float = 3.0,
                   monitored: DataFrame | None = None, monitored_col: str | None = None,
                   source_machine: Column | None = None) -> DataFrame:
     """Newest time per source, kept when older than ``now`` - max_age; only
-    sources whose machine part is in the monitored list (equi-join)."""
+    sources whose machine part is in the monitored list (equi-join).
+
+    ``df`` is one DataFrame with a source column, or a dict {source name:
+    DataFrame} of per-source tables (one collection database per machine),
+    whose newest times are unioned (one global aggregate per table)."""
+    if isinstance(df, dict):
+        df = reduce(DataFrame.unionByName, [
+            t.agg(F.max(ts_col).alias(ts_col)).select(F.lit(name).alias(source_col), ts_col)
+            for name, t in df.items()])
     newest = df.groupBy(source_col).agg(F.max(ts_col).alias("last_data_collection"))
     now_col = now if isinstance(now, Column) else F.lit(now)
     limit = now_col - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(max_age_hours * 3600))

@@ -117,3 +117,13 @@ def test_principal_roles_member_lists(spark):
            for r in S.principal_roles(principals, members, logins=logins).collect()}
     assert got["alice"] == ("readers, writers", None, "DOM\\alice")
     assert got["readers"] == (None, "alice, bob", None)
+
+
+def test_stale_sources_from_tables(spark):
+    t1 = spark.createDataFrame([(dt.datetime(2024, 1, 1, 8),), (dt.datetime(2024, 1, 1, 9),)], "ts timestamp_ntz")
+    t2 = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11),)], "ts timestamp_ntz")
+    mon = spark.createDataFrame([("SRV1",), ("SRV2",)], "m string")
+    out = A.stale_sources({"perfmon_SRV1": t1, "perfmon_SRV2": t2, "perfmon_SRV3": t1}, "source", "ts",
+                          F.lit(dt.datetime(2024, 1, 1, 12)), 3.0, monitored=mon, monitored_col="m",
+                          source_machine=F.substring_index(F.col("source"), "_", -1))
+    assert [(r["source"], r["last_data_collection"].hour) for r in out.collect()] == [("perfmon_SRV1", 9)]
