@@ -124,6 +124,7 @@ def test_stale_sources_from_tables(spark):
     t2 = spark.createDataFrame([(dt.datetime(2024, 1, 1, 11),)], "ts timestamp_ntz")
     mon = spark.createDataFrame([("SRV1",), ("SRV2",)], "m string")
     out = A.stale_sources({"perfmon_SRV1": t1, "perfmon_SRV2": t2, "perfmon_SRV3": t1}, "source", "ts",
-                          F.lit(dt.datetime(2024, 1, 1, 12)), 3.0, monitored=mon, monitored_col="m",
+                          F.lit(dt.datetime(2024, 1, 1, 12, 30)).cast("timestamp_ntz"), 3.0, monitored=mon,
+                          monitored_col="m",
                           source_machine=F.substring_index(F.col("source"), "_", -1))
     assert [(r["source"], r["last_data_collection"].hour) for r in out.collect()] == [("perfmon_SRV1", 9)]
