@@ -70,7 +70,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
     Survives executor loss (unlike a local checkpoint): the data is written to
-    the shared folder and the plan restarts from there.
+    the shared folder and the plan restarts from there. Under Spark Connect
+    (no SparkContext on the client) the server's checkpoint setting is used.
     """
-    checkpoint_dir(df.sparkSession)
+    try:
+        sc_available = df.sparkSession.sparkContext is not None
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        sc_available = False
+    if sc_available:
+        checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
