@@ -185,6 +185,11 @@ def b7_one_per_machine(t):
 
 
 EDGES_SQL = """
+SELECT 'CUSTOMER' AS class_desc, c.c_name AS permission_name, p.c_name AS covering_permission_name,
+       'NATION' AS parent_class_desc, n.n_name AS parent_covering_permission_name
+FROM customer c LEFT JOIN customer p ON p.c_custkey = c.c_custkey // 10 AND p.c_custkey <> c.c_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey
+UNION ALL
 SELECT 'NATION' AS class_desc, n.n_name AS permission_name, c.n_name AS covering_permission_name,
        'REGION' AS parent_class_desc, r.r_name AS parent_covering_permission_name
 FROM nation n LEFT JOIN nation c ON c.n_nationkey = n.n_nationkey // 2 AND c.n_nationkey <> n.n_nationkey
@@ -197,7 +202,18 @@ UNION ALL SELECT 'SERVER', 'CONTROL SERVER', NULL, NULL, NULL
 
 
 def edges(t):
+    """Permission graph from the tables: a customer is covered by customer
+    key // 10 and, one level up, by its nation; a nation by nation key // 2
+    and by its region; a region by region key // 2 and by the server."""
     n, r = t.nation, t.region
+    cu = t.customer
+    cp = cu.select(F.col("c_custkey").alias("ck"), F.col("c_name").alias("covering_permission_name"))
+    ce = (cu.join(cp, ((cu["c_custkey"] / 10).cast("bigint") == cp["ck"]) & (cp["ck"] != cu["c_custkey"]), "left")
+          .join(n.select("n_nationkey", F.col("n_name").alias("parent_covering_permission_name")),
+                F.col("n_nationkey") == cu["c_nationkey"])
+          .select(F.lit("CUSTOMER").alias("class_desc"), F.col("c_name").alias("permission_name"),
+                  "covering_permission_name", F.lit("NATION").alias("parent_class_desc"),
+                  "parent_covering_permission_name"))
     c = n.select(F.col("n_nationkey").alias("ck"), F.col("n_name").alias("covering_permission_name"))
     ne = (n.join(c, ((n["n_nationkey"] / 2).cast("int") == c["ck"]) & (c["ck"] != n["n_nationkey"]), "left")
           .join(r, r["r_regionkey"] == n["n_regionkey"])
@@ -215,7 +231,7 @@ def edges(t):
                                    F.lit(None).cast("string").alias("covering_permission_name"),
                                    F.lit(None).cast("string").alias("parent_class_desc"),
                                    F.lit(None).cast("string").alias("parent_covering_permission_name"))
-    return ne.unionByName(re_).unionByName(top)
+    return ce.unionByName(ne).unionByName(re_).unionByName(top)
 
 
 @query("b8_implied_permissions", f"""
@@ -227,7 +243,7 @@ steps AS (
   SELECT DISTINCT class_desc, permission_name, parent_covering_permission_name, parent_class_desc, 1
   FROM e WHERE length(parent_covering_permission_name) > 0),
 r(start_class, start_permission, class_desc, permission_name, level, depth) AS (
-  SELECT class_desc, permission_name, class_desc, permission_name, 0, 0 FROM e WHERE class_desc = 'NATION'
+  SELECT class_desc, permission_name, class_desc, permission_name, 0, 0 FROM e WHERE class_desc = 'CUSTOMER'
   UNION ALL
   SELECT r.start_class, r.start_permission, s.nc, s.np, r.level + s.ls, r.depth + 1
   FROM r JOIN steps s ON s.class_desc = r.class_desc AND s.permission_name = r.permission_name
@@ -237,10 +253,11 @@ SELECT start_class, start_permission, class_desc, permission_name, CAST(level AS
 FROM r GROUP BY start_class, start_permission, class_desc, permission_name, level
 """)
 def b8_implied_permissions(t):
-    """Permissions implied by every nation 'permission' through nation ->
-    nation (key // 2) and nation -> region -> server edges."""
+    """Permissions implied by every customer 'permission' through customer
+    -> customer (key // 10) -> ... and customer -> nation -> region -> server
+    edges (one closure per customer, so the work grows with the table)."""
     e = edges(t)
-    starts = e.filter(F.col("class_desc") == "NATION").select("class_desc", "permission_name")
+    starts = e.filter(F.col("class_desc") == "CUSTOMER").select("class_desc", "permission_name")
     return B.implied_permissions(e, starts)
 
 
