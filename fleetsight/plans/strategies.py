@@ -21,12 +21,32 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it provably has at most ``max_rows`` rows.
+DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
 
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once the
-    bound is passed. Above the bound the DataFrame is returned unchanged.
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan (no job runs). For file
+    scans it is the size of the files read, scaled down by column pruning;
+    filters and aggregates do not lower it without cost-based statistics, so
+    it bounds the result from above. None when not available (Spark Connect)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when its size is provably small.
+
+    First Catalyst's size estimate (an upper bound, no job); when that is too
+    large or unknown, ``limit(max_rows + 1).count()`` - which stops reading
+    once the bound is passed. Above both bounds the DataFrame is returned
+    unchanged and the planner (and AQE at run time) chooses the join.
     """
+    est = estimated_bytes(df)
+    if est is not None and est <= max_bytes:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -56,3 +56,16 @@ def test_lookup_broadcast(spark):
     df = registry.QUERIES["b3_version_status"](spark, SF_SMALL)
     df.collect()
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_size_check_uses_estimate_then_count(spark):
+    from pyspark.sql import functions as F
+
+    from fleetsight.plans.strategies import broadcast_if_small, estimated_bytes
+    small = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
+    assert estimated_bytes(small) is not None and estimated_bytes(small) < 1_000_000
+    hinted = broadcast_if_small(small)
+    assert "broadcast" in hinted._jdf.queryExecution().analyzed().toString().lower()
+    big = spark.range(5000).withColumn("x", F.lit("y"))
+    kept = broadcast_if_small(big, max_rows=100, max_bytes=10)   # estimate and count both above the bounds
+    assert "broadcast" not in kept._jdf.queryExecution().analyzed().toString().lower()
