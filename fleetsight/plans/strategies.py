@@ -25,10 +25,13 @@ DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job runs). For file
-    scans it is the size of the files read, scaled down by column pruning;
-    filters and aggregates do not lower it without cost-based statistics, so
-    it bounds the result from above. None when not available (Spark Connect)."""
+    """Catalyst's size estimate of the optimised plan (no job runs) - the
+    estimate Spark's own broadcast threshold uses. For file scans it is the
+    size of the files read, scaled down by column pruning; filters and
+    aggregates do not lower it without cost-based statistics, so it does not
+    shrink below what the scan reads. Decompressed rows can take a few times
+    the file size, which the small default limit (8 MB) allows for. None
+    when not available (Spark Connect)."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001
@@ -39,7 +42,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                        max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` when its size is provably small.
 
-    First Catalyst's size estimate (an upper bound, no job); when that is too
+    First Catalyst's size estimate (no job); when that is too
     large or unknown, ``limit(max_rows + 1).count()`` - which stops reading
     once the bound is passed. Above both bounds the DataFrame is returned
     unchanged and the planner (and AQE at run time) chooses the join.
