@@ -116,8 +116,7 @@ def one_per_machine(df: DataFrame, col: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- B8
-def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64,
-                        checkpoint_every: int = 1) -> DataFrame:
+def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
     """Closure of permissions implied by each start (class, permission).
 
     ``edges``: class_desc, permission_name, covering_permission_name,
@@ -129,9 +128,11 @@ def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64
 
     The frontier holds the nodes reached by paths of exactly ``depth`` steps,
     de-duplicated per step, so the loop ends when no path is longer (or at
-    ``max_depth`` on a cycle). Each frontier is materialised once by a reliable
-    checkpoint (shared folder, survives executor loss), so neither the
-    emptiness test nor the final union recomputes earlier steps.
+    ``max_depth`` on a cycle). Each loop step extends the frontier by one
+    edge and by a precomputed two-edge path (half the steps and jobs) and is
+    materialised once by a reliable checkpoint (shared folder, survives
+    executor loss), so neither the emptiness test nor the final union
+    recomputes earlier steps.
     """
     e = edges.select("class_desc", "permission_name", "covering_permission_name",
                      "parent_class_desc", "parent_covering_permission_name")
@@ -141,23 +142,37 @@ def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64
     upward = e.filter(F.length("parent_covering_permission_name") > 0).select(
         "class_desc", "permission_name", F.col("parent_covering_permission_name").alias("next_permission"),
         F.col("parent_class_desc").alias("next_class"), F.lit(1).alias("level_step"))
-    steps = broadcast_if_small(inside.unionByName(upward).distinct())
-
-    frontier = starts.select(F.col("class_desc").alias("start_class"), F.col("permission_name").alias("start_permission"),
-                             "class_desc", "permission_name", F.lit(0).alias("level"), F.lit(0).alias("depth"))
+    # the step table is read by every loop step: materialise it once
+    steps = broadcast_if_small(cut_lineage(inside.unionByName(upward).distinct()))
+    # two-edge paths, so one loop step advances the frontier by two depths
+    s2 = steps.alias("a").join(steps.alias("b"), (F.col("a.next_class") == F.col("b.class_desc"))
+                               & (F.col("a.next_permission") == F.col("b.permission_name"))).select(
+        F.col("a.class_desc").alias("class_desc"), F.col("a.permission_name").alias("permission_name"),
+        F.col("b.next_class").alias("next_class"), F.col("b.next_permission").alias("next_permission"),
+        (F.col("a.level_step") + F.col("b.level_step")).alias("level_step")).distinct()
+    steps2 = broadcast_if_small(cut_lineage(s2))
+
+    def advance(front: DataFrame, edges: DataFrame, by: int) -> DataFrame:
+        return (front.join(edges, ["class_desc", "permission_name"])
+                .select("start_class", "start_permission", F.col("next_class").alias("class_desc"),
+                        F.col("next_permission").alias("permission_name"),
+                        (F.col("level") + F.col("level_step")).alias("level"),
+                        (F.col("depth") + F.lit(by)).alias("depth")))
+
+    frontier = cut_lineage(starts.select(
+        F.col("class_desc").alias("start_class"), F.col("permission_name").alias("start_permission"),
+        "class_desc", "permission_name", F.lit(0).alias("level"), F.lit(0).alias("depth")))
     reached = [frontier]
-    for depth in range(1, max_depth + 1):
-        nxt = (frontier.join(steps, ["class_desc", "permission_name"])
-               .select("start_class", "start_permission", F.col("next_class").alias("class_desc"),
-                       F.col("next_permission").alias("permission_name"),
-                       (F.col("level") + F.col("level_step")).alias("level"), F.lit(depth).alias("depth"))
-               .distinct())
-        if depth % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+    depth = 0
+    while depth < max_depth:
+        # nodes at depth + 1 and depth + 2, de-duplicated per depth, materialised once
+        both = cut_lineage(advance(frontier, steps, 1).unionByName(advance(frontier, steps2, 2))
+                           .filter(F.col("depth") <= max_depth).distinct())
+        if both.isEmpty():
             break
-        reached.append(nxt)
-        frontier = nxt
+        reached.append(both)
+        frontier = both.filter(F.col("depth") == depth + 2)
+        depth += 2
     allr = reduce(DataFrame.unionByName, reached)
     return allr.groupBy("start_class", "start_permission", "class_desc", "permission_name", "level") \
                .agg(F.max("depth").alias("max_depth"))
