@@ -128,6 +128,8 @@ FROM (SELECT DISTINCT event_type FROM events) x
 
 
 def counter_tables(t):
+    """Events as performance-counter exports: one counter per event type on one
+    machine; readings carry a time text longer than 23 characters."""
     e = t.events
     types = e.select("event_type").distinct()
     from pyspark.sql import Window
@@ -330,6 +332,8 @@ FROM part
 
 
 def data_files(t):
+    """Parts as data/log files: brand = database, size from p_size, used pages
+    from the retail price, growth and cap rules by p_size, three drives."""
     p = t.part
     sz = F.col("p_size")
     drive = F.when(sz % 3 == 0, "C:").when(sz % 3 == 1, "D:").otherwise("E:")
@@ -344,6 +348,7 @@ def data_files(t):
 
 
 def volumes(files):
+    """Volume size and free space per drive, derived from the files on it."""
     from fleetsight.functions.scalar import file_drive, int_div
     v = files.groupBy(file_drive("physical_name").alias("drive")).agg(
         F.sum("size").alias("__s"), F.sum("space_used").alias("__u"))

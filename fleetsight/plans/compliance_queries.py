@@ -24,6 +24,8 @@ FROM orders
 
 
 def backup_sets(t):
+    """Orders as backup sets of customer databases (type by priority, size from
+    the price, duration in whole seconds)."""
     o = t.orders
     cents = (F.col("o_totalprice").cast("decimal(15,2)") * 100).cast("bigint")
     typ = (F.when(F.col("o_orderpriority") == "1-URGENT", "L").when(F.col("o_orderpriority") == "2-HIGH", "I")
@@ -356,6 +358,7 @@ FROM part
 
 
 def job_schedules(t):
+    """Parts as job schedules, two per job; frequency fields derived from p_size."""
     sz = F.col("p_size")
     ft = (F.when(sz % 6 == 0, 1).when(sz % 6 == 1, 4).when(sz % 6 == 2, 8).when(sz % 6 == 3, 16)
           .when(sz % 6 == 4, 32).otherwise(64))

@@ -25,6 +25,7 @@ FROM customer WHERE c_custkey % 50 = 1 AND c_nationkey <> 3
 
 
 def feed(t):
+    """The loaded snapshot: customer with the deterministic edits described above."""
     c = t.customer
     k = F.col("c_custkey")
     edited = c.filter((k % 10 != 0) & (F.col("c_nationkey") != 3)).select(

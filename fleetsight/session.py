@@ -28,6 +28,9 @@ SESSION_DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "fleetsight", extra: dict | None = None) -> SparkSession:
+    """Session with the library defaults (AQE, skew splitting, UTC). On a
+    cluster leave ``master`` unset; settings already fixed by the cluster
+    (or an existing session) take precedence."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
