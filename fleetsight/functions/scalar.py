@@ -13,7 +13,7 @@ __all__ = [
     "col_of", "int_div", "fmt_seconds", "fmt_hhmmss", "now_text", "to_utc_minute",
     "unquote_name", "file_name", "file_dir", "file_ext", "file_drive", "decode_version",
     "numeric_version", "hex_text", "space_mb", "yes_no", "split_instance_machine",
-    "split_instance_name", "text_date_time", "code_text",
+    "split_instance_name", "text_date_time", "code_text", "ratio_half_up",
 ]
 
 # Product names by major version prefix, tested in this order
@@ -136,7 +136,20 @@ def hex_text(c) -> Column:
 def space_mb(rows, nbytes) -> Column:
     """rows * bytes in MB, decimal(10,2) (BIGINT product: no INT overflow)."""
     prod = col_of(rows).cast("bigint") * col_of(nbytes).cast("bigint")
-    return (prod.cast("decimal(38,6)") / F.lit(1048576)).cast("decimal(10,2)")
+    return ratio_half_up(prod, F.lit(1048576), 2, "decimal(10,2)")
+
+
+def ratio_half_up(num, den, scale: int, dtype: str) -> Column:
+    """``num / den`` rounded half up (away from zero) to ``scale`` decimals,
+    exactly: an integral division (``div``) of integers or decimals, with no
+    intermediate rounding that could round twice. NULL when ``den`` is 0."""
+    n, d = col_of(num), col_of(den)
+    f = 10 ** scale
+    sign = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
+    # decimal factors widen int/bigint operands, so the products cannot overflow
+    two_f, two = F.lit(2 * f).cast("decimal(20,0)"), F.lit(2).cast("decimal(20,0)")
+    q = F.call_function("div", F.abs(n) * two_f + F.abs(d), F.nullif(F.abs(d), F.lit(0)) * two)
+    return ((sign * q).cast("decimal(38,0)") / F.lit(f)).cast(dtype)
 
 
 def code_text(c, mapping: dict, default=None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import exact_mean
 from fleetsight.functions.calendar import WORK_END_HOUR, WORK_START_HOUR, sql_week_of_year
-from fleetsight.functions.scalar import code_text, fmt_seconds, int_div
+from fleetsight.functions.scalar import code_text, fmt_seconds, int_div, ratio_half_up
 from fleetsight.plans.strategies import previous_in_order, time_bucket
 
 # Disk alarm thresholds (percent free) and texts.
@@ -80,7 +80,7 @@ def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str]
 def disk_alarm(df: DataFrame, free: str, size: str) -> DataFrame:
     """Free percent as decimal(4,1) and the alarm text."""
     pct = (F.col(free).cast("decimal(20,4)") * 100 / F.nullif(F.col(size).cast("decimal(20,4)"), F.lit(0)))
-    out = df.withColumn("free_pct", pct.cast("decimal(4,1)"))
+    out = df.withColumn("free_pct", ratio_half_up(F.col(free) * 100, F.col(size), 1, "decimal(4,1)"))
     return out.withColumn("alarm", F.when(pct < DISK_ALARM_PCT, F.lit(DISK_ALARM_TEXT))
                           .when(pct < DISK_WARNING_PCT, F.lit(DISK_WARNING_TEXT)).otherwise(F.lit("")))
 
@@ -409,8 +409,7 @@ def file_usage(files: DataFrame, volumes: DataFrame | None = None) -> DataFrame:
     tier = growth_tier_mb(size_d)
     out = f.select(
         "*", size_mb.alias("size_mb"), used_mb.alias("used_mb"), (size_mb - used_mb).alias("free_mb"),
-        (F.col("space_used").cast("decimal(20,4)") * 100 / F.nullif(F.col("size"), F.lit(0))).cast("decimal(10,2)")
-        .alias("percentage_used"),
+        ratio_half_up(F.col("space_used") * 100, F.col("size"), 2, "decimal(10,2)").alias("percentage_used"),
         grow.alias("autogrowth_maxsize"), file_dir("physical_name").alias("path"),
         file_name("physical_name").alias("file_name"), file_drive("physical_name").alias("drive"),
         shrink.alias("shrink_target_mb"),

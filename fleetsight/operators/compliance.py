@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import ordered_list
-from fleetsight.functions.scalar import code_text, fmt_hhmmss, fmt_seconds, text_date_time
+from fleetsight.functions.scalar import code_text, fmt_hhmmss, fmt_seconds, ratio_half_up, text_date_time
 from fleetsight.operators.reference import WEEKDAY_BITS, bitmask_names
 from fleetsight.plans.strategies import asof_forward, top_n_per_group
 
@@ -38,8 +38,8 @@ def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compress
                              .otherwise(F.lit("No")))
     return (out.withColumn("size_mb", (F.col(size) / 1048576).cast("bigint"))
               .withColumn("compressed_size_mb", (F.col(compressed) / 1048576).cast("bigint"))
-              .withColumn("size_gb", (F.col(size).cast("decimal(38,0)") / gb).cast("decimal(10,2)"))
-              .withColumn("compressed_size_gb", (F.col(compressed).cast("decimal(38,0)") / gb).cast("decimal(10,2)"))
+              .withColumn("size_gb", ratio_half_up(F.col(size), gb, 2, "decimal(10,2)"))
+              .withColumn("compressed_size_gb", ratio_half_up(F.col(compressed), gb, 2, "decimal(10,2)"))
               .withColumn("compression_pct", F.lit(100.0) - comp_d * 100 / F.nullif(size_d, F.lit(0.0)))
               .withColumn("mb_per_sec", comp_d / 1048576 / F.nullif((secs + 1).cast("double"), F.lit(0.0)))
               .withColumn("duration", fmt_seconds(secs)))

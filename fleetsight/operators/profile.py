@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetsight.functions.scalar import ratio_half_up
+
 # Deprecated column types looked for by find_types.
 DEPRECATED_TYPES = ["text", "ntext", "image"]
 # Bytes per value for fixed-width types (MB held by NULLs).
@@ -42,8 +44,8 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         nulls = F.col("__rows") - F.col("nn__" + c)
         rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(fields[c].simpleString()).alias("data_type"),
                              nulls.alias("null_rows"), F.col("nn__" + c).alias("not_null_rows"),
-                             F.coalesce((nulls.cast("decimal(20,0)") * 100 / F.nullif(F.col("__rows"), F.lit(0)))
-                                        .cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")).alias("null_percent"),
+                             F.coalesce(ratio_half_up(nulls * 100, F.col("__rows"), 2, "decimal(10,2)"),
+                                        F.lit(0).cast("decimal(10,2)")).alias("null_percent"),
                              (nulls.cast("double") * F.coalesce(width, F.lit(0)).cast("double") / 1048576.0)
                              .alias("null_mb")))
     return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")

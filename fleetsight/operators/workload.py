@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import exact_mean, ordered_list
-from fleetsight.functions.scalar import fmt_seconds
+from fleetsight.functions.scalar import fmt_seconds, ratio_half_up
 from fleetsight.plans.strategies import top_n_per_group
 
 # Execution outcomes, in report order.
@@ -147,8 +147,8 @@ def _weighted(stats: DataFrame, cnt: Column, c: str) -> Column:
 def percent_of_period(df: DataFrame, totals: dict[str, str], names: dict[str, str]) -> DataFrame:
     """D3: each total as a percent of its period total, decimal(5,2), 0 when the period is 0."""
     for part, whole in totals.items():
-        pct = (F.col(part).cast("decimal(38,4)") * F.lit(100) / F.nullif(F.col(whole), F.lit(0)))
-        df = df.withColumn(names[part], F.coalesce(pct.cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)")))
+        pct = ratio_half_up(F.col(part) * 100, F.col(whole), 2, "decimal(5,2)")
+        df = df.withColumn(names[part], F.coalesce(pct, F.lit(0).cast("decimal(5,2)")))
     return df
 
 
@@ -316,8 +316,7 @@ def stale_statistics(stats: DataFrame, *, modified_col: str = "modification_coun
 
 
 def _pct(part: Column, whole: Column) -> Column:
-    pct = (part.cast("decimal(38,4)") * 100 / F.nullif(whole, F.lit(0))).cast("decimal(19,2)")
-    return F.coalesce(pct, F.lit(0).cast("decimal(19,2)"))
+    return F.coalesce(ratio_half_up(part * 100, whole, 2, "decimal(19,2)"), F.lit(0).cast("decimal(19,2)"))
 
 
 # --------------------------------------------------------------------- D14
@@ -344,8 +343,7 @@ def command_log_report(log: DataFrame, kind: str) -> DataFrame:
                .withColumn("row_count", F.col("__info.RowCount"))
                .withColumn("modification_counter", F.col("__info.ModificationCounter")).drop("__info")
                .withColumn("modification_percent",
-                           (F.col("modification_counter").cast("decimal(38,4)") * 100
-                            / F.nullif(F.col("row_count"), F.lit(0))).cast("decimal(15,2)")))
+                           ratio_half_up(F.col("modification_counter") * 100, F.col("row_count"), 2, "decimal(15,2)")))
     return out
 
 

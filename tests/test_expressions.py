@@ -96,3 +96,10 @@ def test_declared_schemas_parse(spark):
         st = schema(name)
         assert len(st.fields) > 1
         spark.createDataFrame([], st)          # usable as a reader / empty-frame schema
+
+
+def test_ratio_half_up_is_exact(spark):
+    rows = [(12345, 100000), (19974999, 1000000), (-5, 100), (1, 3), (2, 0), (21447992400, 1073741824)]
+    df = spark.createDataFrame(rows, "n bigint, d bigint")
+    got = [r[0] for r in df.select(X.ratio_half_up("n", "d", 2, "decimal(20,2)")).collect()]
+    assert [str(x) if x is not None else None for x in got] == ["0.12", "19.97", "-0.05", "0.33", None, "19.97"]
