@@ -95,14 +95,17 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
         out = ranked
         for m in measures:
             out = out.withColumn(f"period_{m}", totals.select(f"period_{m}").scalar())
-    out = percent_of_period(out, {f"total_{m}": f"period_{m}" for m in measures},
-                            {f"total_{m}": f"percent_{m}" for m in measures})
-    out = out.drop(*[f"period_{m}" for m in measures])
+    # percentages and the breakdown text in one projection
+    extra = [F.coalesce(ratio_half_up(F.col(f"total_{m}") * 100, F.col(f"period_{m}"), 2, "decimal(5,2)"),
+                        F.lit(0).cast("decimal(5,2)")).alias(f"percent_{m}") for m in measures]
     if outcome_col:
-        out = out.withColumn("total_executions_breakdown", F.concat(
+        extra.append(F.concat(
             F.lit("(Successful:"), F.col("total_exec_successful").cast("string"),
             F.lit(", Aborted:"), F.col("total_exec_aborted").cast("string"),
-            F.lit(", Exceptions:"), F.col("total_exec_exceptions").cast("string"), F.lit(")")))
+            F.lit(", Exceptions:"), F.col("total_exec_exceptions").cast("string"), F.lit(")"))
+            .alias("total_executions_breakdown"))
+    keep = [c for c in out.columns if not c.startswith("period_")]
+    out = out.select(*keep, *extra)
     if waits is not None:
         out = _with_waits(out, waits, keys, group_cols, wait_category, wait_total, wait_avg)
     if lookup is not None:
