@@ -1,11 +1,16 @@
 """Plan checks: no Python in the hot path, no cartesian product of large
 inputs, top-n pushed below the shuffle, lookups broadcast, scans pruned."""
 
+import os
+import sys
+
 import pytest
 
 from conftest import SF_SMALL
 from fleetsight.plans import registry
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 registry.load_all()
 
 # No query joins without a key: one-row aggregates are scalar subqueries
@@ -69,3 +74,13 @@ def test_size_check_uses_estimate_then_count(spark):
     big = spark.range(5000).withColumn("x", F.lit("y"))
     kept = broadcast_if_small(big, max_rows=100, max_bytes=10)   # estimate and count both above the bounds
     assert "broadcast" not in kept._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_entry_contract(spark):
+    import __spark_entry__ as entry
+
+    df = entry.entry(spark)
+    rows = df.collect()
+    assert len(rows) > 0 and "percent_duration" in df.columns
+    qs, sqls = entry.queries(), entry.oracle_sql()
+    assert set(sqls) <= set(qs) and len(qs) >= 90
