@@ -141,3 +141,36 @@ def g8_preview(t):
     """First 5 rows of every table whose name matches 'p%' (no order; rows-only check)."""
     tables = {n: getattr(t, n) for n in ["part", "pages", "orders", "nation"]}
     return G.preview(tables, "p%", 5)
+
+
+COLUMNS_SQL = """
+SELECT p_brand AS database_name, 'dbo' AS schema_name, 'table_' || CAST(p_partkey // 100 AS VARCHAR) AS table_name,
+  replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS column_name,
+  CASE p_type WHEN 'ECONOMY' THEN 'text' WHEN 'PROMO' THEN 'image' WHEN 'SMALL' THEN 'NTEXT' ELSE 'varchar' END
+    AS data_type,
+  p_size AS max_length, p_size % 2 = 0 AS is_nullable
+FROM part
+"""
+
+
+def columns_table(t):
+    """Parts as an estate-wide column list: brand = database, 100 parts per
+    table, the part type standing for the column type."""
+    p = t.part
+    dt = (F.when(F.col("p_type") == "ECONOMY", "text").when(F.col("p_type") == "PROMO", "image")
+          .when(F.col("p_type") == "SMALL", "NTEXT").otherwise("varchar"))
+    return p.select(F.col("p_brand").alias("database_name"), F.lit("dbo").alias("schema_name"),
+                    F.concat(F.lit("table_"), (F.col("p_partkey") / 100).cast("bigint").cast("string")).alias("table_name"),
+                    F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"))
+                    .alias("column_name"),
+                    dt.alias("data_type"), F.col("p_size").alias("max_length"),
+                    (F.col("p_size") % 2 == 0).alias("is_nullable"))
+
+
+@query("g2_find_types", f"""
+SELECT * FROM ({COLUMNS_SQL}) c WHERE lower(data_type) IN ('text', 'ntext', 'image')
+""")
+def g2_find_types(t):
+    """Columns of deprecated types (text, ntext, image; case-insensitive) in the
+    part-derived column list."""
+    return G.find_types(columns_table(t))
