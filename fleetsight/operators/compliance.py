@@ -59,11 +59,12 @@ def last_n_backups(sets: DataFrame, media: DataFrame | None, n: int, *, key: lis
     top = top_n_per_group(s, key, [F.col(order).desc(), F.col(tiebreak).desc()], n, rank_col="backup_rank")
     top = _backup_measures(top, start, finish, size, compressed).withColumn("backup_type", backup_type_text(F.col(type_col)))
     if media is not None:
-        # only the media rows of the chosen sets are aggregated
-        chosen = top.select("media_set_id").distinct()
-        dev = media.join(chosen, "media_set_id", "left_semi").groupBy("media_set_id").agg(
+        # the chosen sets (n per entity) meet their media rows once; the device
+        # list is aggregated per set (bounded by the set's media families)
+        cols = top.columns
+        m = media.select("media_set_id", "physical_device_name", "family_sequence_number")
+        top = top.join(m, "media_set_id", "left").groupBy(*cols).agg(
             ordered_list("physical_device_name", ["family_sequence_number", "physical_device_name"], ", ").alias("devices"))
-        top = top.join(dev, "media_set_id", "left")
     if entities is not None:
         out = entities.join(top, key, "left")
         return out.withColumn("backup_type", F.coalesce("backup_type", F.lit("-")))
