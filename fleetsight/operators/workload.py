@@ -209,19 +209,24 @@ def duplicate_signatures(members: DataFrame, item_key: list[str], member: str, o
                          included: str | None = None) -> DataFrame:
     """Items whose ordered member list (and included list) equals another item's.
 
-    The per-item list is bounded by one item's members. Signatures are
+    The per-item signature is an array (bounded by one item's members),
+    grouped on directly - cheaper than building and hashing text - and
     counted with a partial aggregation; only signatures with count > 1 are
-    joined back (AQE splits a hot signature on the item side).
+    joined back (AQE splits a hot signature on the item side). The lists
+    are rendered as text for the result.
     """
-    key_list = ordered_list(f"cast(`{member}` as string)", [f"`{order}`", f"`{member}`"], ",")
-    aggs = [key_list.alias("key_list")]
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(member).alias("m"))))
+    aggs = [F.transform(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda x: x["m"]).alias("__key")]
     if included:
-        aggs.append(ordered_list(f"cast(`{included}` as string)", [f"`{included}`"], ",").alias("included_list"))
+        aggs.append(F.array_sort(F.collect_list(F.col(included))).alias("__inc"))
     sig = members.groupBy(*item_key).agg(*aggs)
-    sig_cols = ["key_list"] + (["included_list"] if included else [])
-    sig = sig.withColumn("included_list", F.coalesce("included_list", F.lit(""))) if included else sig
+    sig_cols = ["__key"] + (["__inc"] if included else [])
     counts = sig.groupBy(*sig_cols).agg(F.count(F.lit(1)).alias("n_duplicates")).filter("n_duplicates > 1")
-    return sig.join(counts, on=sig_cols, how="inner")
+    out = sig.join(counts, on=sig_cols, how="inner")
+    text = [F.array_join(F.col("__key").cast("array<string>"), ",").alias("key_list")]
+    if included:
+        text.append(F.array_join(F.col("__inc").cast("array<string>"), ",").alias("included_list"))
+    return out.select(*text, *item_key, "n_duplicates")
 
 
 # --------------------------------------------------------------------- D9
