@@ -88,13 +88,19 @@ def disk_alarm(df: DataFrame, free: str, size: str) -> DataFrame:
 # ------------------------------------------------------------------ C4
 def size_by_type(df: DataFrame, entity: str, type_col: str, size: str, used: str,
                  types: list[str] = SIZE_TYPES) -> DataFrame:
-    """Size per allocation type as columns, used, free and total per entity,
-    with a grand total row labelled ***Total*** (rollup)."""
+    """Size per allocation type as columns, per entity, with a grand total row
+    labelled ***Total*** (rollup). ``used`` is the allocated space of the data
+    (ROWS) files: free = data size - used, free percent of the data size
+    (whole percent), total = the sum over all types."""
     aggs = [F.coalesce(F.sum(F.when(F.col(type_col) == t, F.col(size))), F.lit(0)).alias(t.lower() + "_size")
             for t in types]
-    aggs += [F.sum(size).alias("total_size"), F.sum(used).alias("used_size"), F.grouping(entity).alias("__g")]
+    aggs += [F.sum(size).alias("total_size"),
+             F.coalesce(F.sum(F.when(F.col(type_col) == types[0], F.col(used))), F.lit(0)).alias("used_size"),
+             F.grouping(entity).alias("__g")]
     out = df.rollup(entity).agg(*aggs)
-    out = out.withColumn("free_size", F.col("total_size") - F.col("used_size"))
+    data = types[0].lower() + "_size"
+    out = out.withColumn("free_size", F.col(data) - F.col("used_size"))
+    out = out.withColumn("free_percent", ratio_half_up(F.col("free_size") * 100, F.col(data), 0, "decimal(10,0)"))
     return out.withColumn(entity, F.when(F.col("__g") == 1, F.lit(TOTAL_LABEL))
                           .otherwise(F.col(entity).cast("string"))).drop("__g")
 

@@ -72,8 +72,16 @@ SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN '***Total***' ELSE l_returnflag
   CAST(COALESCE(SUM(CASE WHEN type_desc = 'LOG' THEN size END), 0) AS DECIMAL(25,2)) AS log_size,
   CAST(COALESCE(SUM(CASE WHEN type_desc = 'FILESTREAM' THEN size END), 0) AS DECIMAL(25,2)) AS filestream_size,
   CAST(COALESCE(SUM(CASE WHEN type_desc = 'FULLTEXT' THEN size END), 0) AS DECIMAL(25,2)) AS fulltext_size,
-  CAST(SUM(size) AS DECIMAL(25,2)) AS total_size, CAST(SUM(used) AS DECIMAL(25,2)) AS used_size,
-  CAST(SUM(size) - SUM(used) AS DECIMAL(26,2)) AS free_size
+  CAST(SUM(size) AS DECIMAL(25,2)) AS total_size,
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN used END), 0) AS DECIMAL(25,2)) AS used_size,
+  CAST(COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0)
+       - COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN used END), 0) AS DECIMAL(26,2)) AS free_size,
+  -- exact half-up rounding of free * 100 / data to a whole percent (values in cents)
+  CAST((CAST((COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0)
+              - COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN used END), 0)) * 100 AS HUGEINT) * 200
+        + CAST(COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0) * 100 AS HUGEINT))
+       // (2 * NULLIF(CAST(COALESCE(SUM(CASE WHEN type_desc = 'ROWS' THEN size END), 0) * 100 AS HUGEINT), 0))
+       AS DECIMAL(10,0)) AS free_percent
 FROM d GROUP BY ROLLUP (l_returnflag)
 """)
 def c4_size_by_type(t):
