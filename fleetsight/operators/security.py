@@ -82,9 +82,13 @@ def login_audit(logins: DataFrame, lists: dict[str, tuple[DataFrame, str, str]],
     pre-aggregated per login, then left-joined. ``name_like`` keeps logins
     whose name matches or that have a matching member (EXISTS)."""
     out = logins.withColumn("disabled", yes_no(disabled))
+    # lists read from the same DataFrame and key share one aggregation (one shuffle)
+    groups: dict = {}
     for col_name, (pairs, k, v) in lists.items():
-        agg = pairs.groupBy(F.col(k).alias("__k")).agg(ordered_list(f"`{v}`", f"`{v}`", ", ", distinct=True)
-                                                        .alias(col_name))
+        groups.setdefault((id(pairs), k), (pairs, k, []))[2].append((col_name, v))
+    for pairs, k, items in groups.values():
+        agg = pairs.groupBy(F.col(k).alias("__k")).agg(
+            *[ordered_list(f"`{v}`", f"`{v}`", ", ", distinct=True).alias(c) for c, v in items])
         out = out.join(agg, out[key] == F.col("__k"), "left").drop("__k")
     if name_like is not None:
         match = F.col("login_name").like(name_like)
