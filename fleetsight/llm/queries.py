@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import lexicon, packing, quality
+from fleetsight.llm import lexicon, packing, quality, secrets
 from fleetsight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,48 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_SQL_ASSIGN = "(" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _any_case("api") \
+    + "_?" + _any_case("key") + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_SQL_RULES = [("assign", _SQL_ASSIGN)] + [(r.kind, r.pattern) for r in secrets.RULES[1:]]
+_SQL_FOUND = " UNION ALL ".join(f"""
+  SELECT r, {k} AS rank, '{kind}' AS kind, gap, hit, i, sum(length(gap) + coalesce(length(hit), 0))
+           OVER (PARTITION BY r ORDER BY i) AS "end"
+  FROM (SELECT r, unnest(string_split_regex(t, '{pattern}')) AS gap,
+               unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS hit,
+               generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM d)"""
+                                for k, (kind, pattern) in enumerate(_SQL_RULES))
+
+
+@register("op7_secret_ledger", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT r, rank, kind, "end" - length(hit) AS start, "end" FROM ({_SQL_FOUND})
+  WHERE hit IS NOT NULL AND (kind <> 'assign' OR length(regexp_extract(hit, '{_SQL_ASSIGN}', 2)) >= 6)),
+g AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k,
+         count(*) FILTER (kind = 'hex') AS h,
+         string_agg(concat_ws(':', kind, start::BIGINT, "end"::BIGINT), ',' ORDER BY start, rank)
+           FILTER (rank < 3) AS base,
+         string_agg(concat_ws(':', kind, start::BIGINT, "end"::BIGINT), ',' ORDER BY start, rank) AS spans
+  FROM f GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned with an empty ledger."""
+    found, _ = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        secrets.joined(F.col("spans")).alias("spans"))
