@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import lexicon, packing, quality, secrets
+from fleetsight.llm import langid, lexicon, packing, quality, secrets, toxicity
 from fleetsight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,20 @@ _SQL_FOUND = " UNION ALL ".join(f"""
                                 for k, (kind, pattern) in enumerate(_SQL_RULES))
 
 
+def _crc_mod(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@register("op4_kneser_ney_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    held = F.coalesce(_crc_mod(3) == 1, F.lit(False))
+    models = langid.fit(docs.where(F.col("doc_id").isNotNull() & ~held))
+    return langid.predict(docs.select("doc_id", "text", held.alias("held_out")), models).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 @register("op7_secret_ledger", f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 f AS (
@@ -131,3 +145,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
                         secrets.joined(F.col("spans")).alias("spans"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """The model that the query and the pipeline use: learned from the rows that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.where(_crc_mod(5) != 0))
+
+
+@register("op10_ngram_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select(
+        "doc_id", "text", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out")),
+        toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
