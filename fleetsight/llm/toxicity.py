@@ -1,13 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams (3 to 5, inside blank-delimited
-words with their borders) that occur in a text at least once.
+Features are the hashed character n-grams (3 to 6, inside blank-delimited
+words with their borders); a feature's value is log(1 + 200 * its
+occurrences per word of the text), so a rare chance hit in a long text
+weighs little and a marker's steady rate counts the same at any length.
 
 1. Fit rows: at most ``fit_rows`` labelled documents, those of the smallest
    id hash (documented bound; everything collected below is bounded by it).
-2. Tasks count, per n-gram, how many toxic and other fit rows hold it; the
-   log-count ratio r of a feature is log(p / q) of the smoothed shares.
-3. The ``features`` strongest ratios, each scaled by its r, carry a logistic
+2. Tasks sum each n-gram's values over toxic and other fit rows (in whole
+   thousandths, so the order of tasks does not matter); the log-count ratio
+   r of a feature is log(p / q) of the smoothed means.
+3. The ``features`` most significant ratios, each scaled by its r, carry a logistic
    regression with a ridge penalty, fitted by Newton steps.
 
 Scoring reads whole texts in one pass over the scan, no shuffle. Defined
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,32 +41,37 @@ _MEMO_CHARS = 64
 
 
 def word_bins(word: str) -> list[int]:
-    """Hashed 3- to 5-grams of a word with its borders."""
-    w = f" {word} ".encode()
-    return list({zlib.crc32(w[i:i + n]) & (BINS - 1) for n in (3, 4, 5) for i in range(len(w) - n + 1)})
-
-
-class _Words:
-    """Per-worker memo of a function of a word."""
-
-    def __init__(self, fn):
-        self.fn, self.memo = fn, {}
-
-    def __call__(self, words: set[str]):
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in words:
-            got = memo.get(w)
-            if got is None:
-                got = self.fn(w)
-                if len(w) <= _MEMO_CHARS:
-                    memo[w] = got
-            yield got
-
-
-def _present(text: str | None) -> set[str]:
-    return set(text.lower().split()) if text else set()
+    """Hashed 3- to 6-grams of a word with its borders, each once."""
+    w = f" {word} "
+    return sorted({zlib.crc32(w[i:i + n].encode()) & (BINS - 1) for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)})
+
+
+class Features:
+    """Values of a text's features, with a per-worker memo of the bins of a word."""
+
+    def __init__(self, only=None):
+        self.only, self.memo = only, {}
+
+    def _bins(self, word: str) -> list[int]:
+        got = self.memo.get(word)
+        if got is None:
+            got = word_bins(word)
+            if self.only is not None:
+                got = [b for b in got if b in self.only]
+            if len(word) <= _MEMO_CHARS:
+                self.memo[word] = got
+        return got
+
+    def __call__(self, text: str | None) -> dict[int, float]:
+        words = Counter(text.lower().split()) if text else {}
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        times: dict[int, int] = {}
+        for w, n in words.items():
+            for b in self._bins(w):
+                times[b] = times.get(b, 0) + n
+        scale = 200.0 / max(1, sum(words.values()))
+        return {b: math.log1p(scale * k) for b, k in times.items()}
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
@@ -73,30 +82,31 @@ def fit_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataF
     return docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(few), "doc_id").select("t", "y")
 
 
-def _ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(documents per class, documents per class and n-gram)."""
+def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(documents per class, summed thousandths per class and n-gram)."""
 
     def run(batches):
-        counts, n, bins = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64), _Words(word_bins)
+        sums, n, values = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64), Features()
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = set().union(*bins(_present(t)))
+                v = values(t)
                 n[y] += 1
-                counts[y, np.fromiter(seen, np.int64, len(seen))] += 1
-        at = np.flatnonzero(counts.any(axis=0))
+                sums[y, np.fromiter(v, np.int64, len(v))] += np.rint(
+                    1000 * np.fromiter(v.values(), float, len(v))).astype(np.int64)
+        at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), pa.array(np.append(counts[0, at], n[0])),
-             pa.array(np.append(counts[1, at], n[1]))], ["bin", "c0", "c1"])
+            [pa.array(np.append(at, -1)), pa.array(np.append(sums[0, at], n[0])),
+             pa.array(np.append(sums[1, at], n[1]))], ["bin", "c0", "c1"])
 
     got = (rows.mapInArrow(run, "bin long, c0 long, c1 long").groupBy("bin")
            .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow())
-    counts, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
+    sums, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
     at = got["bin"].to_numpy()
     both = np.stack([got["c0"].to_numpy(), got["c1"].to_numpy()])
-    counts[:, at[at >= 0]] = both[:, at >= 0]
+    sums[:, at[at >= 0]] = both[:, at >= 0]
     if (at < 0).any():
         n = both[:, at < 0].sum(axis=1)
-    return n, counts
+    return n, sums
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
@@ -139,27 +149,29 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int
         ridge: float = 1.0) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     rows = fit_rows(docs, labels, limit)
-    n, counts = _ratios(rows)
+    n, sums = _sums(rows)
     share = (n[1] + 1.0) / (n.sum() + 2.0)
     if not n.all():
         return Model({}, math.log(share / (1 - share)))
-    p, q = counts[1] + 1.0, counts[0] + 1.0
+    p, q = sums[1] / 1000 + 1.0, sums[0] / 1000 + 1.0
     r = np.log((p / (n[1] + 2.0)) / (q / (n[0] + 2.0)))
-    strength = np.where(counts.sum(axis=0) >= 3, np.abs(r) * np.sqrt(counts.sum(axis=0)), 0)
+    strength = np.where(sums.sum(axis=0) >= 3000, np.abs(r) / np.sqrt(1 / p + 1 / q), 0)    # ratio by its spread
     chosen = np.argsort(-strength, kind="stable")[:features]
     place = {int(b): i for i, b in enumerate(chosen) if strength[b] > 0}
 
     def run(batches):
-        hits = _Words(lambda w: [place[b] for b in word_bins(w) if b in place])
+        values = Features(place)
         for batch in batches:
-            found = [sorted(set().union(*hits(_present(t)))) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["f", "y"])
+            found = [values(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([[place[b] for b in v] for v in found], pa.list_(pa.int32())),
+                pa.array([list(v.values()) for v in found], pa.list_(pa.float64())), batch.column(1)], ["f", "v", "y"])
 
-    got = rows.mapInArrow(run, "f array<int>, y int").toArrow()
+    got = rows.mapInArrow(run, "f array<int>, v array<double>, y int").toArrow()
     y = got["y"].to_numpy().astype(float)
     x = np.zeros((len(y), len(place)))
-    for i, f in enumerate(got["f"].to_pylist()):
-        x[i, f] = 1.0
+    for i, (f, v) in enumerate(zip(got["f"].to_pylist(), got["v"].to_pylist())):
+        x[i, f] = v
     scale = r[list(place)]
     w = _newton(x * scale, y, ridge)
     return Model({b: float(w[i] * scale[i]) for b, i in place.items()}, float(w[-1]))
@@ -174,15 +186,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches):
         m = shared.value
-        hits = _Words(lambda w: tuple(b for b in word_bins(w) if b in m.weight))
+        values = Features(m.weight)
         for batch in batches:
-            out = []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                seen = set()
-                for h in hits(_present(t)):
-                    if h:
-                        seen.update(h)
-                out.append(m.score(math.fsum(m.weight[b] for b in seen)))
+            out = [m.score(math.fsum(m.weight[b] * v for b, v in values(t).items()))
+                   for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*rest, score_col])
 
     return src.mapInArrow(run, schema)
