@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import langid, lexicon, packing, quality, secrets, simhash, toxicity
+from fleetsight.llm import embeddings, langid, lexicon, packing, quality, secrets, simhash, toxicity
 from fleetsight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@register("op5_pca_tiles", """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+g AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0
+        AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(x, y) AS (SELECT r, r FROM e UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT reach.x AS r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.y GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = e.r) AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c USING (r)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link count and near-duplicate component of every vector."""
+    return embeddings.embedding_groups(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op6_simhash_tiles")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
