@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import embeddings, langid, lexicon, packing, quality, secrets, simhash, toxicity
+from fleetsight.llm import embeddings, html, langid, lexicon, packing, quality, secrets, simhash, toxicity
 from fleetsight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@register("op2_dom_marginals")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 @register("op3_lexicon_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""

@@ -109,22 +109,23 @@ def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return n, sums
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (last: intercept) of a ridge logistic regression; each step is halved until the loss falls."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    k = np.ones(len(x)) if weight is None else weight
     pen = np.full(x.shape[1], ridge)
     pen[-1] = 1e-6
     w = np.zeros(x.shape[1])
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (pen * w * w).sum()
+        return k @ (np.logaddexp(0, z) - y * z) + 0.5 * (pen * w * w).sum()
 
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + pen * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x
+        grad = x.T @ (k * (p - y)) + pen * w
+        hess = (x * (k * p * (1 - p))[:, None]).T @ x
         hess[np.diag_indices_from(hess)] += pen
         move, size = np.linalg.solve(hess, grad), 1.0
         while (new := loss(w - size * move)) > now and size > 1e-4:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int
     for i, (f, v) in enumerate(zip(got["f"].to_pylist(), got["v"].to_pylist())):
         x[i, f] = v
     scale = r[list(place)]
-    w = _newton(x * scale, y, ridge)
+    w = newton(x * scale, y, ridge)
     return Model({b: float(w[i] * scale[i]) for b, i in place.items()}, float(w[-1]))
 
 
