@@ -198,7 +198,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """One row a text (NaN: no letter), one column a language."""
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws} - self.at.keys())
+        new = list({w for ws in split for w in ws if w not in self.at})
         if len(self.at) + len(new) > _MEMO:
             self.at, self.values, self.size = {}, self.values[:0], self.size[:0]
             new = list({w for ws in split for w in ws})
