@@ -1,8 +1,8 @@
 """Byte-pair encoding through a minimal acyclic transducer, and decoding.
 
 1. The frequent words of the whole corpus are counted by Spark.
-2. The ``size`` most frequent ones (a documented bound of what the driver
-   holds) are compiled into a minimal automaton over their UTF-8 bytes:
+2. The most frequent ones, at most ``size`` (a documented bound of what the
+   driver holds; the cut lies at a power of two of their counts), are compiled into a minimal automaton over their UTF-8 bytes:
    states with equal continuations are shared, arcs carry counts whose sum
    along a path numbers the word, and the number points at the word's ids.
 3. The automaton is one file that Spark ships to every executor, where the
@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from fleetsight.session import cut_lineage
 from fleetsight.llm.tokens import WORD_SPLIT, simple, specials, tokenizer
 
-LEXICON_SIZE = 50_000
+LEXICON_SIZE = 150_000
 _WORD_BYTES = 64             # longer words are left to the library
-_SLICE = 512                 # documents handled at a time inside an Arrow batch
+_SLICE = 1024                # documents handled at a time inside an Arrow batch
 
 
 # --- the automaton -----------------------------------------------------------
@@ -178,10 +179,20 @@ def count_words(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_SIZE) -> str:
-    """Compile the ``size`` most frequent words and ship the file; returns its name for :func:`encode`."""
+    """Compile at most ``size`` of the most frequent words and ship the file; returns its name for :func:`encode`."""
     spark = docs.sparkSession
-    rows = (count_words(docs, path, text_col).where(F.octet_length("word") <= _WORD_BYTES)
-            .orderBy(F.desc("n"), "word").limit(size).collect())
+    counts = cut_lineage(count_words(docs, path, text_col).where(
+        (F.col("n") > 1) & (F.octet_length("word") <= _WORD_BYTES)))
+    # the least frequency at which the lexicon holds, from the number of words per bit length of their count
+    per = {r["bits"]: r["m"] for r in counts.groupBy(F.length(F.bin("n")).alias("bits")).agg(
+        F.count("*").alias("m")).collect()}
+    least, total = 2, sum(per.values())
+    for bits in sorted(per):
+        if total <= size:
+            break
+        total -= per[bits]
+        least = 1 << bits
+    rows = counts.where(F.col("n") >= least).select("word").collect()
     words = sorted(r["word"].encode() for r in rows)
     found = [e.ids for e in tokenizer(path).encode_batch([w.decode() for w in words], add_special_tokens=False)]
     lex = compile_lexicon(words) | {
@@ -194,38 +205,67 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
     return name
 
 
+def _ids_of(words: list[str], lex, tok) -> dict[str, bytes]:
+    """The ids of distinct words as bytes: the automaton's, or merged exactly."""
+    rank = walk(lex, [w.encode() for w in words])
+    first, ids = lex["first"], np.asarray(lex["ids"], np.int32)
+    held = rank >= 0
+    begin, end = first[rank[held]].tolist(), first[rank[held] + 1].tolist()
+    names = np.asarray(words, object)
+    raw = ids.tobytes()
+    got = {w: raw[4 * a:4 * b] for w, a, b in zip(names[held], begin, end)}
+    unseen = names[~held].tolist()
+    for w, e in zip(unseen, tok.encode_batch_fast(unseen, add_special_tokens=False)):
+        got[w] = np.asarray(e.ids, np.int32).tobytes()
+    return got
+
+
+def _encode_batches(batches, path: str, lexicon: str):
+    """Record batches whose last column is the text, with the ids in its place."""
+    lex, tok, special = _open(lexicon), tokenizer(path), specials(path)
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            batch = whole.slice(at, _SLICE)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            split = [_words(t) if simple(t, special) else None for t in texts]
+            known = _ids_of(list({w for ws in split if ws for w in ws}), lex, tok)
+            flat = [b"".join(map(known.__getitem__, ws)) if ws is not None
+                    else np.asarray(tok.encode(t, add_special_tokens=False).ids, np.int32).tobytes()
+                    for t, ws in zip(texts, split)]
+            ends = np.cumsum([0] + [len(x) // 4 for x in flat]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
+
+
+def _decode_batches(batches, path: str):
+    """Record batches whose last column is the ids, with the decoded text behind it."""
+    tok = tokenizer(path)
+    names = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            batch = whole.slice(at, _SLICE)
+            lists = batch.column(batch.num_columns - 1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            text = [" ".join(map(names.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())],
+                                             [*batch.schema.names, "decoded"])
+
+
+def _source(docs: DataFrame, text_col: str, *taken: str) -> DataFrame:
+    rest = _rest(docs, text_col.lower(), *taken)
+    return docs.select(*[f"`{c}`" for c in rest], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_whole_text"))
+
+
+_IDS = StructField("ids", ArrayType(IntegerType()))
+_DECODED = StructField("decoded", StringType())
+
+
 def encode(docs: DataFrame, path: str, lexicon: str, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``ids`` (array of int)."""
-    rest = _rest(docs, text_col.lower(), "ids")
-    src = docs.select(*[f"`{c}`" for c in rest], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    schema = StructType([*src.schema.fields[:-1], StructField("ids", ArrayType(IntegerType()))])
-
-    def ids_of(words: list[str], lex, tok) -> dict[str, bytes]:
-        """The ids of distinct words as bytes: the automaton's, or merged exactly."""
-        rank = walk(lex, [w.encode() for w in words])
-        first, ids = lex["first"], np.asarray(lex["ids"], np.int32)
-        unseen = [w for w, r in zip(words, rank) if r < 0]
-        got = {w: ids[first[r]:first[r + 1]].tobytes() for w, r in zip(words, rank.tolist()) if r >= 0}
-        for w, e in zip(unseen, tok.encode_batch(unseen, add_special_tokens=False)):
-            got[w] = np.asarray(e.ids, np.int32).tobytes()
-        return got
-
-    def run(batches):
-        lex, tok, special = _open(lexicon), tokenizer(path), specials(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                texts = batch.column(batch.num_columns - 1).to_pylist()
-                split = [_words(t) if simple(t, special) else None for t in texts]
-                known = ids_of(list({w for ws in split if ws for w in ws}), lex, tok)
-                flat = [b"".join(map(known.__getitem__, ws)) if ws is not None
-                        else np.asarray(tok.encode(t, add_special_tokens=False).ids, np.int32).tobytes()
-                        for t, ws in zip(texts, split)]
-                ends = np.cumsum([0] + [len(x) // 4 for x in flat]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*rest, "ids"])
-
-    return src.mapInArrow(run, schema)
+    src = _source(docs, text_col, "ids")
+    return src.mapInArrow(lambda batches: _encode_batches(batches, path, lexicon),
+                          StructType([*src.schema.fields[:-1], _IDS]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -236,22 +276,15 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """
     rest = _rest(encoded, "decoded", ids_col.lower())
     src = encoded.select(*[f"`{c}`" for c in rest], F.col(f"`{ids_col}`").alias(ids_col))
-    schema = StructType([*src.schema.fields, StructField("decoded", StringType())])
+    return src.mapInArrow(lambda batches: _decode_batches(batches, path),
+                          StructType([*src.schema.fields, _DECODED]))
 
-    def run(batches):
-        tok = tokenizer(path)
-        names = [tok.id_to_token(i) for i in range(tok.get_vocab_size(with_added_tokens=True))]
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                lists = batch.column(batch.num_columns - 1)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                ends = ends - ends[0]
-                text = [" ".join(map(names.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())],
-                                                 [*rest, ids_col, "decoded"])
-
-    return src.mapInArrow(run, schema)
-
-
-__all__ = ["LEXICON_SIZE", "build_lexicon", "compile_lexicon", "count_words", "decode", "encode", "walk"]
+
+def round_trip(docs: DataFrame, path: str, lexicon: str, text_col: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass of the same workers."""
+    src = _source(docs, text_col, "ids", "decoded")
+    return src.mapInArrow(lambda batches: _decode_batches(_encode_batches(batches, path, lexicon), path),
+                          StructType([*src.schema.fields[:-1], _IDS, _DECODED]))
+
+
+__all__ = ["LEXICON_SIZE", "build_lexicon", "compile_lexicon", "count_words", "decode", "encode", "round_trip", "walk"]

@@ -88,7 +88,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("word_bpe_49k.json")
-    both = lexicon.decode(lexicon.encode(docs, path, lexicon.build_lexicon(docs, path)), path)
+    both = lexicon.round_trip(docs, path, lexicon.build_lexicon(docs, path))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

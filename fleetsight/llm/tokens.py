@@ -8,6 +8,9 @@ every other text is given to the library whole.
 
 from __future__ import annotations
 
+import base64
+import re
+import unicodedata
 from functools import lru_cache
 
 import regex
@@ -19,7 +22,19 @@ UNSAFE_CHAR = regex.compile(f"[^{SAFE}]")
 
 # The split patterns of the two vocabularies, as their files state them.
 BYTE_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _safe_class(kind: str) -> str:
+    """The safe characters of a Unicode category, for a character class of the plain ``re`` module."""
+    chars = [c for c in map(chr, range(0x2100)) if UNSAFE_CHAR.match(c) is None]
+    found = [c for c in chars if (c.isspace() if kind == "space" else unicodedata.category(c)[0] == kind)]
+    return "".join(map(re.escape, found))
+
+
+# WORD_PATTERN for safe texts: explicit classes make the plain module's split twice as fast.
+WORD_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(
+    L=_safe_class("L"), N=_safe_class("N"), S=_safe_class("space")))
 
 
 @lru_cache(maxsize=4)
@@ -33,6 +48,25 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def rank_encoding(path: str):
+    """The tiktoken encoding of a rank file of the byte-level vocabulary, without special tokens."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+_PAIRS = ("  ", "\n\n", "\n ", " \n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_LONG = regex.compile(r"\s{500}")
+
+
+def long_space(text: str) -> bool:
+    """True when a run of 500 or more white-space characters is in a simple text."""
+    return any(p in text for p in _PAIRS) and _LONG.search(text) is not None
+
+
 def specials(path: str) -> list[str]:
     """The strings that the library reads as one special token."""
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
