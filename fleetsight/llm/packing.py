@@ -26,13 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from fleetsight.llm.tokens import BYTE_SPLIT, simple, specials, tokenizer
+from fleetsight.llm.tokens import long_space, rank_encoding, simple, specials, tokenizer
 
 CAPACITY = 2048
 GROUP_TOKENS = 512 * CAPACITY
 END_ID = 1
-_CACHE_WORDS = 200_000       # bound of the per-worker memo, not of the result: it is emptied and refilled
-_CACHE_CHARS = 64
 
 
 def assign(lengths: list[int], capacity: int, linear: float = 1.0,
@@ -66,28 +64,29 @@ def assign(lengths: list[int], capacity: int, linear: float = 1.0,
     return out
 
 
-def _id_bytes(text: str, path: str, special: list[str], memo: dict) -> bytes:
-    """Little-endian unsigned 32-bit ids of a text."""
-    tok = tokenizer(path)
-    if not simple(text, special):
-        return np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = BYTE_SPLIT.findall(text)
-    new = [w for w in set(words) if w not in memo]
-    if len(memo) + len(new) > _CACHE_WORDS:
-        memo.clear()
-        new = list(set(words))
-    own = {}
-    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-        (memo if len(w) <= _CACHE_CHARS else own)[w] = np.asarray(e.ids, "<u4").tobytes()
-    if own:
-        return b"".join([own[w] if w in own else memo[w] for w in words])
-    return b"".join(map(memo.__getitem__, words))
-
-
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
+class _Encoder:
+    """Little-endian unsigned 32-bit ids of texts, as the tokenizers library gives them.
+
+    With the same vocabulary as ranks, simple texts take tiktoken's shorter way to the same ids
+    (tests/llm/test_tokens.py compares them); long white-space runs, which it cannot split, do not.
+    """
+
+    def __init__(self, path: str, ranks: str | None):
+        self.tok, self.special = tokenizer(path), specials(path)
+        self.fast = rank_encoding(ranks) if ranks else None
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast is not None and simple(text, self.special) and not long_space(text):
+            ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        return np.asarray(ids, "<u4").tobytes()
+
+
+def pack(docs: DataFrame, path: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
          end_id: int = END_ID, linear: float = 1.0, quadratic: float = 1.0 / 4096,
          group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """Tokenize and pack every document.
+    """Tokenize (vocabulary at ``path``, optionally the same one as ``ranks``) and pack every document.
 
     One row per piece: the id, ``start`` (ids of the document before it),
     ``length``, ``ids`` (binary, little-endian unsigned 32-bit), ``doc_tokens``,
@@ -100,7 +99,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         base = TaskContext.get().partitionId() << 36
-        special, memo = specials(path), {}
+        encode = _Encoder(path, ranks)
         state = {"next": base}
         id_type = None
         pend, held = [], 0
@@ -118,20 +117,24 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
+        def encoded(batches):
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                for doc, text in zip(batch.column(0), batch.column(1)):
+                    yield doc.as_py(), encode(text.as_py())
+
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for row in range(batch.num_rows):
-                doc = batch.column(0)[row].as_py()
-                ids = _id_bytes(batch.column(1)[row].as_py(), path, special, memo) + end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    n = min(capacity, total - start)
-                    pend.append((doc, start, n, ids[4 * start:4 * (start + n)], total))
-                    held += n
-                    if held >= group_tokens:
-                        yield flush()
-                        pend, held = [], 0
+        for doc, ids in encoded(batches):
+            ids += end
+            total = len(ids) // 4
+            for start in range(0, total, capacity):
+                n = min(capacity, total - start)
+                pend.append((doc, start, n, ids[4 * start:4 * (start + n)], total))
+                held += n
+                if held >= group_tokens:
+                    yield flush()
+                    pend, held = [], 0
         if pend:
             yield flush()
 

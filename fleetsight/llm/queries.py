@@ -72,7 +72,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_cost_balanced_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenized and packed into sequences of at most 2048 tokens."""
-    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
