@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import embeddings, html, langid, lexicon, packing, quality, secrets, simhash, toxicity
+from fleetsight.llm import embeddings, html, langid, lexicon, packing, quality, secrets, simhash, substrings, toxicity
+from fleetsight.llm.ship import ship_package
 from fleetsight.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +19,12 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn
@@ -179,6 +186,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.joined(F.col("spans")).alias("spans"))
 
 
+@register("op9_compact_windows")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that repeat one of a document with a smaller id."""
+    return substrings.near_duplicate_passages(read_table(spark, sf_dir, "documents"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """The model that the query and the pipeline use: learned from the rows that are not held out."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
