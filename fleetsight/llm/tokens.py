@@ -28,7 +28,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 def _safe_class(kind: str) -> str:
     """The safe characters of a Unicode category, for a character class of the plain ``re`` module."""
     chars = [c for c in map(chr, range(0x2100)) if UNSAFE_CHAR.match(c) is None]
-    found = [c for c in chars if (c.isspace() if kind == "space" else unicodedata.category(c)[0] == kind)]
+    found = [c for c in chars if (regex.match(r"\s", c) if kind == "space" else unicodedata.category(c)[0] == kind)]
     return "".join(map(re.escape, found))
 
 
