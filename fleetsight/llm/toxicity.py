@@ -179,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with ``score_col`` in 0 to 1; the other columns pass through."""
-    rest = [c for c in docs.columns if c.lower() != score_col.lower()]
+    """``docs`` without the text, with ``score_col`` in 0 to 1; the other columns pass through."""
+    rest = [c for c in docs.columns if c.lower() not in {score_col.lower(), text_col.lower()}]
     src = docs.select(*[f"`{c}`" for c in rest], F.col(f"`{text_col}`").alias("_whole_text"))
     schema = StructType([*src.schema.fields[:-1], StructField(score_col, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)      # at most FEATURES weights
