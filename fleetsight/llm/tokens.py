@@ -17,7 +17,7 @@ import regex
 
 # Characters whose letter, number and white-space classes, case and composition are the same for the library
 # and for Python (tests/llm/test_tokens.py checks each one): Latin letters, common punctuation, the euro sign.
-SAFE = "\\x00-\\x7F\\u00A1-\\u012F\\u0131-\\u024F\\u2010-\\u2027\\u2030-\\u205E\\u20AC"
+SAFE = "\\x00-\\x7F\\u00A1-\\u012F\\u0131-\\u017F\\u2010-\\u2027\\u2030-\\u205E\\u20AC"
 UNSAFE_CHAR = regex.compile(f"[^{SAFE}]")
 
 # The split patterns of the two vocabularies, as their files state them.
