@@ -38,14 +38,6 @@ def ordered_list(value: str, order_by: str | list[str], sep: str = ", ",
     return F.expr(f"listagg({dist}{value}, '{sep_sql}') WITHIN GROUP (ORDER BY {', '.join(orders)})")
 
 
-def pct_of(part, total, scale_type: str = "double") -> Column:
-    """part * 100 / total, NULL-safe on a zero total, then ISNULL(..., 0)."""
-    p = F.col(part) if isinstance(part, str) else part
-    t = F.col(total) if isinstance(total, str) else total
-    return F.coalesce((p.cast("double") * F.lit(100.0) / F.nullif(t.cast("double"), F.lit(0.0)))
-                      .cast(scale_type), F.lit(0).cast(scale_type))
-
-
 def exact_mean(c) -> Column:
     """Mean as (exact sum) / count, returned as DOUBLE; NULL for an empty
     group (no division by zero under ANSI mode). With decimal or integer

@@ -116,7 +116,7 @@ def one_per_machine(df: DataFrame, col: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- B8
-def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64) -> DataFrame:
+def implied_permissions(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Closure of permissions implied by each start (class, permission).
 
     ``edges``: class_desc, permission_name, covering_permission_name,
@@ -127,8 +127,9 @@ def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64
     (a node may recur at several levels).
 
     The frontier holds the nodes reached by paths of exactly ``depth`` steps,
-    de-duplicated per step, so the loop ends when no path is longer (or at
-    ``max_depth`` on a cycle). Each loop step extends the frontier by one
+    de-duplicated per step, so the loop ends when no path is longer. A path
+    of more steps than there are nodes repeats one, so the edges hold a cycle
+    and the closure has no end: that raises ``ValueError``. Each loop step extends the frontier by one
     edge and by a precomputed two-edge path (half the steps and jobs) and is
     materialised once by a reliable checkpoint (shared folder, survives
     executor loss), so neither the emptiness test nor the final union
@@ -164,12 +165,16 @@ def implied_permissions(edges: DataFrame, starts: DataFrame, max_depth: int = 64
         "class_desc", "permission_name", F.lit(0).alias("level"), F.lit(0).alias("depth")))
     reached = [frontier]
     depth = 0
-    while depth < max_depth:
+    n_nodes = steps.select("class_desc", "permission_name").unionByName(
+        steps.select(F.col("next_class").alias("class_desc"), F.col("next_permission").alias("permission_name"))
+    ).distinct().count()
+    while True:
         # nodes at depth + 1 and depth + 2, de-duplicated per depth, materialised once
-        both = cut_lineage(advance(frontier, steps, 1).unionByName(advance(frontier, steps2, 2))
-                           .filter(F.col("depth") <= max_depth).distinct())
+        both = cut_lineage(advance(frontier, steps, 1).unionByName(advance(frontier, steps2, 2)).distinct())
         if both.isEmpty():
             break
+        if depth > n_nodes:
+            raise ValueError("the permission edges hold a cycle; the closure has no end")
         reached.append(both)
         frontier = both.filter(F.col("depth") == depth + 2)
         depth += 2

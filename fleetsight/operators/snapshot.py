@@ -266,14 +266,16 @@ def missing_or_failed(expected: DataFrame, last_status: DataFrame, key: str, sta
 # --------------------------------------------------------------------- A12
 def load_with_drift(feed: DataFrame, target: T.StructType) -> DataFrame:
     """Align a feed with fewer or more columns to the target schema: missing
-    columns become NULL, extra ones are dropped, types are cast."""
+    columns become NULL, types are cast, and columns the target lacks are
+    added behind its own (the target table grows with the feed)."""
     have = {c.lower(): c for c in feed.columns}
     cols = []
     for f in target.fields:
         src = have.get(f.name.lower())
         v = F.col(f"`{src}`").cast(f.dataType) if src else F.lit(None).cast(f.dataType)
         cols.append(v.alias(f.name))
-    return feed.select(*cols)
+    known = {f.name.lower() for f in target.fields}
+    return feed.select(*cols, *[F.col(f"`{c}`") for c in feed.columns if c.lower() not in known])
 
 
 # --------------------------------------------------------------------- A13
@@ -364,7 +366,7 @@ def parse_fixed_width(lines: DataFrame, source: str, columns: list[str], header_
     cols = []
     for i, c in enumerate(columns):
         start = F.col(f"__s{i}")
-        length = (F.col(f"__s{i + 1}") - start) if i + 1 < len(columns) else F.lit(10000)
+        length = (F.col(f"__s{i + 1}") - start) if i + 1 < len(columns) else F.length("line") - start + 1
         cols.append(F.trim(F.substring(F.col("line"), start, length)).alias(c))
     return d.select(source, "line_no", *cols)
 
@@ -385,7 +387,7 @@ def process_snapshot(spark, *, current_path: str, history_path: str, report_path
     to the shared checkpoint folder (reliable: survives executor loss).
     """
     from fleetsight.session import cut_lineage
-    from fleetsight.sources.versioned import read_current, write_partition, write_version
+    from fleetsight.sources.versioned import read_below, read_current, write_version
 
     if loading.isEmpty():
         return {"status": "empty load", "version": None}
@@ -396,13 +398,11 @@ def process_snapshot(spark, *, current_path: str, history_path: str, report_path
         current = initial if initial is not None else loading.limit(0)
     tagged = cut_lineage(snapshot_merge(current, loading, keys, **merge_args))
     pre = pre_images(tagged)
-    try:
-        history = spark.read.parquet(history_path).filter(F.col("version") < version)
-        new_hist = append_history(history.drop("version"), pre, keys, checksum_cols)
-    except Exception:  # noqa: BLE001 - no history written yet
-        new_hist = pre.withColumn("row_checksum", row_checksum(checksum_cols))
-    write_partition(new_hist.withColumn("version", F.lit(version)), history_path, ["version"])
-    report = change_report(current, merged_current(tagged), keys)
-    write_partition(report.withColumn("version", F.lit(version)), report_path, ["version"])
+    history = read_below(spark, history_path, version)
+    new_hist = (pre.withColumn("row_checksum", row_checksum(checksum_cols)) if history is None
+                else append_history(history, pre, keys, checksum_cols))
+    # a version's folder is replaced whole, so a rerun without changes leaves none of the earlier run's rows
+    write_version(new_hist, history_path, version)
+    write_version(change_report(current, merged_current(tagged), keys), report_path, version)
     write_version(merged_current(tagged), current_path, version)
     return {"status": "merged", "version": version}

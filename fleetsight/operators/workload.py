@@ -81,12 +81,9 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
         raise ValueError(f"order_by must be one of {sorted(choices)}")
     ranked = top_n_per_group(per_plan, group_cols, [F.col(choices[order_by]).desc(), *[F.col(k) for k in keys]], n)
 
-    # D3: period totals per group straight from the statistics: a partial
-    # aggregate that ships one row per group and input partition (a second
-    # narrow scan of the same columns rather than a cache of the per-plan
-    # aggregate).
-    totals = stats.groupBy(*group_cols).agg(*[F.sum(_weighted(stats, cnt, c)).alias(f"period_{m}")
-                                              for m, c in measures.items()])
+    # D3: period totals per group from the per-plan totals: the same exchange
+    # serves the ranking and the totals, so the statistics are scanned once
+    totals = per_plan.groupBy(*group_cols).agg(*[F.sum(f"total_{m}").alias(f"period_{m}") for m in measures])
     # one row per group joined to n rows per group; without groups the totals
     # are scalar subqueries (computed once, constants in the projection)
     if group_cols:
@@ -121,10 +118,8 @@ def _with_waits(top: DataFrame, waits: DataFrame, keys: list[str], group_cols: l
     chosen = waits.join(top.select(*keys), keys, "left_semi")
     per_plan = category_breakdown(chosen, keys, category, total, avg).select(
         *keys, F.col("total").alias("total_query_wait_time_ms"),
-        F.col("breakdown").alias("total_query_wait_time_ms_breakdown"))
-    # mean wait over the plan's wait rows (exact sum / count)
-    means = chosen.groupBy(*keys).agg(exact_mean(avg).alias("avg_query_wait_time_ms"))
-    per_plan = per_plan.join(means, keys, "left")
+        F.col("breakdown").alias("total_query_wait_time_ms_breakdown"),
+        F.col("mean").alias("avg_query_wait_time_ms"))
     period = waits.groupBy(*group_cols).agg(F.sum(total).alias("__wait_period"))
     out = top.join(per_plan, keys, "left")
     if group_cols:
@@ -140,11 +135,14 @@ def _with_waits(top: DataFrame, waits: DataFrame, keys: list[str], group_cols: l
 
 
 def _weighted(stats: DataFrame, cnt: Column, c: str) -> Column:
-    """count * measure; integral products are summed as decimal(38,0), which
-    stays exact and cannot overflow however many rows a plan has."""
+    """count * measure; integral products are 64-bit where they fit and
+    decimal(38,0) where they do not, and summed as decimal(38,0), which stays
+    exact however many rows a plan has."""
     from pyspark.sql.types import IntegralType
-    prod = cnt * F.col(c)
-    return prod.cast("decimal(38,0)") if isinstance(stats.schema[c].dataType, IntegralType) else prod
+    if not isinstance(stats.schema[c].dataType, IntegralType):
+        return cnt * F.col(c)
+    wide = (cnt.cast("decimal(19,0)") * F.col(c).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.coalesce(F.try_multiply(cnt.cast("bigint"), F.col(c).cast("bigint")).cast("decimal(38,0)"), wide)
 
 
 def percent_of_period(df: DataFrame, totals: dict[str, str], names: dict[str, str]) -> DataFrame:
@@ -168,20 +166,24 @@ def category_breakdown(df: DataFrame, key: list[str], category: str, total: str,
     return per_cat.groupBy(*key).agg(
         F.sum("cat_total").alias("total"),
         F.count(F.lit(1)).alias("n_categories"),
-        ordered_list(item, [f"cat_total DESC", f"`{category}`"], ", ").alias("breakdown"))
+        # mean of the categories' means, added in ascending order so that task order does not matter
+        F.aggregate(F.array_sort(F.collect_list("cat_avg")), F.lit(0.0), lambda a, v: a + v).alias("__sum"),
+        F.count("cat_avg").alias("__n"),
+        ordered_list(item, ["cat_total DESC", f"`{category}`"], ", ").alias("breakdown")).withColumn(
+        "mean", F.col("__sum") / F.nullif(F.col("__n"), F.lit(0))).drop("__sum", "__n")
 
 
 # --------------------------------------------------------------------- D6
 def unused_items(items: DataFrame, usage: DataFrame, item_key: str, usage_key: str,
                  seeks_col: str = "seeks", threshold: int = 100,
                  keep: Column | None = None, columns: DataFrame | None = None) -> DataFrame:
-    """Items with fewer than ``threshold`` uses; an item absent from usage has 0.
+    """Items with at most ``threshold`` uses; an item absent from usage has 0.
     With ``columns`` (item_key, column_name, key_ordinal, is_included) the
     ordered key and included column lists are added for the items kept."""
     use = usage.groupBy(usage_key).agg(F.sum(seeks_col).alias("__seeks"))
     out = items.join(use, items[item_key] == use[usage_key], "left").drop(use[usage_key])
     out = out.withColumn("user_seeks", F.coalesce(F.col("__seeks"), F.lit(0)).cast("bigint")).drop("__seeks")
-    out = out.filter(F.col("user_seeks") < threshold)
+    out = out.filter(F.col("user_seeks") <= threshold)
     if keep is not None:
         out = out.filter(keep)
     if columns is not None:
@@ -206,8 +208,9 @@ def totals_with_grand(df: DataFrame, key: str, size: str, total_label: str | Non
 
 # --------------------------------------------------------------------- D8
 def duplicate_signatures(members: DataFrame, item_key: list[str], member: str, order: str,
-                         included: str | None = None) -> DataFrame:
-    """Items whose ordered member list (and included list) equals another item's.
+                         included: str | None = None, scope: list[str] = ()) -> DataFrame:
+    """Items whose ordered member list (and included list) equals another item's
+    of the same ``scope`` (database and table of an index).
 
     The per-item signature is an array (bounded by one item's members),
     grouped on directly - cheaper than building and hashing text - and
@@ -219,14 +222,14 @@ def duplicate_signatures(members: DataFrame, item_key: list[str], member: str, o
     aggs = [F.transform(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda x: x["m"]).alias("__key")]
     if included:
         aggs.append(F.array_sort(F.collect_list(F.col(included))).alias("__inc"))
-    sig = members.groupBy(*item_key).agg(*aggs)
-    sig_cols = ["__key"] + (["__inc"] if included else [])
+    sig = members.groupBy(*scope, *item_key).agg(*aggs)
+    sig_cols = [*scope, "__key"] + (["__inc"] if included else [])
     counts = sig.groupBy(*sig_cols).agg(F.count(F.lit(1)).alias("n_duplicates")).filter("n_duplicates > 1")
     out = sig.join(counts, on=sig_cols, how="inner")
     text = [F.array_join(F.col("__key").cast("array<string>"), ",").alias("key_list")]
     if included:
         text.append(F.array_join(F.col("__inc").cast("array<string>"), ",").alias("included_list"))
-    return out.select(*text, *item_key, "n_duplicates")
+    return out.select(*text, *scope, *item_key, "n_duplicates")
 
 
 # --------------------------------------------------------------------- D9
@@ -246,11 +249,19 @@ def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: Data
     that are already in the key are dropped; ranked by impact per group.
 
     details: item_id, group columns, impact; columns: item_id, column_name,
-    usage ('EQUALITY' | 'INEQUALITY' | 'INCLUDE'); selectivity: column_name,
-    density (from :func:`column_selectivity`, a small one-row-per-column table).
+    usage ('EQUALITY' | 'INEQUALITY' | 'INCLUDE') and, like selectivity, the
+    database_id and object_id of the column's table; selectivity: column_name,
+    density (from :func:`column_selectivity`), optionally auto_created. A
+    column with several statistics takes the auto-created one first, then
+    the lowest density.
     """
     group = [g for g in group if g in details.columns]
-    c = columns.join(F.broadcast(selectivity.select("column_name", "density")), "column_name", "left")
+    on = [k for k in ("database_id", "object_id", "column_name")
+          if k in columns.columns and k in selectivity.columns]
+    first = F.struct(F.lit(0) if "auto_created" not in selectivity.columns
+                     else F.when(F.col("auto_created"), 0).otherwise(1), F.col("density"))
+    one = selectivity.groupBy(*on).agg(F.min(first)["density"].alias("density"))
+    c = columns.join(one, on, "left")
     key = c.filter(F.col("usage").isin("EQUALITY", "INEQUALITY"))
     key_cols = key.groupBy("item_id").agg(ordered_list(
         "column_name", ["CASE usage WHEN 'EQUALITY' THEN 0 ELSE 1 END", "density", "column_name"], ", ")
@@ -260,8 +271,12 @@ def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: Data
     inc_cols = inc.groupBy("item_id").agg(ordered_list("column_name", "column_name", ", ").alias("include_columns"))
     out = details.join(key_cols, "item_id", "left").join(inc_cols, "item_id", "left")
     if group:
-        out = out.withColumn("impact_rank", F.dense_rank().over(
+        # ranks over the distinct impacts of a group (partial aggregation first), joined back
+        ranks = details.select(*group, "impact").distinct().withColumn("impact_rank", F.dense_rank().over(
             Window.partitionBy(*group).orderBy(F.col("impact").desc())))
+        r = ranks.select(*[F.col(k).alias("__r_" + k) for k in [*group, "impact"]], "impact_rank")
+        same = [out[k].eqNullSafe(r["__r_" + k]) for k in [*group, "impact"]]
+        out = out.join(r, same, "left").drop(*["__r_" + k for k in [*group, "impact"]])
     return out
 
 
@@ -270,7 +285,7 @@ def plan_maintenance(frag: DataFrame, *, frag_col: str = "avg_fragmentation_in_p
                      pages_col: str = "page_count", lob_col: str | None = None,
                      view_no_ansi_col: str | None = None, min_reorg: float = 10.0, min_rebuild: float = 30.0,
                      min_pages: int = 1000, enterprise: bool = False,
-                     table_key: list[str] | None = None) -> DataFrame:
+                     table_key: list[str] | None = None, partitions: DataFrame | None = None) -> DataFrame:
     """Choose REORGANIZE / REBUILD for fragmented items.
 
     Candidates: fragmentation above ``min_reorg`` and more than ``min_pages``
@@ -279,8 +294,10 @@ def plan_maintenance(frag: DataFrame, *, frag_col: str = "avg_fragmentation_in_p
     item holds large objects (``lob_col``), or it is an indexed view created
     without ANSI_NULLS (``view_no_ansi_col``); REBUILD otherwise. A
     reorganize is always online; a rebuild is online only on an edition that
-    supports it (``enterprise``). With ``table_key`` the number of
-    candidate partitions of the same index is added.
+    supports it (``enterprise``). With ``table_key`` the number of all
+    partitions of the same index is added (from ``partitions``, one row per
+    partition, else from ``frag`` before the candidates are chosen): more
+    than one means a rebuild by partition.
     """
     f = F.col(frag_col)
     cand = frag.filter(f.isNotNull() & (f > min_reorg) & (F.col(pages_col) > min_pages))
@@ -294,7 +311,8 @@ def plan_maintenance(frag: DataFrame, *, frag_col: str = "avg_fragmentation_in_p
     out = cand.withColumn("operation", F.when(reorg, F.lit("REORGANIZE")).otherwise(F.lit("REBUILD")))
     out = out.withColumn("online", (F.col("operation") == "REORGANIZE") | F.lit(enterprise))
     if table_key:
-        parts = out.groupBy(*table_key).agg(F.count(F.lit(1)).alias("n_items_in_table"))
+        parts = (frag if partitions is None else partitions).groupBy(*table_key).agg(
+            F.count(F.lit(1)).alias("n_items_in_table"))
         out = out.join(parts, table_key, "left")
     return out
 

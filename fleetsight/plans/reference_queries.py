@@ -246,8 +246,7 @@ r(start_class, start_permission, class_desc, permission_name, level, depth) AS (
   SELECT class_desc, permission_name, class_desc, permission_name, 0, 0 FROM e WHERE class_desc = 'CUSTOMER'
   UNION ALL
   SELECT r.start_class, r.start_permission, s.nc, s.np, r.level + s.ls, r.depth + 1
-  FROM r JOIN steps s ON s.class_desc = r.class_desc AND s.permission_name = r.permission_name
-  WHERE r.depth < 64)
+  FROM r JOIN steps s ON s.class_desc = r.class_desc AND s.permission_name = r.permission_name)
 SELECT start_class, start_permission, class_desc, permission_name, CAST(level AS INTEGER) AS level,
        CAST(MAX(depth) AS INTEGER) AS max_depth
 FROM r GROUP BY start_class, start_permission, class_desc, permission_name, level

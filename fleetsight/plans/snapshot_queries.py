@@ -268,11 +268,12 @@ TARGET = T.StructType([
 
 
 @query("a12_load_with_drift", """
-SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS c_phone, CAST(NULL AS VARCHAR) AS c_mktsegment
+SELECT c_custkey, c_name, c_acctbal, CAST(NULL AS VARCHAR) AS c_phone, CAST(NULL AS VARCHAR) AS c_mktsegment,
+  c_nationkey
 FROM customer
 """)
 def a12_load_with_drift(t):
-    """A feed with an extra column and two missing ones aligned to the target schema."""
+    """A feed with an extra column (added) and two missing ones aligned to the target schema."""
     fd = t.customer.select("c_custkey", F.col("c_name").alias("C_NAME"), "c_acctbal", "c_nationkey")
     return A.load_with_drift(fd, TARGET)
 

@@ -1,7 +1,7 @@
 """Join and window strategies that keep plans safe at scale.
 
-* :func:`broadcast_if_small` - broadcast only behind a row-count check; above
-  the bound the side is left to the planner (sort-merge / shuffled hash join,
+* :func:`broadcast_if_small` - broadcast only behind Catalyst's size estimate;
+  above it the side is left to the planner (sort-merge / shuffled hash join,
   which AQE may still turn into a broadcast from runtime statistics).
 * one-row aggregates (grand totals, latest collection time) are attached
   with ``DataFrame.scalar()`` - a scalar subquery computed once - not joined.
@@ -16,11 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Lookups up to this many rows are broadcast (a few hundred bytes a row stays
-# well under executor memory); larger sides are left to the planner.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
 DEFAULT_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
@@ -38,20 +33,11 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                       max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` when its size is provably small.
-
-    First Catalyst's size estimate (no job); when that is too
-    large or unknown, ``limit(max_rows + 1).count()`` - which stops reading
-    once the bound is passed. Above both bounds the DataFrame is returned
-    unchanged and the planner (and AQE at run time) chooses the join.
-    """
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` when Catalyst's size estimate bounds it (no job runs);
+    otherwise the planner, and AQE from runtime sizes, chooses the join."""
     est = estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if est is not None and est <= max_bytes else df
 
 
 def previous_in_order(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],

@@ -28,11 +28,11 @@ p AS (
     CAST(COALESCE(SUM(CASE WHEN execution_type_desc = 'Aborted' THEN count_executions END), 0) AS BIGINT) AS total_exec_aborted,
     CAST(COALESCE(SUM(CASE WHEN execution_type_desc = 'Exception' THEN count_executions END), 0) AS BIGINT) AS total_exec_exceptions,
     CAST(SUM(avg_duration) AS DOUBLE) / COUNT(avg_duration) AS avg_duration,
-    CAST(SUM(CAST(count_executions * avg_duration AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_duration,
+    CAST(SUM(CAST(CAST(count_executions AS HUGEINT) * avg_duration AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_duration,
     CAST(SUM(avg_cpu_time) AS DOUBLE) / COUNT(avg_cpu_time) AS avg_cpu,
-    CAST(SUM(CAST(count_executions * avg_cpu_time AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_cpu,
+    CAST(SUM(CAST(CAST(count_executions AS HUGEINT) * avg_cpu_time AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_cpu,
     CAST(SUM(avg_logical_io_reads) AS DOUBLE) / COUNT(avg_logical_io_reads) AS avg_reads,
-    CAST(SUM(CAST(count_executions * avg_logical_io_reads AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_reads
+    CAST(SUM(CAST(CAST(count_executions AS HUGEINT) * avg_logical_io_reads AS DECIMAL(38,0))) AS DECIMAL(38,0)) AS total_reads
   FROM s GROUP BY db, plan_id),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db ORDER BY {{order}} DESC, db, plan_id) AS rn FROM p),
 t AS (SELECT db, SUM(total_duration) AS pd, SUM(total_cpu) AS pc, SUM(total_reads) AS pr FROM p GROUP BY db)
@@ -107,11 +107,13 @@ def d4_outcome_counts(t):
 WITH c AS (
   SELECT l_partkey, l_returnflag,
          SUM(CAST(l_extendedprice AS DECIMAL(15,2))) AS cat_total,
+         CAST(SUM(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) / COUNT(l_quantity) AS cat_avg,
          CAST(trunc(CAST(SUM(CAST(l_quantity AS DECIMAL(15,2))) AS DOUBLE) / COUNT(l_quantity)) AS BIGINT) AS cat_avg_int
   FROM lineitem GROUP BY l_partkey, l_returnflag)
 SELECT l_partkey, CAST(SUM(cat_total) AS DECIMAL(38,2)) AS total, COUNT(*) AS n_categories,
   string_agg(l_returnflag || ' (Total: ' || CAST(cat_total AS VARCHAR) || ' - Avg: ' || CAST(cat_avg_int AS VARCHAR) || ')',
-             ', ' ORDER BY cat_total DESC, l_returnflag) AS breakdown
+             ', ' ORDER BY cat_total DESC, l_returnflag) AS breakdown,
+  list_sum(list_sort(list(cat_avg))) / COUNT(cat_avg) AS mean
 FROM c GROUP BY l_partkey
 """)
 def d5_category_breakdown(t):
@@ -126,10 +128,10 @@ def d5_category_breakdown(t):
 WITH u AS (SELECT l_partkey, COUNT(*) AS seeks FROM lineitem GROUP BY l_partkey)
 SELECT p.p_partkey, p.p_name, p.p_retailprice, CAST(COALESCE(u.seeks, 0) AS BIGINT) AS user_seeks
 FROM part p LEFT JOIN u ON u.l_partkey = p.p_partkey
-WHERE COALESCE(u.seeks, 0) < 30
+WHERE COALESCE(u.seeks, 0) <= 30
 """)
 def d6_unused_items(t):
-    """Parts used by fewer than 30 lines (absent -> 0 uses)."""
+    """Parts used by at most 30 lines (absent -> 0 uses)."""
     usage = t.lineitem.select("l_partkey", F.lit(1).alias("seeks"))
     items = t.part.select("p_partkey", "p_name", "p_retailprice")
     return W.unused_items(items, usage, "p_partkey", "l_partkey", "seeks", threshold=30)
@@ -150,16 +152,17 @@ def d7_totals_with_grand(t):
 
 @query("d8_duplicate_signatures", """
 WITH sig AS (
-  SELECT l_orderkey,
+  SELECT l_orderkey % 4 AS object_id, l_orderkey,
          string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS key_list
-  FROM lineitem GROUP BY l_orderkey),
-c AS (SELECT key_list, COUNT(*) AS n_duplicates FROM sig GROUP BY key_list HAVING COUNT(*) > 1)
-SELECT sig.key_list, sig.l_orderkey, c.n_duplicates FROM sig JOIN c ON c.key_list = sig.key_list
+  FROM lineitem GROUP BY ALL),
+c AS (SELECT object_id, key_list, COUNT(*) AS n_duplicates FROM sig GROUP BY ALL HAVING COUNT(*) > 1)
+SELECT sig.object_id, sig.key_list, sig.l_orderkey, c.n_duplicates
+FROM sig JOIN c ON c.key_list = sig.key_list AND c.object_id = sig.object_id
 """)
 def d8_duplicate_signatures(t):
-    """Orders whose ordered part list equals another order's."""
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber")
-    return W.duplicate_signatures(li, ["l_orderkey"], "l_partkey", "l_linenumber")
+    """Orders whose ordered part list equals another order's of the same 'table' (order key modulo 4)."""
+    li = t.lineitem.select((F.col("l_orderkey") % 4).alias("object_id"), "l_orderkey", "l_partkey", "l_linenumber")
+    return W.duplicate_signatures(li, ["l_orderkey"], "l_partkey", "l_linenumber", scope=["object_id"])
 
 
 @query("d9_column_selectivity", """
@@ -182,13 +185,13 @@ WITH f AS (
 SELECT l_orderkey, l_linenumber, frag, pages,
   CASE WHEN frag BETWEEN 10 AND 30 THEN 'REORGANIZE' ELSE 'REBUILD' END AS operation,
   frag BETWEEN 10 AND 30 AS online, n_items_in_table
-FROM f JOIN (SELECT l_orderkey AS k, COUNT(*) AS n_items_in_table FROM f WHERE frag > 10 AND pages > 1000 GROUP BY 1) c
+FROM f JOIN (SELECT l_orderkey AS k, COUNT(*) AS n_items_in_table FROM f GROUP BY 1) c
   ON c.k = f.l_orderkey
 WHERE frag > 10 AND pages > 1000
 """)
 def d12_plan_maintenance(t):
     """REORGANIZE/REBUILD per lineitem 'index' (fragmentation = discount * 400,
-    pages = quantity * 40), with the count of candidates per order."""
+    pages = quantity * 40), with the count of all partitions per order."""
     f = t.lineitem.select("l_orderkey", "l_linenumber",
                           (F.col("l_discount") * 400).cast("decimal(10,2)").alias("frag"),
                           (F.col("l_quantity") * 40).cast("bigint").alias("pages"))
@@ -314,14 +317,15 @@ WITH base AS ({_TOP_SQL.replace("{order}", "total_duration")}),
 w AS ({WAITS_SQL}),
 chosen AS (SELECT w.* FROM w WHERE EXISTS (SELECT 1 FROM base b WHERE b.db = w.db AND b.plan_id = w.plan_id)),
 cat AS (SELECT db, plan_id, wait_category_desc, SUM(total_query_wait_time_ms) AS ct,
+               CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms) AS cm,
                CAST(trunc(CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms)) AS BIGINT) AS ca
         FROM chosen GROUP BY ALL),
 pp AS (SELECT db, plan_id, SUM(ct) AS total_query_wait_time_ms,
               string_agg(wait_category_desc || ' (Total: ' || CAST(ct AS VARCHAR) || ' - Avg: ' || CAST(ca AS VARCHAR) || ')',
                          ', ' ORDER BY ct DESC, wait_category_desc) AS total_query_wait_time_ms_breakdown
        FROM cat GROUP BY db, plan_id),
-mm AS (SELECT db, plan_id, CAST(SUM(avg_query_wait_time_ms) AS DOUBLE) / COUNT(avg_query_wait_time_ms) AS avg_query_wait_time_ms
-       FROM chosen GROUP BY db, plan_id),
+mm AS (SELECT db, plan_id, list_sum(list_sort(list(cm))) / COUNT(cm) AS avg_query_wait_time_ms
+       FROM cat GROUP BY db, plan_id),
 per AS (SELECT db, SUM(total_query_wait_time_ms) AS wp FROM w GROUP BY db)
 SELECT base.*, CAST(COALESCE(pp.total_query_wait_time_ms, 0) AS BIGINT) AS total_query_wait_time_ms,
   COALESCE(pp.total_query_wait_time_ms_breakdown, '-') AS total_query_wait_time_ms_breakdown, mm.avg_query_wait_time_ms,
@@ -438,17 +442,22 @@ WITH f AS (SELECT l_suppkey AS item_id, CAST(SUM(l_quantity) AS BIGINT) AS impac
                   MAX(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS has_a
            FROM lineitem GROUP BY l_suppkey),
 d AS (SELECT f.item_id, s.s_nationkey AS database_id, f.impact FROM f JOIN supplier s ON s.s_suppkey = f.item_id),
-c AS (SELECT item_id, 'l_returnflag' AS column_name, 'EQUALITY' AS usage FROM f WHERE has_r = 1
+u AS (SELECT item_id, 'l_returnflag' AS column_name, 'EQUALITY' AS usage FROM f WHERE has_r = 1
       UNION ALL SELECT item_id, 'l_partkey', 'EQUALITY' FROM f
       UNION ALL SELECT item_id, 'l_shipdate', 'INEQUALITY' FROM f WHERE has_new = 1
       UNION ALL SELECT item_id, 'l_orderkey', 'INCLUDE' FROM f
       UNION ALL SELECT item_id, 'l_partkey', 'INCLUDE' FROM f WHERE has_a = 1),
-sel AS (SELECT column_name, 1.0 / n_distinct AS density FROM (
+c AS (SELECT item_id, item_id % 2 AS object_id, substr(column_name, 3) AS column_name, usage FROM u),
+sel AS (SELECT 0 AS object_id, substr(column_name, 3) AS column_name, 1.0 / n_distinct AS density FROM (
           SELECT COUNT(DISTINCT l_orderkey) AS a, COUNT(DISTINCT l_partkey) AS b, COUNT(DISTINCT l_suppkey) AS c,
                  COUNT(DISTINCT l_returnflag) AS d, COUNT(DISTINCT l_shipdate) AS e FROM lineitem) w,
         LATERAL (VALUES ('l_orderkey', a), ('l_partkey', b), ('l_suppkey', c), ('l_returnflag', d), ('l_shipdate', e))
-          v(column_name, n_distinct)),
-cs AS (SELECT c.*, sel.density FROM c LEFT JOIN sel USING (column_name)),
+          v(column_name, n_distinct)
+        UNION ALL SELECT 1, 'orderkey', 1.0 / COUNT(DISTINCT o_orderkey) FROM orders
+        UNION ALL SELECT 1, 'partkey', 1.0 / COUNT(DISTINCT o_custkey) FROM orders
+        UNION ALL SELECT 1, 'returnflag', 1.0 / COUNT(DISTINCT o_orderdate) FROM orders
+        UNION ALL SELECT 1, 'shipdate', 1.0 / COUNT(DISTINCT o_orderstatus) FROM orders),
+cs AS (SELECT c.*, sel.density FROM c LEFT JOIN sel USING (object_id, column_name)),
 k AS (SELECT item_id, string_agg(column_name, ', ' ORDER BY CASE usage WHEN 'EQUALITY' THEN 0 ELSE 1 END, density, column_name)
         AS key_columns FROM cs WHERE usage IN ('EQUALITY', 'INEQUALITY') GROUP BY item_id),
 i AS (SELECT item_id, string_agg(column_name, ', ' ORDER BY column_name) AS include_columns FROM cs x
@@ -461,7 +470,8 @@ FROM d LEFT JOIN k USING (item_id) LEFT JOIN i USING (item_id)
 def d9_rank_missing_index(t):
     """One missing-index suggestion per supplier (impact = quantity supplied) with
     equality/inequality/include columns derived from its lines, ordered by the
-    measured densities of lineitem's columns, ranked per nation."""
+    measured densities of their own table's columns (two tables that name
+    their columns alike), ranked per nation."""
     li = t.lineitem
     f = li.groupBy(F.col("l_suppkey").alias("item_id")).agg(
         F.sum("l_quantity").cast("bigint").alias("impact"),
@@ -476,7 +486,14 @@ def d9_rank_missing_index(t):
     arr = F.array(entry("l_returnflag", "EQUALITY", F.col("has_r") == 1), entry("l_partkey", "EQUALITY", F.lit(True)),
                   entry("l_shipdate", "INEQUALITY", F.col("has_new") == 1), entry("l_orderkey", "INCLUDE", F.lit(True)),
                   entry("l_partkey", "INCLUDE", F.col("has_a") == 1))
-    cols = f.select("item_id", F.explode(arr).alias("c")).filter(F.col("c").isNotNull()).select("item_id", "c.*")
-    sel = W.column_selectivity(li, _SEL_COLS).select("column_name", "density")
+    cols = f.select("item_id", F.explode(arr).alias("c")).filter(F.col("c").isNotNull()).select(
+        "item_id", (F.col("item_id") % 2).alias("object_id"),
+        F.substring("c.column_name", 3, 20).alias("column_name"), "c.usage")
+    # two tables with the same column names and other densities
+    other = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"),
+                            F.col("o_orderdate").alias("l_returnflag"), F.col("o_orderstatus").alias("l_shipdate"))
+    sel = W.column_selectivity(li, _SEL_COLS).withColumn("object_id", F.lit(0).cast("bigint")).unionByName(
+        W.column_selectivity(other, other.columns).withColumn("object_id", F.lit(1).cast("bigint")))
+    sel = sel.select("object_id", F.substring("column_name", 3, 20).alias("column_name"), "density")
     out = W.rank_missing_index(details, cols, sel)
     return out.select("item_id", "database_id", "impact", "key_columns", "include_columns", "impact_rank")

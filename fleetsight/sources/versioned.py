@@ -48,6 +48,14 @@ def read_current(spark: SparkSession, base: str, schema=None, below: int | None
     return reader.parquet(os.path.join(base, f"version={v}"))
 
 
+def read_below(spark: SparkSession, base: str, version: int, prefix: str = "version=") -> DataFrame | None:
+    """All rows of the complete versions below ``version``; None when there is none."""
+    found = [x for x in versions(spark, base, prefix) if x < version]
+    if not found:
+        return None
+    return spark.read.parquet(*[os.path.join(base, f"{prefix}{x}") for x in found])
+
+
 def write_version(df: DataFrame, base: str, version: int, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as version ``version`` (overwrite: reruns are idempotent)."""
     path = os.path.join(base, f"version={version}")
@@ -65,11 +73,3 @@ def append(df: DataFrame, base: str, partition_by: list[str] | None = None) -> N
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(base)
-
-
-def write_partition(df: DataFrame, base: str, partition_by: list[str]) -> None:
-    """Replace only the partitions present in ``df`` (dynamic partition
-    overwrite): appending a run's rows under its own version partition, so
-    a rerun replaces them instead of adding duplicates."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(*partition_by).parquet(base))
