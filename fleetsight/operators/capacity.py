@@ -46,8 +46,9 @@ def sample_period(df: DataFrame, entity: list[str], ts: str, period: str, tiebre
 def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str], period: str = "day",
                   tiebreak: list[str] = (), date_from=None, date_to=None,
                   current: DataFrame | None = None, include_deleted: bool = True) -> DataFrame:
-    """Each measure minus the previous sampled row's (LAG with default 0: the
-    first row shows its full size), per entity in time order.
+    """Each measure minus the previous sampled row's (0 only where there is no
+    previous row: the first row shows its full size), per entity in time
+    order. Rows whose measures are all NULL are no samples.
 
     Partitioned by the full entity key and ordered by time (see SURVEY 7.4).
     With ``include_deleted=False`` only entities present in ``current`` stay.
@@ -62,18 +63,19 @@ def growth_report(df: DataFrame, entity: list[str], ts: str, measures: list[str]
         d = d.filter(F.col(ts) <= F.lit(date_to))
     if not include_deleted and current is not None:
         d = d.join(current.select(*entity).distinct(), entity, "left_semi")
-    d = sample_period(d, entity, ts, period, tiebreak)
+    d = d.filter(F.coalesce(*[F.col(m).cast("string") for m in measures]).isNotNull())
+    d = sample_period(d, entity, ts, period, tiebreak).withColumn("__one", F.lit(1))
     order = [ts, *tiebreak]
     if period == "day":
-        d = previous_in_order(d, entity, order, measures, time_bucket(ts), prefix="__prev_")
+        d = previous_in_order(d, entity, order, [*measures, "__one"], time_bucket(ts), prefix="__prev_")
     else:
         w = Window.partitionBy(*entity).orderBy(*order)
-        for m in measures:
+        for m in [*measures, "__one"]:
             d = d.withColumn("__prev_" + m, F.lag(m).over(w))
     for m in measures:
-        prev = F.coalesce(F.col("__prev_" + m), F.lit(0).cast(d.schema[m].dataType))
+        prev = F.when(F.col("__prev___one").isNull(), F.lit(0).cast(d.schema[m].dataType)).otherwise(F.col("__prev_" + m))
         d = d.withColumn(m + "_growth", F.col(m) - prev).drop("__prev_" + m)
-    return d.withColumn("data_collection_date", F.date_format(ts, "dd/MM/yyyy"))
+    return d.drop("__one", "__prev___one").withColumn("data_collection_date", F.date_format(ts, "dd/MM/yyyy"))
 
 
 # ------------------------------------------------------------------ C3
@@ -187,7 +189,7 @@ def time_parts(ts: Column) -> dict[str, Column]:
         "year": F.year(ts), "quarter": F.quarter(ts), "month": F.month(ts),
         "week": sql_week_of_year(F.to_date(ts)), "day": F.to_date(ts), "day_of_month": F.dayofmonth(ts),
         "day_of_week": F.dayofweek(ts), "am_pm": F.when(h < 12, F.lit("AM")).otherwise(F.lit("PM")),
-        "hour": h, "minute": F.minute(ts),
+        "hour": h, "minute": F.date_format(ts, "HH:mm"),
     }
 
 
@@ -235,10 +237,16 @@ def calendar_rollup(df: DataFrame, ts: str, measures: list[str], by: list[str],
 # ------------------------------------------------------------------ C9
 def counter_increment(last: Column, reading: Column) -> Column:
     """Increment of a cumulative counter: the reading itself after a reset
-    (reading lower than the last one), else the difference."""
+    (reading lower than the last one), else the difference. Callers read a
+    NULL reading as 0."""
     return F.when(last.isNull(), reading).when(last > reading, reading).otherwise(reading - last)
 
 
+def _zero(df: DataFrame, c: str) -> Column:
+    """A NULL reading counts as 0 (the server reports no activity)."""
+    return F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType))
+
+
 def accumulate_counters(state: DataFrame, reading: DataFrame, keys: list[str], counters: list[str],
                         now=None) -> DataFrame:
     """State form: merge one snapshot of readings (one row per key) into the
@@ -246,7 +254,7 @@ def accumulate_counters(state: DataFrame, reading: DataFrame, keys: list[str], c
     not in the snapshot keep their state."""
     s = state.select(*keys, *[F.col(c).alias("s__" + c) for c in counters],
                      *[F.col("total_" + c).alias("s__total_" + c) for c in counters])
-    r = reading.select(*keys, *[F.col(c).alias("r__" + c) for c in counters], F.lit(True).alias("__seen"))
+    r = reading.select(*keys, *[_zero(reading, c).alias("r__" + c) for c in counters], F.lit(True).alias("__seen"))
     j = s.join(r, keys, "full_outer")
     cols = list(keys)
     for c in counters:
@@ -267,7 +275,7 @@ def accumulate_log(log: DataFrame, keys: list[str], ts: str, counters: list[str]
     log. The previous reading comes from :func:`previous_in_order` (hour
     buckets split a hot key), then totals are a partial-aggregated sum."""
     order = [ts, *tiebreak]
-    d = previous_in_order(log.select(*keys, *order, *counters), keys, order, counters,
+    d = previous_in_order(log.select(*keys, *order, *[_zero(log, c).alias(c) for c in counters]), keys, order, counters,
                           time_bucket(ts), prefix="__prev_", keep_bucket_last=True)
     aggs = []
     for c in counters:
@@ -336,9 +344,10 @@ def running_report(requests: DataFrame, texts: DataFrame, now, *, session_filter
           .withColumn("statement", F.substring(F.col("text"), start.cast("int"), length.cast("int")))
           .withColumn("estimated_end", F.when(F.col("percent_complete") > 0, F.timestamp_add(
               "SECOND", int_div(elapsed * 100, F.col("percent_complete")), F.col("start_time")))))
+    # blockers come from all requests, also from those that the filter leaves out
+    blockers = r.select(F.col("session_id").alias("__bs"), F.col("statement").alias("blocking_statement"))
     if session_filter is not None:
         r = r.filter(session_filter)
-    blockers = r.select(F.col("session_id").alias("__bs"), F.col("statement").alias("blocking_statement"))
     return r.join(blockers, r["blocking_session_id"] == blockers["__bs"], "left").drop("__bs")
 
 

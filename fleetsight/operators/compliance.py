@@ -99,20 +99,21 @@ def schedule_compliance(entities: DataFrame, events: DataFrame, *, key: str, sch
 def due_today(entities: DataFrame, *, schedule: str, weekday: int, wanted: list[str] | None = None,
               batch_col: str | None = None, batch: int | None = None, names: list[str] | None = None,
               name_col: str = "name", size_col: str | None = None, big_size: float | None = None,
-              week_of_month: int | None = None) -> DataFrame:
+              week_of_year: int | None = None) -> DataFrame:
     """Entities due on ``weekday`` (Sunday = 1): the schedule character is one
-    of ``wanted`` (or anything but '-') and the batch matches (NULL = 0).
+    of ``wanted`` (or anything but '-') and the batch matches (NULL = 0, on
+    either side).
     Explicit ``names`` override the schedule. Entities over ``big_size`` get
     the light check except in every fourth week."""
     ch = F.substring(F.col(schedule), weekday, 1)
     due = ch.isin(wanted) if wanted else (ch != "-")
-    if batch_col is not None and batch is not None:
-        due = due & (F.coalesce(F.col(batch_col), F.lit(0)) == batch)
+    if batch_col is not None:
+        due = due & (F.coalesce(F.col(batch_col), F.lit(0)) == (batch or 0))
     if names:
         due = F.col(name_col).isin(names)
     out = entities.filter(due).withColumn("scheduled_type", ch)
-    if size_col and big_size is not None and week_of_month is not None:
-        light = (F.col(size_col) > big_size) & F.lit(week_of_month % 4 != 0)
+    if size_col and big_size is not None and week_of_year is not None:
+        light = (F.col(size_col) > big_size) & F.lit(week_of_year % 4 != 0)
         out = out.withColumn("check_type", F.when(light, F.lit("PHYSICAL_ONLY")).otherwise(F.lit("FULL")))
     return out
 
@@ -188,9 +189,9 @@ def run_status_text(c: Column) -> Column:
 def job_history(jobs: DataFrame, steps: DataFrame, history: DataFrame, n: int,
                 job_filter: Column | None = None) -> DataFrame:
     """Last ``n`` runs per job and step; jobs that never ran and history rows
-    without a step are kept (two full outer joins). Run time from the
+    without a step (a job's outcome, step 0) are kept: steps meet the history
+    by job and step, jobs meet both by job. Run time from the
     yyyymmdd and hhmmss integers; duration text from hhmmss."""
-    js = jobs.join(steps, "job_id", "full_outer")
     d = F.lpad(F.col("run_date").cast("string"), 8, "0")
     run_text = F.concat(F.substring(d, 1, 4), F.lit("-"), F.substring(d, 5, 2), F.lit("-"), F.substring(d, 7, 2),
                         F.lit(" "), fmt_hhmmss("run_time"))
@@ -201,16 +202,19 @@ def job_history(jobs: DataFrame, steps: DataFrame, history: DataFrame, n: int,
                .withColumn("run_duration_text", fmt_hhmmss("run_duration"))
     h = top_n_per_group(h, ["job_id", "step_id"], [F.col("run_datetime").desc(), F.col("instance_id").desc()], n,
                         rank_col="run_rank")
-    out = js.join(h, ["job_id", "step_id"], "full_outer")
+    out = jobs.join(steps.join(h, ["job_id", "step_id"], "full_outer"), "job_id", "full_outer")
     return out.filter(job_filter) if job_filter is not None else out
 
 
 # --------------------------------------------------------------------- E8
 def align_steps_to_run(runs: DataFrame, history: DataFrame, *, keys: list[str], run_first_id: str,
-                       hist_id: str, hist_cols: list[str], bucket_width: int = 4096) -> DataFrame:
+                       hist_id: str, hist_cols: list[str], bucket_width: int = 4096,
+                       keep_unmatched: bool = False) -> DataFrame:
     """For each run start and step (``keys``), the first history row with id
-    >= the run's first id (forward as-of join, no pairs)."""
-    return asof_forward(runs, history, keys, run_first_id, hist_id, hist_cols, bucket_width, out="step_row")
+    >= the run's first id (forward as-of join, no pairs). A step without a
+    later row is left out unless ``keep_unmatched``."""
+    out = asof_forward(runs, history, keys, run_first_id, hist_id, hist_cols, bucket_width, out="step_row")
+    return out if keep_unmatched else out.filter(F.col("step_row").isNotNull())
 
 
 # --------------------------------------------------------------------- E9
@@ -238,25 +242,26 @@ def job_activity(jobs: DataFrame, servers: DataFrame, *, job_key: str = "job_id"
     """Job activity: enabled Yes/No, present state text, and the last run
     chosen over the job's servers by the greatest date * 10^6 + time (ties
     by server name) with its date text and outcome text. With
-    ``local_server`` a job last run elsewhere is multi-server and its
-    outcome 'Unknown'. Optional per-job columns: current_execution_status,
+    ``local_server`` the execution status of an idle job that another server
+    runs is not known. Optional per-job columns: current_execution_status,
     current_execution_step, next_run_date/next_run_time, category_id."""
     # ties on the stamp are broken by server name, so a recomputation picks the same row
     stamp = F.struct((F.col(date_col).cast("bigint") * 1000000 + F.col(time_col).cast("bigint")).alias("s"),
                      F.col("server_name").alias("n"))
     pick = F.struct(F.col(outcome_col).alias("outcome"), F.col("server_name").alias("server"),
                     F.col(date_col).alias("d"), F.col(time_col).alias("t"))
-    last = servers.groupBy(job_key).agg(F.max_by(pick, stamp).alias("__l"), F.count(F.lit(1)).alias("n_servers"))
+    last = servers.groupBy(job_key).agg(F.max_by(pick, stamp).alias("__l"), F.count(F.lit(1)).alias("n_servers"),
+                                        F.max(F.col("server_name") != F.lit(local_server)).alias("__remote"))
     out = jobs.join(last, job_key, "left")
     out = out.withColumn("last_run", run_stamp_text(F.col("__l.d"), F.col("__l.t"), "never"))
     out = out.withColumn("last_outcome", code_text(F.col("__l.outcome"), ACTIVITY_OUTCOME, "Unknown"))
     if local_server is not None:
-        out = out.withColumn("is_local", F.col("__l.server") == local_server) \
-                 .withColumn("last_outcome", F.when(F.col("is_local"), F.col("last_outcome")).otherwise(F.lit("Unknown")))
+        out = out.withColumn("is_local", F.col("__l.server") == local_server)
     if "enabled" in jobs.columns:
         out = out.withColumn("enabled_text", F.when(F.col("enabled"), F.lit("Yes")).otherwise(F.lit("No")))
     if "current_execution_status" in jobs.columns:
-        status = F.coalesce(F.col("current_execution_status"), F.lit(0))
+        status = F.col("current_execution_status")
+        status = F.coalesce(F.when(~((status == 4) & F.coalesce(F.col("__remote"), F.lit(False))), status), F.lit(0))
         step = (F.col("current_execution_step") if "current_execution_step" in jobs.columns
                 else F.lit(None).cast("string"))
         out = out.withColumn("execution_status", F.when(status == 1, F.concat(
@@ -269,44 +274,50 @@ def job_activity(jobs: DataFrame, servers: DataFrame, *, job_key: str = "job_id"
         cat = categories.select(F.col("category_id").alias("__cid"), F.col("name").alias("category"))
         out = out.join(cat, out["category_id"] == F.col("__cid"), "left").drop("__cid") \
                  .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_TEXT)))
-    return out.drop("__l")
+    return out.drop("__l", "__remote")
 
 
 # --------------------------------------------------------------------- E10
-# Schedule frequency types and sub-day unit names.
-FREQ_TYPES = {1: "Once", 4: "Daily", 8: "Weekly", 16: "Monthly", 32: "Monthly relative",
-              64: "When SQL Server Agent starts", 128: "When the computer is idle"}
-SUBDAY_UNITS = {2: "second(s)", 4: "minute(s)", 8: "hour(s)"}
-RELATIVE = {1: "first", 2: "second", 4: "third", 8: "fourth", 16: "last"}
+# Schedule texts by frequency type, relative place and day, and sub-day unit.
+FREQ_START = {64: "Starts when SQL Server Agent service starts", 128: "Runs when computer is idle"}
+SUBDAY_UNITS = {2: "second", 4: "minute", 8: "hour"}
+RELATIVE = {1: "First", 2: "Second", 4: "Third", 8: "Fourth", 16: "Last"}
 RELATIVE_DAYS = {1: "Sunday", 2: "Monday", 3: "Tuesday", 4: "Wednesday", 5: "Thursday", 6: "Friday",
-                 7: "Saturday", 8: "day", 9: "weekday", 10: "weekend day"}
+                 7: "Saturday", 8: "Day", 9: "Weekday", 10: "Weekend day"}
 
 
-def _hhmmss_text(c: Column) -> Column:
-    v = F.lpad(c.cast("string"), 6, "0")
-    return F.concat(F.substring(v, 1, 2), F.lit(":"), F.substring(v, 3, 2), F.lit(":"), F.substring(v, 5, 2))
+def _plural(n: Column, word: Column) -> Column:
+    return F.concat(word, F.when(n > 1, F.lit("s")).otherwise(F.lit("")))
 
 
 def schedule_text(schedules: DataFrame) -> DataFrame:
     """Human-readable schedule per row (freq_type, freq_interval,
     freq_relative_interval, freq_subday_type, freq_subday_interval,
-    active_start_time, active_end_time)."""
+    active_start_time, active_end_time; active_start_date as yyyymmdd for
+    schedules that run once; enabled marks the disabled ones)."""
     d = bitmask_names(schedules, "freq_interval", [(b, n) for b, n, _ in WEEKDAY_BITS], out="__days")
     ft, fi = F.col("freq_type"), F.col("freq_interval")
-    rel = code_text("freq_relative_interval", RELATIVE)
-    rday = code_text(fi, RELATIVE_DAYS)
-    main = (F.when(ft == 1, F.lit("Once"))
-            .when(ft == 4, F.when(fi == 1, F.lit("Every day")).otherwise(F.concat(F.lit("Every "), fi.cast("string"), F.lit(" days"))))
-            .when(ft == 8, F.concat(F.lit("Weekly on "), F.col("__days")))
-            .when(ft == 16, F.concat(F.lit("Monthly on day "), fi.cast("string")))
-            .when(ft == 32, F.concat(F.lit("Monthly on the "), rel, F.lit(" "), rday))
-            .when(ft == 64, F.lit(FREQ_TYPES[64])).when(ft == 128, F.lit(FREQ_TYPES[128])))
-    unit = code_text("freq_subday_type", SUBDAY_UNITS)
-    sub = F.when(F.col("freq_subday_type") == 1, F.concat(F.lit(" at "), _hhmmss_text(F.col("active_start_time")))) \
-        .otherwise(F.concat(F.lit(" every "), F.col("freq_subday_interval").cast("string"), F.lit(" "), unit,
-                            F.lit(" from "), _hhmmss_text(F.col("active_start_time")), F.lit(" till "),
-                            _hhmmss_text(F.col("active_end_time"))))
-    text = F.when(ft.isin(64, 128), main).otherwise(F.concat(main, sub))
+    date = (F.lpad(F.col("active_start_date").cast("string"), 8, "0") if "active_start_date" in schedules.columns
+            else F.lit(None).cast("string"))
+    once = F.concat(F.lit("Once on "), F.substring(date, 7, 2), F.lit("/"), F.substring(date, 5, 2), F.lit("/"),
+                    F.substring(date, 1, 4), F.lit(" @ "), fmt_hhmmss("active_start_time"))
+    main = (F.when(ft == 1, F.coalesce(once, F.lit("Once")))
+            .when(ft == 4, F.when(fi > 1, F.concat(F.lit("Every "), fi.cast("string"), F.lit(" Days")))
+                  .otherwise(F.lit("Every Day")))
+            .when(ft == 8, F.col("__days"))
+            .when(ft == 16, F.concat(F.lit("Every "), fi.cast("string"), F.lit(" of the month")))
+            .when(ft == 32, F.concat(code_text("freq_relative_interval", RELATIVE), F.lit(" "),
+                                     code_text(fi, RELATIVE_DAYS), F.lit(" of the month")))
+            .otherwise(F.coalesce(code_text(ft, FREQ_START), F.lit("None"))))
+    sub, every = F.col("freq_subday_type"), F.col("freq_subday_interval")
+    t = F.lpad(F.col("active_start_time").cast("string"), 6, "0")
+    repeat = F.concat(F.lit(". Every "), every.cast("string"), F.lit(" "), _plural(every, code_text(sub, SUBDAY_UNITS)))
+    span = F.concat(F.lit(", From "), fmt_hhmmss("active_start_time"), F.lit(" till "), fmt_hhmmss("active_end_time"))
+    at = F.when(sub == 1, F.concat(F.lit(" @ "), F.substring(t, 1, 2), F.lit(":"), F.substring(t, 3, 2), F.lit(":"),
+                                   F.substring(t, 5, 2))).when(sub.isin(2, 4, 8), repeat)
+    off = (F.when(F.col("enabled"), F.lit("")).otherwise(F.lit(" (Disabled)")) if "enabled" in schedules.columns
+           else F.lit(""))
+    text = F.concat(main, F.coalesce(at, F.lit("")), F.when(sub.isin(4, 8), span).otherwise(F.lit("")), off)
     return d.withColumn("schedule_text", text).drop("__days")
 
 

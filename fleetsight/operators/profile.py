@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ TYPE_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "d
 # Shape of an event document: <event timestamp=..><action name=..><value/></action>...
 # <data name=..><value/></data>...</event>
 EVENT_XML_SCHEMA = ("action ARRAY<STRUCT<_name: STRING, value: STRING>>, "
-                    "data ARRAY<STRUCT<_name: STRING, value: STRING>>, _timestamp STRING")
+                    "data ARRAY<STRUCT<_name: STRING, value: STRING>>, _name STRING, _timestamp STRING")
 # Column names that may serve as a key when nothing is declared.
 KEY_NAMES = ["id"]
 
@@ -143,30 +143,29 @@ def event_attributes(events: DataFrame, payload: str, fields: list[str], actions
                      fmt: str = "json", id_col: str = "event_id") -> DataFrame:
     """One row per event with a column per data field (and per action).
 
-    JSON payloads are parsed to a map, XML payloads (``<event><action
-    name=..><value/></action><data name=..><value/></data></event>``) to
-    name -> value maps with xpath; each wanted name is then a map lookup.
+    JSON payloads are parsed to the wanted fields, XML payloads (``<event
+    name=.. timestamp=..><action name=..><value/></action><data
+    name=..><value/></data></event>``) to name and value pairs, of which each
+    wanted name takes its greatest value; the event's own name and time are
+    added.
     This equals pivoting fields and actions separately and full-outer
     joining them on the event, without any shuffle."""
     p = F.col(payload)
     if fmt == "json":
-        m = F.from_json(p, T.MapType(T.StringType(), T.StringType()))
-        am = None
-    else:
-        # one XML parse per event (from_xml) instead of one xpath walk per field
-        parsed = F.from_xml(p, EVENT_XML_SCHEMA)
-        pair = lambda e: F.struct(e["_name"].alias("k"), e["value"].alias("v"))
-        m = F.map_from_entries(F.transform(F.coalesce(parsed["data"], F.array()), pair))
-        am = F.map_from_entries(F.transform(F.coalesce(parsed["action"], F.array()), pair))
-    out = events.withColumn("__m", m)
-    for f in fields:
-        out = out.withColumn(f, F.col("__m")[f])
-    if actions and am is not None:
-        out = out.withColumn("__a", am)
-        for a in actions:
-            out = out.withColumn("action_" + a, F.col("__a")[a])
-        out = out.drop("__a")
-    return out.drop("__m")
+        m = F.from_json(p, T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+        return events.withColumn("__m", m).withColumns({f: F.col("__m").getField(f) for f in fields}).drop("__m")
+
+    def greatest(part: str, name: str) -> Column:
+        """The greatest value of a name (it may repeat in an event)."""
+        pairs = F.coalesce(F.col("__e")[part], F.array())
+        return F.array_max(F.transform(F.filter(pairs, lambda e: e["_name"] == name), lambda e: e["value"]))
+
+    # one XML parse per event (from_xml) instead of one xpath walk per field
+    out = events.withColumn("__e", F.from_xml(p, EVENT_XML_SCHEMA))
+    out = out.withColumns({"event_name": F.col("__e._name"), "event_time": F.col("__e._timestamp"),
+                           **{f: greatest("data", f) for f in fields},
+                           **{"action_" + a: greatest("action", a) for a in actions or []}})
+    return out.drop("__e")
 
 
 # --------------------------------------------------------------------- G7

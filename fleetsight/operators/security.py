@@ -14,7 +14,7 @@ from fleetsight.functions.aggregates import ordered_list
 from fleetsight.functions.scalar import yes_no
 
 # Principal names excluded from orphan checks.
-SYSTEM_PRINCIPALS = ["dbo", "guest", "INFORMATION_SCHEMA", "sys", "MS_DataCollectorInternalUser"]
+SYSTEM_PRINCIPALS = ["dbo", "guest", "INFORMATION_SCHEMA", "sys"]
 
 
 # --------------------------------------------------------------------- F1
@@ -64,9 +64,13 @@ def principal_permissions(grants: DataFrame, *, grantee: str = "grantee_id", obj
 # --------------------------------------------------------------------- F3
 def orphan_principals(principals: DataFrame, logins: DataFrame, *, sid: str = "sid", login_sid: str = "sid",
                       name: str = "name", exclude: list[str] = SYSTEM_PRINCIPALS,
-                      type_filter: Column | None = None) -> DataFrame:
-    """Principals with no login of the same sid (anti join), system names excluded."""
+                      type_filter: Column | None = None, type_col: str = "principal_type_desc") -> DataFrame:
+    """Principals with no login of the same sid (anti join), system names
+    excluded; SQL users only, where ``type_col`` tells, unless ``type_filter``
+    says otherwise."""
     p = principals.filter(~F.col(name).isin(exclude))
+    if type_filter is None and type_col in principals.columns:
+        type_filter = F.col(type_col) == "SQL_USER"
     if type_filter is not None:
         p = p.filter(type_filter)
     lg = logins.select(F.col(login_sid).alias("__sid")).filter(F.col("__sid").isNotNull())

@@ -183,6 +183,54 @@ def c8_rollup_dow_ampm(t):
     return C.calendar_rollup(_event_values(t), "ts", ["value"], ["day_of_week", "am_pm"])
 
 
+_PARTS_SQL = {
+    "year": "CAST(year(ts) AS INTEGER)", "quarter": "CAST(quarter(ts) AS INTEGER)", "month": "CAST(month(ts) AS INTEGER)",
+    "week": "CAST((dayofyear(ts) + dayofweek(make_date(year(ts), 1, 1)) + 1 - 2) // 7 + 1 AS INTEGER)",
+    "day": "CAST(ts AS DATE)", "day_of_month": "CAST(day(ts) AS INTEGER)",
+    "day_of_week": "CAST(dayofweek(ts) + 1 AS INTEGER)", "am_pm": "CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END",
+    "hour": "CAST(hour(ts) AS INTEGER)", "minute": "strftime(ts, '%H:%M')"}
+
+
+def _rollup_sql(by):
+    keys = ", ".join(f"{_PARTS_SQL[b]} AS {b}" for b in by)
+    return f"""
+SELECT {keys}, CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) / COUNT(value) AS avg_value,
+  MAX(CAST(value AS DECIMAL(15,2))) AS max_value, COUNT(*) AS n_readings
+FROM events GROUP BY {", ".join(str(i + 1) for i in range(len(by)))}
+"""
+
+
+@query("c8_rollup_minute", _rollup_sql(["minute"]))
+def c8_rollup_minute(t):
+    """By minute of the day (HH:mm)."""
+    return C.calendar_rollup(_event_values(t), "ts", ["value"], ["minute"])
+
+
+@query("c8_rollup_all_parts", _rollup_sql(list(_PARTS_SQL)))
+def c8_rollup_all_parts(t):
+    """By all ten calendar and clock parts."""
+    return C.calendar_rollup(_event_values(t), "ts", ["value"], list(_PARTS_SQL))
+
+
+@query("c1_growth_options", """
+WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DECIMAL(15,2)) END AS size
+           FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate <= TIMESTAMP '2001-12-31'
+             AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0))
+SELECT o_custkey, o_orderkey, o_orderdate, size,
+  size - COALESCE(LAG(size) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 0) AS size_growth,
+  strftime(o_orderdate, '%d/%m/%Y') AS data_collection_date
+FROM o WHERE size IS NOT NULL
+""")
+def c1_growth_options(t):
+    """NULL sizes left out, a date range, and only customers that are still there (balance of 0 or more)."""
+    d = _orders_sizes(t).withColumn("size", F.when(F.col("o_orderkey") % 7 != 0, F.col("size")))
+    ts = lambda v: F.lit(v).cast("timestamp_ntz")
+    return C.growth_report(d, ["o_custkey"], "o_orderdate", ["size"], "day", ["o_orderkey"],
+                           date_from=ts("1994-01-01 00:00:00"), date_to=ts("2001-12-31 00:00:00"),
+                           current=t.customer.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey")),
+                           include_deleted=False)
+
+
 @query("c8_rollup_week_hour_working", """
 SELECT event_type, CAST(year(ts) AS INTEGER) AS year,
   CAST((dayofyear(ts) + dayofweek(make_date(year(ts), 1, 1)) + 1 - 2) // 7 + 1 AS INTEGER) AS week,
@@ -203,7 +251,7 @@ def c8_rollup_week_hour_working(t):
 
 
 _LOG_SQL = """
-WITH e AS (SELECT user_id, event_type, ts, event_id, CAST(value AS DECIMAL(15,2)) AS value FROM events {where}),
+WITH e AS (SELECT user_id, event_type, ts, event_id, CAST(COALESCE(value, 0) AS DECIMAL(15,2)) AS value FROM events {where}),
 l AS (SELECT *, LAG(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prev FROM e),
 a AS (SELECT user_id, event_type,
         CAST(SUM(CASE WHEN prev IS NULL THEN value WHEN prev > value THEN value ELSE value - prev END) AS DECIMAL(26,2))

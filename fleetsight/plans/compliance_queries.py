@@ -134,7 +134,7 @@ def e3_due_today(t):
     big accounts get the light check outside every fourth week."""
     s = schedules(t).withColumn("batch_no", F.col("c_nationkey") % 4)
     out = E.due_today(s, schedule="backup_schedule", weekday=3, wanted=["D"], batch_col="batch_no", batch=1,
-                      size_col="c_acctbal", big_size=9000, week_of_month=1)
+                      size_col="c_acctbal", big_size=9000, week_of_year=1)
     return out.drop("batch_no")
 
 
@@ -231,7 +231,7 @@ h AS (SELECT user_id, event_type, event_id, ts, value FROM events)
 SELECT r.user_id, r.run_first_id, r.run_start, r.event_type,
   (SELECT MIN(h.event_id) FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id) AS step_event_id,
   (SELECT arg_min(h.ts, h.event_id) FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id) AS step_ts
-FROM r
+FROM r WHERE EXISTS (SELECT 1 FROM h WHERE h.user_id = r.user_id AND h.event_type = r.event_type AND h.event_id >= r.run_first_id)
 """)
 def e8_align_steps_to_run(t):
     """For each 'run' (signup event) and 'step' (event type), the first event of that
@@ -297,12 +297,12 @@ h2 AS (SELECT *, {_STATUS_SQL} AS run_status_text,
            AS run_duration_text,
          CAST(ROW_NUMBER() OVER (PARTITION BY job_id, step_id ORDER BY run_datetime DESC, instance_id DESC) AS INTEGER) AS run_rank
        FROM h),
-js AS (SELECT COALESCE(j.job_id, s.job_id) AS job_id, j.job_name, j.enabled, s.step_id, s.step_name
-       FROM jobs j FULL OUTER JOIN steps s ON s.job_id = j.job_id)
-SELECT COALESCE(js.job_id, h2.job_id) AS job_id, COALESCE(js.step_id, h2.step_id) AS step_id, js.job_name, js.enabled,
-  js.step_name, h2.instance_id, h2.run_date, h2.run_time, h2.run_duration, h2.run_status, h2.run_datetime,
-  h2.run_text, h2.run_status_text, h2.run_duration_text, h2.run_rank
-FROM js FULL OUTER JOIN (SELECT * FROM h2 WHERE run_rank <= 3) h2 ON h2.job_id = js.job_id AND h2.step_id = js.step_id
+sh AS (SELECT COALESCE(s.job_id, h2.job_id) AS job_id, COALESCE(s.step_id, h2.step_id) AS step_id, s.step_name,
+         h2.* EXCLUDE (job_id, step_id)
+       FROM steps s FULL OUTER JOIN (SELECT * FROM h2 WHERE run_rank <= 3) h2
+         ON h2.job_id = s.job_id AND h2.step_id = s.step_id)
+SELECT COALESCE(j.job_id, sh.job_id) AS job_id, j.job_name, j.enabled, sh.* EXCLUDE (job_id)
+FROM jobs j FULL OUTER JOIN sh ON sh.job_id = j.job_id
 """)
 def e7_job_history(t):
     """Last 3 runs per job and step, with never-run jobs and step-less history kept."""
@@ -320,17 +320,23 @@ l AS (SELECT job_id, arg_max(last_run_outcome, (CAST(last_run_date AS BIGINT) *
              arg_max(server_name, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS srv,
              arg_max(last_run_date, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS d,
              arg_max(last_run_time, (CAST(last_run_date AS BIGINT) * 1000000 + last_run_time, server_name)) AS t,
-             COUNT(*) AS n_servers
+             COUNT(*) AS n_servers, bool_or(server_name <> 'srv0') AS remote
       FROM s GROUP BY job_id),
-j AS (SELECT DISTINCT event_type AS job_id, upper(event_type) AS job_name FROM events)
+j AS (SELECT event_type AS job_id, upper(event_type) AS job_name, CAST([0, 1, 2, 4, 4][MIN(user_id) % 5 + 1] AS INTEGER) AS st,
+             CAST(MIN(user_id) % 3 AS INTEGER) AS category_id FROM events GROUP BY ALL),
+c(i, n) AS (VALUES (0, 'Maintenance'), (1, 'Reports'))
 SELECT j.job_id, j.job_name, l.n_servers, l.srv = 'srv0' AS is_local,
-  CASE WHEN l.srv = 'srv0' THEN CASE l.o WHEN 0 THEN 'Fail' WHEN 1 THEN 'Succeed' WHEN 3 THEN 'Cancel'
-       ELSE 'Unknown' END ELSE 'Unknown' END AS last_outcome,
+  CASE l.o WHEN 0 THEN 'Fail' WHEN 1 THEN 'Succeed' WHEN 3 THEN 'Cancel' ELSE 'Unknown' END AS last_outcome,
+  CASE j.st WHEN 0 THEN 'Not idle or suspended' WHEN 1 THEN 'Executing (Step:0 (unknown))' WHEN 2 THEN 'Waiting For Thread'
+            WHEN 4 THEN CASE WHEN l.remote THEN 'Not idle or suspended' ELSE 'Idle' END END AS execution_status,
+  CASE j.st WHEN 0 THEN 'not scheduled' ELSE '0' || CAST(j.st AS VARCHAR) || '/02/2024 @ 06:15:00' END AS next_run,
+  j.st AS current_execution_status, CASE j.st WHEN 0 THEN 0 ELSE 20240200 + j.st END AS next_run_date, 61500 AS next_run_time,
+  j.category_id, COALESCE(c.n, '(unknown)') AS category,
   CASE WHEN COALESCE(l.d, 0) = 0 THEN 'never' ELSE
     substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 7, 2) || '/' || substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 5, 2) || '/' ||
     substr(lpad(CAST(l.d AS VARCHAR), 8, '0'), 1, 4) || ' @ ' || substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 1, 2) || ':' ||
     substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 3, 2) || ':' || substr(lpad(CAST(l.t AS VARCHAR), 6, '0'), 5, 2) END AS last_run
-FROM j LEFT JOIN l ON l.job_id = j.job_id
+FROM j LEFT JOIN l ON l.job_id = j.job_id LEFT JOIN c ON c.i = j.category_id
 """)
 def e9_job_activity(t):
     """Per job the last outcome over its servers (greatest date*10^6+time); local = srv0."""
@@ -341,8 +347,16 @@ def e9_job_activity(t):
     srv = srv.select("job_id", "server_name", F.date_format("__ts", "yyyyMMdd").cast("int").alias("last_run_date"),
                      F.date_format("__ts", "HHmmss").cast("int").alias("last_run_time"),
                      (F.col("__id") % 5).cast("int").alias("last_run_outcome"))
-    jobs = e.select(F.col("event_type").alias("job_id")).distinct().withColumn("job_name", F.upper("job_id"))
-    return E.job_activity(jobs, srv, local_server="srv0")
+    status = F.element_at(F.array(*[F.lit(v) for v in (0, 1, 2, 4, 4)]), (F.min("user_id") % 5 + 1).cast("int"))
+    jobs = e.groupBy(F.col("event_type").alias("job_id"), F.upper("event_type").alias("job_name")).agg(
+        status.alias("current_execution_status"), (F.min("user_id") % 3).cast("int").alias("category_id"))
+    # jobs wait for the day of February that their state names, idle and running ones included
+    jobs = jobs.withColumn("next_run_date", F.when(F.col("current_execution_status") == 0, 0)
+                           .otherwise(20240200 + F.col("current_execution_status"))).withColumn("next_run_time", F.lit(61500))
+    cats = t.region.select(F.col("r_regionkey").cast("int").alias("category_id"),
+                           F.when(F.col("r_regionkey") == 0, "Maintenance").when(F.col("r_regionkey") == 1, "Reports")
+                           .alias("name")).filter(F.col("name").isNotNull())
+    return E.job_activity(jobs, srv, local_server="srv0", categories=cats)
 
 
 SCHED_SQL = """
@@ -351,8 +365,9 @@ SELECT p_partkey // 2 AS job_id, p_partkey AS schedule_id,
   CASE p_size % 6 WHEN 1 THEN p_size % 3 + 1 WHEN 2 THEN p_size WHEN 3 THEN p_size % 28 + 1 WHEN 4 THEN p_size % 10 + 1
        ELSE 0 END AS freq_interval,
   CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END AS freq_relative_interval,
-  CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS freq_subday_type,
-  p_size % 12 + 1 AS freq_subday_interval, (p_size % 24) * 10000 AS active_start_time, 235959 AS active_end_time
+  CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 0 END AS freq_subday_type,
+  p_size % 12 + 1 AS freq_subday_interval, (p_size % 24) * 10000 AS active_start_time, 235959 AS active_end_time,
+  20240101 + p_size % 28 AS active_start_date, p_partkey % 5 <> 0 AS enabled
 FROM part
 """
 
@@ -365,11 +380,12 @@ def job_schedules(t):
     fi = (F.when(sz % 6 == 1, sz % 3 + 1).when(sz % 6 == 2, sz).when(sz % 6 == 3, sz % 28 + 1)
           .when(sz % 6 == 4, sz % 10 + 1).otherwise(0))
     rel = F.when(sz % 5 == 0, 1).when(sz % 5 == 1, 2).when(sz % 5 == 2, 4).when(sz % 5 == 3, 8).otherwise(16)
-    sub = F.when(sz % 4 == 0, 1).when(sz % 4 == 1, 2).when(sz % 4 == 2, 4).otherwise(8)
+    sub = F.when(sz % 5 == 0, 1).when(sz % 5 == 1, 2).when(sz % 5 == 2, 4).when(sz % 5 == 3, 8).otherwise(0)
     return t.part.select((F.col("p_partkey") / 2).cast("bigint").alias("job_id"), F.col("p_partkey").alias("schedule_id"),
                          ft.alias("freq_type"), fi.alias("freq_interval"), rel.alias("freq_relative_interval"),
                          sub.alias("freq_subday_type"), (sz % 12 + 1).alias("freq_subday_interval"),
-                         ((sz % 24) * 10000).alias("active_start_time"), F.lit(235959).alias("active_end_time"))
+                         ((sz % 24) * 10000).alias("active_start_time"), F.lit(235959).alias("active_end_time"),
+                         (sz % 28 + 20240101).alias("active_start_date"), (F.col("p_partkey") % 5 != 0).alias("enabled"))
 
 
 def _hms(c):
@@ -383,21 +399,26 @@ d AS (SELECT s.*, COALESCE((SELECT string_agg(name, ', ' ORDER BY bit) FROM (VAL
         (4, 'Tuesday'), (8, 'Wednesday'), (16, 'Thursday'), (32, 'Friday'), (64, 'Saturday')) w(bit, name)
         WHERE (s.freq_interval & bit) = bit), 'None') AS days FROM s),
 x AS (SELECT job_id,
-  CASE WHEN freq_type IN (64, 128) THEN CASE freq_type WHEN 64 THEN 'When SQL Server Agent starts' ELSE 'When the computer is idle' END
-  ELSE (CASE freq_type WHEN 1 THEN 'Once'
-          WHEN 4 THEN CASE WHEN freq_interval = 1 THEN 'Every day' ELSE 'Every ' || CAST(freq_interval AS VARCHAR) || ' days' END
-          WHEN 8 THEN 'Weekly on ' || days
-          WHEN 16 THEN 'Monthly on day ' || CAST(freq_interval AS VARCHAR)
-          WHEN 32 THEN 'Monthly on the ' || CASE freq_relative_interval WHEN 1 THEN 'first' WHEN 2 THEN 'second'
-               WHEN 4 THEN 'third' WHEN 8 THEN 'fourth' WHEN 16 THEN 'last' END || ' ' ||
-               CASE freq_interval WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' WHEN 3 THEN 'Tuesday' WHEN 4 THEN 'Wednesday'
-               WHEN 5 THEN 'Thursday' WHEN 6 THEN 'Friday' WHEN 7 THEN 'Saturday' WHEN 8 THEN 'day' WHEN 9 THEN 'weekday'
-               WHEN 10 THEN 'weekend day' END END)
-       || CASE WHEN freq_subday_type = 1 THEN ' at ' || {_hms('active_start_time')}
-               ELSE ' every ' || CAST(freq_subday_interval AS VARCHAR) || ' ' ||
-                    CASE freq_subday_type WHEN 2 THEN 'second(s)' WHEN 4 THEN 'minute(s)' WHEN 8 THEN 'hour(s)' END
-                    || ' from ' || {_hms('active_start_time')} || ' till ' || {_hms('active_end_time')} END
-  END AS schedule_text FROM d),
+  CASE freq_type
+    WHEN 1 THEN 'Once on ' || substr(CAST(active_start_date AS VARCHAR), 7, 2) || '/' ||
+         substr(CAST(active_start_date AS VARCHAR), 5, 2) || '/' || substr(CAST(active_start_date AS VARCHAR), 1, 4)
+         || ' @ ' || {_hms('active_start_time')}
+    WHEN 4 THEN CASE WHEN freq_interval > 1 THEN 'Every ' || CAST(freq_interval AS VARCHAR) || ' Days' ELSE 'Every Day' END
+    WHEN 8 THEN days
+    WHEN 16 THEN 'Every ' || CAST(freq_interval AS VARCHAR) || ' of the month'
+    WHEN 32 THEN CASE freq_relative_interval WHEN 1 THEN 'First' WHEN 2 THEN 'Second' WHEN 4 THEN 'Third'
+         WHEN 8 THEN 'Fourth' WHEN 16 THEN 'Last' END || ' ' ||
+         CASE freq_interval WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' WHEN 3 THEN 'Tuesday' WHEN 4 THEN 'Wednesday'
+         WHEN 5 THEN 'Thursday' WHEN 6 THEN 'Friday' WHEN 7 THEN 'Saturday' WHEN 8 THEN 'Day' WHEN 9 THEN 'Weekday'
+         WHEN 10 THEN 'Weekend day' END || ' of the month'
+    WHEN 64 THEN 'Starts when SQL Server Agent service starts' WHEN 128 THEN 'Runs when computer is idle' ELSE 'None' END
+  || CASE WHEN freq_subday_type = 1 THEN ' @ ' || {_hms('active_start_time')}
+          WHEN freq_subday_type IN (2, 4, 8) THEN '. Every ' || CAST(freq_subday_interval AS VARCHAR) || ' ' ||
+            CASE freq_subday_type WHEN 2 THEN 'second' WHEN 4 THEN 'minute' ELSE 'hour' END
+            || CASE WHEN freq_subday_interval > 1 THEN 's' ELSE '' END ELSE '' END
+  || CASE WHEN freq_subday_type IN (4, 8) THEN ', From ' || {_hms('active_start_time')} || ' till ' || {_hms('active_end_time')}
+          ELSE '' END
+  || CASE WHEN enabled THEN '' ELSE ' (Disabled)' END AS schedule_text FROM d),
 j AS (SELECT DISTINCT p_partkey // 2 AS job_id FROM part)
 SELECT j.job_id, (SELECT string_agg(schedule_text, ' [AND] ' ORDER BY schedule_text) FROM x WHERE x.job_id = j.job_id) AS schedules
 FROM j

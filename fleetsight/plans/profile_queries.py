@@ -93,14 +93,15 @@ def g6_event_attributes_json(t):
 
 @query("g6_event_attributes_xml", """
 SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS action_event_type,
-  CAST(user_id AS VARCHAR) AS action_user
+  CAST(user_id AS VARCHAR) AS action_user, event_type AS event_name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS event_time
 FROM events
 """)
 def g6_event_attributes_xml(t):
     """Events rendered as XML event documents, read back into data and action columns."""
     e = t.events
     k = F.get_json_object("props", "$.k")
-    xml = F.concat(F.lit('<event><action name="user"><value>'), F.col("user_id").cast("string"),
+    xml = F.concat(F.lit('<event name="'), F.col("event_type"), F.lit('" timestamp="'),
+                   F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"><action name="user"><value>'), F.col("user_id").cast("string"),
                    F.lit('</value></action><action name="event_type"><value>'), F.col("event_type"),
                    F.lit('</value></action><data name="k"><value>'), k, F.lit("</value></data></event>"))
     x = e.select("event_id", xml.alias("event_data"))

@@ -73,13 +73,16 @@ def f2_principal_permissions(t):
 
 
 @query("f3_orphan_principals", """
-SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
-WHERE c_name NOT IN ('dbo', 'guest', 'INFORMATION_SCHEMA', 'sys', 'MS_DataCollectorInternalUser')
-  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+SELECT c_custkey, c_name, c_mktsegment, 'SQL_USER' AS principal_type_desc FROM customer
+WHERE c_name NOT IN ('dbo', 'guest', 'INFORMATION_SCHEMA', 'sys') AND c_mktsegment <> 'BUILDING'
+  AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
 """)
 def f3_orphan_principals(t):
-    """customers (users) without any order (login) of the same key."""
-    return S.orphan_principals(t.customer, t.orders, sid="c_custkey", login_sid="o_custkey", name="c_name")
+    """customers (SQL users, those of one segment Windows users) without an urgent order (login) of the same key."""
+    users = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.when(
+        F.col("c_mktsegment") == "BUILDING", "WINDOWS_USER").otherwise("SQL_USER").alias("principal_type_desc"))
+    logins = t.orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    return S.orphan_principals(users, logins, sid="c_custkey", login_sid="o_custkey", name="c_name")
 
 
 @query("f4_login_audit", """

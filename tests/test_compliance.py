@@ -29,17 +29,19 @@ def test_retention_fewer_exactly_more(spark):
 
 
 def test_schedule_text(spark):
-    rows = [(1, 1, 0, 1, 0, 93000, 235959), (4, 1, 0, 1, 0, 0, 235959), (4, 2, 0, 1, 0, 0, 235959),
+    rows = [(1, 1, 0, 0, 0, 93000, 235959), (4, 1, 0, 1, 0, 0, 235959), (4, 2, 0, 1, 0, 0, 235959),
             (8, 62, 0, 1, 0, 220000, 235959), (16, 15, 0, 1, 0, 10000, 235959), (32, 6, 16, 1, 0, 0, 235959),
-            (4, 1, 0, 4, 15, 80000, 180000)]
+            (4, 1, 0, 4, 15, 80000, 180000), (4, 1, 0, 2, 1, 0, 235959), (64, 0, 0, 0, 0, 0, 0), (128, 0, 0, 0, 0, 0, 0)]
+    rows = [(*r, 20240131, k != 2) for k, r in enumerate(rows)]
     df = spark.createDataFrame(rows, "freq_type int, freq_interval int, freq_relative_interval int, "
                                      "freq_subday_type int, freq_subday_interval int, active_start_time int, "
-                                     "active_end_time int")
+                                     "active_end_time int, active_start_date int, enabled boolean")
     got = [r["schedule_text"] for r in E.schedule_text(df).collect()]
-    assert got == ["Once at 09:30:00", "Every day at 00:00:00", "Every 2 days at 00:00:00",
-                   "Weekly on Monday, Tuesday, Wednesday, Thursday, Friday at 22:00:00",
-                   "Monthly on day 15 at 01:00:00", "Monthly on the last Friday at 00:00:00",
-                   "Every day every 15 minute(s) from 08:00:00 till 18:00:00"]
+    assert got == ["Once on 31/01/2024 @ 09:30:00", "Every Day @ 00:00:00", "Every 2 Days @ 00:00:00 (Disabled)",
+                   "Monday, Tuesday, Wednesday, Thursday, Friday @ 22:00:00",
+                   "Every 15 of the month @ 01:00:00", "Last Friday of the month @ 00:00:00",
+                   "Every Day. Every 15 minutes, From 08:00:00 till 18:00:00", "Every Day. Every 1 second",
+                   "Starts when SQL Server Agent service starts", "Runs when computer is idle"]
 
 
 def test_asof_forward(spark):
@@ -47,7 +49,10 @@ def test_asof_forward(spark):
     hist = spark.createDataFrame([("j", 2, "a"), ("j", 5, "b"), ("j", 9, "c"), ("k", 1, "z")],
                                  "job string, hid int, msg string")
     out = E.align_steps_to_run(runs, hist, keys=["job"], run_first_id="first_id", hist_id="hid",
-                               hist_cols=["msg"], bucket_width=4)
+                               hist_cols=["msg"], bucket_width=4, keep_unmatched=True)
+    inner = E.align_steps_to_run(runs, hist, keys=["job"], run_first_id="first_id", hist_id="hid",
+                                 hist_cols=["msg"], bucket_width=4)
+    assert sorted((r["job"], r["first_id"]) for r in inner.collect()) == [("j", 1), ("j", 5)]
     got = sorted((r["job"], r["first_id"], r["step_row"]["hid"] if r["step_row"] else None) for r in out.collect())
     assert got == [("j", 1, 2), ("j", 5, 5), ("j", 20, None), ("k", 3, None)]
 
@@ -87,7 +92,7 @@ def test_job_description_texts(spark):
     steps = spark.createDataFrame([("j1", 1, 3, None, 4, 3)], "job_id string, step_id int, on_success_action int, "
                                   "on_success_step_id int, on_fail_action int, on_fail_step_id int")
     r = E.job_description(jobs, sched, steps=steps).first()
-    assert r["schedules"] == "Every day at 01:00:00"
+    assert r["schedules"] == "Every Day @ 01:00:00"
     assert r["notify_actions"] == "Email: [ops] When the job fails;"
     assert r["autodelete"] == "Automatically delete job: When the job completes"
     assert (r["on_success"], r["on_failure"]) == ("Go to the next step", "Go to the step [3]")

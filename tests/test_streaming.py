@@ -109,7 +109,7 @@ def test_counter_state_store_stream_equals_batch(spark, tmpdir_path):
             .coalesce(1).write.parquet(os.path.join(src2, f"p{i}"))
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src2, "*"))
     out = counter_totals_stream(stream, ["user_id", "event_type"], "ts", ["v"],
-                                {"user_id": "bigint", "event_type": "string"}, tiebreak=["event_id"])
+                                {"user_id": "bigint", "event_type": "string"}, tiebreak={"event_id": "bigint"})
     q = (out.writeStream.outputMode("update").format("memory").queryName("counter_totals")
          .option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).trigger(availableNow=True).start())
     q.awaitTermination(300)
@@ -134,3 +134,49 @@ def test_counter_sink_counts_late_readings(spark, tmpdir_path):
     r = spark.read.parquet(latest_version(spark, state)).first()
     # 5 -> 8 (+3) -> late 1 dropped -> 2 (reset, +2): 5 + 3 + 2
     assert (r["v"], r["total_v"], r["late_readings"]) == (2, 10, 1)
+
+
+def test_same_time_with_newer_tiebreak_counts(spark, tmpdir_path):
+    import datetime as dt
+
+    schema = "k string, ts timestamp_ntz, id int, v decimal(10,2)"
+    at = dt.datetime(2024, 1, 1, 10)
+    from decimal import Decimal as D
+    batches = [[("a", at, 1, D("10.00"))], [("a", at, 2, D("15.50")), ("a", at, 1, D("99.00"))], [("a", at, 3, None)]]
+    state = os.path.join(tmpdir_path, "ties")
+    sink = CounterStateSink(state, ["k"], "ts", ["v"], ["id"])
+    for i, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, schema), i)
+    r = spark.read.parquet(latest_version(spark, state)).first()
+    assert (r["total_v"], r["late_readings"], r["last_id"], r["v"]) == (D("15.50"), 1, 3, D("0.00"))
+
+
+def test_decimal_counters_keep_their_fractions(spark, tmpdir_path):
+    from decimal import Decimal as D
+
+    from fleetsight.streaming.micro_batch import counter_totals_stream
+
+    src = os.path.join(tmpdir_path, "dec")
+    for i, rows in enumerate([[("a", "2024-01-01 10:00:00", D("1.50"))], [("a", "2024-01-01 11:00:00", D("2.25"))]]):
+        (spark.createDataFrame(rows, "k string, t string, v decimal(10,2)")
+         .select("k", F.col("t").cast("timestamp_ntz").alias("ts"), "v").coalesce(1).write.parquet(f"{src}/p{i}"))
+    stream = (spark.readStream.schema("k string, ts timestamp_ntz, v decimal(10,2)").option("maxFilesPerTrigger", 1)
+              .parquet(os.path.join(src, "*")))
+    out = counter_totals_stream(stream, ["k"], "ts", ["v"], {"k": "string"}, counter_type="decimal(10,2)")
+    q = (out.writeStream.outputMode("update").format("memory").queryName("decimal_totals")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ckd")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert spark.sql("SELECT max(total_v) AS t FROM decimal_totals").first()["t"] == D("2.25")
+
+
+def test_merge_sink_starts_empty_and_keeps_one_history_row(spark, tmpdir_path):
+    from fleetsight.streaming import SnapshotMergeSink
+
+    schema = "server string, name string, size int"
+    cur, hist = os.path.join(tmpdir_path, "c"), os.path.join(tmpdir_path, "h")
+    sink = SnapshotMergeSink(cur, hist, ["server", "name"], source_col="server")
+    for i, size in enumerate([1, 2, 1, 2]):
+        sink(spark.createDataFrame([("s", "a", size)], schema), i)
+    assert [r["size"] for r in spark.read.parquet(latest_version(spark, cur)).collect()] == [2]
+    # 1 -> 2 -> 1 -> 2: the third change's pre-image (1) is in the history already
+    assert sorted(r["size"] for r in spark.read.parquet(hist).collect()) == [1, 2]
