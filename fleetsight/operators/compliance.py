@@ -47,24 +47,27 @@ def _backup_measures(df: DataFrame, start: str, finish: str, size: str, compress
 
 # --------------------------------------------------------------------- E1
 def last_n_backups(sets: DataFrame, media: DataFrame | None, n: int, *, key: list[str], type_col: str = "type",
-                   backup_type: str = "X", order: str = "backup_set_id", tiebreak: str = "backup_set_id",
+                   backup_type: str | None = "X", order: str = "backup_set_id", tiebreak: str = "backup_set_id",
                    start: str = "backup_start_date", finish: str = "backup_finish_date",
                    size: str = "backup_size", compressed: str = "compressed_backup_size",
                    entities: DataFrame | None = None) -> DataFrame:
     """Last ``n`` backups per entity (newest set id first; 'X' = every type but
-    log), with sizes in MB and GB, compression, throughput (+1 s), duration,
+    log, None = every type), with sizes in MB and GB, compression, throughput (+1 s), duration,
     checksum flag and the device list of each set in family order. With
     ``entities``, entities without any backup are kept with '-'."""
-    s = sets.filter(F.col(type_col) != "L") if backup_type == "X" else sets.filter(F.col(type_col) == backup_type)
+    s = sets
+    if backup_type is not None:
+        s = sets.filter(F.col(type_col) != "L") if backup_type == "X" else sets.filter(F.col(type_col) == backup_type)
     top = top_n_per_group(s, key, [F.col(order).desc(), F.col(tiebreak).desc()], n, rank_col="backup_rank")
     top = _backup_measures(top, start, finish, size, compressed).withColumn("backup_type", backup_type_text(F.col(type_col)))
     if media is not None:
-        # the chosen sets (n per entity) meet their media rows once; the device
-        # list is aggregated per set (bounded by the set's media families)
-        cols = top.columns
-        m = media.select("media_set_id", "physical_device_name", "family_sequence_number")
-        top = top.join(m, "media_set_id", "left").groupBy(*cols).agg(
+        # media of the chosen sets only, grouped by their one narrow key, back to the sets one to one; the device
+        # list of a set is bounded by its media families
+        chosen = top.select("media_set_id").distinct()
+        m = media.select("media_set_id", "physical_device_name", "family_sequence_number").join(
+            chosen, "media_set_id", "left_semi").groupBy("media_set_id").agg(
             ordered_list("physical_device_name", ["family_sequence_number", "physical_device_name"], ", ").alias("devices"))
+        top = top.join(m, "media_set_id", "left")
     if entities is not None:
         out = entities.join(top, key, "left")
         return out.withColumn("backup_type", F.coalesce("backup_type", F.lit("-")))
@@ -74,14 +77,17 @@ def last_n_backups(sets: DataFrame, media: DataFrame | None, n: int, *, key: lis
 # --------------------------------------------------------------------- E2
 def schedule_compliance(entities: DataFrame, events: DataFrame, *, key: str, schedule: str, today,
                         days: int, event_key: str, event_ts: str, event_type: str,
-                        types: list[str] = ("D", "I")) -> DataFrame:
+                        types: list[str] = ("D", "I"), finish: str | None = None, size: str | None = None,
+                        compressed: str | None = None) -> DataFrame:
     """Date spine (today - days ... yesterday) per entity with the planned type
     (the schedule character at the weekday, Sunday = 1) left-joined to the
     backups that started that day.
 
     Each entity row is expanded to its ``days`` dates with ``sequence`` +
     ``explode`` (a narrow projection: no join, no shuffle); the result is the
-    report itself, one row per entity and day.
+    report itself, one row per entity and day. With ``finish``, ``size`` and
+    ``compressed`` each backup shows the sizes, compression, throughput,
+    duration and checksum flag of E1.
     """
     today_col = F.to_date(today if isinstance(today, Column) else F.lit(today))
     grid = entities.select(key, schedule, F.explode(
@@ -91,6 +97,8 @@ def schedule_compliance(entities: DataFrame, events: DataFrame, *, key: str, sch
         .filter((F.col(event_ts) >= F.date_sub(today_col, days).cast("timestamp_ntz"))
                 & (F.col(event_ts) < today_col.cast("timestamp_ntz")))
     ev = ev.withColumn("__d", F.to_date(event_ts)).withColumn("backup_type", backup_type_text(F.col(event_type)))
+    if finish and size and compressed:
+        ev = _backup_measures(ev, event_ts, finish, size, compressed)
     j = grid.join(ev, (grid[key] == ev[event_key]) & (grid["date"] == ev["__d"]), "left")
     return j.drop("__d")
 

@@ -44,6 +44,18 @@ def principal_roles(principals: DataFrame, members: DataFrame, *, principal_id:
     return out
 
 
+def role_members(principals: DataFrame, members: DataFrame, *, principal_id: str = "principal_id",
+                 role_id: str = "role_id", member_id: str = "member_id", name: str = "name") -> DataFrame:
+    """One row per role and member (a role's members are not bounded, so they
+    are rows, not a list)."""
+    names = principals.select(F.col(principal_id).alias("__id"), F.col(name).alias("__name"))
+    pairs = members.select(F.col(role_id).alias("__r"), F.col(member_id).alias("__m")).distinct()
+    role = names.select(F.col("__id").alias("__r"), F.col("__name").alias("role_name"))
+    member = names.select(F.col("__id").alias("__m"), F.col("__name").alias("member_name"))
+    return pairs.join(role, "__r").join(member, "__m").select(
+        F.col("__r").alias(role_id), "role_name", F.col("__m").alias(member_id), "member_name")
+
+
 # --------------------------------------------------------------------- F2
 def principal_permissions(grants: DataFrame, *, grantee: str = "grantee_id", obj: str = "object_name",
                           state: str = "state", permission: str = "permission",

@@ -55,6 +55,8 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
                  interval_col: str | None = None, per_interval: bool = False,
                  order_by: str = "total_duration", n: int = 10,
                  lookup: DataFrame | None = None, lookup_key: str | None = None,
+                 intervals: DataFrame | None = None, filters: Column | None = None,
+                 start_col: str | None = None, end_col: str | None = None,
                  waits: DataFrame | None = None, wait_category: str = "wait_category_desc",
                  wait_total: str = "total_query_wait_time_ms",
                  wait_avg: str = "avg_query_wait_time_ms") -> DataFrame:
@@ -63,14 +65,29 @@ def top_workload(stats: DataFrame, *, group_cols: list[str], plan_col: str, coun
     ``measures`` maps a measure name to a per-row average column; the total
     of a measure is SUM(count * avg) (execution weighted), its mean the
     unweighted AVG over the rows. Each outcome count is summed on its own
-    rows (no pre-pivot join that would multiply counts).
+    rows (no pre-pivot join that would multiply counts). ``intervals`` (a
+    column named as ``interval_col``, from :func:`interval_overlap`) and
+    ``filters`` (by query, plan, object, hash) choose the statistics before
+    ranking and period totals; with ``start_col`` and ``end_col`` a plan
+    shows its first start and last end.
     """
+    if intervals is not None:
+        chosen = intervals.select(interval_col).distinct()
+        stats = stats.join(chosen, interval_col, "left_semi")
+        if waits is not None and interval_col in waits.columns:
+            waits = waits.join(chosen, interval_col, "left_semi")
+    if filters is not None:
+        stats = stats.filter(filters)
     keys = [*group_cols, plan_col] + ([interval_col] if per_interval and interval_col else [])
     cnt = F.col(count_col)
     aggs: list[Column] = [F.sum(cnt).cast("bigint").alias("total_executions")]
     if outcome_col:
         for o, name in zip(OUTCOMES, ["total_exec_successful", "total_exec_aborted", "total_exec_exceptions"]):
             aggs.append(F.coalesce(F.sum(F.when(F.col(outcome_col) == o, cnt)), F.lit(0)).cast("bigint").alias(name))
+    if start_col:
+        aggs.append(F.min(start_col).alias("first_start"))
+    if end_col:
+        aggs.append(F.max(end_col).alias("last_end"))
     for m, c in measures.items():
         aggs.append(exact_mean(c).alias(f"avg_{m}"))
         aggs.append(F.sum(_weighted(stats, cnt, c)).alias(f"total_{m}"))

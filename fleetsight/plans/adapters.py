@@ -17,7 +17,7 @@ from fleetsight.functions.scalar import code_text
 RETURNFLAG_OUTCOME = {"N": "Regular", "R": "Aborted", "A": "Exception"}
 
 
-def runtime_stats(lineitem: DataFrame) -> DataFrame:
+def runtime_stats(lineitem: DataFrame, *more: str) -> DataFrame:
     """lineitem as workload runtime statistics: database = line status, plan =
     part, interval = ship month, executions = quantity, duration = price in
     cents, cpu = net price in 1/10,000 units, reads = tax in percent points.
@@ -36,6 +36,7 @@ def runtime_stats(lineitem: DataFrame) -> DataFrame:
         cents.alias("avg_duration"),
         (cents * (F.lit(100) - F.round(F.col("l_discount") * 100).cast("bigint"))).alias("avg_cpu_time"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("avg_logical_io_reads"),
+        *more,
     )
 
 

@@ -47,6 +47,20 @@ def backup_media(t):
 
 DEV = r"""'\\nas\dev' || CAST(l_linenumber AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR)"""
 
+def _measures_sql(b):
+    secs = (f"CAST(epoch(date_trunc('second', {b}.backup_finish_date)) - epoch(date_trunc('second', {b}.backup_start_date)) "
+            "AS BIGINT)")
+    return f"""CAST(trunc({b}.backup_size / 1048576) AS BIGINT) AS size_mb,
+  CAST(trunc({b}.compressed_backup_size / 1048576) AS BIGINT) AS compressed_size_mb,
+  CAST({b}.backup_size / 1073741824 AS DECIMAL(10,2)) AS size_gb,
+  CAST({b}.compressed_backup_size / 1073741824 AS DECIMAL(10,2)) AS compressed_size_gb,
+  100.0 - CAST({b}.compressed_backup_size AS DOUBLE) * 100 / NULLIF(CAST({b}.backup_size AS DOUBLE), 0.0) AS compression_pct,
+  CAST({b}.compressed_backup_size AS DOUBLE) / 1048576 / CAST({secs} + 1 AS DOUBLE) AS mb_per_sec,
+  CASE WHEN {secs} // 86400 <> 0 THEN CAST({secs} // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST(({secs} // 3600) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({secs} // 60) % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST({secs} % 60 AS VARCHAR), 2, '0') AS duration"""
+
+
 _E1_SQL = f"""
 WITH s AS ({SETS_SQL}),
 top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_set_id DESC) AS backup_rank
@@ -111,7 +125,8 @@ b AS (SELECT *, CAST(backup_start_date AS DATE) AS bd FROM s WHERE type IN ('D',
       AND backup_start_date >= TIMESTAMP '1998-07-02' AND backup_start_date < TIMESTAMP '1998-08-01')
 SELECT e.c_custkey, e.backup_schedule, d.date, substr(e.backup_schedule, dayofweek(d.date) + 1, 1) AS scheduled_type,
   b.backup_set_id, b.media_set_id, b.database_id, b.type, b.backup_start_date, b.backup_finish_date, b.backup_size,
-  b.compressed_backup_size, CASE b.type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' END AS backup_type
+  b.compressed_backup_size, CASE b.type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' END AS backup_type,
+  {_measures_sql("b")}
 FROM e CROSS JOIN d LEFT JOIN b ON b.database_id = e.c_custkey AND b.bd = d.date
 """)
 def e2_schedule_compliance(t):
@@ -119,7 +134,32 @@ def e2_schedule_compliance(t):
     ent = schedules(t).select("c_custkey", "backup_schedule")
     return E.schedule_compliance(ent, backup_sets(t), key="c_custkey", schedule="backup_schedule",
                                  today=F.lit("1998-08-01").cast("date"), days=30, event_key="database_id",
-                                 event_ts="backup_start_date", event_type="type")
+                                 event_ts="backup_start_date", event_type="type", finish="backup_finish_date",
+                                 size="backup_size", compressed="compressed_backup_size")
+
+
+@query("e1_last_n_backups_all_types", f"""
+WITH s AS ({SETS_SQL}),
+top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY database_id ORDER BY backup_set_id DESC) AS backup_rank
+                       FROM s) x WHERE backup_rank <= 2)
+SELECT top.* EXCLUDE (backup_rank), CAST(backup_rank AS INTEGER) AS backup_rank, {_measures_sql("top")},
+  CASE type WHEN 'D' THEN 'Database' WHEN 'I' THEN 'Differential database' WHEN 'L' THEN 'Log' END AS backup_type
+FROM top
+""")
+def e1_last_n_backups_all_types(t):
+    """Last 2 backups of any type per customer."""
+    return E.last_n_backups(backup_sets(t), None, 2, key=["database_id"], backup_type=None)
+
+
+@query("e3_due_by_name", f"""
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, {SCHEDULE_SQL} AS backup_schedule,
+  substr({SCHEDULE_SQL}, 2, 1) AS scheduled_type
+FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000070')
+""")
+def e3_due_by_name(t):
+    """Explicit names override schedule and batch."""
+    return E.due_today(schedules(t).withColumn("b", F.lit(1)), schedule="backup_schedule", weekday=2, batch_col="b",
+                       names=["Customer#000000007", "Customer#000000070"], name_col="c_name").drop("b")
 
 
 @query("e3_due_today", f"""
@@ -428,3 +468,33 @@ def e10_job_description(t):
     s = job_schedules(t)
     jobs = s.select("job_id").distinct()
     return E.job_description(jobs, s)
+
+
+@query("e10_job_steps", """
+WITH j AS (SELECT DISTINCT event_type AS job_id FROM events),
+n AS (SELECT job_id, length(job_id) % 4 AS lv, 'op_' || job_id AS op FROM j)
+SELECT n.job_id, lv AS notify_level_email, op AS email_operator, lv AS delete_level,
+  CASE WHEN lv BETWEEN 1 AND 3 THEN 'Email: [' || op || '] ' || w.t || ';' ELSE '' END AS notify_actions,
+  CASE WHEN lv BETWEEN 1 AND 3 THEN 'Automatically delete job: ' || w.t ELSE '' END AS autodelete,
+  CAST(NULL AS VARCHAR) AS schedules, s.step_id, s.step_id AS on_success_action, s.step_id + 1 AS on_success_step_id,
+  5 - s.step_id AS on_fail_action, s.step_id + 2 AS on_fail_step_id,
+  CASE s.step_id WHEN 1 THEN 'Quit the job reporting success' WHEN 2 THEN 'Quit the job reporting failure'
+       WHEN 3 THEN 'Go to the next step' END AS on_success,
+  CASE 5 - s.step_id WHEN 4 THEN 'Go to the step [' || CAST(s.step_id + 2 AS VARCHAR) || ']'
+       WHEN 3 THEN 'Go to the next step' WHEN 2 THEN 'Quit the job reporting failure' END AS on_failure
+FROM n LEFT JOIN (VALUES (1, 'When the job succeeds'), (2, 'When the job fails'), (3, 'When the job completes')) w(k, t)
+  ON w.k = lv
+LEFT JOIN (SELECT DISTINCT event_type AS job_id, CAST(user_id % 4 AS INTEGER) AS step_id FROM events WHERE user_id % 4 > 0) s
+  ON s.job_id = n.job_id
+""")
+def e10_job_steps(t):
+    """Event types as jobs with notification, auto-delete and one row per step with its action texts."""
+    _, steps, _ = job_tables(t)
+    steps = steps.select("job_id", "step_id", F.col("step_id").alias("on_success_action"),
+                         (F.col("step_id") + 1).alias("on_success_step_id"), (5 - F.col("step_id")).alias("on_fail_action"),
+                         (F.col("step_id") + 2).alias("on_fail_step_id"))
+    jobs = t.events.select(F.col("event_type").alias("job_id")).distinct().select(
+        "job_id", (F.length("job_id") % 4).alias("notify_level_email"),
+        F.concat(F.lit("op_"), F.col("job_id")).alias("email_operator"), (F.length("job_id") % 4).alias("delete_level"))
+    none = job_schedules(t).withColumn("job_id", F.concat(F.lit("part "), F.col("job_id").cast("string")))
+    return E.job_description(jobs, none, steps=steps)

@@ -175,3 +175,52 @@ def g2_find_types(t):
     """Columns of deprecated types (text, ntext, image; case-insensitive) in the
     part-derived column list."""
     return G.find_types(columns_table(t))
+
+
+_PREVIEW = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
+
+
+@query("g8_preview_counts", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, LEAST(COUNT(*), 7) AS n_rows FROM {n}" for n in _PREVIEW if "r" in n))
+def g8_preview_counts(t):
+    """Rows shown per table whose name holds an 'r' (at most 7, the preview's size)."""
+    return G.preview({n: getattr(t, n) for n in _PREVIEW}, "%r%", 7).groupBy("table_name").agg(
+        F.count("*").alias("n_rows"))
+
+
+@query("scalar_texts", r"""
+SELECT p_partkey, '[' || p_brand || '].[' || p_name || ']' AS quoted, replace(p_brand || '.' || p_name, 'x', 'x') AS unquoted,
+  CASE WHEN strpos(p_name, ' ') > 0 THEN '.' || split_part(p_name, ' ', -1) ELSE '' END AS ext,
+  CASE CAST(8 + p_size % 8 AS VARCHAR) WHEN '14' THEN 'SQL Server 2017' WHEN '13' THEN 'SQL Server 2016' WHEN '12' THEN 'SQL Server 2014'
+    WHEN '11' THEN 'SQL Server 2012' WHEN '10' THEN CASE WHEN p_size % 2 = 0 THEN 'SQL Server 2008 R2' ELSE 'SQL Server 2008' END
+    WHEN '9' THEN 'SQL Server 2005' WHEN '8' THEN 'SQL Server 2000' ELSE 'SQL 7 or earlier' END AS product,
+  CAST(CAST(8 + p_size % 8 AS VARCHAR) || '.' || CASE WHEN p_size % 2 = 0 THEN '5' ELSE '0' END AS DECIMAL(3,1)) AS version,
+  '0x' || upper(hex(p_brand)) AS hex_brand,
+  CAST(CAST((CAST(p_partkey AS HUGEINT) * p_size * 10000 * 200 + 1048576) // 2097152 AS DECIMAL(38,0)) / 100 AS DECIMAL(10,2)) AS mb
+FROM part
+""")
+def scalar_texts(t):
+    """2.2: unquote_name, file_ext, decode_version, numeric_version, hex_text and space_mb over the parts."""
+    from fleetsight.functions import scalar as X
+    p = t.part
+    odd = F.when(F.col("p_size") % 2 == 0, ".51.2000").otherwise(".0.1600")
+    version = F.concat((F.lit(8) + F.col("p_size") % 8).cast("string"), odd)
+    quoted = F.concat(F.lit("["), F.col("p_brand"), F.lit("].["), F.col("p_name"), F.lit("]"))
+    return p.select("p_partkey", quoted.alias("quoted"), X.unquote_name(quoted).alias("unquoted"),
+                    X.file_ext(F.regexp_replace("p_name", " ", ".")).alias("ext"),
+                    X.decode_version(version).alias("product"), X.numeric_version(version).alias("version"),
+                    X.hex_text(F.col("p_brand").cast("binary")).alias("hex_brand"),
+                    X.space_mb(F.col("p_partkey") * F.col("p_size"), F.lit(10000)).alias("mb"))
+
+
+@query("scalar_times", """
+SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') AS now_text,
+  strftime(date_trunc('minute', ts + INTERVAL 30 SECOND), '%Y-%m-%d %H:%M') AS utc_minute
+FROM events
+""")
+def scalar_times(t):
+    """2.2: now_text and to_utc_minute over the event times."""
+    from fleetsight.functions import scalar as X
+    e = t.events
+    return e.select("event_id", X.now_text("ts").alias("now_text"),
+                    F.date_format(X.to_utc_minute(F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm").alias("utc_minute"))

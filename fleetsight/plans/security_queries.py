@@ -41,6 +41,21 @@ def f1_principal_roles(t):
     return out.filter(F.col("type") == "S")
 
 
+@query("f1_role_members", """
+SELECT DISTINCT 1000000000 + CAST(split_part(p.p_brand, '#', 2) AS BIGINT) AS role_id, p.p_brand AS role_name,
+  s.s_suppkey AS member_id, s.s_name AS member_name
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
+""")
+def f1_role_members(t):
+    """the members of every brand role, one row each."""
+    brands = t.part.select("p_partkey", "p_brand")
+    people = t.supplier.select(F.col("s_suppkey").alias("principal_id"), F.col("s_name").alias("name")).unionByName(
+        brands.select(_brand_id(F.col("p_brand")).alias("principal_id"), F.col("p_brand").alias("name")).distinct())
+    members = t.lineitem.join(brands, F.col("p_partkey") == F.col("l_partkey")).select(
+        _brand_id(F.col("p_brand")).alias("role_id"), F.col("l_suppkey").alias("member_id"))
+    return S.role_members(people, members)
+
+
 GRANTS_SQL = """
 SELECT l_suppkey AS grantee_id, 'part_' || CAST(l_partkey AS VARCHAR) AS object_name,
   CASE l_linestatus WHEN 'O' THEN 'GRANT' ELSE 'DENY' END AS state,

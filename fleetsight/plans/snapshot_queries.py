@@ -47,6 +47,8 @@ def _merge_sql(policy: str) -> str:
                    "OR cnk IN (SELECT c_nationkey FROM feed) THEN 'DELETE' ELSE 'KEEP'")
     elif policy == "flag":
         missing = "WHEN cnk NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 4) THEN 'DELETE' ELSE 'FLAG'"
+    elif policy == "unmonitored":
+        missing = "WHEN cnk NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 4) THEN 'DELETE' ELSE 'KEEP'"
     else:
         missing = "ELSE 'KEEP'"
     return f"""
@@ -403,3 +405,30 @@ FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)
 def a16_parse_fixed_width(t):
     """Fixed-width disk listing per nation; column offsets from each header line."""
     return A.parse_fixed_width(_disk_lines(t), "source", ["Caption", "FreeSpace", "Size"], r"^Caption")
+
+
+@query("a3_checksum_classes", """
+SELECT CAST(n AS BIGINT) AS class_size, COUNT(*) AS n_classes FROM (
+  SELECT COUNT(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment,
+                                    c_nationkey, floor(c_acctbal / 1000) AS k FROM customer) x
+  GROUP BY segment, c_nationkey, k) y GROUP BY 1
+""")
+def a3_checksum_classes(t):
+    """A3: equal fingerprints are equal rows: how many classes of each size the checksums make."""
+    rows = t.customer.select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"), "c_nationkey",
+                             F.floor(F.col("c_acctbal") / 1000).alias("k"))
+    sums = A.with_row_checksum(rows, ["segment", "c_nationkey", "k"])
+    return sums.groupBy("row_checksum").agg(F.count("*").alias("class_size")).groupBy("class_size").agg(
+        F.count("*").alias("n_classes"))
+
+
+@query("a1_snapshot_merge_unmonitored", _merge_sql("unmonitored").replace(
+    "ELSE 'UNASSIGNED' END", "ELSE COALESCE((SELECT n_name FROM nation WHERE n_regionkey < 2 AND n_nationkey = fnk), "
+    "'UNASSIGNED') END"))
+def a1_snapshot_merge_unmonitored(t):
+    """A1: merge with the 'delete only if unmonitored' policy; new rows take their source's default, else the global one."""
+    defaults = t.nation.filter("n_regionkey < 2").select(F.col("n_nationkey").alias("c_nationkey"),
+                                                         F.col("n_name").alias("c_mktsegment"))
+    return A.snapshot_merge(t.customer, feed(t), ["c_custkey"], custom_defaults={"c_mktsegment": "UNASSIGNED"},
+                            monitored=monitored(t), source_col="c_nationkey", policy="unmonitored",
+                            source_defaults=defaults).drop("pre")

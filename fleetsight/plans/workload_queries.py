@@ -263,6 +263,45 @@ def d11_describe_tables(t):
     return W.describe_tables(_partitions(t), _usage(t))
 
 
+# event type -> command type of the log the events stand for
+_COMMANDS = {"purchase": "ALTER_INDEX", "view": "UPDATE_STATISTICS", "click": "BACKUP_DATABASE", "signup": "BACKUP_LOG",
+             "error": "DBCC_CHECKDB"}
+
+
+def _command_type():
+    return F.coalesce(*[F.when(F.col("event_type") == e, F.lit(c)) for e, c in _COMMANDS.items()])
+
+
+def _plain_log_sql(types):
+    return f"""
+SELECT event_id AS id, user_id AS database_name, ts AS start_time, ts + to_seconds(event_id % 100000) AS end_time,
+  CASE event_type WHEN 'click' THEN 'BACKUP_DATABASE' WHEN 'signup' THEN 'BACKUP_LOG' ELSE 'DBCC_CHECKDB' END AS command_type,
+  CASE WHEN s // 86400 <> 0 THEN CAST(s // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST((s // 3600) % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST((s // 60) % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS duration
+FROM (SELECT *, event_id % 100000 AS s FROM events WHERE event_type IN ({types})) x
+"""
+
+
+def _plain_log(t):
+    return t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("database_name"),
+                           F.col("ts").alias("start_time"),
+                           F.timestamp_add("SECOND", F.col("event_id") % 100000, F.col("ts")).alias("end_time"),
+                           _command_type().alias("command_type"))
+
+
+@query("d14_command_log_backup", _plain_log_sql("'click', 'signup'"))
+def d14_command_log_backup(t):
+    """Database and log backups of the whole command log."""
+    return W.command_log_report(_plain_log(t), "backup")
+
+
+@query("d14_command_log_check", _plain_log_sql("'error'"))
+def d14_command_log_check(t):
+    """Consistency checks of the whole command log."""
+    return W.command_log_report(_plain_log(t), "check")
+
+
 @query("d14_command_log_index", """
 WITH l AS (SELECT event_id AS id, user_id AS database_name, ts AS start_time,
                   ts + to_microseconds(CAST(CAST(value AS DECIMAL(15,2)) * 1000000 AS BIGINT)) AS end_time,
@@ -279,7 +318,7 @@ FROM (SELECT *, CAST(floor(epoch(end_time)) - floor(epoch(start_time)) AS BIGINT
 """)
 def d14_command_log_index(t):
     """Purchase events as index maintenance commands with XML extended info."""
-    e = t.events.filter(F.col("event_type") == "purchase")
+    e = t.events
     micros = (F.col("value").cast("decimal(15,2)") * 1000000).cast("bigint")
     xml = F.concat(F.lit("<ExtendedInfo><PageCount>"), (F.col("user_id") * 100).cast("string"),
                    F.lit("</PageCount><Fragmentation>"), F.col("value").cast("string"),
@@ -289,7 +328,7 @@ def d14_command_log_index(t):
                    F.timestamp_add("MICROSECOND", micros, F.col("ts")).alias("end_time"),
                    F.when(F.col("value") > 50, F.lit("ALTER INDEX ix ON t REBUILD"))
                    .otherwise(F.lit("ALTER INDEX ix ON t REORGANIZE")).alias("command"),
-                   F.lit("ALTER_INDEX").alias("command_type"), xml.alias("extended_info"))
+                   _command_type().alias("command_type"), xml.alias("extended_info"))
     return W.command_log_report(log, "index").drop("extended_info")
 
 
@@ -357,7 +396,7 @@ FROM l
 """)
 def d14_command_log_statistics(t):
     """View events as statistics updates with row and modification counts in XML."""
-    e = t.events.filter(F.col("event_type") == "view")
+    e = t.events
     rows = (F.col("user_id") * 1000 + 1000).cast("bigint")
     mods = F.floor(F.col("value") * 10).cast("bigint")
     xml = F.concat(F.lit("<ExtendedInfo><RowCount>"), rows.cast("string"), F.lit("</RowCount><ModificationCounter>"),
@@ -365,7 +404,7 @@ def d14_command_log_statistics(t):
     log = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("database_name"),
                    F.col("ts").alias("start_time"), F.timestamp_add("SECOND", F.lit(90), F.col("ts")).alias("end_time"),
                    F.concat(F.lit("UPDATE STATISTICS t s"), F.col("user_id").cast("string")).alias("command"),
-                   F.lit("UPDATE_STATISTICS").alias("command_type"), xml.alias("extended_info"))
+                   _command_type().alias("command_type"), xml.alias("extended_info"))
     return W.command_log_report(log, "statistics").drop("extended_info")
 
 
@@ -497,3 +536,52 @@ def d9_rank_missing_index(t):
     sel = sel.select("object_id", F.substring("column_name", 3, 20).alias("column_name"), "density")
     out = W.rank_missing_index(details, cols, sel)
     return out.select("item_id", "database_id", "impact", "key_columns", "include_columns", "impact_rank")
+
+
+@query("d2_top_workload_in_intervals", f"""
+WITH s AS (SELECT r.*, r.l_shipdate AS ts FROM ({RUNTIME_SQL.replace("AS avg_logical_io_reads", "AS avg_logical_io_reads, l_shipdate")}) r
+           WHERE interval_id IN (SELECT year(l_shipdate) * 100 + month(l_shipdate) FROM lineitem GROUP BY 1
+                                 HAVING MIN(l_shipdate) <= TIMESTAMP '1998-06-30' AND MAX(l_shipdate) >= TIMESTAMP '1997-12-15')
+             AND execution_type_desc <> 'Aborted'),
+p AS (SELECT db, plan_id, CAST(SUM(count_executions) AS BIGINT) AS total_executions, MIN(ts) AS first_start, MAX(ts) AS last_end,
+        CAST(SUM(avg_duration) AS DOUBLE) / COUNT(avg_duration) AS avg_duration,
+        CAST(SUM(CAST(count_executions AS HUGEINT) * avg_duration) AS DECIMAL(38,0)) AS total_duration FROM s GROUP BY ALL),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY db ORDER BY total_duration DESC, db, plan_id) AS rn FROM p),
+t AS (SELECT db, SUM(total_duration) AS pd FROM p GROUP BY db)
+SELECT r.db, r.plan_id, r.total_executions, r.first_start, r.last_end, r.avg_duration, r.total_duration,
+  CAST(r.rn AS INTEGER) AS rn,
+  CAST(COALESCE(CAST(CAST(r.total_duration AS DECIMAL(38,4)) * 100 / NULLIF(t.pd, 0) AS DECIMAL(5,2)), 0) AS DECIMAL(5,2)) AS percent_duration
+FROM r JOIN t ON r.db = t.db WHERE r.rn <= 5
+""")
+def d2_top_workload_in_intervals(t):
+    """D1+D2+D3: the statistics of the intervals that touch a date range, without aborted executions, with the first
+    start and last end of each plan."""
+    li = t.lineitem
+    iv = li.groupBy((F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("interval_id")).agg(
+        F.min("l_shipdate").alias("start_time"), F.max("l_shipdate").alias("end_time"))
+    chosen = W.interval_overlap(iv, "start_time", "end_time", F.lit("1997-12-15 00:00:00").cast("timestamp_ntz"),
+                                F.lit("1998-06-30 00:00:00").cast("timestamp_ntz"))
+    return W.top_workload(runtime_stats(li, "l_shipdate"), group_cols=["db"], plan_col="plan_id",
+                          count_col="count_executions", measures={"duration": "avg_duration"}, interval_col="interval_id",
+                          n=5, intervals=chosen, filters=F.col("execution_type_desc") != "Aborted",
+                          start_col="l_shipdate", end_col="l_shipdate")
+
+
+@query("d11_describe_columns", """
+WITH c AS (SELECT CAST(split_part(p_brand, '#', 2) AS INTEGER) AS object_id, unnest(string_split(p_name, ' ')) AS column_name,
+                  p_partkey FROM part),
+x AS (SELECT object_id, column_name, string_agg(DISTINCT 'ix_' || CAST(p_partkey % 50 AS VARCHAR), ', '
+        ORDER BY 'ix_' || CAST(p_partkey % 50 AS VARCHAR)) AS used_by_indexes FROM c GROUP BY ALL)
+SELECT d.object_id, d.column_name, d.max_length, d.is_nullable, x.used_by_indexes
+FROM (SELECT object_id, column_name, CAST(MAX(length(column_name)) AS INTEGER) AS max_length, MIN(p_partkey) % 2 = 0 AS is_nullable
+      FROM c GROUP BY ALL) d LEFT JOIN x USING (object_id, column_name)
+""")
+def d11_describe_columns(t):
+    """The words of the part names as columns of their brand's table, with the indexes that use them."""
+    c = t.part.select(F.substring_index("p_brand", "#", -1).cast("int").alias("object_id"),
+                      F.explode(F.split("p_name", " ")).alias("column_name"), "p_partkey")
+    cols = c.groupBy("object_id", "column_name").agg(F.max(F.length("column_name")).alias("max_length"),
+                                                     (F.min("p_partkey") % 2 == 0).alias("is_nullable"))
+    ix = c.select("object_id", "column_name", F.concat(F.lit("ix_"), (F.col("p_partkey") % 50).cast("string"))
+                  .alias("index_name"))
+    return W.describe_columns(cols, ix)
