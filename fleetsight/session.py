@@ -7,6 +7,7 @@ The library never starts a session on its own inside an operator; callers
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,8 @@ SESSION_DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,7 +62,7 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
     if fallback is None:
-        if spark.sparkContext.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             fallback = tempfile.mkdtemp(prefix="fleetsight-ckpt-")
         else:
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder")
