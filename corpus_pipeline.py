@@ -80,8 +80,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; the tables between them lie in the shared checkpoint folder."""
     docs = read_table(spark, sf_dir, "documents")
     base = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _delete(spark, before)                 # its successor holds what is kept
+        before = out
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
