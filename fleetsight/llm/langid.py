@@ -47,7 +47,7 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB)
 
 
-def _suffix_hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def suffix_hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Over the bordered words laid end to end: word number and place of each character, and the hash of the
     1 to ``order`` characters that end there (only meaningful when the place allows so many)."""
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -71,7 +71,7 @@ def _gram_hash(grams: list[str]) -> np.ndarray:
         by[len(g)].append(i)
     with np.errstate(over="ignore"):
         for k, at in by.items():
-            _, place, h = _suffix_hashes([grams[i] for i in at], k)
+            _, place, h = suffix_hashes([grams[i] for i in at], k)
             out[at] = h[k - 1][place == k - 1]
     return out
 
@@ -169,7 +169,7 @@ class Models:
         """Summed log-probabilities of each word's characters and end: one row a word, one column a language."""
         out = np.zeros((len(words), len(self.langs)))
         with np.errstate(over="ignore"):
-            word, place, h = _suffix_hashes([f"^{w}$" for w in words], self.order)
+            word, place, h = suffix_hashes([f"^{w}$" for w in words], self.order)
         inside = np.flatnonzero(place > 0)
         value = np.full((len(inside), len(self.langs)), np.nan)
         carry = np.zeros_like(value)                     # back-off weights passed on the way down

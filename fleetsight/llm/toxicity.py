@@ -24,7 +24,6 @@ columns do not matter unless ``keep`` asks for them.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,45 +32,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from fleetsight.llm.langid import suffix_hashes
+
 FIT_ROWS = 10_000
 FEATURES = 512
-BINS = 1 << 18
-_MEMO = 200_000              # words kept per worker, not a bound of the result
+BITS = 18
+BINS = 1 << BITS            # of hashed n-grams
+GRAMS = (3, 4, 5, 6)
+_SLICE = 512                 # texts handled at a time inside an Arrow batch
+_MEMO = 500_000              # words kept per worker, not a bound of the result
 _MEMO_CHARS = 64
 
 
-def word_bins(word: str) -> list[int]:
-    """Hashed 3- to 6-grams of a word with its borders, each once."""
-    w = f" {word} "
-    return sorted({zlib.crc32(w[i:i + n].encode()) & (BINS - 1) for n in (3, 4, 5, 6) for i in range(len(w) - n + 1)})
+def word_bins(words: list[str], only: np.ndarray | None = None) -> list[tuple[int, ...]]:
+    """Hashed 3- to 6-grams of each word with its borders, each bin once; all words are hashed together.
+    ``only``: a truth value per bin, the others are left out."""
+    if not words:
+        return []
+    with np.errstate(over="ignore"):
+        word, place, hashes = suffix_hashes([f" {w} " for w in words], max(GRAMS))
+    keys = []
+    for n in GRAMS:
+        at = np.flatnonzero(place >= n - 1)
+        bins = (hashes[n - 1][at] >> np.uint64(64 - BITS)).astype(np.int64)
+        keep = slice(None) if only is None else only[bins]
+        keys.append(word[at][keep] * BINS + bins[keep])
+    found = np.unique(np.concatenate(keys))
+    bins = (found % BINS).tolist()
+    ends = np.searchsorted(found, np.arange(len(words) + 1) * BINS).tolist()
+    return [tuple(bins[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
 class Features:
-    """Values of a text's features, with a per-worker memo of the bins of a word."""
+    """Values of the features of texts, with a per-worker memo of the bins of a word."""
 
     def __init__(self, only=None):
-        self.only, self.memo = only, {}
-
-    def _bins(self, word: str) -> list[int]:
-        got = self.memo.get(word)
-        if got is None:
-            got = word_bins(word)
-            if self.only is not None:
-                got = [b for b in got if b in self.only]
-            if len(word) <= _MEMO_CHARS:
-                self.memo[word] = got
-        return got
-
-    def __call__(self, text: str | None) -> dict[int, float]:
-        words = Counter(text.lower().split()) if text else {}
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        times: dict[int, int] = {}
-        for w, n in words.items():
-            for b in self._bins(w):
-                times[b] = times.get(b, 0) + n
-        scale = 200.0 / max(1, sum(words.values()))
-        return {b: math.log1p(scale * k) for b, k in times.items()}
+        self.only = None
+        if only is not None:
+            self.only = np.zeros(BINS, bool)
+            self.only[list(only)] = True
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str | None]) -> list[dict[int, float]]:
+        counts = [Counter(t.lower().split()) if t else {} for t in texts]
+        memo = self.memo
+        new = list({w for c in counts for w in c if w not in memo})
+        got = dict(zip(new, word_bins(new, self.only)))
+        if len(memo) + len(got) > _MEMO:
+            memo.clear()
+            rest = list({w for c in counts for w in c if w not in got})
+            got.update(zip(rest, word_bins(rest, self.only)))
+        memo.update((w, b) for w, b in got.items() if len(w) <= _MEMO_CHARS)
+        out = []
+        for words in counts:
+            times: dict[int, int] = {}
+            for w, n in words.items():
+                for b in memo[w] if w in memo else got[w]:
+                    times[b] = times.get(b, 0) + n
+            scale = 200.0 / max(1, sum(words.values()))
+            out.append({b: math.log1p(scale * k) for b, k in times.items()})
+        return out
+
+
+def _sliced(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            yield whole.slice(at, _SLICE)
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
@@ -87,9 +113,8 @@ def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         sums, n, values = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64), Features()
-        for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = values(t)
+        for batch in _sliced(batches):
+            for v, y in zip(values(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
                 n[y] += 1
                 sums[y, np.fromiter(v, np.int64, len(v))] += np.rint(
                     1000 * np.fromiter(v.values(), float, len(v))).astype(np.int64)
@@ -162,8 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int
 
     def run(batches):
         values = Features(place)
-        for batch in batches:
-            found = [values(t) for t in batch.column(0).to_pylist()]
+        for batch in _sliced(batches):
+            found = values(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 pa.array([[place[b] for b in v] for v in found], pa.list_(pa.int32())),
                 pa.array([list(v.values()) for v in found], pa.list_(pa.float64())), batch.column(1)], ["f", "v", "y"])
@@ -188,9 +213,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches):
         m = shared.value
         values = Features(m.weight)
-        for batch in batches:
-            out = [m.score(math.fsum(m.weight[b] * v for b, v in values(t).items()))
-                   for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in _sliced(batches):
+            out = [m.score(math.fsum(m.weight[b] * x for b, x in v.items()))
+                   for v in values(batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*rest, score_col])
 
     return src.mapInArrow(run, schema)

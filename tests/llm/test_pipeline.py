@@ -36,7 +36,7 @@ def test_toxic_documents_go(spark, tables):
     model = queries.toxicity_model(spark, SF)
     values = toxicity.Features(model.weight)
     want = {k for k, r in rows(tables[0]).items()
-            if model.score(sum(model.weight[b] * v for b, v in values(r.text).items())) < 0.5}
+            if model.score(sum(model.weight[b] * v for b, v in values([r.text])[0].items())) < 0.5}
     assert rows(tables[1]).keys() == want and len(want) < tables[0].count()
 
 
