@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 __all__ = [
-    "col_of", "int_div", "fmt_seconds", "fmt_hhmmss", "now_text", "to_utc_minute",
+    "col_of", "int_div", "fold_case", "fmt_seconds", "fmt_hhmmss", "now_text", "to_utc_minute",
     "unquote_name", "file_name", "file_dir", "file_ext", "file_drive", "decode_version",
     "numeric_version", "hex_text", "space_mb", "yes_no", "split_instance_machine",
     "split_instance_name", "text_date_time", "code_text", "ratio_half_up",
@@ -65,6 +66,12 @@ def fmt_hhmmss(c) -> Column:
     return F.coalesce(text, F.lit("-"))
 
 
+def fold_case(c, dtype) -> Column:
+    """Text for comparing without case (the reference's collation ignores it);
+    other types as they are."""
+    return F.lower(col_of(c)) if isinstance(dtype, StringType) else col_of(c)
+
+
 def now_text(ts) -> Column:
     """Time as yyyyMMddHHmmss (the time is an argument, for repeatable runs)."""
     return F.date_format(col_of(ts), "yyyyMMddHHmmss")

@@ -167,7 +167,7 @@ def pivot_counters(data: DataFrame, details: DataFrame, names: list[str] | None
                         F.concat(F.lit(" ("), F.col("instance_name"), F.lit(")"))).otherwise(F.lit("")))
         .alias("counter"))
     if name_filter:
-        d = d.filter(F.col("counter").like(name_filter))
+        d = d.filter(F.col("counter").ilike(name_filter))
     if names is None:
         names = sorted(r[0] for r in d.select("counter").distinct().collect())
     j = data.join(d, "counter_id")

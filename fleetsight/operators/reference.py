@@ -204,9 +204,9 @@ def maintenance_candidates(df: DataFrame, *, name: str = "name", online: str = "
     """Databases eligible for maintenance with their replica role (default 1,
     primary; replaced by the replica's role when it has one)."""
     c = (F.col(online) & ~F.col(read_only) & F.col(snapshot_of).isNull() & F.col(multi_user)
-         & ~F.col(name).isin(list(exclude)))
+         & ~F.lower(name).isin([x.lower() for x in exclude]))
     if exclude_like:
-        c = c & ~F.col(name).like(exclude_like)
+        c = c & ~F.col(name).ilike(exclude_like)
     out = df.filter(c)
     if replicas is not None:
         r = replicas.select(F.col(key).alias("__k"), F.col("role").alias("__role"),

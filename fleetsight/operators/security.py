@@ -80,7 +80,7 @@ def orphan_principals(principals: DataFrame, logins: DataFrame, *, sid: str = "s
     """Principals with no login of the same sid (anti join), system names
     excluded; SQL users only, where ``type_col`` tells, unless ``type_filter``
     says otherwise."""
-    p = principals.filter(~F.col(name).isin(exclude))
+    p = principals.filter(~F.lower(name).isin([x.lower() for x in exclude]))
     if type_filter is None and type_col in principals.columns:
         type_filter = F.col(type_col) == "SQL_USER"
     if type_filter is not None:
@@ -107,9 +107,9 @@ def login_audit(logins: DataFrame, lists: dict[str, tuple[DataFrame, str, str]],
             *[ordered_list(f"`{v}`", f"`{v}`", ", ", distinct=True).alias(c) for c, v in items])
         out = out.join(agg, out[key] == F.col("__k"), "left").drop("__k")
     if name_like is not None:
-        match = F.col("login_name").like(name_like)
+        match = F.col("login_name").ilike(name_like)
         if members is not None:
-            m = members.filter(F.col(member_name).like(name_like)).select(F.col(key).alias("__mk")).distinct() \
+            m = members.filter(F.col(member_name).ilike(name_like)).select(F.col(key).alias("__mk")).distinct() \
                 .withColumn("__m", F.lit(True))
             out = out.join(m, out[key] == F.col("__mk"), "left")
             match = match | F.col("__m").isNotNull()

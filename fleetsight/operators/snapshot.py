@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.functions.checksum import row_checksum, with_row_checksum  # noqa: F401
+from fleetsight.functions.scalar import fold_case
 from fleetsight.plans.strategies import broadcast_if_small
 
 # Merge actions.
@@ -37,7 +38,8 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
                    custom_defaults: dict | None = None, monitored: DataFrame | None = None,
                    source_col: str | None = None, policy: str = "reported",
                    flag_col: str | None = None, source_defaults: DataFrame | None = None) -> DataFrame:
-    """Upsert ``loading`` into ``current`` by ``keys``; returns the tagged frame.
+    """Upsert ``loading`` into ``current`` by ``keys`` (text without regard to
+    case); returns the tagged frame.
 
     Output: every column of ``current`` holding the *new* value (for DELETE
     rows, the old one), ``action``, and ``pre`` - a struct with the old row
@@ -55,7 +57,8 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
     feed_cols = set(loading.columns)
     c = _prefixed(current, "c__")
     lo = _prefixed(loading.select(*[x for x in cur_cols if x in feed_cols]), "l__")
-    cond = reduce(lambda a, b: a & b, [F.col("c__" + k) == F.col("l__" + k) for k in keys])
+    cond = reduce(lambda a, b: a & b, [fold_case("c__" + k, current.schema[k].dataType)
+                                       == fold_case("l__" + k, loading.schema[k].dataType) for k in keys])
     j = c.join(lo, cond, "full_outer")
     in_c = F.col("c__" + keys[0]).isNotNull()
     in_l = F.col("l__" + keys[0]).isNotNull()
@@ -138,15 +141,20 @@ def append_history(history: DataFrame, pre: DataFrame, keys: list[str], checksum
 
 
 # --------------------------------------------------------------------- A4
-def _as_text(c: Column, dtype: T.DataType) -> Column:
+def _as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _differ(a: str, b: str, dtype: T.DataType) -> Column:
+    """NULL-safe inequality, text without regard to case."""
+    return ~fold_case(a, dtype).eqNullSafe(fold_case(b, dtype))
+
+
 def change_report(before: DataFrame, after: DataFrame, keys: list[str], exclude: list[str] = ()) -> DataFrame:
     """One row per key and changed column: column_name, previous_value, current_value.
 
-    Only keys present on both sides and whose checksum differs. NULL shows
-    as ''. Columns come from the schema; the unpivot is a per-row array
+    Only keys present on both sides and whose checksum differs; a change of
+    case alone is none. NULL shows as ''. Columns come from the schema; the unpivot is a per-row array
     explode (no extra shuffle beyond the key join).
     """
     cols = [c for c in before.columns if c not in keys and c not in exclude and c in after.columns]
@@ -156,9 +164,9 @@ def change_report(before: DataFrame, after: DataFrame, keys: list[str], exclude:
                      row_checksum(cols).alias("a__ck"))
     j = b.join(a, on=keys, how="inner").filter(F.col("b__ck") != F.col("a__ck"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                               _as_text(F.col("b__" + c), before.schema[c].dataType).alias("previous_value"),
-                               _as_text(F.col("a__" + c), after.schema[c].dataType).alias("current_value"),
-                               (~F.col("b__" + c).eqNullSafe(F.col("a__" + c))).alias("changed"))
+                               _as_text(F.col("b__" + c)).alias("previous_value"),
+                               _as_text(F.col("a__" + c)).alias("current_value"),
+                               _differ("b__" + c, "a__" + c, before.schema[c].dataType).alias("changed"))
                       for c in cols])
     return (j.select(*keys, F.explode(pairs).alias("p"))
              .filter("p.changed")
@@ -168,15 +176,16 @@ def change_report(before: DataFrame, after: DataFrame, keys: list[str], exclude:
 # --------------------------------------------------------------------- A5
 def status_change_report(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Old and new value side by side with a changed flag per column, for rows
-    present on both sides whose fingerprint differs."""
+    present on both sides with a change (of more than case)."""
     b = before.select(*keys, *[F.col(c).alias("old_" + c) for c in cols], row_checksum(cols).alias("__bck"))
     a = after.select(*keys, *[F.col(c).alias("new_" + c) for c in cols], row_checksum(cols).alias("__ack"))
     j = b.join(a, on=keys, how="inner").filter(F.col("__bck") != F.col("__ack"))
     sel = list(keys)
     for c in cols:
         sel += [F.col("old_" + c), F.col("new_" + c),
-                (~F.col("old_" + c).eqNullSafe(F.col("new_" + c))).alias(c + "_changed")]
-    return j.select(*sel)
+                _differ("old_" + c, "new_" + c, before.schema[c].dataType).alias(c + "_changed")]
+    changed = reduce(lambda x, y: x | y, [F.col(c + "_changed") for c in cols])
+    return j.select(*sel).filter(changed)
 
 
 # --------------------------------------------------------------------- A6
@@ -198,10 +207,11 @@ def upsert_with_change_date(state: DataFrame, feed: DataFrame, keys: list[str],
     and stamp ``now``. Returns the changed rows with their action."""
     s = _prefixed(state, "s__")
     f = _prefixed(feed, "f__")
-    cond = reduce(lambda a, b: a & b, [F.col("s__" + k) == F.col("f__" + k) for k in keys])
+    cond = reduce(lambda a, b: a & b, [fold_case("s__" + k, state.schema[k].dataType)
+                                       == fold_case("f__" + k, feed.schema[k].dataType) for k in keys])
     j = s.join(f, cond, "right")
     in_s = F.col("s__" + keys[0]).isNotNull()
-    changed = reduce(lambda a, b: a | b, [~F.col("s__" + w).eqNullSafe(F.col("f__" + w)) for w in watched])
+    changed = reduce(lambda a, b: a | b, [_differ("s__" + w, "f__" + w, state.schema[w].dataType) for w in watched])
     j = j.withColumn("action", F.when(~in_s, F.lit(INSERT)).when(changed, F.lit(UPDATE)))
     j = j.filter(F.col("action").isNotNull())
     now_col = now if isinstance(now, Column) else F.lit(now)

@@ -2,7 +2,7 @@
 
 The "loading" snapshot is the customer table with deterministic edits: keys
 divisible by 10 are missing, balances of keys divisible by 7 change, names
-of keys divisible by 11 are lower-cased, nation 3 did not report, and keys
+of keys divisible by 11 are lower-cased, of others divisible by 13 changed, nation 3 did not report, and keys
 with remainder 1 mod 50 come back as new entities. Region 4 is unmonitored.
 """
 
@@ -15,7 +15,8 @@ from fleetsight.operators import snapshot as A
 from fleetsight.plans.registry import query
 
 FEED_SQL = """
-SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN lower(c_name) ELSE c_name END AS c_name, c_nationkey,
+SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN lower(c_name) WHEN c_custkey % 13 = 0 THEN c_name || ' renamed'
+                       ELSE c_name END AS c_name, c_nationkey,
        CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal
 FROM customer WHERE c_custkey % 10 <> 0 AND c_nationkey <> 3
 UNION ALL
@@ -29,7 +30,8 @@ def feed(t):
     c = t.customer
     k = F.col("c_custkey")
     edited = c.filter((k % 10 != 0) & (F.col("c_nationkey") != 3)).select(
-        k, F.when(k % 11 == 0, F.lower("c_name")).otherwise(F.col("c_name")).alias("c_name"), "c_nationkey",
+        k, F.when(k % 11 == 0, F.lower("c_name")).when(k % 13 == 0, F.concat("c_name", F.lit(" renamed")))
+        .otherwise(F.col("c_name")).alias("c_name"), "c_nationkey",
         F.when(k % 7 == 0, F.col("c_acctbal") + 100).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
     new = c.filter((k % 50 == 1) & (F.col("c_nationkey") != 3)).select(
         (k + 10000000).alias("c_custkey"), F.concat(F.lit("New#"), k.cast("string")).alias("c_name"),
@@ -135,7 +137,7 @@ j AS (SELECT c.c_custkey, c.c_name AS bn, f.c_name AS an, c.c_nationkey AS bk, f
              c.c_acctbal AS ba, f.c_acctbal AS aa
       FROM customer c JOIN feed f ON c.c_custkey = f.c_custkey)
 SELECT c_custkey, 'c_name' AS column_name, COALESCE(bn, '') AS previous_value, COALESCE(an, '') AS current_value
-FROM j WHERE bn IS DISTINCT FROM an
+FROM j WHERE lower(bn) IS DISTINCT FROM lower(an)
 UNION ALL
 SELECT c_custkey, 'c_nationkey', COALESCE(CAST(bk AS VARCHAR), ''), COALESCE(CAST(ak AS VARCHAR), '')
 FROM j WHERE bk IS DISTINCT FROM ak
@@ -150,10 +152,10 @@ def a4_change_report(t):
 
 @query("a5_status_change_report", f"""
 WITH feed AS ({FEED_SQL})
-SELECT c.c_custkey, c.c_name AS old_c_name, f.c_name AS new_c_name, c.c_name IS DISTINCT FROM f.c_name AS c_name_changed,
+SELECT c.c_custkey, c.c_name AS old_c_name, f.c_name AS new_c_name, lower(c.c_name) IS DISTINCT FROM lower(f.c_name) AS c_name_changed,
        c.c_acctbal AS old_c_acctbal, f.c_acctbal AS new_c_acctbal, c.c_acctbal IS DISTINCT FROM f.c_acctbal AS c_acctbal_changed
 FROM customer c JOIN feed f ON c.c_custkey = f.c_custkey
-WHERE c.c_name IS DISTINCT FROM f.c_name OR c.c_acctbal IS DISTINCT FROM f.c_acctbal
+WHERE lower(c.c_name) IS DISTINCT FROM lower(f.c_name) OR c.c_acctbal IS DISTINCT FROM f.c_acctbal
 """)
 def a5_status_change_report(t):
     """A5: old/new side by side with changed flags."""
@@ -432,3 +434,17 @@ def a1_snapshot_merge_unmonitored(t):
     return A.snapshot_merge(t.customer, feed(t), ["c_custkey"], custom_defaults={"c_mktsegment": "UNASSIGNED"},
                             monitored=monitored(t), source_col="c_nationkey", policy="unmonitored",
                             source_defaults=defaults).drop("pre")
+
+
+@query("a1_snapshot_merge_text_keys", f"""
+WITH feed AS ({FEED_SQL})
+SELECT COALESCE(f.c_name, c.c_name) AS c_name, COALESCE(f.c_custkey, c.c_custkey) AS c_custkey,
+  COALESCE(f.c_nationkey, c.c_nationkey) AS c_nationkey, COALESCE(f.c_acctbal, c.c_acctbal) AS c_acctbal,
+  CASE WHEN c.c_name IS NULL THEN 'UNASSIGNED' ELSE c.c_mktsegment END AS c_mktsegment,
+  CASE WHEN c.c_name IS NULL THEN 'INSERT' WHEN f.c_name IS NULL THEN 'KEEP' ELSE 'UPDATE' END AS action
+FROM customer c FULL OUTER JOIN feed f ON lower(c.c_name) = lower(f.c_name)
+""")
+def a1_snapshot_merge_text_keys(t):
+    """A1: merge on the customer's name, which the feed spells in another case for some."""
+    return A.snapshot_merge(t.customer, feed(t), ["c_name"], custom_defaults={"c_mktsegment": "UNASSIGNED"},
+                            policy="keep").drop("pre")

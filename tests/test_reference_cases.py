@@ -159,3 +159,18 @@ def test_mean_wait_is_the_mean_of_the_categories(spark):
     w = spark.createDataFrame([("p", "a", 10, 20), ("p", "a", 10, 20), ("p", "b", 10, 100)],
                               "plan string, cat string, total long, avg long")
     assert W.category_breakdown(w, ["plan"], "cat", "total", "avg").first()["mean"] == 60.0
+
+
+def test_case_alone_is_no_change(spark):
+    schema = "id int, name string, size int"
+    before = spark.createDataFrame([(1, "ABC", 1), (2, "x", 1), (3, None, 1)], schema)
+    after = spark.createDataFrame([(1, "abc", 1), (2, "y", 1), (3, "n", 1)], schema)
+    assert sorted((r["id"], r["column_name"]) for r in A.change_report(before, after, ["id"]).collect()) == [
+        (2, "name"), (3, "name")]
+    assert sorted(r["id"] for r in A.status_change_report(before, after, ["id"], ["name", "size"]).collect()) == [2, 3]
+
+
+def test_text_keys_meet_without_case(spark):
+    cur = spark.createDataFrame([("DB1", 1), ("db2", 2)], "name string, size int")
+    got = A.snapshot_merge(cur, spark.createDataFrame([("db1", 5)], "name string, size int"), ["name"], policy="keep")
+    assert sorted((r["name"], r["size"], r["action"]) for r in got.collect()) == [("db1", 5, "UPDATE"), ("db2", 2, "KEEP")]
