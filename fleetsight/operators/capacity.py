@@ -149,17 +149,12 @@ def space_used(units: DataFrame, keys: list[str], files: DataFrame | None = None
 
 
 # ------------------------------------------------------------------ C7
-def pivot_counters(data: DataFrame, details: DataFrame, names: list[str] | None = None,
-                   name_filter: str | None = None) -> DataFrame:
-    """Counter readings joined to their definitions and pivoted wide.
+def _readings(data: DataFrame, details: DataFrame, name_filter: str | None) -> DataFrame:
+    """Readings with machine, time and counter name.
 
     Name = "Object\\Counter" plus " (Instance)" when there is one; the leading
     backslashes of the machine are stripped; the first 23 characters of the
-    time text become a timestamp with milliseconds, a date and a time. Values
-    are summed per (machine, time, counter). ``names`` is the pivot list; when
-    omitted it is read from ``details`` (the counter definitions, a small
-    table), which costs one small job.
-    """
+    time text become a timestamp with milliseconds."""
     d = details.select(
         "counter_id", F.regexp_replace("machine_name", r"^\\+", "").alias("machine_name"),
         F.concat(F.col("object_name"), F.lit("\\"), F.col("counter_name"),
@@ -168,16 +163,30 @@ def pivot_counters(data: DataFrame, details: DataFrame, names: list[str] | None
         .alias("counter"))
     if name_filter:
         d = d.filter(F.col("counter").ilike(name_filter))
-    if names is None:
-        names = sorted(r[0] for r in d.select("counter").distinct().collect())
-    j = data.join(d, "counter_id")
     ts = F.to_timestamp_ntz(F.substring("counter_date_time", 1, 23), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    j = j.withColumn("counter_ts", ts)
-    # static pivot as conditional sums: one aggregation, partial map-side
-    wide = j.groupBy("machine_name", "counter_ts").agg(
-        *[F.sum(F.when(F.col("counter") == n, F.col("counter_value"))).alias(n) for n in names])
-    return wide.withColumn("counter_date", F.to_date("counter_ts")) \
-               .withColumn("counter_time", F.date_format("counter_ts", "HH:mm:ss.SSS"))
+    return data.join(d, "counter_id").withColumn("counter_ts", ts)
+
+
+def _with_date_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("counter_date", F.to_date("counter_ts")) \
+             .withColumn("counter_time", F.date_format("counter_ts", "HH:mm:ss.SSS"))
+
+
+def counter_readings(data: DataFrame, details: DataFrame, name_filter: str | None = None) -> DataFrame:
+    """Counter readings in long form, summed per (machine, time, counter): any
+    number of counters and instances."""
+    return _with_date_time(_readings(data, details, name_filter).groupBy("machine_name", "counter_ts", "counter").agg(
+        F.sum("counter_value").alias("counter_value")))
+
+
+def pivot_counters(data: DataFrame, details: DataFrame, names: list[str], name_filter: str | None = None) -> DataFrame:
+    """Counter readings joined to their definitions and pivoted wide, one
+    column per name of ``names`` (the counters wanted; :func:`counter_readings`
+    gives all of them as rows). Values are summed per (machine, time, counter)
+    as conditional sums: one aggregation, partial map-side."""
+    j = _readings(data, details, name_filter)
+    return _with_date_time(j.groupBy("machine_name", "counter_ts").agg(
+        *[F.sum(F.when(F.col("counter") == n, F.col("counter_value"))).alias(n) for n in names]))
 
 
 # ------------------------------------------------------------------ C8

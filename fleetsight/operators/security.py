@@ -62,8 +62,9 @@ def principal_permissions(grants: DataFrame, *, grantee: str = "grantee_id", obj
                           column: str = "column_name") -> DataFrame:
     """One row per principal x object x state: distinct permissions, each
     followed by "(col, ...)" when granted on columns."""
-    # duplicates removed first with a hash aggregate (cheaper than sets of columns)
-    g = grants.select(grantee, obj, state, permission, column).distinct()
+    # one exchange by the result's key serves the duplicate removal and both aggregations
+    g = grants.select(grantee, obj, state, permission, column).repartition(
+        F.col(grantee), F.col(obj), F.col(state)).distinct()
     per_perm = g.groupBy(grantee, obj, state, permission).agg(
         ordered_list(f"`{column}`", f"`{column}`", ", ").alias("__cols"))
     item = F.when(F.col("__cols").isNull() | (F.col("__cols") == ""), F.col(permission)) \

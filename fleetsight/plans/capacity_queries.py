@@ -128,24 +128,16 @@ def c5_space_used(t):
     return C.space_used(units, ["l_suppkey"], files)
 
 
-_COUNTER_DETAILS_SQL = """
-SELECT DENSE_RANK() OVER (ORDER BY event_type) AS counter_id, '\\\\SRV01' AS machine_name, 'Events' AS object_name,
-       event_type AS counter_name, CAST(NULL AS VARCHAR) AS instance_name
-FROM (SELECT DISTINCT event_type FROM events) x
-"""
-
-
 def counter_tables(t):
     """Events as performance-counter exports: one counter per event type on one
     machine; readings carry a time text longer than 23 characters."""
     e = t.events
     types = e.select("event_type").distinct()
-    from pyspark.sql import Window
-    details = types.select(F.dense_rank().over(Window.orderBy("event_type")).alias("counter_id"),
+    details = types.select(F.col("event_type").alias("counter_id"),
                            F.lit("\\\\SRV01").alias("machine_name"), F.lit("Events").alias("object_name"),
                            F.col("event_type").alias("counter_name"), F.lit(None).cast("string").alias("instance_name"))
-    data = e.join(details.select("counter_id", F.col("counter_name").alias("event_type")), "event_type").select(
-        "counter_id", F.col("event_id").alias("record_index"),
+    data = e.select(
+        F.col("event_type").alias("counter_id"), F.col("event_id").alias("record_index"),
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("000")).alias("counter_date_time"),
         F.col("value").cast("decimal(15,2)").alias("counter_value"))
     return data, details
@@ -165,7 +157,20 @@ FROM e GROUP BY counter_ts
 def c7_pivot_counters(t):
     """Events as counter readings (counter per event type), pivoted wide by time."""
     data, details = counter_tables(t)
-    return C.pivot_counters(data, details)
+    return C.pivot_counters(data, details, ["Events\\" + n for n in ("click", "error", "purchase", "signup", "view")])
+
+
+@query("c7_counter_readings", """
+SELECT 'SRV01' AS machine_name, counter_ts, 'Events\\' || event_type AS counter, CAST(SUM(v) AS DECIMAL(25,2)) AS counter_value,
+  CAST(counter_ts AS DATE) AS counter_date, strftime(counter_ts, '%H:%M:%S.%g') AS counter_time
+FROM (SELECT event_type, date_trunc('millisecond', ts) AS counter_ts, CAST(value AS DECIMAL(15,2)) AS v FROM events
+      WHERE event_type LIKE '%r%') e
+GROUP BY counter_ts, event_type
+""".replace("\\\\", "\\"))
+def c7_counter_readings(t):
+    """The counters whose name holds an 'R' (case ignored) after the object, as rows."""
+    data, details = counter_tables(t)
+    return C.counter_readings(data, details, "events_%R%")
 
 
 def _event_values(t):

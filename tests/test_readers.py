@@ -48,7 +48,7 @@ def test_counter_csv(spark, tmpdir_path):
            "counter_id,machine_name,object_name,counter_name,instance_name\n1,\\\\SRV,Memory,Available MB,\n"
            "2,\\\\SRV,Processor,% Time,_Total\n")
     data, details = read_counter_csv(spark, os.path.join(tmpdir_path, "cd"), os.path.join(tmpdir_path, "cdd"))
-    r = C.pivot_counters(data, details).first()
+    r = C.pivot_counters(data, details, ["Memory\\Available MB", "Processor\\% Time (_Total)"]).first()
     assert r["machine_name"] == "SRV"
     assert r["Memory\\Available MB"] == 5.5 and r["Processor\\% Time (_Total)"] == 1.0
     assert r["counter_time"] == "10:00:00.123"
