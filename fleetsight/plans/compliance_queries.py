@@ -472,7 +472,7 @@ def e10_job_description(t):
 
 @query("e10_job_steps", """
 WITH j AS (SELECT DISTINCT event_type AS job_id FROM events),
-n AS (SELECT job_id, length(job_id) % 4 AS lv, 'op_' || job_id AS op FROM j)
+n AS (SELECT job_id, CAST(length(job_id) % 4 AS INTEGER) AS lv, 'op_' || job_id AS op FROM j)
 SELECT n.job_id, lv AS notify_level_email, op AS email_operator, lv AS delete_level,
   CASE WHEN lv BETWEEN 1 AND 3 THEN 'Email: [' || op || '] ' || w.t || ';' ELSE '' END AS notify_actions,
   CASE WHEN lv BETWEEN 1 AND 3 THEN 'Automatically delete job: ' || w.t ELSE '' END AS autodelete,
