@@ -13,7 +13,7 @@ is a task's cell, and a cell
 4. decides by the cosine of the original vectors in double precision.
 
 A cell returns, per class, how many vectors it links to and a spanning forest
-of its links, never the pairs. The axes come from at most ``pca_rows`` classes
+of its links, never the pairs. The axes come from about ``pca_rows`` classes
 (documented bound); they are any rotation to the result, so they change
 speed only.
 
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.llm.components import components, local_roots
+from fleetsight.llm.sampling import hashed_sample
 from fleetsight.session import cut_lineage
 
 THRESHOLD = 0.93
@@ -107,7 +108,7 @@ def _usable(vec: str) -> Column:
 def links(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pca_rows: int = PCA_ROWS) -> DataFrame:
     """(kind, a, b) over ``classes`` (c, label, vec, n): kind 0 is a forest's link between classes a and b, kind
     1 says that class a links to b vectors of other classes in one cell."""
-    sample = classes.select("vec").orderBy(F.xxhash64("vec"), "c").limit(pca_rows).toArrow()["vec"].to_pylist()
+    sample = hashed_sample(classes.select("vec"), pca_rows, "vec").toArrow()["vec"].to_pylist()
     by_dims: dict[int, list] = {}
     for v in sample:
         by_dims.setdefault(len(v), []).append(v)
@@ -116,7 +117,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, pc
         m = np.asarray(vs, float)
         m = m / np.abs(m).max(axis=1, keepdims=True)
         axes[dims] = principal_axes(m / np.linalg.norm(m, axis=1, keepdims=True))
-    shared = classes.sparkSession.sparkContext.broadcast(axes)     # dims x dims, from at most pca_rows vectors
+    shared = classes.sparkSession.sparkContext.broadcast(axes)     # dims x dims, from about pca_rows vectors
     rows = classes.withColumn("dims", F.size("vec"))
     size = rows.groupBy("label", "dims").agg(F.count("*").alias("m"))
     cells = (rows.join(size, ["label", "dims"])

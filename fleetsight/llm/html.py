@@ -8,7 +8,7 @@ exact marginal; the text runs of nodes with a marginal of at least one half
 are the main text.
 
 Learned from labelled pages: those of the table whose markup names the
-article itself (at most ``fit_pages`` of them, a documented bound; what is
+article itself (out of about ``fit_pages``, a documented bound; what is
 collected are counts of distinct feature vectors), and the layouts of
 :mod:`fleetsight.llm.layouts`, which are built with their labels.
 
@@ -30,6 +30,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from fleetsight.llm import layouts
 from fleetsight.llm.dom import Page
+from fleetsight.llm.sampling import hashed_sample
 from fleetsight.llm.toxicity import newton
 
 FIT_PAGES = 1_000
@@ -195,11 +196,9 @@ def learn(counts: Counter, ridge: float = 1.0) -> Model:
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", fit_pages: int = FIT_PAGES,
         built: int = layouts.PAGES) -> Model:
-    """Learn from at most ``fit_pages`` pages of the table and ``built`` layouts, the two weighed alike."""
-    few = (pages.where(F.col(html_col).isNotNull())
-           .where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(id_col)
-           .orderBy(F.xxhash64(id_col), id_col).limit(fit_pages).distinct())
-    rows = pages.select(id_col, F.col(html_col).alias("h")).join(F.broadcast(few), id_col).select("h")
+    """Learn from about ``fit_pages`` pages of the table and ``built`` layouts, the two weighed alike."""
+    rows = hashed_sample(pages.select(id_col, F.col(html_col).alias("h")), fit_pages, id_col).where(
+        F.col("h").isNotNull() & F.col("h").rlike("(?i)<(article|main)[\\s>]")).select("h")
 
     def run(batches):
         counts: Counter = Counter()

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from fleetsight.llm.sampling import unit_hash
+
 ORDER = 5
 FIT_ROWS = 2_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -224,7 +226,7 @@ def _lead(ce: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
         fit_rows: int = FIT_ROWS, order: int = ORDER) -> Models | None:
     """Learn from rows with text and language; None when there are none."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("fit")), 11) / F.lit(float(1 << 53)))
+    u = unit_hash(id_col)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), u.alias("u"))
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

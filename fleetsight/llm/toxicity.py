@@ -5,8 +5,9 @@ words with their borders); a feature's value is log(1 + 200 * its
 occurrences per word of the text), so a rare chance hit in a long text
 weighs little and a marker's steady rate counts the same at any length.
 
-1. Fit rows: at most ``fit_rows`` labelled documents, those of the smallest
-   id hash (documented bound; everything collected below is bounded by it).
+1. Fit rows: all labelled documents or, of more than ``fit_rows``, about so
+   many by the hash of their id (documented bound; everything collected below
+   is bounded by it).
 2. Tasks sum each n-gram's values over toxic and other fit rows (in whole
    thousandths, so the order of tasks does not matter); the log-count ratio
    r of a feature is log(p / q) of the smoothed means.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fleetsight.llm.langid import suffix_hashes
+from fleetsight.llm.sampling import hashed_sample
 
 FIT_ROWS = 10_000
 FEATURES = 512
@@ -101,10 +103,9 @@ def _sliced(batches):
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """(t, y) of the labelled rows to learn from; the broadcast side holds at most ``limit`` rows."""
-    few = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-           .select("doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit))
+    """(t, y) of the labelled rows to learn from; the broadcast side holds about ``limit`` rows."""
+    few = hashed_sample(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()), limit, "doc_id").select(
+        "doc_id", (F.col("toxic") == 1).cast("int").alias("y"))
     return docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(few), "doc_id").select("t", "y")
 
 
