@@ -366,6 +366,28 @@ def test_planted_passages(spark):
     assert [k for k, t in sorted(cut.items()) if middle in t] == [k for k in sorted(docs) if middle in docs[k]][:1]
 
 
+def test_passages_round_a_common_phrase(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    docs, pairs = {}, []
+    for g in range(12):                             # 15 documents share 30 or 40 words, two of them 60 words
+        phrase = [word() for _ in range(30 + 10 * (g % 2))]
+        side = [word() for _ in range(60 - len(phrase))]
+        cut = r.randrange(len(side) + 1)
+        pair = sorted(r.sample(range(3, 15), 2))
+        for k in range(15):
+            own = [word() for _ in range(200)]
+            mid = side[:cut] + phrase + side[cut:] if k in pair else phrase
+            at = r.randint(0, 200)
+            docs[12 * k + g] = " ".join(own[:at] + mid + own[at:])
+        pairs.append((12 * pair[1] + g, 12 * pair[0] + g))
+    for parts in (1, 7):                            # in one task and across tasks
+        frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(parts)
+        rows = substrings.near_duplicate_passages(frame).collect()
+        whole = {(x.doc_id, x.match_doc_id) for x in rows if x.end_word - x.start_word >= 60}
+        assert whole == set(pairs)
+
+
 def test_op9_covers_exact_repeats(spark):
     docs = {k: t.encode().lower().split() for k, t in texts(spark, SF2).items()}
     where, cover = defaultdict(set), defaultdict(set)
