@@ -388,6 +388,20 @@ def test_passages_round_a_common_phrase(spark):
         assert whole == set(pairs)
 
 
+def test_passages_with_a_changed_word(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    docs = []
+    for k in range(400):                            # 50 words with the middle one changed: 0.80 alike
+        p = [word() for _ in range(50)]
+        q = p[:25] + [word()] + p[26:]
+        docs += [(2 * k + n, " ".join([word() for _ in range(20)] + w + [word() for _ in range(20)]))
+                 for n, w in enumerate((p, q))]
+    rows = substrings.near_duplicate_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.match_doc_id) for x in rows}
+    assert found <= {(2 * k + 1, 2 * k) for k in range(400)} and len(found) >= 397
+
+
 def test_op9_covers_exact_repeats(spark):
     docs = {k: t.encode().lower().split() for k, t in texts(spark, SF2).items()}
     where, cover = defaultdict(set), defaultdict(set)
