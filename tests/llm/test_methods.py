@@ -402,6 +402,28 @@ def test_passages_with_a_changed_word(spark):
     assert found <= {(2 * k + 1, 2 * k) for k in range(400)} and len(found) >= 397
 
 
+def test_every_alike_part_of_a_stretch_is_found():
+    r = np.random.default_rng(5)
+    word = lambda n: r.integers(1, 1 << 62, n).astype(np.uint64)
+    for extra in (12, 18, 24):                      # words put in the middle, and four words changed
+        a = word(200)
+        b = a.copy()
+        b[[2, 50, 149, 197]] = word(4)
+        b = np.concatenate([b[:100], word(extra), b[100:]])
+        for x, y in ((a, b), (b, a)):
+            margin = word(50)
+            got = substrings.verify(np.concatenate([margin, x, word(50)]), y)
+            covered = set().union(*(range(p[0] - 50, p[1] - 50) for p in got))
+            assert all(p[4] >= 0.8 and p[1] - p[0] >= 50 and p[3] - p[2] >= 50 for p in got)
+            words = [k for k, w in enumerate(x.tolist()) if w in set(y.tolist())]
+            assert len(set(words) - covered) <= 10
+    a = word(300)                                   # the first 180 words are alike, more than half of the stretch
+    b = a.copy()
+    b[200::9] = word(len(b[200::9]))
+    got = substrings.verify(a, b)
+    assert max(p[1] - p[0] for p in got) >= 180
+
+
 def test_op9_covers_exact_repeats(spark):
     docs = {k: t.encode().lower().split() for k, t in texts(spark, SF2).items()}
     where, cover = defaultdict(set), defaultdict(set)
