@@ -11,8 +11,9 @@ weighs little and a marker's steady rate counts the same at any length.
 2. Tasks sum each n-gram's values over toxic and other fit rows (in whole
    thousandths, so the order of tasks does not matter); the log-count ratio
    r of a feature is log(p / q) of the smoothed means.
-3. The ``features`` most significant ratios, each scaled by its r, carry a logistic
-   regression with a ridge penalty, fitted by Newton steps.
+3. Every n-gram above a floor of occurrences, scaled by its r, carries a logistic
+   regression with a ridge penalty, fitted by Newton steps over the sparse fit
+   rows (conjugate gradients, so no matrix of n-grams by n-grams is built).
 
 Scoring reads whole texts in one pass over the scan, no shuffle. Defined
 results: null and empty texts hold no n-gram and get the intercept's score;
@@ -37,7 +38,7 @@ from fleetsight.llm.langid import suffix_hashes
 from fleetsight.llm.sampling import hashed_sample
 
 FIT_ROWS = 10_000
-FEATURES = 512
+LEAST = 3000                 # thousandths that an n-gram's values sum to, to be a feature
 BITS = 18
 BINS = 1 << BITS            # of hashed n-grams
 GRAMS = (3, 4, 5, 6)
@@ -46,7 +47,7 @@ _MEMO = 500_000              # words kept per worker, not a bound of the result
 _MEMO_CHARS = 64
 
 
-def word_bins(words: list[str], only: np.ndarray | None = None) -> list[tuple[int, ...]]:
+def word_bins(words: list[str], only: np.ndarray | None = None) -> list[np.ndarray]:
     """Hashed 3- to 6-grams of each word with its borders, each bin once; all words are hashed together.
     ``only``: a truth value per bin, the others are left out."""
     if not words:
@@ -60,9 +61,9 @@ def word_bins(words: list[str], only: np.ndarray | None = None) -> list[tuple[in
         keep = slice(None) if only is None else only[bins]
         keys.append(word[at][keep] * BINS + bins[keep])
     found = np.unique(np.concatenate(keys))
-    bins = (found % BINS).tolist()
+    bins = (found % BINS).astype(np.int32)
     ends = np.searchsorted(found, np.arange(len(words) + 1) * BINS).tolist()
-    return [tuple(bins[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    return [bins[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
 
 
 class Features:
@@ -73,9 +74,13 @@ class Features:
         if only is not None:
             self.only = np.zeros(BINS, bool)
             self.only[list(only)] = True
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, np.ndarray] = {}
 
     def __call__(self, texts: list[str | None]) -> list[dict[int, float]]:
+        return [dict(zip(b.tolist(), v.tolist())) for b, v in self.arrays(texts)]
+
+    def arrays(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(bins in order, values) of each text."""
         counts = [Counter(t.lower().split()) if t else {} for t in texts]
         memo = self.memo
         new = list({w for c in counts for w in c if w not in memo})
@@ -87,12 +92,14 @@ class Features:
         memo.update((w, b) for w, b in got.items() if len(w) <= _MEMO_CHARS)
         out = []
         for words in counts:
-            times: dict[int, int] = {}
-            for w, n in words.items():
-                for b in memo[w] if w in memo else got[w]:
-                    times[b] = times.get(b, 0) + n
-            scale = 200.0 / max(1, sum(words.values()))
-            out.append({b: math.log1p(scale * k) for b, k in times.items()})
+            if not words:
+                out.append((np.zeros(0, np.int32), np.zeros(0)))
+                continue
+            parts = [memo[w] if w in memo else got[w] for w in words]
+            n = np.fromiter(words.values(), np.int64, len(words))
+            bins, at = np.unique(np.concatenate(parts), return_inverse=True)
+            times = np.bincount(at, np.repeat(n, [len(p) for p in parts]), len(bins))
+            out.append((bins, np.log1p(200.0 / n.sum() * times)))
         return out
 
 
@@ -115,10 +122,9 @@ def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         sums, n, values = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64), Features()
         for batch in _sliced(batches):
-            for v, y in zip(values(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+            for (b, v), y in zip(values.arrays(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
                 n[y] += 1
-                sums[y, np.fromiter(v, np.int64, len(v))] += np.rint(
-                    1000 * np.fromiter(v.values(), float, len(v))).astype(np.int64)
+                sums[y, b] += np.rint(1000 * v).astype(np.int64)
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1)), pa.array(np.append(sums[0, at], n[0])),
@@ -162,8 +168,64 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, weight:
     return w
 
 
+class Sparse:
+    """Rows of (place, value) with a last column of ones; products go by some rows at a time."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.n, self.width, self.parts = len(rows), width + 1, []
+        for k in range(0, len(rows), _SLICE):
+            some = rows[k:k + _SLICE]
+            self.parts.append((np.concatenate([p for p, _ in some]), np.concatenate([v for _, v in some]),
+                               np.repeat(np.arange(len(some)), [len(p) for p, _ in some]).astype(np.int32), len(some)))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, v * w[p], n) for p, v, row, n in self.parts]) + w[-1]
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(self.width), 0
+        for p, v, row, n in self.parts:
+            out += np.bincount(p, v * g[at:at + n][row], self.width)
+            at += n
+        out[-1] += g.sum()
+        return out
+
+
+def sparse_newton(x: Sparse, y: np.ndarray, ridge: float, steps: int = 20, inner: int = 50) -> np.ndarray:
+    """As ``newton``, each step by conjugate gradients."""
+    pen = np.full(x.width, ridge)
+    pen[-1] = 1e-6
+    w = np.zeros(x.width)
+
+    def loss(z, w):
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (pen * w * w).sum()
+
+    z = x.dot(w)
+    now = loss(z, w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        left = x.back(p - y) + pen * w                     # of hess @ move = grad
+        move, way, size, k = np.zeros(x.width), left.copy(), left @ left, p * (1 - p)
+        goal = 1e-4 * size
+        for _ in range(inner):
+            if size <= goal:
+                break
+            turned = x.back(k * x.dot(way)) + pen * way
+            step = size / (way @ turned)
+            move += step * way
+            left = left - step * turned
+            size, before = left @ left, size
+            way = left + size / before * way
+        zm, size = x.dot(move), 1.0
+        while (new := loss(z - size * zm, w - size * move)) > now and size > 1e-4:
+            size /= 2
+        if now - new < 1e-6 * (1 + abs(now)):
+            break
+        w, z, now = w - size * move, z - size * zm, new
+    return w
+
+
 class Model:
-    """``weight`` per n-gram bin (zero outside the chosen features) and the intercept."""
+    """``weight`` per n-gram bin (zero outside the features) and the intercept."""
 
     def __init__(self, weight: dict[int, float], intercept: float):
         self.weight, self.intercept = weight, intercept
@@ -172,8 +234,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + total))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int = FEATURES,
-        ridge: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, ridge: float = 1.0) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     rows = fit_rows(docs, labels, limit)
     n, sums = _sums(rows)
@@ -182,26 +243,28 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, features: int
         return Model({}, math.log(share / (1 - share)))
     p, q = sums[1] / 1000 + 1.0, sums[0] / 1000 + 1.0
     r = np.log((p / (n[1] + 2.0)) / (q / (n[0] + 2.0)))
-    strength = np.where(sums.sum(axis=0) >= 3000, np.abs(r) / np.sqrt(1 / p + 1 / q), 0)    # ratio by its spread
-    chosen = np.argsort(-strength, kind="stable")[:features]
-    place = {int(b): i for i, b in enumerate(chosen) if strength[b] > 0}
+    chosen = np.flatnonzero(sums.sum(axis=0) >= LEAST)
+    place = np.full(BINS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
 
     def run(batches):
-        values = Features(place)
+        values = Features(chosen)
         for batch in _sliced(batches):
-            found = values(batch.column(0).to_pylist())
+            found = values.arrays(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                pa.array([[place[b] for b in v] for v in found], pa.list_(pa.int32())),
-                pa.array([list(v.values()) for v in found], pa.list_(pa.float64())), batch.column(1)], ["f", "v", "y"])
+                pa.array([place[b].astype("<i4").tobytes() for b, _ in found], pa.binary()),
+                pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()), batch.column(1)], ["f", "v", "y"])
 
-    got = rows.mapInArrow(run, "f array<int>, v array<double>, y int").toArrow()
+    got = rows.mapInArrow(run, "f binary, v binary, y int").toArrow()
     y = got["y"].to_numpy().astype(float)
-    x = np.zeros((len(y), len(place)))
-    for i, (f, v) in enumerate(zip(got["f"].to_pylist(), got["v"].to_pylist())):
-        x[i, f] = v
-    scale = r[list(place)]
-    w = newton(x * scale, y, ridge)
-    return Model({b: float(w[i] * scale[i]) for b, i in place.items()}, float(w[-1]))
+    scale = r[chosen].astype(np.float32)
+    found = []
+    for f, v in zip(got["f"], got["v"]):
+        f = np.frombuffer(f.as_py(), "<i4")
+        found.append((f, np.frombuffer(v.as_py(), "<f4") * scale[f]))
+    del got
+    w = sparse_newton(Sparse(found, len(chosen)), y, ridge)
+    return Model(dict(zip(chosen.tolist(), (w[:-1] * scale).tolist())), float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -209,14 +272,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     rest = [c for c in docs.columns if c.lower() not in {score_col.lower(), text_col.lower()}]
     src = docs.select(*[f"`{c}`" for c in rest], F.col(f"`{text_col}`").alias("_whole_text"))
     schema = StructType([*src.schema.fields[:-1], StructField(score_col, DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most BINS weights
 
     def run(batches):
         m = shared.value
-        values = Features(m.weight)
+        values, weight = Features(m.weight), np.zeros(BINS)
+        weight[list(m.weight)] = list(m.weight.values())
         for batch in _sliced(batches):
-            out = [m.score(math.fsum(m.weight[b] * x for b, x in v.items()))
-                   for v in values(batch.column(batch.num_columns - 1).to_pylist())]
+            out = [m.score(math.fsum(weight[b] * x))
+                   for b, x in values.arrays(batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*rest, score_col])
 
     return src.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fleetsight.llm import (dom, embeddings, html, langid, layouts, lexicon, packing, queries, secrets, simhash,
-                            substrings, tokens)
+                            substrings, tokens, toxicity)
 from fleetsight.sources.tables import TABLE_NAMES
 from oracle_check import rows_of
 
@@ -217,6 +217,23 @@ def test_op10_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
+def test_many_toxic_words(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    clean, bad = [word() for _ in range(2000)], [word() for _ in range(120)]
+    rows = []
+    for k in range(1500):
+        w = [r.choice(clean) for _ in range(60)]
+        if k % 3 == 0:                              # three toxic words of 120
+            w[5:8] = r.sample(bad, 3)
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.where("doc_id < 900").select("doc_id", "toxic"))
+    held = [x for x in toxicity.score(docs, model).collect() if x.doc_id >= 900]
+    right = sum((x.score >= 0.5) == bool(x.toxic) for x in held)
+    assert sum(x.score >= 0.5 for x in held if x.toxic) >= 0.95 * 200 and right >= 0.95 * len(held)
+
+
 # --- vectors and fingerprints ----------------------------------------------------------
 
 def test_tiles_find_the_links_of_all_pairs():
