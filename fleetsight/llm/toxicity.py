@@ -26,7 +26,9 @@ columns do not matter unless ``keep`` asks for them.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -171,21 +173,20 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, weight:
 class Sparse:
     """Rows of (place, value) with a last column of ones; products go by some rows at a time."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.n, self.width, self.parts = len(rows), width + 1, []
-        for k in range(0, len(rows), _SLICE):
-            some = rows[k:k + _SLICE]
+    def __init__(self, rows, width: int):
+        self.width, self.parts = width + 1, []
+        while some := list(islice(rows, _SLICE)):
             self.parts.append((np.concatenate([p for p, _ in some]), np.concatenate([v for _, v in some]),
-                               np.repeat(np.arange(len(some)), [len(p) for p, _ in some]).astype(np.int32), len(some)))
+                               np.asarray([len(p) for p, _ in some])))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(row, v * w[p], n) for p, v, row, n in self.parts]) + w[-1]
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), v * w[p], len(n)) for p, v, n in self.parts]) + w[-1]
 
     def back(self, g: np.ndarray) -> np.ndarray:
         out, at = np.zeros(self.width), 0
-        for p, v, row, n in self.parts:
-            out += np.bincount(p, v * g[at:at + n][row], self.width)
-            at += n
+        for p, v, n in self.parts:
+            out += np.bincount(p, v * np.repeat(g[at:at + len(n)], n), self.width)
+            at += len(n)
         out[-1] += g.sum()
         return out
 
@@ -252,18 +253,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, ridge: float
         for batch in _sliced(batches):
             found = values.arrays(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                pa.array([place[b].astype("<i4").tobytes() for b, _ in found], pa.binary()),
-                pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()), batch.column(1)], ["f", "v", "y"])
+                pa.array([zlib.compress(np.diff(place[b], prepend=0).astype("<i4").tobytes(), 1) for b, _ in found],
+                         pa.binary()),
+                pa.array([zlib.compress(v.astype("<f4").tobytes(), 1) for _, v in found], pa.binary()), batch.column(1)], ["f", "v", "y"])
 
     got = rows.mapInArrow(run, "f binary, v binary, y int").toArrow()
     y = got["y"].to_numpy().astype(float)
     scale = r[chosen].astype(np.float32)
-    found = []
-    for f, v in zip(got["f"], got["v"]):
-        f = np.frombuffer(f.as_py(), "<i4")
-        found.append((f, np.frombuffer(v.as_py(), "<f4") * scale[f]))
-    del got
-    w = sparse_newton(Sparse(found, len(chosen)), y, ridge)
+
+    def read():
+        for f, v in zip(got["f"], got["v"]):
+            f = np.cumsum(np.frombuffer(zlib.decompress(f.as_py()), "<i4"), dtype=np.int32)
+            yield f, np.frombuffer(zlib.decompress(v.as_py()), "<f4") * scale[f]
+
+    w = sparse_newton(Sparse(read(), len(chosen)), y, ridge)
     return Model(dict(zip(chosen.tolist(), (w[:-1] * scale).tolist())), float(w[-1]))
 
 
