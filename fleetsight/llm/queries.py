@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import embeddings, html, langid, lexicon, packing, quality, secrets, simhash, substrings, toxicity
+from fleetsight.llm import divergence, embeddings, html, langid, lexicon, packing, quality, secrets, simhash, substrings, toxicity
 from fleetsight.llm.ship import ship_package
 from fleetsight.sources.tables import read_table
 
@@ -206,3 +206,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out")),
         toxicity_model(spark, sf_dir))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_SQL_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@register("op11_source_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '{_SQL_TERM}')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+gk AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang
+       FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+gn AS (SELECT lang, source, sum(n) AS total FROM gk GROUP BY ALL),
+p AS (SELECT lang, source, term, gk.n,
+             1 + (1000000000::HUGEINT * (gk.n + 5)::HUGEINT) // (total + 5 * v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (n_lang + 5)::HUGEINT) // (v.n + 5 * v)::HUGEINT AS q
+      FROM gk JOIN gn USING (lang, source) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(x.p - y.p)) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+          GROUP BY ALL),
+f AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM f QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary distance of every pair of sources of a language, and each source's own terms."""
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
