@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetsight.llm import divergence, embeddings, html, langid, lexicon, packing, quality, secrets, simhash, substrings, toxicity
+from fleetsight.llm import (divergence, embeddings, filter_audit, html, langid, lexicon, packing, pii, quality, secrets,
+                            simhash, substrings, toxicity)
 from fleetsight.llm.ship import ship_package
 from fleetsight.sources.tables import read_table
 
@@ -134,13 +135,20 @@ def _any_case(word: str) -> str:
 _SQL_ASSIGN = "(" + "|".join(_any_case(w) for w in ("password", "passwd", "secret", "token")) + "|" + _any_case("api") \
     + "_?" + _any_case("key") + ")[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 _SQL_RULES = [("assign", _SQL_ASSIGN)] + [(r.kind, r.pattern) for r in secrets.RULES[1:]]
-_SQL_FOUND = " UNION ALL ".join(f"""
+
+
+def _sql_found(rules, table: str = "d") -> str:
+    """Places of the matches of each (kind, pattern) in the texts ``t`` of ``table``."""
+    return " UNION ALL ".join(f"""
   SELECT r, {k} AS rank, '{kind}' AS kind, gap, hit, i, sum(length(gap) + coalesce(length(hit), 0))
            OVER (PARTITION BY r ORDER BY i) AS "end"
   FROM (SELECT r, unnest(string_split_regex(t, '{pattern}')) AS gap,
                unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS hit,
-               generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM d)"""
-                                for k, (kind, pattern) in enumerate(_SQL_RULES))
+               generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS i FROM {table})"""
+                              for k, (kind, pattern) in enumerate(rules))
+
+
+_SQL_FOUND = _sql_found(_SQL_RULES)
 
 
 def _crc_mod(n: int):
@@ -241,3 +249,109 @@ FROM f QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary distance of every pair of sources of a language, and each source's own terms."""
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+@register("op12_filter_interaction", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+m AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+               + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t))::INT
+               + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS mask,
+             coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM d JOIN m USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT array_to_string(o, '') AS filter_order, step::INT AS step, 1 << (ascii(o[step]) - 65) AS own,
+             coalesce(list_sum(list_transform(o[:step - 1], lambda l: 1 << (ascii(l) - 65))), 0)::INT AS before
+      FROM o, range(1, 6) r(step)),
+j AS (SELECT part, filter_order, step, own, n, good, toxic, mask & own <> 0 AS fails, mask & before = 0 AS reached,
+             mask = own AS alone FROM c, s),
+a AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (reached AND NOT fails), 0)::BIGINT AS kept,
+             coalesce(sum(n) FILTER (reached AND fails), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (NOT reached AND fails), 0)::BIGINT AS redundant,
+             coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (reached AND fails), 0)::BIGINT AS good_lost,
+             coalesce(sum(toxic) FILTER (reached AND fails), 0)::BIGINT AS toxic_lost
+      FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM a
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all 120 orders, per source."""
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+_SQL_PII = _sql_found([
+    ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+"),
+    ("ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)"),
+    ("card", "[0-9]([\\x20-]?[0-9])+"),
+    ("phone", "\\+[0-9][\\x20().0-9-]+[0-9]")])
+_SQL_WORDS = _sql_found([("word", "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")], "held")
+_SQL_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op13_pii_disclosure", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+hit AS (SELECT r, rank, kind, "end" - length(hit) AS start, "end", hit, regexp_replace(hit, '[^0-9]', '', 'g') AS digits
+        FROM ({_SQL_PII}) WHERE hit IS NOT NULL),
+base AS (
+  SELECT r, rank, kind, start, "end",
+         kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN digits ELSE hit END AS entity
+  FROM hit WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3
+                       OR coalesce(try_cast(left(ltrim(p, '0'), 3) AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(
+      range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN digits[-i]::INT
+                                              WHEN digits[-i]::INT > 4 THEN 2 * digits[-i]::INT - 9
+                                              ELSE 2 * digits[-i]::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15 ELSE true END),
+held AS (SELECT r, t FROM d WHERE r IN (SELECT r FROM base)),
+word AS (SELECT w.r, w."end" - length(w.hit) AS start, w."end", {_SQL_FOLD.format('w.hit')} AS term
+         FROM ({_SQL_WORDS}) w WHERE w.hit IS NOT NULL AND NOT EXISTS (
+           SELECT 1 FROM base b WHERE b.r = w.r AND b.start < w."end" AND w."end" - length(w.hit) < b."end")),
+pos AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY start) AS i FROM word),
+near_at AS (SELECT b.r, b.entity, b.start, b."end", count(p.i) AS k
+       FROM base b LEFT JOIN pos p ON p.r = b.r AND p.start < b.start GROUP BY ALL),
+link AS (SELECT DISTINCT a.r, entity, term FROM near_at a JOIN pos p ON p.r = a.r
+           AND p.i BETWEEN k - {pii.WINDOW} + 1 AND k + {pii.WINDOW}),
+n AS (SELECT count(*) AS n FROM d),
+ne AS (SELECT entity, count(DISTINCT r) AS ne FROM base GROUP BY entity),
+nb AS (SELECT entity, term, count(*) AS nb FROM link GROUP BY ALL HAVING count(*) >= {pii.SUPPORT}),
+nt AS (SELECT term, count(DISTINCT r) AS nt FROM (
+         SELECT r, unnest(regexp_extract_all({_SQL_FOLD.format('t')},
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d) GROUP BY term),
+told AS (SELECT entity, term, ln(nb * n::DOUBLE / (ne * nt)) / ln(n::DOUBLE / ne) AS share
+         FROM nb JOIN ne USING (entity) JOIN nt USING (term), n WHERE ne < n),
+best AS (SELECT r, term, max(share) AS share FROM link JOIN told USING (entity, term)
+         WHERE share >= {pii.GENERALISE} GROUP BY ALL),
+span AS (SELECT r, rank, kind, start, "end" FROM base
+         UNION ALL SELECT r, CASE WHEN share >= {pii.REMOVE} THEN 5 ELSE 4 END,
+                          CASE WHEN share >= {pii.REMOVE} THEN 'removed' ELSE 'generalised' END, start, "end"
+         FROM pos JOIN best USING (r, term)),
+g AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+             count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+             string_agg(concat_ws(':', kind, start::BIGINT, "end"::BIGINT), ',' ORDER BY rank, start)
+               FILTER (rank < 4) AS base,
+             string_agg(concat_ws(':', kind, start::BIGINT, "end"::BIGINT), ',' ORDER BY rank, start) AS spans
+      FROM span GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    found = pii.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans")).alias("spans"))
