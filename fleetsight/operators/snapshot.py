@@ -48,7 +48,8 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
     the source column plus per-source values, e.g. the server's retention)
     or else from ``custom_defaults`` (a literal).
     ``monitored`` is a one-column DataFrame of monitored sources (the
-    server list, a few rows per server) matched on ``source_col``.
+    server list, a few rows per server) matched on ``source_col``. Sources,
+    like keys, are matched without regard to case.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -65,15 +66,18 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
 
     delete_cond: Column = F.lit(False)
     if policy != "keep" and source_col:
-        src = F.col("c__" + source_col)
+        src = fold_case("c__" + source_col, current.schema[source_col].dataType)
         if monitored is not None:
-            mon = broadcast_if_small(monitored.select(F.col(monitored.columns[0]).alias("__mon")).distinct())
+            mon_col = monitored.columns[0]
+            mon = broadcast_if_small(monitored.select(
+                fold_case(mon_col, monitored.schema[mon_col].dataType).alias("__mon")).distinct())
             j = j.join(mon, src == F.col("__mon"), "left")
             unmonitored = F.col("__mon").isNull()
         else:
             unmonitored = F.lit(False)
         if policy == "reported":
-            rep = broadcast_if_small(loading.select(F.col(source_col).alias("__rep")).distinct())
+            rep = broadcast_if_small(loading.select(
+                fold_case(source_col, loading.schema[source_col].dataType).alias("__rep")).distinct())
             j = j.join(rep, src == F.col("__rep"), "left")
             delete_cond = unmonitored | F.col("__rep").isNotNull()
         else:
@@ -82,9 +86,11 @@ def snapshot_merge(current: DataFrame, loading: DataFrame, keys: list[str], *,
     if source_defaults is not None and source_col:
         sd_cols = [c for c in source_defaults.columns if c != source_col and c in cur_cols]
         per_source = set(sd_cols)
-        sd = source_defaults.select(F.col(source_col).alias("__sd_src"),
-                                    *[F.col(c).alias("__sd_" + c) for c in sd_cols])
-        j = j.join(broadcast_if_small(sd), F.col("l__" + source_col) == F.col("__sd_src"), "left")
+        sd = source_defaults.select(
+            fold_case(source_col, source_defaults.schema[source_col].dataType).alias("__sd_src"),
+            *[F.col(c).alias("__sd_" + c) for c in sd_cols])
+        j = j.join(broadcast_if_small(sd), fold_case("l__" + source_col, loading.schema[source_col].dataType)
+                   == F.col("__sd_src"), "left")
     action = (F.when(in_c & in_l, F.lit(UPDATE)).when(in_l, F.lit(INSERT))
               .when(delete_cond, F.lit(DELETE))
               .otherwise(F.lit(FLAG if policy == "flag" else KEEP)))
@@ -140,6 +146,13 @@ def append_history(history: DataFrame, pre: DataFrame, keys: list[str], checksum
     return p.join(h, on=[*keys, checksum], how="left_anti")
 
 
+def append_history_bucketed(store, pre: DataFrame, version: int, checksum_cols: list[str],
+                            checksum: str = "row_checksum") -> DataFrame:
+    """:func:`append_history` against a :class:`fleetsight.sources.bucketed.BucketedHistory`: the run reads only
+    the buckets of its own keys, and its new rows are written as version ``version``. Returns them."""
+    return store.append_new(pre.withColumn(checksum, row_checksum(checksum_cols)), version, [*store.keys, checksum])
+
+
 # --------------------------------------------------------------------- A4
 def _as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -150,19 +163,29 @@ def _differ(a: str, b: str, dtype: T.DataType) -> Column:
     return ~fold_case(a, dtype).eqNullSafe(fold_case(b, dtype))
 
 
+def _same_key_pairs(before: DataFrame, after: DataFrame, keys: list[str], b_cols: list[Column],
+                    a_cols: list[Column]) -> DataFrame:
+    """Rows of both sides with equal keys (text without regard to case, as the merge matches them); the key
+    columns are those of ``after``."""
+    b = before.select(*[fold_case(k, before.schema[k].dataType).alias(f"__bk{i}") for i, k in enumerate(keys)], *b_cols)
+    a = after.select(*keys, *[fold_case(k, after.schema[k].dataType).alias(f"__ak{i}") for i, k in enumerate(keys)],
+                     *a_cols)
+    on = reduce(lambda x, y: x & y, [F.col(f"__bk{i}") == F.col(f"__ak{i}") for i in range(len(keys))])
+    return b.join(a, on, "inner")
+
+
 def change_report(before: DataFrame, after: DataFrame, keys: list[str], exclude: list[str] = ()) -> DataFrame:
     """One row per key and changed column: column_name, previous_value, current_value.
 
-    Only keys present on both sides and whose checksum differs; a change of
-    case alone is none. NULL shows as ''. Columns come from the schema; the unpivot is a per-row array
+    Only keys present on both sides (matched without regard to case and shown
+    as in ``after``) and whose checksum differs; a change of case alone is none. NULL shows as ''. Columns come from the schema; the unpivot is a per-row array
     explode (no extra shuffle beyond the key join).
     """
     cols = [c for c in before.columns if c not in keys and c not in exclude and c in after.columns]
-    b = before.select(*keys, *[F.col(c).alias("b__" + c) for c in cols],
-                      row_checksum(cols).alias("b__ck"))
-    a = after.select(*keys, *[F.col(c).alias("a__" + c) for c in cols],
-                     row_checksum(cols).alias("a__ck"))
-    j = b.join(a, on=keys, how="inner").filter(F.col("b__ck") != F.col("a__ck"))
+    j = _same_key_pairs(
+        before, after, keys, [*[F.col(c).alias("b__" + c) for c in cols], row_checksum(cols).alias("b__ck")],
+        [*[F.col(c).alias("a__" + c) for c in cols], row_checksum(cols).alias("a__ck")],
+    ).filter(F.col("b__ck") != F.col("a__ck"))
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"),
                                _as_text(F.col("b__" + c)).alias("previous_value"),
                                _as_text(F.col("a__" + c)).alias("current_value"),
@@ -177,9 +200,10 @@ def change_report(before: DataFrame, after: DataFrame, keys: list[str], exclude:
 def status_change_report(before: DataFrame, after: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Old and new value side by side with a changed flag per column, for rows
     present on both sides with a change (of more than case)."""
-    b = before.select(*keys, *[F.col(c).alias("old_" + c) for c in cols], row_checksum(cols).alias("__bck"))
-    a = after.select(*keys, *[F.col(c).alias("new_" + c) for c in cols], row_checksum(cols).alias("__ack"))
-    j = b.join(a, on=keys, how="inner").filter(F.col("__bck") != F.col("__ack"))
+    j = _same_key_pairs(
+        before, after, keys, [*[F.col(c).alias("old_" + c) for c in cols], row_checksum(cols).alias("__bck")],
+        [*[F.col(c).alias("new_" + c) for c in cols], row_checksum(cols).alias("__ack")],
+    ).filter(F.col("__bck") != F.col("__ack"))
     sel = list(keys)
     for c in cols:
         sel += [F.col("old_" + c), F.col("new_" + c),
@@ -200,6 +224,14 @@ def append_if_changed(history: DataFrame, loading: DataFrame, keys: list[str], c
     return lo.join(h, on=reduce(lambda x, y: x & y, cond), how="left_anti").drop(ck)
 
 
+def append_if_changed_bucketed(store, loading: DataFrame, version: int, cols: list[str], ts: str,
+                               checksum: str = "row_checksum") -> DataFrame:
+    """:func:`append_if_changed` against a bucketed history, which keeps the checksum of each measurement: the
+    run reads only the buckets of its own keys. Returns the measurements written as version ``version``."""
+    rows = loading.withColumn(checksum, row_checksum(cols))
+    return store.append_new(rows, version, [*store.keys, checksum], always=F.dayofmonth(ts) == 1)
+
+
 # --------------------------------------------------------------------- A7
 def upsert_with_change_date(state: DataFrame, feed: DataFrame, keys: list[str], watched: list[str],
                             now, change_col: str = "change_date") -> DataFrame:
@@ -384,7 +416,8 @@ def parse_fixed_width(lines: DataFrame, source: str, columns: list[str], header_
 # ------------------------------------------------------------ lifecycle (3.1)
 def process_snapshot(spark, *, current_path: str, history_path: str, report_path: str, loading: DataFrame,
                      keys: list[str], checksum_cols: list[str], version: int,
-                     initial: DataFrame | None = None, check_keys: bool = True, **merge_args) -> dict:
+                     initial: DataFrame | None = None, check_keys: bool = True,
+                     history_buckets: int | None = None, **merge_args) -> dict:
     """Load -> merge (A1) -> history (A2) -> change report (A4).
 
     The new current state is written as a new version and becomes visible
@@ -395,7 +428,10 @@ def process_snapshot(spark, *, current_path: str, history_path: str, report_path
 
     The tagged merge frame feeds three outputs, so it is checkpointed once
     to the shared checkpoint folder (reliable: survives executor loss).
+    With ``history_buckets`` the history is laid out by key hash and a run
+    reads only the buckets of its own keys.
     """
+    from fleetsight.sources.bucketed import BucketedHistory
     from fleetsight.session import cut_lineage
     from fleetsight.sources.versioned import read_below, read_current, write_version
 
@@ -408,11 +444,14 @@ def process_snapshot(spark, *, current_path: str, history_path: str, report_path
         current = initial if initial is not None else loading.limit(0)
     tagged = cut_lineage(snapshot_merge(current, loading, keys, **merge_args))
     pre = pre_images(tagged)
-    history = read_below(spark, history_path, version)
-    new_hist = (pre.withColumn("row_checksum", row_checksum(checksum_cols)) if history is None
-                else append_history(history, pre, keys, checksum_cols))
     # a version's folder is replaced whole, so a rerun without changes leaves none of the earlier run's rows
-    write_version(new_hist, history_path, version)
+    if history_buckets:
+        append_history_bucketed(BucketedHistory(spark, history_path, keys, history_buckets), pre, version, checksum_cols)
+    else:
+        history = read_below(spark, history_path, version)
+        new_hist = (pre.withColumn("row_checksum", row_checksum(checksum_cols)) if history is None
+                    else append_history(history, pre, keys, checksum_cols))
+        write_version(new_hist, history_path, version)
     write_version(change_report(current, merged_current(tagged), keys), report_path, version)
     write_version(merged_current(tagged), current_path, version)
     return {"status": "merged", "version": version}

@@ -8,11 +8,15 @@ with remainder 1 mod 50 come back as new entities. Region 4 is unmonitored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.operators import snapshot as A
 from fleetsight.plans.registry import query
+from fleetsight.session import checkpoint_dir
+from fleetsight.sources.bucketed import BucketedHistory
 
 FEED_SQL = """
 SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN lower(c_name) WHEN c_custkey % 13 = 0 THEN c_name || ' renamed'
@@ -448,3 +452,128 @@ def a1_snapshot_merge_text_keys(t):
     """A1: merge on the customer's name, which the feed spells in another case for some."""
     return A.snapshot_merge(t.customer, feed(t), ["c_name"], custom_defaults={"c_mktsegment": "UNASSIGNED"},
                             policy="keep").drop("pre")
+
+
+def _store(t, name: str, keys: list[str]) -> BucketedHistory:
+    """An empty bucketed history in the shared folder."""
+    spark = t.customer.sparkSession
+    return BucketedHistory(spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", keys, 16)
+
+
+@query("a2_bucketed_history", f"""
+WITH feed AS ({FEED_SQL}),
+pre AS (
+  SELECT c.*, CASE WHEN f.c_custkey IS NOT NULL THEN 'UPDATE' ELSE 'DELETE' END AS action
+  FROM customer c LEFT JOIN feed f ON c.c_custkey = f.c_custkey
+  WHERE f.c_custkey IS NOT NULL
+     OR c.c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 4)
+     OR c.c_nationkey IN (SELECT c_nationkey FROM feed)),
+h AS ({HISTORY_SQL}),
+fresh AS (
+  SELECT p.c_custkey, p.c_name, p.c_nationkey, p.c_acctbal, p.c_mktsegment, p.action FROM pre p
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.c_custkey = p.c_custkey AND h.c_name IS NOT DISTINCT FROM p.c_name
+    AND h.c_nationkey IS NOT DISTINCT FROM p.c_nationkey AND h.c_acctbal IS NOT DISTINCT FROM p.c_acctbal
+    AND h.c_mktsegment IS NOT DISTINCT FROM p.c_mktsegment))
+SELECT 2 AS run, * FROM fresh WHERE c_nationkey = 7
+UNION ALL SELECT 3, * FROM fresh WHERE c_nationkey <> 7
+""")
+def a2_bucketed_history(t):
+    """A2 over a history laid out by key hash: run 1 holds the old rows, run 2 loads one source, run 3 all of
+    them (of which run 2 has stored one source's already), after the history was compacted."""
+    store = _store(t, "a2-history", ["c_custkey"])
+    store.write(history(t).withColumn("row_checksum", A.row_checksum(CUST_COLS[1:])), 1)
+    pre = A.pre_images(_merge(t, "reported"))
+    second = A.append_history_bucketed(store, pre.filter(F.col("c_nationkey") == 7), 2, CUST_COLS[1:])
+    store.compact(3)
+    third = A.append_history_bucketed(store, pre, 3, CUST_COLS[1:])
+    return second.select(F.lit(2).alias("run"), *CUST_COLS, "action").unionByName(
+        third.select(F.lit(3).alias("run"), *CUST_COLS, "action"))
+
+
+@query("a6_bucketed_measurements", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate,
+             CASE WHEN o_orderdate < TIMESTAMP '1998-01-01 00:00:00' THEN 1
+                  WHEN o_orderdate < TIMESTAMP '1998-05-01 00:00:00' THEN 2 ELSE 3 END AS run FROM orders)
+SELECT run, o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate FROM o
+WHERE run > 1 AND (dayofmonth(o_orderdate) = 1 OR NOT EXISTS (
+  SELECT 1 FROM o h WHERE h.run < o.run AND h.o_custkey = o.o_custkey
+    AND h.o_orderstatus IS NOT DISTINCT FROM o.o_orderstatus
+    AND h.o_orderpriority IS NOT DISTINCT FROM o.o_orderpriority))
+""")
+def a6_bucketed_measurements(t):
+    """A6 over a history laid out by key hash, in two loads: orders as measurements of their customer, appended
+    when their (status, priority) is new for the customer, or on day 1 of a month."""
+    store = _store(t, "a6-measurements", ["o_custkey"])
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
+    o, day = t.orders.select(*cols), F.col("o_orderdate")
+    first, mid = (F.lit(f"1998-{m}-01 00:00:00").cast("timestamp_ntz") for m in ("01", "05"))
+    values = ["o_orderstatus", "o_orderpriority"]
+    out = []
+    for run, rows in ((1, o.filter(day < first)), (2, o.filter((day >= first) & (day < mid))), (3, o.filter(day >= mid))):
+        new = A.append_if_changed_bucketed(store, rows, run, values, "o_orderdate")
+        out.append(new.select(F.lit(run).alias("run"), *cols))
+    return out[1].unionByName(out[2])
+
+
+_CASE_CUR = "SELECT 'srv' || c_nationkey AS server, c_name AS name, c_acctbal AS v FROM customer"
+_CASE_FEED = """
+SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'SRV' ELSE 'srv' END || c_nationkey AS server,
+       CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name,
+       CASE WHEN c_custkey % 5 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v
+FROM customer WHERE c_custkey % 7 <> 0 AND c_nationkey <> 4
+"""
+_CASE_MON = "SELECT 'Srv' || n_nationkey AS s FROM nation WHERE n_regionkey <> 4"
+
+
+def _case_frames(t):
+    """Servers and names that change their case between the current state, the feed and the server list."""
+    c, k = t.customer, F.col("c_custkey")
+    number = F.col("c_nationkey").cast("string")
+    cur = c.select(F.concat(F.lit("srv"), number).alias("server"), F.col("c_name").alias("name"),
+                   F.col("c_acctbal").alias("v"))
+    fd = c.filter((k % 7 != 0) & (F.col("c_nationkey") != 4)).select(
+        F.concat(F.when(F.col("c_nationkey") % 2 == 0, "SRV").otherwise("srv"), number).alias("server"),
+        F.when(k % 3 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"),
+        F.when(k % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("v"))
+    mon = t.nation.filter(F.col("n_regionkey") != 4).select(
+        F.concat(F.lit("Srv"), F.col("n_nationkey").cast("string")).alias("s"))
+    return cur, fd, mon
+
+
+@query("a1_snapshot_merge_source_case", f"""
+WITH c AS ({_CASE_CUR}), f AS ({_CASE_FEED}), m AS ({_CASE_MON}),
+j AS (SELECT c.server AS cs, c.name AS cn, c.v AS cv, f.server AS fs, f.name AS fn, f.v AS fv
+      FROM c FULL OUTER JOIN f ON lower(c.server) = lower(f.server) AND lower(c.name) = lower(f.name))
+SELECT coalesce(fs, cs) AS server, coalesce(fn, cn) AS name, CASE WHEN fs IS NOT NULL THEN fv ELSE cv END AS v,
+       CASE WHEN cs IS NOT NULL AND fs IS NOT NULL THEN 'UPDATE' WHEN fs IS NOT NULL THEN 'INSERT'
+            WHEN lower(cs) NOT IN (SELECT lower(s) FROM m) OR lower(cs) IN (SELECT lower(server) FROM f) THEN 'DELETE'
+            ELSE 'KEEP' END AS action
+FROM j
+""")
+def a1_snapshot_merge_source_case(t):
+    """A1: servers and keys whose case differs between feed, current state and the list of monitored servers."""
+    cur, fd, mon = _case_frames(t)
+    return A.snapshot_merge(cur, fd, ["server", "name"], monitored=mon, source_col="server").drop("pre")
+
+
+@query("a4_change_report_key_case", f"""
+WITH c AS ({_CASE_CUR}), f AS ({_CASE_FEED})
+SELECT f.server, f.name, 'v' AS column_name, COALESCE(CAST(c.v AS VARCHAR), '') AS previous_value,
+       COALESCE(CAST(f.v AS VARCHAR), '') AS current_value
+FROM c JOIN f ON lower(c.server) = lower(f.server) AND lower(c.name) = lower(f.name) WHERE c.v IS DISTINCT FROM f.v
+""")
+def a4_change_report_key_case(t):
+    """A4: changes of keys that come back in another case."""
+    cur, fd, _ = _case_frames(t)
+    return A.change_report(cur, fd, ["server", "name"])
+
+
+@query("a5_status_change_key_case", f"""
+WITH c AS ({_CASE_CUR}), f AS ({_CASE_FEED})
+SELECT f.server, f.name, c.v AS old_v, f.v AS new_v, c.v IS DISTINCT FROM f.v AS v_changed
+FROM c JOIN f ON lower(c.server) = lower(f.server) AND lower(c.name) = lower(f.name) WHERE c.v IS DISTINCT FROM f.v
+""")
+def a5_status_change_key_case(t):
+    """A5: old and new value of keys that come back in another case."""
+    cur, fd, _ = _case_frames(t)
+    return A.status_change_report(cur, fd, ["server", "name"], ["v"])

@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from fleetsight.functions.checksum import row_checksum
 from fleetsight.operators.capacity import counter_increment
-from fleetsight.operators.snapshot import append_history, append_if_changed, merged_current, pre_images, snapshot_merge
+from fleetsight.operators.snapshot import (append_history, append_history_bucketed, append_if_changed,
+                                           append_if_changed_bucketed, merged_current, pre_images, snapshot_merge)
 from fleetsight.plans.strategies import previous_in_order, time_bucket
 from fleetsight.session import cut_lineage
+from fleetsight.sources.bucketed import BucketedHistory
 from fleetsight.sources.versioned import read_below
 
 
@@ -126,12 +128,15 @@ class SnapshotMergeSink:
     """foreachBatch sink: each micro-batch is one loaded snapshot, merged into
     the current state (A1, empty at first unless ``initial`` is given) with
     its pre-images appended to history (A2: by key and checksum of
-    ``checksum_cols``, all columns but the keys by default)."""
+    ``checksum_cols``, all columns but the keys by default). With
+    ``buckets`` the history is laid out by key hash and a batch reads only
+    the buckets of its own keys."""
 
     def __init__(self, current_path: str, history_path: str, keys: list[str], initial: DataFrame | None = None,
-                 checksum_cols: list[str] | None = None, **merge_args):
+                 checksum_cols: list[str] | None = None, buckets: int | None = None, **merge_args):
         self.current_path, self.history_path, self.keys = current_path, history_path, keys
         self.initial, self.checksum_cols, self.merge_args = initial, checksum_cols, merge_args
+        self.buckets = buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -141,11 +146,15 @@ class SnapshotMergeSink:
         tagged = cut_lineage(snapshot_merge(current, batch, self.keys, **self.merge_args))
         pre = pre_images(tagged)
         sums = self.checksum_cols or [c for c in batch.columns if c not in self.keys]
-        history = read_below(spark, self.history_path, batch_id, "batch=")
-        new = (pre.withColumn("row_checksum", row_checksum(sums)) if history is None
-               else append_history(history, pre, self.keys, sums))
+        if self.buckets:
+            store = BucketedHistory(spark, self.history_path, self.keys, self.buckets, "batch=")
+            append_history_bucketed(store, pre, batch_id, sums)
+        else:
+            history = read_below(spark, self.history_path, batch_id, "batch=")
+            new = (pre.withColumn("row_checksum", row_checksum(sums)) if history is None
+                   else append_history(history, pre, self.keys, sums))
+            new.write.mode("overwrite").parquet(os.path.join(self.history_path, f"batch={batch_id}"))
         merged_current(tagged).write.mode("overwrite").parquet(os.path.join(self.current_path, f"batch={batch_id}"))
-        new.write.mode("overwrite").parquet(os.path.join(self.history_path, f"batch={batch_id}"))
 
 
 class MeasurementAppendSink:
@@ -153,14 +162,19 @@ class MeasurementAppendSink:
     to the history (one partition per batch) unless a stored measurement of
     the same key has the same values - except on day 1 of a month. A batch
     compares with the partitions of earlier batches only, so a replayed batch
-    rewrites its own partition identically."""
+    rewrites its own partition identically. With ``buckets`` the history is
+    laid out by key hash and a batch reads only the buckets of its own keys."""
 
-    def __init__(self, history_path: str, keys: list[str], cols: list[str], ts: str):
-        self.history_path, self.keys, self.cols, self.ts = history_path, keys, cols, ts
+    def __init__(self, history_path: str, keys: list[str], cols: list[str], ts: str, buckets: int | None = None):
+        self.history_path, self.keys, self.cols, self.ts, self.buckets = history_path, keys, cols, ts, buckets
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*self.keys, *self.cols, self.ts)
+        if self.buckets:
+            store = BucketedHistory(spark, self.history_path, self.keys, self.buckets, "batch=")
+            append_if_changed_bucketed(store, rows.dropDuplicates(), batch_id, self.cols, self.ts)
+            return
         hist = read_below(spark, self.history_path, batch_id, "batch=")
         new = rows if hist is None else append_if_changed(hist, rows, self.keys, self.cols, self.ts)
         # measurements of one batch repeating each other are stored once; the batch's folder is replaced whole
