@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetsight.functions.scalar import ratio_half_up
+from fleetsight.functions.sketches import column_sketches, error_bound
 
 # Deprecated column types looked for by find_types.
 DEPRECATED_TYPES = ["text", "ntext", "image"]
@@ -91,36 +92,47 @@ def search_text(sources: dict[str, tuple[DataFrame, str, str]], pattern: str, co
 
 
 # --------------------------------------------------------------------- G4
-def key_candidates(tables: dict[str, tuple], identities: dict[str, str] | None = None) -> DataFrame:
+def key_candidates(tables: dict[str, tuple], identities: dict[str, str] | None = None,
+                   sketches: dict[str, DataFrame] | None = None) -> DataFrame:
     """Choose a key per table: the declared key; else the identity column;
     else the first candidate column that is unique and holds no NULLs
     (candidates default to the columns named ``id``); else none, and a new
     key column is needed.
 
     ``tables``: {name: (df, candidate columns or None, declared key or None)}.
-    Row count, distinct count and NULL count of every candidate come from
-    one aggregation per table.
+    A sketch per candidate (:func:`fleetsight.functions.sketches.column_sketches`,
+    one pass over a table for all of its candidates; or the merged ones kept per snapshot, from
+    ``sketches``: {name: sketches}) rules out columns with NULLs or clearly
+    fewer values than rows. Only the columns that may be unique are counted
+    exactly, value by value. The sketches' numbers (one row per candidate)
+    come to the driver to choose them.
     """
-    identities = identities or {}
+    identities, sketches = identities or {}, sketches or {}
+    cands = {name: (own or [c for c in df.columns if c.lower() in KEY_NAMES])
+             for name, (df, own, declared) in tables.items() if not declared and name not in identities}
+    seen = [(sketches[name] if name in sketches else column_sketches(tables[name][0], cols))
+            .where(F.col("column_name").isin(cols))
+            .select(F.lit(name).alias("table_name"), "column_name", "n_rows", "n_not_null",
+                    F.hll_sketch_estimate("sketch").alias("n")) for name, cols in cands.items() if cols]
+    possible = {}
+    if seen:
+        for r in reduce(DataFrame.unionByName, seen).collect():
+            full = r["n_not_null"] == r["n_rows"]
+            possible[r["table_name"], r["column_name"]] = full and r["n"] >= (1 - error_bound()) * r["n_rows"]
     parts = []
-    for name, (df, cands, declared) in tables.items():
+    for name, (df, _, declared) in tables.items():
         fixed = ((declared, "declared key") if declared else
                  (identities[name], "identity column") if name in identities else None)
+        one = df.sparkSession.range(1)
+        choice, reason = F.lit(None).cast("string"), F.lit("no key: a new key column is needed")
         if fixed:
-            parts.append(df.sparkSession.range(1).select(
-                F.lit(name).alias("table_name"), F.lit(fixed[0]).alias("key_column"), F.lit(fixed[1]).alias("reason")))
-            continue
-        cands = cands or [c for c in df.columns if c.lower() in KEY_NAMES]
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for c in cands:
-            aggs += [F.count_distinct(F.col(c)).alias("d__" + c), F.count(F.col(c)).alias("n__" + c)]
-        one = df.agg(*aggs)
-        choice = F.lit(None).cast("string")
-        reason = F.lit("no key: a new key column is needed")
-        for c in reversed(cands):
-            ok = (F.col("d__" + c) == F.col("__rows")) & (F.col("n__" + c) == F.col("__rows"))
-            choice = F.when(ok, F.lit(c)).otherwise(choice)
-            reason = F.when(ok, F.lit("unique and not null")).otherwise(reason)
+            choice, reason = F.lit(fixed[0]), F.lit(fixed[1])
+        for c in reversed(cands.get(name, [])):
+            if possible.get((name, c)):
+                most = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+                ok = F.coalesce(most.scalar(), F.lit(1)) == 1
+                choice = F.when(ok, F.lit(c)).otherwise(choice)
+                reason = F.when(ok, F.lit("unique and not null")).otherwise(reason)
         parts.append(one.select(F.lit(name).alias("table_name"), choice.alias("key_column"), reason.alias("reason")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,17 +231,33 @@ def duplicate_signatures(members: DataFrame, item_key: list[str], member: str, o
     """Items whose ordered member list (and included list) equals another item's
     of the same ``scope`` (database and table of an index).
 
-    The per-item signature is an array (bounded by one item's members),
-    grouped on directly - cheaper than building and hashing text - and
-    counted with a partial aggregation; only signatures with count > 1 are
-    joined back (AQE splits a hot signature on the item side). The lists
-    are rendered as text for the result.
+    Few items repeat, so lists are built for few. First every item gets a
+    signature that does not depend on order - the number of its members and
+    the sums of their hashes (a hash aggregate with map-side partial sums);
+    equal lists have equal signatures. Only items whose signature occurs
+    again in the scope have their lists collected (bounded by one item's
+    members), compared exactly and counted. The lists are rendered as text
+    for the result.
     """
+    def sums(c: str, tag: str) -> list[Column]:
+        h = F.when(F.col(c).isNotNull(), F.xxhash64(c))          # two halves, so that no sum can overflow
+        return [F.count(c).alias(f"__n{tag}"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"__lo{tag}"),
+                F.sum(F.shiftrightunsigned(h, 32)).alias(f"__hi{tag}")]
+
+    key = [*scope, *item_key]
+    marks = sums(member, "k") + (sums(included, "i") if included else [])
+    rough = members.groupBy(*key).agg(*marks)
+    rough_cols = [c for c in rough.columns if c not in key]
+    again = rough.groupBy(*scope, *rough_cols).agg(F.count(F.lit(1)).alias("__items")).filter("__items > 1")
+    same = [rough[c].eqNullSafe(again[c]) for c in [*scope, *rough_cols]]
+    likely = rough.join(again, reduce(lambda a, b: a & b, same), "left_semi").select(*key)
+
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(member).alias("m"))))
     aggs = [F.transform(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda x: x["m"]).alias("__key")]
     if included:
-        aggs.append(F.array_sort(F.collect_list(F.col(included))).alias("__inc"))
-    sig = members.groupBy(*scope, *item_key).agg(*aggs)
+        aggs.append(F.array_sort(F.collect_list(included)).alias("__inc"))
+    same = [members[c].eqNullSafe(likely[c]) for c in key]
+    sig = members.join(likely, reduce(lambda a, b: a & b, same), "left_semi").groupBy(*key).agg(*aggs)
     sig_cols = [*scope, "__key"] + (["__inc"] if included else [])
     counts = sig.groupBy(*sig_cols).agg(F.count(F.lit(1)).alias("n_duplicates")).filter("n_duplicates > 1")
     out = sig.join(counts, on=sig_cols, how="inner")
@@ -270,8 +288,12 @@ def rank_missing_index(details: DataFrame, columns: DataFrame, selectivity: Data
     database_id and object_id of the column's table; selectivity: column_name,
     density (from :func:`column_selectivity`), optionally auto_created. A
     column with several statistics takes the auto-created one first, then
-    the lowest density.
+    the lowest density. Ids that only one of columns and selectivity has are
+    refused: a bare column name would take another table's density.
     """
+    lone = [k for k in ("database_id", "object_id") if (k in columns.columns) != (k in selectivity.columns)]
+    if lone:
+        raise ValueError(f"only one of columns and selectivity has {lone}")
     group = [g for g in group if g in details.columns]
     on = [k for k in ("database_id", "object_id", "column_name")
           if k in columns.columns and k in selectivity.columns]

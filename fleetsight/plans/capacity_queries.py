@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetsight.operators import capacity as C
+from fleetsight.operators.rollup import RollupStore, rollup_from_states
 from fleetsight.plans.registry import query
+from fleetsight.session import checkpoint_dir
 
 
 def _orders_sizes(t):
@@ -173,8 +177,8 @@ def c7_counter_readings(t):
     return C.counter_readings(data, details, "events_%R%")
 
 
-def _event_values(t):
-    return t.events.select("ts", "user_id", "event_type", F.col("value").cast("decimal(15,2)").alias("value"))
+def _event_values(t, *more):
+    return t.events.select("ts", "user_id", "event_type", *more, F.col("value").cast("decimal(15,2)").alias("value"))
 
 
 @query("c8_rollup_dow_ampm", """
@@ -505,3 +509,40 @@ def c12_running_report(t):
     r = requests_from_turns(t)
     texts = r.select("sql_handle", "text")
     return C.running_report(r.drop("text"), texts, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+
+
+_STATE_SETS = [["day"], ["minute"], ["day_of_week", "am_pm"], ["year", "week", "hour"], list(_PARTS_SQL), []]
+
+
+def _states_sql():
+    out = []
+    for parts in _STATE_SETS:
+        cols = ", ".join(f"{_PARTS_SQL[p]} AS {p}" if p in parts else f"NULL AS {p}" for p in _PARTS_SQL)
+        name = ",".join(p for p in _PARTS_SQL if p in parts)
+        out.append(f"""
+SELECT '{name}' AS part_set, event_type, {cols}, COUNT(*) AS n_readings,
+  CAST(SUM(CAST(value AS DECIMAL(15,2))) AS DOUBLE) / COUNT(value) AS avg_value,
+  MAX(CAST(value AS DECIMAL(15,2))) AS max_value FROM events GROUP BY ALL""")
+    return " UNION ALL ".join(out)
+
+
+def _rollup_store(t):
+    spark = t.events.sparkSession
+    return RollupStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/c8-states-{uuid.uuid4().hex}", ["value"],
+                       ["event_type"])
+
+
+@query("c8_rollup_from_states", _states_sql())
+def c8_rollup_from_states(t):
+    """Six sets of parts in one pass over states merged from three loads: readings up to Jan 20, the later
+    ones (loaded twice, the second time after the first load was compacted), and late readings of both times."""
+    ev, store = _event_values(t, "event_id"), _rollup_store(t)
+    late, cut = F.col("event_id") % 10 == 3, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    store.load(ev.filter(~late & (F.col("ts") < cut)), "ts", 1)
+    store.load(ev.filter(~late & (F.col("ts") >= cut)), "ts", 2)
+    store.compact(1)
+    store.load(ev.filter(~late & (F.col("ts") >= cut)), "ts", 2)
+    store.load(ev.filter(late), "ts", 3)
+    out = rollup_from_states(store.states(), ["value"], _STATE_SETS, keys=["event_type"])
+    return out.select("part_set", "event_type", *_PARTS_SQL, "n_readings", "avg_value",
+                      F.col("max_value").cast("decimal(15,2)").alias("max_value"))

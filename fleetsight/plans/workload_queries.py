@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from fleetsight.functions.sketches import column_sketches, merge_sketches, sketched_selectivity
 from fleetsight.operators import workload as W
+from fleetsight.operators.intervals import interval_join
 from fleetsight.plans.adapters import RUNTIME_SQL, runtime_stats
-from fleetsight.plans.registry import query
+from fleetsight.plans.registry import ORACLE, query
+from fleetsight.session import checkpoint_dir
+from fleetsight.sources.versioned import read_below, write_version
 
 MEASURES = {"duration": "avg_duration", "cpu": "avg_cpu_time", "reads": "avg_logical_io_reads"}
 
@@ -511,6 +517,19 @@ def d9_rank_missing_index(t):
     equality/inequality/include columns derived from its lines, ordered by the
     measured densities of their own table's columns (two tables that name
     their columns alike), ranked per nation."""
+    li, other = t.lineitem, _other_table(t)
+    sel = W.column_selectivity(li, _SEL_COLS).withColumn("object_id", F.lit(0).cast("bigint")).unionByName(
+        W.column_selectivity(other, other.columns).withColumn("object_id", F.lit(1).cast("bigint")))
+    return _missing_indexes(t, sel)
+
+
+def _other_table(t):
+    """Another table with the same column names and other densities."""
+    return t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"),
+                           F.col("o_orderdate").alias("l_returnflag"), F.col("o_orderstatus").alias("l_shipdate"))
+
+
+def _missing_indexes(t, sel):
     li = t.lineitem
     f = li.groupBy(F.col("l_suppkey").alias("item_id")).agg(
         F.sum("l_quantity").cast("bigint").alias("impact"),
@@ -528,11 +547,6 @@ def d9_rank_missing_index(t):
     cols = f.select("item_id", F.explode(arr).alias("c")).filter(F.col("c").isNotNull()).select(
         "item_id", (F.col("item_id") % 2).alias("object_id"),
         F.substring("c.column_name", 3, 20).alias("column_name"), "c.usage")
-    # two tables with the same column names and other densities
-    other = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"),
-                            F.col("o_orderdate").alias("l_returnflag"), F.col("o_orderstatus").alias("l_shipdate"))
-    sel = W.column_selectivity(li, _SEL_COLS).withColumn("object_id", F.lit(0).cast("bigint")).unionByName(
-        W.column_selectivity(other, other.columns).withColumn("object_id", F.lit(1).cast("bigint")))
     sel = sel.select("object_id", F.substring("column_name", 3, 20).alias("column_name"), "density")
     out = W.rank_missing_index(details, cols, sel)
     return out.select("item_id", "database_id", "impact", "key_columns", "include_columns", "impact_rank")
@@ -585,3 +599,62 @@ def d11_describe_columns(t):
     ix = c.select("object_id", "column_name", F.concat(F.lit("ix_"), (F.col("p_partkey") % 50).cast("string"))
                   .alias("index_name"))
     return W.describe_columns(cols, ix)
+
+
+@query("d9_rank_missing_index_sketched", ORACLE["d9_rank_missing_index"])
+def d9_rank_missing_index_sketched(t):
+    """The same suggestions with densities from sketches that were kept per load (here per ship year) and
+    merged: no load's rows are read twice and no column is counted exactly."""
+    spark = t.lineitem.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/d9-sketches-{uuid.uuid4().hex}"
+    loads = column_sketches(t.lineitem.withColumn("load", F.year("l_shipdate")), _SEL_COLS, by=["load"])
+    write_version(loads.withColumn("object_id", F.lit(0).cast("bigint")), base, 1)
+    other = _other_table(t)
+    write_version(column_sketches(other, other.columns).select(
+        F.lit(None).cast("int").alias("load"), "*", F.lit(1).cast("bigint").alias("object_id")), base, 2)
+    merged = merge_sketches(read_below(spark, base, 3), by=["object_id"])
+    return _missing_indexes(t, sketched_selectivity(merged).select("object_id", "column_name", "density"))
+
+
+_SPANS_SQL = """
+SELECT o.o_custkey AS cust, o.o_orderkey, o.o_orderdate AS ordered, o.o_orderdate + INTERVAL 30 DAY AS due,
+       min(l.l_shipdate) AS first_ship, max(l.l_shipdate) AS last_ship
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL
+"""
+
+
+@query("d1_interval_join", f"""
+WITH s AS ({_SPANS_SQL})
+SELECT a.cust, a.o_orderkey AS order_key, a.ordered, a.due, b.o_orderkey AS shipped_key, b.first_ship, b.last_ship
+FROM s a JOIN s b ON a.cust = b.cust AND a.ordered <= b.last_ship AND b.first_ship <= a.due
+""")
+def d1_interval_join(t):
+    """Order spans (order date and 30 days) of a customer with the ship spans (first to last ship date) of
+    the customer's orders that they touch."""
+    span = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        F.col("o_custkey").alias("cust"), "o_orderkey", "o_orderdate").agg(
+        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    orders = span.select("cust", F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("ordered"),
+                         (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("due"))
+    ships = span.select("cust", F.col("o_orderkey").alias("shipped_key"), "first_ship", "last_ship")
+    return interval_join(orders, ships, ("ordered", "due"), ("first_ship", "last_ship"), ["cust"])
+
+
+@query("d1_interval_join_unkeyed", """
+WITH m AS (SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INTEGER) AS interval_id,
+                  min(l_shipdate) AS start_time, max(l_shipdate) AS end_time FROM lineitem GROUP BY 1),
+p AS (SELECT l_partkey AS part, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem
+      WHERE l_quantity > 45 GROUP BY 1)
+SELECT interval_id, count(*) AS parts, min(first_ship) AS earliest, max(last_ship) AS latest
+FROM m JOIN p ON start_time <= last_ship AND first_ship <= end_time GROUP BY 1
+""")
+def d1_interval_join_unkeyed(t):
+    """For every interval (ship month) the parts whose span of large shipments touches it, without a key."""
+    li = t.lineitem
+    months = li.groupBy((F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("interval_id")).agg(
+        F.min("l_shipdate").alias("start_time"), F.max("l_shipdate").alias("end_time"))
+    parts = li.filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("part")).agg(
+        F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))
+    return interval_join(months, parts, ("start_time", "end_time"), ("first_ship", "last_ship")).groupBy(
+        "interval_id").agg(F.count(F.lit(1)).alias("parts"), F.min("first_ship").alias("earliest"),
+                           F.max("last_ship").alias("latest"))
