@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ TYPE_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "d
 # <data name=..><value/></data>...</event>
 EVENT_XML_SCHEMA = ("action ARRAY<STRUCT<_name: STRING, value: STRING>>, "
                     "data ARRAY<STRUCT<_name: STRING, value: STRING>>, _name STRING, _timestamp STRING")
+# The event whose data is a deadlock report.
+DEADLOCK_EVENT = "xml_deadlock_report"
 # Column names that may serve as a key when nothing is declared.
 KEY_NAMES = ["id"]
 
@@ -151,40 +154,127 @@ def module_inventory(modules: DataFrame, *, name: str = "name", text: str = "def
 
 
 # --------------------------------------------------------------------- G6
+def _deadlock(payload: Column) -> Column:
+    """The deadlock report of an event, whole and as it stands in the document."""
+    found = F.regexp_extract(payload, "(?s)(<deadlock[\\s>/].*</deadlock>)", 1)
+    return F.when(found != "", found)
+
+
+def _xml_value(payload: Column, event_name: Column, value: Column, xml_events: list[str]) -> Column:
+    """The value of a data field: of a deadlock report the report itself, of other events with XML content the
+    whole event, else the text."""
+    out = F.when(event_name == DEADLOCK_EVENT, F.coalesce(_deadlock(payload), value))
+    return (out.when(event_name.isin(list(xml_events)), payload) if xml_events else out).otherwise(value)
+
+
 def event_attributes(events: DataFrame, payload: str, fields: list[str], actions: list[str] | None = None,
-                     fmt: str = "json", id_col: str = "event_id") -> DataFrame:
+                     fmt: str = "json", id_col: str = "event_id", xml_events: list[str] = ()) -> DataFrame:
     """One row per event with a column per data field (and per action).
 
-    JSON payloads are parsed to the wanted fields, XML payloads (``<event
-    name=.. timestamp=..><action name=..><value/></action><data
-    name=..><value/></data></event>``) to name and value pairs, of which each
-    wanted name takes its greatest value; the event's own name and time are
-    added.
+    JSON payloads are parsed to the wanted fields: of a flat object, or, when
+    ``actions`` are named, of ``{"name", "timestamp", "data": {..}, "actions":
+    {..}}``. XML payloads (``<event name=.. timestamp=..><action
+    name=..><value/></action><data name=..><value/></data></event>``) are
+    parsed to name and value pairs, of which each wanted name takes its
+    greatest value; a field of a deadlock report is the report's XML, and a
+    field of one of ``xml_events`` the whole event. With actions (JSON) and
+    always in XML the event's own name and time are added.
     This equals pivoting fields and actions separately and full-outer
     joining them on the event, without any shuffle."""
     p = F.col(payload)
     if fmt == "json":
-        m = F.from_json(p, T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-        return events.withColumn("__m", m).withColumns({f: F.col("__m").getField(f) for f in fields}).drop("__m")
+        def texts(names):
+            return T.StructType([T.StructField(f, T.StringType()) for f in names])
+
+        if actions is None:
+            out = events.withColumn("__m", F.from_json(p, texts(fields)))
+            return out.withColumns({f: F.col("__m").getField(f) for f in fields}).drop("__m")
+        shape = texts(["name", "timestamp"]).add("data", texts(fields)).add("actions", texts(actions))
+        out = events.withColumn("__m", F.from_json(p, shape))
+        return out.withColumns({
+            "event_name": F.col("__m.name"), "event_time": F.col("__m.timestamp"),
+            **{f: F.col("__m.data").getField(f) for f in fields},
+            **{"action_" + a: F.col("__m.actions").getField(a) for a in actions}}).drop("__m")
 
     def greatest(part: str, name: str) -> Column:
         """The greatest value of a name (it may repeat in an event)."""
         pairs = F.coalesce(F.col("__e")[part], F.array())
         return F.array_max(F.transform(F.filter(pairs, lambda e: e["_name"] == name), lambda e: e["value"]))
 
+    def field(name: str) -> Column:
+        held = F.exists(F.coalesce(F.col("__e.data"), F.array()), lambda e: e["_name"] == name)
+        value = _xml_value(p, F.col("__e._name"), greatest("data", name), xml_events)
+        return F.when(held, value)
+
     # one XML parse per event (from_xml) instead of one xpath walk per field
     out = events.withColumn("__e", F.from_xml(p, EVENT_XML_SCHEMA))
     out = out.withColumns({"event_name": F.col("__e._name"), "event_time": F.col("__e._timestamp"),
-                           **{f: greatest("data", f) for f in fields},
+                           **{f: field(f) for f in fields},
                            **{"action_" + a: greatest("action", a) for a in actions or []}})
     return out.drop("__e")
 
 
+def event_values(events: DataFrame, payload: str, id_cols: list[str], fmt: str = "json",
+                 xml_events: list[str] = ()) -> DataFrame:
+    """Every attribute of every event as a row, whatever its shape:
+    (id columns, event_name, event_time, part, attribute, value).
+
+    JSON payloads are parsed once to VARIANT and exploded; members of ``data``
+    and ``actions`` are the attributes, of an object without ``data`` all its
+    members. Values are texts, nested ones JSON. XML payloads give their data
+    and action elements, deadlock reports whole. An event whose payload
+    cannot be parsed, or that has no attributes, gives no row.
+    """
+    ids = [F.col(f"`{c}`") for c in id_cols]
+    p = F.col(payload)
+    if fmt == "json":
+        v = events.select(*ids, F.try_parse_json(p).alias("__v"))
+        name, time = (F.try_variant_get("__v", f"$.{k}", "string") for k in ("name", "timestamp"))
+        data, acts = (F.try_variant_get("__v", f"$.{k}", "variant") for k in ("data", "actions"))
+        nested = F.schema_of_variant(data).startswith("OBJECT")
+        v = v.select(*ids, F.when(nested, name).alias("event_name"), F.when(nested, time).alias("event_time"),
+                     F.explode(F.array(F.struct(F.lit("data").alias("part"), F.when(nested, data).otherwise(
+                         F.col("__v")).alias("o")), F.struct(F.lit("action").alias("part"), F.when(
+                             nested, acts).alias("o")))).alias("__p"))
+        v = v.select(*[c for c in v.columns if c != "__p"], F.col("__p.part").alias("part"), F.col("__p.o").alias("__o"))
+        spark = events.sparkSession
+        rows = v.lateralJoin(spark.tvf.variant_explode(F.col("__o").outer()))
+        return rows.where(F.col("key").isNotNull()).select(
+            *ids, "event_name", "event_time", "part", F.col("key").alias("attribute"),
+            F.try_variant_get("value", "$", "string").alias("value"))
+    def pairs(part: str) -> Column:
+        return F.transform(F.coalesce(F.col("__e")[part], F.array()), lambda x: F.struct(
+            F.lit(part).alias("part"), x["_name"].alias("attribute"), x["value"].alias("value")))
+
+    e = events.select(*ids, p.alias("__p"), F.from_xml(p, EVENT_XML_SCHEMA).alias("__e"))
+    e = e.select(*ids, F.col("__e._name").alias("event_name"), F.col("__e._timestamp").alias("event_time"), "__p",
+                 F.explode(F.concat(pairs("data"), pairs("action"))).alias("a"))
+    value = F.when(F.col("a.part") == "data", _xml_value(F.col("__p"), F.col("event_name"), F.col("a.value"), xml_events)) \
+        .otherwise(F.col("a.value"))
+    return e.select(*ids, "event_name", "event_time", "a.part", "a.attribute", value.alias("value"))
+
+
+def found_attributes(values: DataFrame, most: int = 1000) -> dict[str, list[str]]:
+    """The attribute names of :func:`event_values` by part. A data set with more than ``most`` names is refused
+    (its attributes are not columns): use the rows."""
+    names = sorted(map(tuple, values.select("part", "attribute").distinct().limit(most + 1).collect()))
+    if len(names) > most:
+        raise ValueError(f"more than {most} attribute names")
+    return {part: [n for p, n in names if p == part] for part in ("data", "action")}
+
+
+def found_event_attributes(events: DataFrame, payload: str, id_col: str = "event_id", fmt: str = "json",
+                           most: int = 1000) -> DataFrame:
+    """:func:`event_attributes` with the names taken from the data: one column per attribute that occurs
+    (``action_`` before those of actions)."""
+    names = found_attributes(event_values(events, payload, [id_col], fmt), most)
+    return event_attributes(events, payload, names["data"], names["action"], fmt, id_col)
+
+
 # --------------------------------------------------------------------- G7
 def explode_delimited(df: DataFrame, col: str, sep: str, out: str = "item", keep: list[str] = ()) -> DataFrame:
     """Trimmed, non-empty parts of a delimited text, one per row (the
     separator is taken literally)."""
-    import re
     parts = F.split(F.col(col), re.escape(sep))
     return df.select(*keep, F.posexplode(parts).alias("position", "__p")) \
              .select(*keep, (F.col("position") + 1).alias("position"), F.trim(F.col("__p")).alias(out)) \
@@ -193,12 +283,12 @@ def explode_delimited(df: DataFrame, col: str, sep: str, out: str = "item", keep
 
 # --------------------------------------------------------------------- G8
 def preview(tables: dict[str, DataFrame], name_like: str, n: int = 1000) -> DataFrame:
-    """First ``n`` rows (no order) of every table whose name matches, as
-    (table_name, row_json)."""
-    import fnmatch
-    pat = name_like.replace("%", "*").replace("_", "?")
+    """First ``n`` rows (no order) of every table whose name is LIKE
+    ``name_like`` (without regard to case), as (table_name, row_json)."""
+    like = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in name_like),
+                      re.IGNORECASE | re.DOTALL)
     parts = [df.limit(n).select(F.lit(name).alias("table_name"), F.to_json(F.struct("*")).alias("row_json"))
-             for name, df in tables.items() if fnmatch.fnmatch(name, pat)]
+             for name, df in tables.items() if like.fullmatch(name)]
     return reduce(DataFrame.unionByName, parts)
 
 

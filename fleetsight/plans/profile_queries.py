@@ -224,3 +224,56 @@ def scalar_times(t):
     e = t.events
     return e.select("event_id", X.now_text("ts").alias("now_text"),
                     F.date_format(X.to_utc_minute(F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm").alias("utc_minute"))
+
+
+# events of several shapes: errors have a code and a nested detail, clicks no data field of their own
+_SHAPES_SQL = """
+SELECT event_id, event_type AS event_name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS event_time, user_id,
+       CASE WHEN event_type <> 'click' THEN json_extract_string(props, '$.k') END AS k,
+       CASE WHEN event_type = 'error' THEN CAST(user_id % 7 AS VARCHAR) END AS code,
+       CASE WHEN event_type = 'error' THEN '{"at":' || CAST(event_id % 5 AS VARCHAR) || '}' END AS detail
+FROM events
+"""
+
+
+def _shaped_events(t):
+    e = t.events
+    k = F.get_json_object("props", "$.k").cast("int")
+    err = F.col("event_type") == "error"
+    data = F.struct(F.when(F.col("event_type") != "click", k).alias("k"),
+                    F.when(err, F.col("user_id") % 7).alias("code"),
+                    F.when(err, F.struct((F.col("event_id") % 5).alias("at"))).alias("detail"))
+    doc = F.to_json(F.struct(F.col("event_type").alias("name"),
+                             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), data.alias("data"),
+                             F.struct(F.col("user_id").alias("user")).alias("actions")))
+    return e.select("event_id", doc.alias("doc"))
+
+
+@query("g6_event_values", f"""
+WITH s AS ({_SHAPES_SQL})
+SELECT event_id, event_name, event_time, 'action' AS part, 'user' AS attribute, CAST(user_id AS VARCHAR) AS value FROM s
+UNION ALL SELECT event_id, event_name, event_time, 'data', 'k', k FROM s WHERE k IS NOT NULL
+UNION ALL SELECT event_id, event_name, event_time, 'data', 'code', code FROM s WHERE code IS NOT NULL
+UNION ALL SELECT event_id, event_name, event_time, 'data', 'detail', detail FROM s WHERE detail IS NOT NULL
+""")
+def g6_event_values(t):
+    """Every attribute of events of several shapes, one row each."""
+    return G.event_values(_shaped_events(t), "doc", ["event_id"])
+
+
+@query("g6_event_values_flat", """
+SELECT event_id, CAST(NULL AS VARCHAR) AS event_name, CAST(NULL AS VARCHAR) AS event_time, 'data' AS part, attribute,
+       json_extract_string(props, '$.' || attribute) AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS attribute FROM events) e
+""")
+def g6_event_values_flat(t):
+    """The members of the events' own payload, whatever their names."""
+    return G.event_values(t.events, "props", ["event_id"])
+
+
+@query("g6_found_attributes", f"""
+SELECT event_id, event_name, event_time, k, code, detail, CAST(user_id AS VARCHAR) AS action_user FROM ({_SHAPES_SQL}) s
+""")
+def g6_found_attributes(t):
+    """One column per attribute that occurs in the data."""
+    return G.found_event_attributes(_shaped_events(t), "doc").drop("doc")
