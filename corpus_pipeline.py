@@ -22,44 +22,63 @@ from fleetsight.sources.tables import read_table
 TOXIC = 0.5
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name of theirs meets a working column of an operator."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("rest"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, recount: bool = False) -> DataFrame:
+    """The columns of ``docs`` again; with ``recount`` n_chars follows the text (of a null text it stays)."""
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns}
+    if recount and "n_chars" in own:
+        own["n_chars"] = F.when(F.col("text").isNull(), own["n_chars"]).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType))
+    return packed.select(*[v.alias(c) for c, v in own.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ship_package(spark)
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), toxicity_model(spark, sf_dir), "_text", "_score")
-    return scored.where(F.col("_score") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(_packed(docs).withColumn("copy", F.col("text")), toxicity_model(spark, sf_dir), "copy")
+    return _unpacked(scored.where(F.col("score") < TOXIC), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one with the smallest id (of rows that repeat an id, one);
-    rows without an id stay."""
+    """One document of each SimHash group stays, the one with the smallest id; of several rows with that id in one
+    group, one. Rows are told apart by id and text, so rows that share an id but not a group are decided on
+    their own. Rows without an id stay."""
     ship_package(spark)
-    kept = simhash.simhash_groups(docs).where(F.col("doc_id") == F.col("component_id")).groupBy(
-        F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    stay = docs.join(kept, F.col("doc_id") == F.col("_id"))
-    return (stay.where("_rows = 1").select(*docs.columns)
-            .unionByName(stay.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-            .unionByName(docs.where(F.col("doc_id").isNull())))
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", h.alias("h")))
+    groups = simhash.simhash_groups(docs.select(row.alias("doc_id"), "text"))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times")).select(
+        F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.h").alias("kept_h"), "times")
+    packed = _packed(docs).withColumn("h", h)
+    stay = packed.join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("h") == F.col("kept_h")))
+    out = stay.where("times = 1").unionByName(stay.where("times > 1").dropDuplicates(["doc_id", "h"]))
+    return _unpacked(out, docs).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat one of a document with a smaller id are cut out."""
+    """Passages that repeat one of a document with a smaller id are cut out; n_chars follows the text (a null text
+    keeps its own)."""
     ship_package(spark)
-    cut = substrings.cut_passages(docs, substrings.near_duplicate_passages(docs))
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    passages = substrings.near_duplicate_passages(docs.select("doc_id", "text"))
+    return _unpacked(substrings.cut_passages(_packed(docs), passages), docs, recount=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; n_chars follows the text (a null text keeps its own)."""
     ship_package(spark)
-    found, _ = secrets.scan(docs, keep_text=True)
-    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found, _ = secrets.scan(_packed(docs), keep_text=True)
+    return _unpacked(found.withColumn("text", secrets.redact(F.col("text"), F.col("spans"))), docs, recount=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: one row per piece."""
     ship_package(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"),
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

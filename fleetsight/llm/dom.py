@@ -1,6 +1,6 @@
 """A forgiving HTML reader: block elements as a tree, text as runs of their own.
 
-Linear in the page, no recursion. Inline elements leave no node; their text
+No recursion; open elements are counted, not searched, for text and inline ends. Inline elements leave no node; their text
 belongs to the nearest block. A run is the text between two block borders.
 Scripts, styles, form controls, comments and other unseen text leave none.
 """
@@ -19,7 +19,7 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Element names of HTML by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noscript iframe template".split())
-UNSEEN = set("head select option button svg canvas audio video object datalist math map".split())
+UNSEEN = set("head select option button svg canvas audio video datalist".split())
 BLOCK = set("""html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot
 tr td th blockquote pre figure figcaption address center details summary dialog nav header footer aside form fieldset
 legend hgroup menu search""".split())
@@ -67,12 +67,15 @@ class Page:
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]      # open elements and the block node each lies in
+        # open elements, the block node each lies in and, of a block, the inline elements open around it
+        stack: list[tuple[str, int, dict]] = [("#page", 0, {})]
+        blocks: list[int] = []                             # places of the open blocks in the stack
+        everywhere: dict[str, int] = {}                    # how many of each tag are open
         parts: list[str] = []
-        state = {"seen": 0, "links": 0, "unseen": 0}
+        state = {"seen": 0, "links": 0, "unseen": 0, "inline": {}}   # inline: open ones inside the last block
 
         def close_run(node: int) -> None:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 self.runs.append((node, text))
@@ -83,28 +86,35 @@ class Page:
                 state["seen"] += len(text)
             state["links"] = 0
 
+        def push(tag: str, node: int) -> None:
+            everywhere[tag] = everywhere.get(tag, 0) + 1
+            if tag in BLOCK:
+                blocks.append(len(stack))
+                stack.append((tag, node, state["inline"]))
+                state["inline"] = {}
+            else:
+                state["inline"][tag] = state["inline"].get(tag, 0) + 1
+                state["unseen"] += tag in UNSEEN
+                stack.append((tag, node, {}))
+
         def pop(to: int) -> None:
             while len(stack) > to:
-                tag, node = stack.pop()
+                tag, node, around = stack.pop()
+                everywhere[tag] -= 1
                 if tag in BLOCK:
                     close_run(node)
-                if tag in UNSEEN:
-                    state["unseen"] -= 1
+                    blocks.pop()
+                    state["inline"] = around
+                else:
+                    state["inline"][tag] -= 1
+                    state["unseen"] -= tag in UNSEEN
 
         def text(piece: str) -> None:
             if piece and not state["unseen"]:
-                parts.append(piece)
-                if anchors():
+                parts.append(entities.unescape(piece))     # a reference does not reach across a tag
+                if state["inline"].get("a"):
                     state["links"] += len(piece.strip())
 
-        def anchors() -> bool:
-            for tag, _ in reversed(stack):
-                if tag == "a":
-                    return True
-                if tag in BLOCK:
-                    return False
-            return False
-
         at, size = 0, len(html)
         while at < size:
             m = TAG.search(html, at)
@@ -119,6 +129,9 @@ class Page:
             if m[1]:
                 if tag == "br":
                     text(" ")
+                open_ = everywhere if tag in BLOCK or tag in UNSEEN else state["inline"]
+                if not open_.get(tag):
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         pop(k)
@@ -147,7 +160,7 @@ class Page:
                         break
             if tag in BLOCK:
                 last, stop = ENDS.get(tag, ({"p"}, {"td", "th", "table"}))
-                for k in range(len(stack) - 1, 0, -1):
+                for k in reversed(blocks[:]):
                     if stack[k][0] in last or stack[k][0] == "p" and tag in BLOCK:
                         pop(k)
                         if tag not in ENDS:
@@ -155,10 +168,8 @@ class Page:
                     elif stack[k][0] in stop or tag not in ENDS and stack[k][0] in BLOCK:
                         break
                 close_run(stack[-1][1])
-                stack.append((tag, self._node(tag, stack[-1][1], m[3] or "", state["seen"])))
-            else:
-                if tag in UNSEEN:
-                    state["unseen"] += 1
-                stack.append((tag, stack[-1][1]))
+                push(tag, self._node(tag, stack[-1][1], m[3] or "", state["seen"]))
+            elif not (tag in UNSEEN and (m[3] or "").endswith("/>")):    # <svg/> holds nothing
+                push(tag, stack[-1][1])
         pop(1)
         close_run(0)

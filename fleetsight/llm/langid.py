@@ -59,7 +59,7 @@ def suffix_hashes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray,
     out, acc, power = [], np.zeros(len(codes), np.uint64), np.uint64(1)
     for k in range(order):
         acc = acc.copy()
-        acc[k:] += codes[:len(codes) - k] * power
+        acc[k:] += codes[:max(0, len(codes) - k)] * power
         power = power * _PRIME
         out.append(_mix(acc, k + 1))
     return word, place, out
@@ -239,8 +239,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     grams = count_grams(chosen.where(~held), order).toArrow()
     for lang, g, n in zip(*(grams[c].to_pylist() for c in ("lang", "gram", "n"))):
         top[lang][g] = n
-    if not top:                                  # so few rows that all were held back
-        grams = count_grams(rows, order).toArrow()
+    lacking = sorted(set(per) - set(top))        # so few rows that all were held back
+    if lacking:
+        grams = count_grams(rows.where(F.col("lang").isin(lacking)), order).toArrow()
         for lang, g, n in zip(*(grams[c].to_pylist() for c in ("lang", "gram", "n"))):
             top[lang][g] = n
     if not top:

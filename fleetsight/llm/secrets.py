@@ -49,6 +49,13 @@ class Rule(NamedTuple):
 
 
 ASSIGN = ("((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+# The whole block: header lines, base64 lines (also with written-out line ends) and the END line where there is one.
+# At most 240 lines are followed, several times the longest key in use (written as four parts: one pattern engine
+# takes no larger count).
+_BREAK = "(?:[\\x20\\x09-\\x0D]|\\\\[nr])"
+PRIVATE_KEY = ("-----BEGIN [A-Z ]*PRIVATE KEY-----(?:" + _BREAK + "+[A-Za-z-]+: [^\\n\\\\]*){0,8}"
+               + ("(?:" + _BREAK + "+[A-Za-z0-9+/=]{16,}){0,60}") * 4 +
+               "(?:" + _BREAK + "*[A-Za-z0-9+/=]*" + _BREAK + "*-----END [A-Z ]*PRIVATE KEY-----)?")
 # A run shorter than the least length cannot contain a longer match, so the counts stand in the patterns.
 BASE_RULES = (
     Rule("assign", 1, ASSIGN, (":", "="), 2, 6),
@@ -56,7 +63,7 @@ BASE_RULES = (
     Rule("hex", 1, "[0-9a-f]{24,}"),
 )
 MORE_RULES = (
-    Rule("private_key", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("private_key", 2, PRIVATE_KEY, ("PRIVATE KEY-----",)),
     Rule("forge_token", 1, "gh[pousr]_[A-Za-z0-9]{36,}", ("gh",)),
     Rule("web_token", 1, "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
 )
@@ -120,12 +127,14 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule,
                  F.split_part("h.key", F.lit("@"), F.lit(1)).alias("kind"), "h.end"))).alias("spans")))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rest = [c for c in versions.columns if c.lower() not in {"blob", "salt", "spans"}
+    rest = [c for c in versions.columns if c.lower() not in {"blob", "spans"}
             and (keep_text or c.lower() != text_col.lower())]
-    paths = versions.select(*[F.col(f"`{c}`") for c in rest], F.sha2(text.cast("binary"), 256).alias("blob"),
-                            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest]), F.lit(SALTS)).cast("int").alias("salt"))
+    # the path's own columns travel as one, so no name of theirs meets a working column
+    paths = versions.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("path"),
+                            F.sha2(text.cast("binary"), 256).alias("blob"),
+                            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
     return paths.join(known, ["blob", "salt"], "left").select(
-        *[f"`{c}`" for c in rest], "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+        *[F.col(f"path.`{c}`") for c in rest], "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES,

@@ -176,5 +176,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = cut_lineage(rooted.join(least, "root").select("fp", "component_id"))
     # one fingerprint may belong to a third of the rows: its rows are spread over salted keys
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")).join(
+    return fps.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(8)).cast("int")).join(
         salted, ["fp", "salt"], "left").select("doc_id", "fp", "component_id")

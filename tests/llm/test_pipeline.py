@@ -4,11 +4,12 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetsight.llm import queries, toxicity
-from test_methods import brute_simhash
+from fleetsight.llm import queries
+from test_methods import brute_simhash, plain_score
 
 SF = "/root/testdata/sf0.01"
 ASSIGN = re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -34,9 +35,7 @@ def test_columns_stay(tables):
 
 def test_toxic_documents_go(spark, tables):
     model = queries.toxicity_model(spark, SF)
-    values = toxicity.Features(model.weight)
-    want = {k for k, r in rows(tables[0]).items()
-            if model.score(sum(model.weight[b] * v for b, v in values([r.text])[0].items())) < 0.5}
+    want = {k for k, r in rows(tables[0]).items() if plain_score(model, r.text) < 0.5}
     assert rows(tables[1]).keys() == want and len(want) < tables[0].count()
 
 
@@ -90,3 +89,34 @@ def test_run_gives_the_last_table(spark, tables):
     key = ["doc_id", "start", "length", "ids"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select(key).collect())) == sorted(
         map(tuple, tables[-1].select(key).collect()))
+
+
+def test_stages_take_nulls_repeats_and_clashing_names(spark, tmp_path_factory):
+    """Rows that share an id but no group are decided on their own; other columns come through unchanged."""
+    base = tmp_path_factory.mktemp("edges")
+    long, other = ("".join(f"{w}{k} " for k in range(60)) for w in ("alpha", "beta"))
+    rows = [(1, long), (1, other), (1, other), (2, long), (3, None), (4, ""), (None, long), (None, None), (5, "one two three"),
+            (6, other + " password = hunter2secret"), (6, None)]
+    names = ["salt", "spans", "blob", "_id", "_rows", "_doc", "_spans", "_text", "_score", "score", "copy", "rest", "h"]
+    docs = spark.createDataFrame([(*r, "en", "s", 1 if r[1] is None else len(r[1])) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").withColumns(
+        {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).withColumn(
+        "tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = f"{base}/{empty}-{k}"
+            stage(spark, now, SF).write.parquet(out)
+            after = spark.read.schema(now.schema).parquet(out) if k < 4 else spark.read.parquet(out)
+            if k < 4:
+                assert after.columns == docs.columns
+                got = after.collect()
+                assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in got for c in names)
+                assert all(r.n_chars == (1 if r.text is None else len(r.text)) for r in got)
+                if name == "simhash_near_dedup" and not empty:
+                    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in got) == sorted(
+                        [(0, ""), (0, "alpha"), (1, "alpha"), (1, "beta0"), (3, ""), (5, "one t"), (6, "beta0")])
+                if name == "secret_scan" and not empty:
+                    assert not any("hunter2" in (r.text or "") for r in got)
+            now = after
+        assert empty == now.isEmpty()
