@@ -1,19 +1,25 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed character n-grams (3 to 6, inside blank-delimited
-words with their borders); a feature's value is log(1 + 200 * its
-occurrences per word of the text), so a rare chance hit in a long text
-weighs little and a marker's steady rate counts the same at any length.
+Features are the character n-grams (3 to 6, inside blank-delimited words with
+their borders). A word that makes up a share s of the text's words adds
+log(1 + 200 s) to each n-gram it holds, so a rare chance hit in a long text
+weighs little and a marker's steady rate counts the same at any length; an
+n-gram's value is the sum over its places in words.
+
+That makes a score additive by word: with weights on n-grams, a word's
+weight is the sum over its n-grams, computed once per word. The matrix of fit
+rows is never built either: it is (rows x words) times (words x n-grams),
+and the solver multiplies by the two factors.
 
 1. Fit rows: all labelled documents or, of more than ``fit_rows``, about so
-   many by the hash of their id (documented bound; everything collected below
-   is bounded by it).
-2. Tasks sum each n-gram's values over toxic and other fit rows (in whole
-   thousandths, so the order of tasks does not matter); the log-count ratio
-   r of a feature is log(p / q) of the smoothed means.
-3. Every n-gram above a floor of occurrences, scaled by its r, carries a logistic
-   regression with a ridge penalty, fitted by Newton steps over the sparse fit
-   rows (conjugate gradients, so no matrix of n-grams by n-grams is built).
+   many by the hash of their id (documented bound; what is collected below,
+   each fit row's distinct words with their counts, is bounded by it).
+2. The log-count ratio r of an n-gram is log(p / q) of its mean values over
+   toxic and other fit rows, smoothed towards 0.
+3. Every n-gram of the fit rows, scaled by its r, carries a logistic
+   regression with a ridge penalty, fitted by Newton steps (conjugate
+   gradients, so no matrix of n-grams by n-grams is built). There is no floor
+   and no cap on features.
 
 Scoring reads whole texts in one pass over the scan, no shuffle. Defined
 results: null and empty texts hold no n-gram and get the intercept's score;
@@ -28,7 +34,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,70 +44,40 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from fleetsight.llm.langid import suffix_hashes
 from fleetsight.llm.sampling import hashed_sample
 
-FIT_ROWS = 10_000
-LEAST = 3000                 # thousandths that an n-gram's values sum to, to be a feature
-BITS = 18
-BINS = 1 << BITS            # of hashed n-grams
+FIT_ROWS = 4_000
 GRAMS = (3, 4, 5, 6)
+RATE = 200.0                 # of a word's share of the text, inside the logarithm
+SMOOTH = 1.0                 # values spread over both classes before the log-count ratio
 _SLICE = 512                 # texts handled at a time inside an Arrow batch
+_WORDS = 50_000              # words whose n-grams are hashed at a time
+_PART = 1 << 20             # places of a product at a time
 _MEMO = 500_000              # words kept per worker, not a bound of the result
 _MEMO_CHARS = 64
 
 
-def word_bins(words: list[str], only: np.ndarray | None = None) -> list[np.ndarray]:
-    """Hashed 3- to 6-grams of each word with its borders, each bin once; all words are hashed together.
-    ``only``: a truth value per bin, the others are left out."""
-    if not words:
-        return []
-    with np.errstate(over="ignore"):
-        word, place, hashes = suffix_hashes([f" {w} " for w in words], max(GRAMS))
-    keys = []
-    for n in GRAMS:
-        at = np.flatnonzero(place >= n - 1)
-        bins = (hashes[n - 1][at] >> np.uint64(64 - BITS)).astype(np.int64)
-        keep = slice(None) if only is None else only[bins]
-        keys.append(word[at][keep] * BINS + bins[keep])
-    found = np.unique(np.concatenate(keys))
-    bins = (found % BINS).astype(np.int32)
-    ends = np.searchsorted(found, np.arange(len(words) + 1) * BINS).tolist()
-    return [bins[a:b].copy() for a, b in zip(ends[:-1], ends[1:])]
-
-
-class Features:
-    """Values of the features of texts, with a per-worker memo of the bins of a word."""
-
-    def __init__(self, only=None):
-        self.only = None
-        if only is not None:
-            self.only = np.zeros(BINS, bool)
-            self.only[list(only)] = True
-        self.memo: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: list[str | None]) -> list[dict[int, float]]:
-        return [dict(zip(b.tolist(), v.tolist())) for b, v in self.arrays(texts)]
-
-    def arrays(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(bins in order, values) of each text."""
-        counts = [Counter(t.lower().split()) if t else {} for t in texts]
-        memo = self.memo
-        new = list({w for c in counts for w in c if w not in memo})
-        got = dict(zip(new, word_bins(new, self.only)))
-        if len(memo) + len(got) > _MEMO:
-            memo.clear()
-            rest = list({w for c in counts for w in c if w not in got})
-            got.update(zip(rest, word_bins(rest, self.only)))
-        memo.update((w, b) for w, b in got.items() if len(w) <= _MEMO_CHARS)
-        out = []
-        for words in counts:
-            if not words:
-                out.append((np.zeros(0, np.int32), np.zeros(0)))
-                continue
-            parts = [memo[w] if w in memo else got[w] for w in words]
-            n = np.fromiter(words.values(), np.int64, len(words))
-            bins, at = np.unique(np.concatenate(parts), return_inverse=True)
-            times = np.bincount(at, np.repeat(n, [len(p) for p in parts]), len(bins))
-            out.append((bins, np.log1p(200.0 / n.sum() * times)))
-        return out
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the 3- to 6-grams of each word with its borders, word by word; the number of the word of
+    each). Every word has one at least."""
+    keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for k in range(0, len(words), _WORDS):
+        some = words[k:k + _WORDS]
+        with np.errstate(over="ignore"):
+            word, place, hashes = suffix_hashes([f" {w} " for w in some], max(GRAMS))
+        at = [np.flatnonzero(place >= n - 1) for n in GRAMS]
+        number = np.concatenate([word[i] for i in at])
+        order = np.argsort(number, kind="stable")
+        keys.append(np.concatenate([hashes[n - 1][i] for n, i in zip(GRAMS, at)])[order])
+        own.append((number[order] + k).astype(np.int32))
+    return np.concatenate(keys), np.concatenate(own)
+
+
+def word_counts(text: str | None) -> Counter:
+    return Counter(text.lower().split()) if text else Counter()
+
+
+def word_values(counts: np.ndarray) -> np.ndarray:
+    """What each word of a text adds to its n-grams."""
+    return np.log1p(RATE / max(1, counts.sum()) * counts)
 
 
 def _sliced(batches):
@@ -118,31 +93,6 @@ def fit_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataF
     return docs.select("doc_id", F.col("text").alias("t")).join(F.broadcast(few), "doc_id").select("t", "y")
 
 
-def _sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(documents per class, summed thousandths per class and n-gram)."""
-
-    def run(batches):
-        sums, n, values = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64), Features()
-        for batch in _sliced(batches):
-            for (b, v), y in zip(values.arrays(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
-                n[y] += 1
-                sums[y, b] += np.rint(1000 * v).astype(np.int64)
-        at = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1)), pa.array(np.append(sums[0, at], n[0])),
-             pa.array(np.append(sums[1, at], n[1]))], ["bin", "c0", "c1"])
-
-    got = (rows.mapInArrow(run, "bin long, c0 long, c1 long").groupBy("bin")
-           .agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow())
-    sums, n = np.zeros((2, BINS), np.int64), np.zeros(2, np.int64)
-    at = got["bin"].to_numpy()
-    both = np.stack([got["c0"].to_numpy(), got["c1"].to_numpy()])
-    sums[:, at[at >= 0]] = both[:, at >= 0]
-    if (at < 0).any():
-        n = both[:, at < 0].sum(axis=1)
-    return n, sums
-
-
 def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights (last: intercept) of a ridge logistic regression; each step is halved until the loss falls."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -170,29 +120,54 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, weight:
     return w
 
 
-class Sparse:
-    """Rows of (place, value) with a last column of ones; products go by some rows at a time."""
+class Factors:
+    """Fit rows times n-grams as (rows x words) times (words x n-grams), the n-grams scaled by ``scale``; a last
+    column of ones. Numbers take 4 bytes, and products go by parts, so that a driver of 1 GB holds it."""
+
+    def __init__(self, row, word, value, n_rows: int, grams, own):
+        self.row, self.word, self.value, self.n_rows = row, word, value, n_rows
+        self.keys = np.unique(grams)
+        self.gram = np.empty(len(grams), np.int32)
+        for at in range(0, len(grams), _PART):
+            self.gram[at:at + _PART] = np.searchsorted(self.keys, grams[at:at + _PART])
+        # the places of the second factor twice: by word, and by n-gram
+        self.word_start = np.searchsorted(own, np.arange(own[-1] + 1))
+        order = np.argsort(self.gram, kind="stable").astype(np.int32)
+        self.words_of_gram = own[order]
+        self.gram_start = np.searchsorted(self.gram, np.arange(len(self.keys)), sorter=order)
+        self.scale, self.width = np.ones(len(self.keys)), len(self.keys) + 1
+
+    @staticmethod
+    def _sums(values: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sum of ``values[places]`` over each run of ``places`` that begins at ``starts``."""
+        out, at = np.empty(len(starts)), 0
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + _PART)))
+            end = starts[to] if to < len(starts) else len(places)
+            out[at:to] = np.add.reduceat(values[places[starts[at]:end]], starts[at:to] - starts[at])
+            at = to
+        return out
 
-    def __init__(self, rows, width: int):
-        self.width, self.parts = width + 1, []
-        while some := list(islice(rows, _SLICE)):
-            self.parts.append((np.concatenate([p for p, _ in some]), np.concatenate([v for _, v in some]),
-                               np.asarray([len(p) for p, _ in some])))
+    def word_weights(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[:-1] * self.scale, self.gram, self.word_start)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), v * w[p], len(n)) for p, v, n in self.parts]) + w[-1]
+        return np.bincount(self.row, self.value * self.word_weights(w)[self.word], self.n_rows) + w[-1]
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(self.width), 0
-        for p, v, n in self.parts:
-            out += np.bincount(p, v * np.repeat(g[at:at + len(n)], n), self.width)
-            at += len(n)
-        out[-1] += g.sum()
-        return out
+        by_word = np.bincount(self.word, self.value * g[self.row], len(self.word_start))
+        return np.append(self.scale * self._sums(by_word, self.words_of_gram, self.gram_start), g.sum())
 
 
-def sparse_newton(x: Sparse, y: np.ndarray, ridge: float, steps: int = 20, inner: int = 50) -> np.ndarray:
-    """As ``newton``, each step by conjugate gradients."""
+def _inner(a: np.ndarray, b: np.ndarray) -> float:
+    """Without a linear-algebra library's own threads: a task or driver has the cores it was given."""
+    return float((a * b).sum())
+
+
+def sparse_newton(x: Factors, y: np.ndarray, ridge: float, steps: int = 15, inner: int = 30,
+                  exact: float = 1e-2, end: float = 1e-3) -> np.ndarray:
+    """Weights (last: intercept) of a ridge logistic regression. Each Newton step is solved by conjugate gradients
+    and halved until the loss falls."""
     pen = np.full(x.width, ridge)
     pen[-1] = 1e-6
     w = np.zeros(x.width)
@@ -205,69 +180,106 @@ def sparse_newton(x: Sparse, y: np.ndarray, ridge: float, steps: int = 20, inner
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         left = x.back(p - y) + pen * w                     # of hess @ move = grad
-        move, way, size, k = np.zeros(x.width), left.copy(), left @ left, p * (1 - p)
-        goal = 1e-4 * size
+        move, way, size, k = np.zeros(x.width), left.copy(), _inner(left, left), p * (1 - p)
+        goal = exact * size
         for _ in range(inner):
             if size <= goal:
                 break
             turned = x.back(k * x.dot(way)) + pen * way
-            step = size / (way @ turned)
+            step = size / _inner(way, turned)
             move += step * way
             left = left - step * turned
-            size, before = left @ left, size
+            size, before = _inner(left, left), size
             way = left + size / before * way
         zm, size = x.dot(move), 1.0
         while (new := loss(z - size * zm, w - size * move)) > now and size > 1e-4:
             size /= 2
-        if now - new < 1e-6 * (1 + abs(now)):
+        done = now - new < end * (1 + abs(now))
+        if new < now:
+            w, z, now = w - size * move, z - size * zm, new
+        if done:
             break
-        w, z, now = w - size * move, z - size * zm, new
     return w
 
 
 class Model:
-    """``weight`` per n-gram bin (zero outside the features) and the intercept."""
+    """``weight`` per n-gram (sorted 64-bit ``keys``; others weigh nothing) and the intercept."""
 
-    def __init__(self, weight: dict[int, float], intercept: float):
-        self.weight, self.intercept = weight, intercept
+    def __init__(self, keys: np.ndarray, weight: np.ndarray, intercept: float):
+        self.keys, self.weight, self.intercept = keys, weight, intercept
+
+    def word_weights(self, words: list[str]) -> np.ndarray:
+        grams, own = word_grams(words)
+        if not len(self.keys):
+            return np.zeros(len(words))
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        return np.bincount(own, np.where(self.keys[at] == grams, self.weight[at], 0.0), len(words))
 
     def score(self, total: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + total))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, ridge: float = 1.0) -> Model:
-    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    rows = fit_rows(docs, labels, limit)
-    n, sums = _sums(rows)
-    share = (n[1] + 1.0) / (n.sum() + 2.0)
-    if not n.all():
-        return Model({}, math.log(share / (1 - share)))
-    p, q = sums[1] / 1000 + 1.0, sums[0] / 1000 + 1.0
-    r = np.log((p / (n[1] + 2.0)) / (q / (n[0] + 2.0)))
-    chosen = np.flatnonzero(sums.sum(axis=0) >= LEAST)
-    place = np.full(BINS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+class Scorer:
+    """Scores of texts, with a per-worker memo of the weights of words."""
 
-    def run(batches):
-        values = Features(chosen)
-        for batch in _sliced(batches):
-            found = values.arrays(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([zlib.compress(np.diff(place[b], prepend=0).astype("<i4").tobytes(), 1) for b, _ in found],
-                         pa.binary()),
-                pa.array([zlib.compress(v.astype("<f4").tobytes(), 1) for _, v in found], pa.binary()), batch.column(1)], ["f", "v", "y"])
+    def __init__(self, model: Model):
+        self.model, self.memo = model, {}
 
-    got = rows.mapInArrow(run, "f binary, v binary, y int").toArrow()
-    y = got["y"].to_numpy().astype(float)
-    scale = r[chosen].astype(np.float32)
+    def __call__(self, texts: list[str | None]) -> list[float]:
+        counts = [word_counts(t) for t in texts]
+        memo = self.memo
+        new = list({w for c in counts for w in c if w not in memo})
+        if len(memo) + len(new) > _MEMO:
+            memo.clear()
+            new = list({w for c in counts for w in c})
+        got = dict(zip(new, self.model.word_weights(new).tolist()))
+        out = []
+        for c in counts:
+            u = np.fromiter((got[w] if w in got else memo[w] for w in c), np.float64, len(c))
+            n = np.fromiter(c.values(), np.float64, len(c))
+            out.append(self.model.score(math.fsum(u * word_values(n))))
+        memo.update((w, u) for w, u in got.items() if len(w) <= _MEMO_CHARS)
+        return out
 
-    def read():
-        for f, v in zip(got["f"], got["v"]):
-            f = np.cumsum(np.frombuffer(zlib.decompress(f.as_py()), "<i4"), dtype=np.int32)
-            yield f, np.frombuffer(zlib.decompress(v.as_py()), "<f4") * scale[f]
 
-    w = sparse_newton(Sparse(read(), len(chosen)), y, ridge)
-    return Model(dict(zip(chosen.tolist(), (w[:-1] * scale).tolist())), float(w[-1]))
+def _words_task(batches):
+    """Each fit row's distinct words and their counts, packed."""
+    for batch in _sliced(batches):
+        counts = [word_counts(t) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([zlib.compress("\n".join(c).encode(), 1) for c in counts], pa.binary()),
+            pa.array([zlib.compress(np.fromiter(c.values(), "<i4", len(c)).tobytes(), 1) for c in counts], pa.binary()),
+            batch.column(1)], ["w", "n", "y"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, ridge: float = 1.0) -> Model:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    got = fit_rows(docs, labels, limit).mapInArrow(_words_task, "w binary, n binary, y int").toArrow()
+    # in an order of their own, so that sums do not depend on the order of tasks
+    rows = sorted(zip(got["w"].to_pylist(), got["n"].to_pylist(), got["y"].to_pylist()))
+    del got
+    y = np.asarray([r[2] for r in rows], float)
+    toxic, other = y.sum(), len(y) - y.sum()
+    share = (toxic + 1.0) / (len(y) + 2.0)
+    even = math.log(share / (1 - share))
+    vocabulary: dict[str, int] = {}
+    words, values = [], []
+    for w, n, _ in rows:
+        own = zlib.decompress(w).decode().split("\n")
+        words.append(np.asarray([vocabulary.setdefault(x, len(vocabulary)) for x in own if x], np.int32))
+        values.append(word_values(np.frombuffer(zlib.decompress(n), "<i4")).astype(np.float32))
+    del rows
+    if not toxic or not other or not vocabulary:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), even)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(w) for w in words])
+    words, values, vocabulary = np.concatenate(words), np.concatenate(values), list(vocabulary)
+    x = Factors(row, words, values, len(y), *word_grams(vocabulary))
+    del vocabulary
+    p = x.back(y)[:-1] + SMOOTH * toxic / len(y)
+    q = x.back(1 - y)[:-1] + SMOOTH * other / len(y)
+    x.scale = np.log((p / toxic) / (q / other))
+    w = sparse_newton(x, y, ridge)
+    return Model(x.keys, w[:-1] * x.scale, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -275,15 +287,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     rest = [c for c in docs.columns if c.lower() not in {score_col.lower(), text_col.lower()}]
     src = docs.select(*[f"`{c}`" for c in rest], F.col(f"`{text_col}`").alias("_whole_text"))
     schema = StructType([*src.schema.fields[:-1], StructField(score_col, DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # at most BINS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # the n-grams of the fit rows, which are bounded
 
     def run(batches):
-        m = shared.value
-        values, weight = Features(m.weight), np.zeros(BINS)
-        weight[list(m.weight)] = list(m.weight.values())
+        scores = Scorer(shared.value)
         for batch in _sliced(batches):
-            out = [m.score(math.fsum(weight[b] * x))
-                   for b, x in values.arrays(batch.column(batch.num_columns - 1).to_pylist())]
+            out = scores(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], [*rest, score_col])
 
     return src.mapInArrow(run, schema)

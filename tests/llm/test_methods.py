@@ -183,6 +183,46 @@ def test_op3_matches_the_library(spark):
 
 # --- language and toxicity ---------------------------------------------------------
 
+def test_a_language_of_one_row_is_learned(spark):
+    rows = [(k, "the cat and the dog went home", "en") for k in range(30)]
+    for k in range(100, 112):
+        docs = spark.createDataFrame([*rows, (k, "zhopa kvak munir", "qx")], "doc_id long, text string, lang string")
+        models = langid.fit(docs)
+        assert models.langs == ["en", "qx"]
+        if k == 100:
+            got = langid.predict(docs.where("doc_id = 100").select("doc_id", "text"), models).first()
+            assert got.lang_pred == "qx"
+
+
+def test_pages_keep_article_text():
+    def runs(h):
+        return " | ".join(t for _, t in dom.Page(h).runs)
+
+    assert runs('<p>See <svg class="i"/> the rest</p>') == "See the rest"
+    assert runs("<p>a <svg><path d='x'/><text>hid</text></svg> b</p>") == "a b"
+    assert runs("f(<math><mi>x</mi></math>) holds") == "f(x) holds"
+    assert runs("<map><area>m</map> <object>o</object>") == "m o"
+    assert runs("x &lt<b>;y</b> &am<i>p;</i>") == "x <;y &amp;"
+    page = dom.Page("<p>" + "<b>x" * 20_000 + "</i>" * 20_000 + "</p>")
+    assert page.chars[0] == 20_000 and not any(page.links)
+    assert dom.Page("<p><a>li<b>nk</b></a> no <a>two").links[0] == 7
+
+
+def test_private_keys_are_found_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7" + "Ab+/" * 12 for _ in range(20))
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\nQmFzZQ==\n-----END RSA PRIVATE KEY-----"
+    one_line = whole.replace("\n", "\\n")
+    cases = [f"a {whole} b", f'{{"k": "{one_line}"}}', "-----BEGIN PRIVATE KEY----- and then some prose follows here",
+             f"-----BEGIN PRIVATE KEY-----\n{body}\nthe end"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").withColumn(
+        "m", F.create_map(F.lit("a"), F.lit(1)))
+    found = {r.doc_id: [cases[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "private_key"]
+             for r in secrets.scan(docs)[0].collect()}
+    assert found == {0: [whole], 1: [one_line], 2: ["-----BEGIN PRIVATE KEY-----"], 3: [cases[3][:-len("\nthe end")]]}
+    only_text = spark.createDataFrame([("password=abcdef1",)], "text string")
+    assert [len(r.spans) for r in secrets.scan(only_text)[0].collect()] == [1]
+
+
 def test_kneser_ney_sums_to_one():
     top = Counter()
     for w in ["abba", "abab", "ba", "cab"]:
@@ -217,6 +257,51 @@ def test_op10_held_out(spark):
     assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
+def plain_score(model, text):
+    """The score of a text by its definition: every place of every n-gram of every word."""
+    words = Counter((text or "").lower().split())
+    total, weight = 0.0, dict(zip(model.keys.tolist(), model.weight.tolist()))
+    for w, n in words.items():
+        grams = [f" {w} "[i:i + k] for k in toxicity.GRAMS for i in range(len(w) + 3 - k)]
+        total += np.log1p(toxicity.RATE * n / sum(words.values())) * sum(
+            weight.get(h, 0.0) for h in langid._gram_hash(grams).tolist())
+    return model.score(total)
+
+
+def test_toxicity_scores_match_the_definition(spark):
+    model = queries.toxicity_model(spark, SF)
+    t = texts(spark, SF)
+    got = {r.doc_id: r.score for r in queries.QUERIES["op10_ngram_toxicity"](spark, SF).collect()}
+    for k in sorted(t)[:25]:
+        assert got[k] == pytest.approx(plain_score(model, t[k]), abs=1e-9)
+    odd = ["", "aaaa aaaa b", "a" * 3000, "Ünïcode \u2003 x", None]
+    assert toxicity.Scorer(model)(odd) == pytest.approx([plain_score(model, x) for x in odd], abs=1e-9)
+
+
+def test_factors_multiply_as_the_matrix():
+    r = random.Random(8)
+    rows = [" ".join(r.choice(["ab", "abc", "b", "xyzzy", "abab"]) for _ in range(r.randint(0, 6))) for _ in range(30)]
+    counts = [toxicity.word_counts(t) for t in rows]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for c in counts for w in c}))}
+    values = [toxicity.word_values(np.fromiter(c.values(), float, len(c))) for c in counts]
+    x = toxicity.Factors(np.repeat(np.arange(30), [len(c) for c in counts]),
+                         np.asarray([vocabulary[w] for c in counts for w in c]), np.concatenate(values), 30,
+                         *toxicity.word_grams(list(vocabulary)))
+    x.scale = np.random.default_rng(1).normal(size=len(x.keys))
+    full = np.zeros((30, x.width))
+    full[:, -1] = 1
+    place = {k: i for i, k in enumerate(x.keys.tolist())}
+    for i, (c, v) in enumerate(zip(counts, values)):
+        for w, a in zip(c, v):
+            for h in toxicity.word_grams([w])[0].tolist():
+                full[i, place[h]] += a * x.scale[place[h]]
+    w, g = np.random.default_rng(2).normal(size=x.width), np.random.default_rng(3).normal(size=30)
+    assert np.allclose(x.dot(w), full @ w) and np.allclose(x.back(g), full.T @ g)
+    y = (np.arange(30) % 3 == 0).astype(float)
+    dense = toxicity.newton(full[:, :-1], y, 1.0, steps=50)
+    assert np.allclose(toxicity.sparse_newton(x, y, 1.0, exact=1e-12, end=1e-12), dense, atol=1e-3)
+
+
 def test_many_toxic_words(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
