@@ -73,13 +73,14 @@ def schema_columns(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 # --------------------------------------------------------------------- G3
-def search_text(sources: dict[str, tuple[DataFrame, str, str]], pattern: str, context: int = 40) -> DataFrame:
+def search_text(sources: dict[str, tuple[DataFrame, str, str]], pattern: str, context: int = 40,
+                kind_col: str | None = None) -> DataFrame:
     """Case-insensitive substring search over several text sources.
 
     ``sources``: {kind: (df, id_col, text_col)}. Every source is filtered
     with ``ilike`` (a per-row predicate, so the scan stays parallel) and the
-    hits are unioned: kind, id, the first match position and a context
-    snippet around it."""
+    hits are unioned: kind (the source's name, or a column ``kind_col`` of it),
+    id, the first match position and a context snippet around it."""
     pat = pattern.lower()
     like = "%" + pat.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
     parts = []
@@ -87,13 +88,22 @@ def search_text(sources: dict[str, tuple[DataFrame, str, str]], pattern: str, co
         t = F.col(txt)
         pos = F.instr(F.lower(t), pat)
         hit = df.filter(t.ilike(like)).select(
-            F.lit(kind).alias("kind"), F.col(idc).cast("string").alias("object_id"),
+            (F.col(kind_col) if kind_col else F.lit(kind)).alias("kind"), F.col(idc).cast("string").alias("object_id"),
             pos.alias("match_position"),
             F.substring(t, F.greatest(pos - context, F.lit(1)), len(pattern) + 2 * context).alias("context"))
         parts.append(hit)
     return reduce(DataFrame.unionByName, parts)
 
 
+def search_indexed(index, pattern: str, context: int = 40) -> DataFrame:
+    """:func:`search_text` over a :class:`fleetsight.sources.trigrams.TrigramIndex`: the same hits, read from the
+    buckets of the candidates only (for a pattern of fewer than three characters, from all texts)."""
+    texts = index.read(pattern)
+    if texts is None:
+        return index.spark.createDataFrame([], "kind string, object_id string, match_position int, context string")
+    return search_text({"": (texts, "object_id", "text")}, pattern, context, kind_col="kind")
+
+
 # --------------------------------------------------------------------- G4
 def key_candidates(tables: dict[str, tuple], identities: dict[str, str] | None = None,
                    sketches: dict[str, DataFrame] | None = None) -> DataFrame:

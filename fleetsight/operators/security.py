@@ -7,6 +7,8 @@ of one principal in the data model.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ SYSTEM_PRINCIPALS = ["dbo", "guest", "INFORMATION_SCHEMA", "sys"]
 def principal_roles(principals: DataFrame, members: DataFrame, *, principal_id: str = "principal_id",
                     role_id: str = "role_id", member_id: str = "member_id", name: str = "name",
                     connect: DataFrame | None = None, logins: DataFrame | None = None,
-                    sid: str = "sid", with_members: bool = True) -> DataFrame:
-    """Principal, connect right (Yes/No), ordered role list, ordered member
-    list (for roles) and the login matched on sid."""
+                    sid: str = "sid", with_members: bool = False) -> DataFrame:
+    """Principal, connect right (Yes/No), ordered role list and the login
+    matched on sid. The members of a role are rows (:func:`role_members`), as
+    nothing bounds them; ``with_members`` adds them as an ordered list, for
+    roles that are known to be small."""
     names = principals.select(F.col(principal_id).alias("__id"), F.col(name).alias("__name"))
     roles_of = (members.join(names, members[role_id] == F.col("__id"))
                 .groupBy(F.col(member_id).alias("__pid"))
@@ -96,8 +100,11 @@ def login_audit(logins: DataFrame, lists: dict[str, tuple[DataFrame, str, str]],
                 members: DataFrame | None = None, member_name: str = "member_name") -> DataFrame:
     """Login with its disabled flag and one ordered list per entry of
     ``lists`` ({out_col: (pairs_df, key_col, value_col)}); each list is
-    pre-aggregated per login, then left-joined. ``name_like`` keeps logins
-    whose name matches or that have a matching member (EXISTS)."""
+    pre-aggregated per login, then left-joined, so its values must be few per
+    login (roles, permissions, mapped users). What grows without bound, as
+    the members of a group, is given as rows by :func:`login_entries`.
+    ``name_like`` keeps logins whose name matches or that have a matching
+    member (EXISTS)."""
     out = logins.withColumn("disabled", yes_no(disabled))
     # lists read from the same DataFrame and key share one aggregation (one shuffle)
     groups: dict = {}
@@ -118,3 +125,14 @@ def login_audit(logins: DataFrame, lists: dict[str, tuple[DataFrame, str, str]],
         else:
             out = out.filter(match)
     return out
+
+
+def login_entries(logins: DataFrame, entries: dict[str, tuple[DataFrame, str, str]], *, key: str = "login_id",
+                  name: str = "login_name") -> DataFrame:
+    """One row per login and entry: (key, name, kind, value), each value once.
+    ``entries``: {kind: (pairs_df, key_col, value_col)}, such as the members
+    of groups; any number of values per login."""
+    parts = [df.select(F.col(k).alias(key), F.lit(kind).alias("kind"), F.col(v).cast("string").alias("value"))
+             for kind, (df, k, v) in entries.items()]
+    rows = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).distinct()
+    return logins.select(key, name).join(rows, key).select(key, name, "kind", "value")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetsight.operators import profile as G
-from fleetsight.plans.registry import query
+from fleetsight.plans.registry import ORACLE, query
 from fleetsight.plans.snapshot_queries import FEED_SQL, feed
+from fleetsight.session import checkpoint_dir
+from fleetsight.sources.trigrams import TrigramIndex
 
 
 @query("g1_null_profile", """
@@ -277,3 +281,16 @@ SELECT event_id, event_name, event_time, k, code, detail, CAST(user_id AS VARCHA
 def g6_found_attributes(t):
     """One column per attribute that occurs in the data."""
     return G.found_event_attributes(_shaped_events(t), "doc").drop("doc")
+
+
+@query("g3_search_indexed", ORACLE["g3_search_text"])
+def g3_search_indexed(t):
+    """The same search through an index of 3-character runs, built in two loads (the second brings all
+    documents, of which those of the first are known)."""
+    spark = t.documents.sparkSession
+    index = TrigramIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/g3-index-{uuid.uuid4().hex}", 16, 32)
+    index.add("document", t.documents.filter(F.col("doc_id") % 2 == 0), "doc_id", "text", 1)
+    index.add("document", t.documents, "doc_id", "text", 2)
+    index.add("page", t.pages, "page_id", "html", 3)
+    index.add("benchmark", t.benchmark, "item_id", "text", 4)
+    return G.search_indexed(index, "license")

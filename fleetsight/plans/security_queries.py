@@ -126,3 +126,19 @@ def f4_login_audit(t):
     return S.login_audit(c, {"permissions": (o, "o_custkey", "o_orderpriority"),
                              "mapped_users": (o, "o_custkey", "o_orderstatus")},
                          name_like="%12%", members=members)
+
+
+@query("f4_login_entries", """
+SELECT n_nationkey AS login_id, n_name AS login_name, 'member' AS kind, c_name AS value
+FROM nation JOIN customer ON c_nationkey = n_nationkey
+UNION ALL
+SELECT DISTINCT n_nationkey, n_name, 'permission', o_orderpriority
+FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
+""")
+def f4_login_entries(t):
+    """nations as group logins: their members (customers) and permissions (order priorities) as rows."""
+    n = t.nation.select(F.col("n_nationkey").alias("login_id"), F.col("n_name").alias("login_name"))
+    c = t.customer.select("c_custkey", "c_nationkey", "c_name")
+    o = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return S.login_entries(n, {"member": (c, "c_nationkey", "c_name"),
+                               "permission": (o, "c_nationkey", "o_orderpriority")})

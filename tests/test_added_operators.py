@@ -193,3 +193,28 @@ def test_preview_name_is_like_without_case(spark):
     tables = {"Sales[1]": t, "sales1": t, "other": t}
     assert {r["table_name"] for r in G.preview(tables, "sales[1]").collect()} == {"Sales[1]"}
     assert {r["table_name"] for r in G.preview(tables, "SALES%").collect()} == {"Sales[1]", "sales1"}
+
+
+# --- search index --------------------------------------------------------------------
+
+def test_indexed_search_finds_what_the_scan_finds(spark, tmpdir_path):
+    from fleetsight.sources.trigrams import TrigramIndex
+    r = random.Random(12)
+    words = ["select", "UPDATE", "Straße", "İstanbul", "日本語", "a_b", "100%", "x", "\\", "😀😀😀", "tab\tle"]
+    rows = [(k, r.choice([None, "", "ab"]) if k % 17 == 0 else " ".join(r.choices(words, k=r.randint(1, 12)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    index = TrigramIndex(spark, tmpdir_path, 16, 16)
+    index.add("doc", df.where("id < 200"), "id", "body", 1)
+    index.add("doc", df, "id", "body", 2)
+    index.add("doc", df, "id", "body", 2)                         # a rerun
+    index.add("other", df.where("id < 9").withColumn("body", F.lit("only UPDATE here")), "id", "body", 3)
+    assert index.texts.read().count() == sum(t is not None for _, t in rows) + 9
+    sources = {"doc": (df, "id", "body"), "other": (df.where("id < 9").withColumn("body", F.lit("only UPDATE here")), "id", "body")}
+    for pattern in ["update", "straße", "istanbul", "日本語", "a_b", "0% x", "tab\tle", "😀😀😀", "zzz", "only update here", "\\ x", "x", ""]:
+        want = sorted(map(tuple, G.search_text(sources, pattern).collect()))
+        assert sorted(map(tuple, G.search_indexed(index, pattern).collect())) == want, pattern
+    few = index.candidates("only update")
+    assert few.count() == 9 and len(index.texts.touched(few)) < 16
+    plan = plan_of(index.read("only update"))
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert G.search_indexed(TrigramIndex(spark, tmpdir_path + "/none"), "abc").collect() == []

@@ -114,7 +114,7 @@ def test_principal_roles_member_lists(spark):
     members = spark.createDataFrame([(10, 1), (10, 2), (11, 1)], "role_id int, member_id int")
     logins = spark.createDataFrame([(b"\x01", "DOM\\alice")], "sid binary, login_name string")
     got = {r["name"]: (r["role_list"], r["member_list"], r["login_name"])
-           for r in S.principal_roles(principals, members, logins=logins).collect()}
+           for r in S.principal_roles(principals, members, logins=logins, with_members=True).collect()}
     assert got["alice"] == ("readers, writers", None, "DOM\\alice")
     assert got["readers"] == (None, "alice, bob", None)
 
