@@ -300,14 +300,17 @@ def accumulate_log(log: DataFrame, keys: list[str], ts: str, counters: list[str]
 
 # ------------------------------------------------------------------ C10
 def share_of_total(df: DataFrame, group: list[str], bytes_read: str, size_bytes: str, boot_ms: int,
-                   exclude: Column | None = None) -> DataFrame:
+                   exclude: Column | None = None, n: int | None = None) -> DataFrame:
     """Read volume per group in MB/GB/TB, per hour since start, as a multiple
-    of the size on disk, and as a percent of the grand total (one-row
-    broadcast)."""
+    of the size on disk, and as a percent of the grand total. ``n``: only the
+    n groups that read most (ties by group), picked per partition first; the
+    percentages stay those of the whole."""
     d = df.filter(~exclude) if exclude is not None else df
     agg = d.groupBy(*group).agg(F.sum(bytes_read).alias("__read"), F.sum(size_bytes).alias("__size"))
     # grand total as a scalar subquery: computed once, used as a constant
     total = d.agg(F.sum(bytes_read)).scalar()
+    if n is not None:
+        agg = agg.orderBy(F.col("__read").desc_nulls_last(), *group).limit(n)
     hours = boot_ms / 1000.0 / 3600.0
     r = F.col("__read").cast("double")
     out = agg.withColumn("__total", total).select(
@@ -360,6 +363,35 @@ def running_report(requests: DataFrame, texts: DataFrame, now, *, session_filter
     return r.join(blockers, r["blocking_session_id"] == blockers["__bs"], "left").drop("__bs")
 
 
+def running_sessions(report: DataFrame, sessions: DataFrame, *, own: int | None = None, login: str | None = None,
+                     session: int | None = None, n: int | None = None) -> DataFrame:
+    """The rows of :func:`running_report` with what is known of their sessions,
+    user sessions only (``is_user_process``); a request without a session row
+    is left out.
+
+    ``own`` leaves the asking session out; ``login`` keeps one login's
+    sessions, without regard to case. ``session`` keeps that session and those
+    it blocks; a negative number keeps all but the session of that number.
+    ``n``: the n requests that started first (ties by session), picked per
+    partition before they meet. Session columns that the report has too are
+    the report's.
+    """
+    keep = F.col("is_user_process").cast("boolean")
+    if own is not None:
+        keep = keep & (F.col("session_id") != own)
+    if login is not None:
+        keep = keep & (F.lower("login_name") == login.lower())
+    more = [c for c in sessions.columns if c == "session_id" or c not in report.columns]
+    # what depends on the session alone is filtered before the join
+    out = report.join(sessions.filter(keep).select(*more).drop("is_user_process"), "session_id")
+    if session is not None:
+        wanted = (F.col("session_id") == session) | F.coalesce(F.col("blocking_session_id") == session, F.lit(False))
+        if session < 0:
+            wanted = wanted | (F.col("session_id") != -session)
+        out = out.filter(wanted)
+    return out if n is None else out.orderBy("start_time", "session_id").limit(n)
+
+
 # ------------------------------------------------------------------ C13
 def reclaim_candidates(df: DataFrame, key: list[str], data_mb: str, log_mb: str, log_used_pct: str,
                        min_size: float = 1000.0, max_used_pct: float = 50.0, floor_mb: float = 500.0) -> DataFrame:

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from fleetsight.functions.scalar import split_instance_machine, split_instance_name, yes_no
+from fleetsight.functions.scalar import fold_case, int_div, split_instance_machine, split_instance_name, yes_no
 from fleetsight.plans.strategies import broadcast_if_small, top_n_per_group
 from fleetsight.session import cut_lineage
 
@@ -238,3 +239,56 @@ def inventory_report(base: DataFrame, lookups: list[tuple[DataFrame, str, str]],
     for src, name in (flags or {}).items():
         out = out.withColumn(name, yes_no(src))
     return out
+
+
+def instance_inventory(configurations: DataFrame, properties: DataFrame, servers: DataFrame, *,
+                       only_current: bool = True, name_like: str | None = None) -> DataFrame:
+    """Instances with their settings, version and whether they are current
+    (collected less than a day before the latest collection) and in production.
+
+    configurations: server_name, instance_name, collection_time,
+    max_memory_mb, min_memory_mb and any further settings, which pass through;
+    properties: server_name, edition, product_level, product_version,
+    collation; servers: server_name, is_production. Instances without
+    properties or server row are left out. ``name_like`` filters server names,
+    without regard to case.
+    """
+    latest = configurations.agg(F.max("collection_time")).scalar()
+    c = configurations.withColumn(
+        "is_current", yes_no(F.coalesce(F.col("collection_time") > latest - F.expr("INTERVAL 1 DAY"), F.lit(False))))
+    if only_current:
+        c = c.filter(F.col("is_current") == "Yes")
+    if name_like is not None:
+        c = c.filter(F.col("server_name").ilike(name_like))
+    p = properties.select("server_name", "edition", F.concat(
+        "product_level", F.lit(" ("), "product_version", F.lit(")")).alias("product_version"), "collation")
+    s = servers.select("server_name", yes_no(F.coalesce("is_production", F.lit(False))).alias("is_production"))
+    out = c.join(broadcast_if_small(p), "server_name").join(broadcast_if_small(s), "server_name")
+    return out.withColumn("max_memory_gb", int_div("max_memory_mb", 1024)) \
+              .withColumn("min_memory_gb", int_div("min_memory_mb", 1024)) \
+              .withColumnRenamed("collection_time", "last_collection_time")
+
+
+def server_inventory(information: DataFrame) -> DataFrame:
+    """Servers with usable and installed memory and their times as
+    "dd/MM/yyyy HH:mm:ss" texts. information: server_name, os,
+    os_architecture, os_version, os_patch_level, total_visible_memory,
+    total_physical_memory, last_boot_time, collection_time."""
+    text = "dd/MM/yyyy HH:mm:ss"
+    return information.select(
+        "server_name", "os", "os_architecture", "os_patch_level", "os_version",
+        F.col("total_visible_memory").alias("usable_memory"), F.col("total_physical_memory").alias("installed_memory"),
+        F.date_format("last_boot_time", text).alias("last_boot_time"),
+        F.date_format("collection_time", text).alias("last_collection_time"))
+
+
+def disk_inventory(disks: DataFrame, information: DataFrame, server: str | None = None) -> DataFrame:
+    """Drives of every known server (or of one) with sizes in MB and whole GB
+    and when the server was last read. disks: server_name, drive, volume_name,
+    file_system, size_mb, free_mb, free_percent, message; information:
+    server_name, collection_time, one row a server."""
+    d = disks if server is None else disks.filter(fold_case("server_name", StringType()) == server.lower())
+    seen = information.select("server_name", F.col("collection_time").alias("last_collection_time"))
+    return d.join(broadcast_if_small(seen), "server_name").select(
+        "server_name", "drive", "volume_name", "file_system", "size_mb", int_div("size_mb", 1024).alias("size_gb"),
+        "free_mb", int_div("free_mb", 1024).alias("free_gb"), "free_percent", "message", "last_collection_time")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetsight.functions.aggregates import ordered_list
-from fleetsight.functions.scalar import yes_no
+from fleetsight.functions.scalar import code_text, yes_no
+from fleetsight.plans.strategies import broadcast_if_small
 
 # Principal names excluded from orphan checks.
 SYSTEM_PRINCIPALS = ["dbo", "guest", "INFORMATION_SCHEMA", "sys"]
@@ -61,20 +62,57 @@ def role_members(principals: DataFrame, members: DataFrame, *, principal_id: str
 
 
 # --------------------------------------------------------------------- F2
+# The classes of what a permission is granted on, and their texts.
+CLASS_TEXTS = {0: "DATABASE", 1: "OBJECT_OR_COLUMN", 3: "SCHEMA", 6: "TYPE"}
+
+
+def quote_name(c) -> Column:
+    """Name in brackets, a closing bracket doubled."""
+    return F.concat(F.lit("["), F.replace(F.col(c) if isinstance(c, str) else c, F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+def name_grants(grants: DataFrame, *, objects: DataFrame, schemas: DataFrame, types: DataFrame,
+                database: str = "database_name", cls: str = "class", major: str = "major_id") -> DataFrame:
+    """Grants with ``object_name`` and ``class_desc`` of what they are on, by
+    class: the database (0), ``[schema].[object]`` with the object's own type
+    (1), a schema (3) or a type (6). Other classes, and ids that are not
+    there, have a null name.
+
+    objects: object_id, schema_name, name, type_desc; schemas: schema_id,
+    name; types: type_id, name. The three lists are one list by (class, id),
+    so grants meet them in one join; those on the database meet nothing.
+    """
+    names = reduce(DataFrame.unionByName, [
+        objects.select(F.lit(1).alias("__c"), F.col("object_id").cast("bigint").alias("__i"), F.concat(
+            quote_name("schema_name"), F.lit("."), quote_name("name")).alias("__n"), F.col("type_desc").alias("__t")),
+        *[df.select(F.lit(code).alias("__c"), F.col(key).cast("bigint").alias("__i"), quote_name("name").alias("__n"),
+                    F.lit(None).cast("string").alias("__t"))
+          for code, df, key in ((3, schemas, "schema_id"), (6, types, "type_id"))]])
+    on = (F.col(cls) == F.col("__c")) & (F.col(major).cast("bigint") == F.col("__i"))
+    named = grants.filter(F.coalesce(F.col(cls) != 0, F.lit(True))).join(broadcast_if_small(names), on, "left")
+    named = named.withColumn("object_name", F.col("__n")) \
+                 .withColumn("class_desc", F.coalesce(F.col("__t"), code_text(cls, CLASS_TEXTS)))
+    whole = grants.filter(F.col(cls) == 0).withColumn("object_name", quote_name(database)) \
+                  .withColumn("class_desc", F.lit(CLASS_TEXTS[0]))
+    return whole.unionByName(named.drop("__c", "__i", "__n", "__t"))
+
+
 def principal_permissions(grants: DataFrame, *, grantee: str = "grantee_id", obj: str = "object_name",
                           state: str = "state", permission: str = "permission",
-                          column: str = "column_name") -> DataFrame:
+                          column: str = "column_name", by: tuple[str, ...] = ()) -> DataFrame:
     """One row per principal x object x state: distinct permissions, each
-    followed by "(col, ...)" when granted on columns."""
+    followed by "(col, ...)" when granted on columns. ``by``: further columns
+    that tell objects apart, as class and id of :func:`name_grants`."""
     # one exchange by the result's key serves the duplicate removal and both aggregations
-    g = grants.select(grantee, obj, state, permission, column).repartition(
-        F.col(grantee), F.col(obj), F.col(state)).distinct()
-    per_perm = g.groupBy(grantee, obj, state, permission).agg(
+    grantee_obj = [grantee, *by, obj]
+    g = grants.select(*grantee_obj, state, permission, column).repartition(
+        *[F.col(c) for c in grantee_obj], F.col(state)).distinct()
+    per_perm = g.groupBy(*grantee_obj, state, permission).agg(
         ordered_list(f"`{column}`", f"`{column}`", ", ").alias("__cols"))
     item = F.when(F.col("__cols").isNull() | (F.col("__cols") == ""), F.col(permission)) \
         .otherwise(F.concat(F.col(permission), F.lit(" ("), F.col("__cols"), F.lit(")")))
     per_perm = per_perm.withColumn("__item", item)
-    return per_perm.groupBy(grantee, obj, state).agg(
+    return per_perm.groupBy(*grantee_obj, state).agg(
         ordered_list("__item", f"`{permission}`", ", ").alias("permission_list"))
 
 

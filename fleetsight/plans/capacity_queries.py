@@ -511,6 +511,72 @@ def c12_running_report(t):
     return C.running_report(r.drop("text"), texts, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
 
 
+_SESSIONS_SQL = """
+WITH r AS (
+  SELECT conv_id * 100 + turn AS session_id, role AS login_name, 'conv_' || CAST(conv_id % 7 AS VARCHAR) AS program_name,
+    turn % 5 <> 4 AS is_user_process, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) AS start_time,
+    CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 END AS blocking_session_id,
+    substr(text, CAST(turn + 1 AS INTEGER),
+           CAST(CASE WHEN turn % 2 = 0 THEN length(text) + 1 ELSE 21 END AS INTEGER)) AS statement
+  FROM conversations)
+SELECT r.session_id, r.start_time, r.statement, b.statement AS blocking_statement, r.login_name, r.program_name
+FROM r LEFT JOIN r b ON b.session_id = r.blocking_session_id
+"""
+
+
+def _running_sessions(t, **options):
+    """Turns as requests, their speakers as logins; every fifth turn is a system session."""
+    r = requests_from_turns(t)
+    report = C.running_report(r.drop("text"), r.select("sql_handle", "text"),
+                              F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+    sessions = t.conversations.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("session_id"), F.col("role").alias("login_name"),
+        F.concat(F.lit("conv_"), (F.col("conv_id") % 7).cast("string")).alias("program_name"),
+        (F.col("turn") % 5 != 4).alias("is_user_process"))
+    return C.running_sessions(report, sessions, **options).select(
+        "session_id", "start_time", "statement", "blocking_statement", "login_name", "program_name")
+
+
+@query("c12_running_sessions", _SESSIONS_SQL + "WHERE r.is_user_process AND r.login_name = 'user' AND r.session_id <> 100")
+def c12_running_sessions(t):
+    """Requests with their sessions: one login's user sessions without the asking one."""
+    return _running_sessions(t, own=100, login="USER")
+
+
+@query("c12_running_sessions_top", _SESSIONS_SQL + "WHERE r.is_user_process ORDER BY r.start_time, r.session_id LIMIT 25")
+def c12_running_sessions_top(t):
+    """The 25 requests that have run longest."""
+    return _running_sessions(t, n=25)
+
+
+@query("c12_blocked_by_session", _SESSIONS_SQL
+       + "WHERE r.is_user_process AND (r.session_id = 101 OR r.blocking_session_id = 101)")
+def c12_blocked_by_session(t):
+    """One session and those that it blocks."""
+    return _running_sessions(t, session=101)
+
+
+@query("c10_share_of_total_top", """
+WITH d AS (SELECT l_partkey, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * 100 AS BIGINT) AS bytes_read,
+                  CAST(l_quantity AS BIGINT) * 1048576 AS size_bytes FROM lineitem WHERE l_returnflag <> 'R'),
+a AS (SELECT l_partkey, SUM(bytes_read) AS r, SUM(size_bytes) AS s FROM d GROUP BY l_partkey
+      ORDER BY r DESC, l_partkey LIMIT 20),
+t AS (SELECT SUM(bytes_read) AS total FROM d)
+SELECT l_partkey, CAST(r AS DOUBLE) / 1024 / 1024 AS mb_read, CAST(r AS DOUBLE) / 1024 / 1024 / 1024 AS gb_read,
+  CAST(r AS DOUBLE) / 1024 / 1024 / 1024 / 1024 AS tb_read, CAST(s AS DOUBLE) / 1024 / 1024 AS size_on_disk_mb,
+  CAST(r AS DOUBLE) / 720.0 / 1024 / 1024 / 1024 AS gb_read_hour, CAST(r AS DOUBLE) / 720.0 / CAST(s AS DOUBLE) AS ratio_read_hour,
+  CAST(r AS DOUBLE) * 100 / CAST(t.total AS DOUBLE) AS percentage_reads
+FROM a, t
+""")
+def c10_share_of_total_top(t):
+    """The 20 parts that are read most, with their share of all reads."""
+    d = t.lineitem.select("l_partkey", "l_returnflag",
+                          (F.col("l_extendedprice").cast("decimal(15,2)") * 100).cast("bigint").alias("bytes_read"),
+                          (F.col("l_quantity").cast("bigint") * 1048576).alias("size_bytes"))
+    return C.share_of_total(d, ["l_partkey"], "bytes_read", "size_bytes", 30 * 86400 * 1000,
+                            exclude=F.col("l_returnflag") == "R", n=20)
+
+
 _STATE_SETS = [["day"], ["minute"], ["day_of_week", "am_pm"], ["year", "week", "hour"], list(_PARTS_SQL), []]
 
 

@@ -326,6 +326,88 @@ def b11_inventory_report(t):
     return out.drop("__urgent", "c_nationkey", "n_regionkey")
 
 
+_INSTANCES_SQL = """
+SELECT 'SRV' || CAST(o_custkey AS VARCHAR) AS server_name, 'I' || CAST(o_orderkey AS VARCHAR) AS instance_name,
+  o_orderdate AS last_collection_time, CAST(floor(o_totalprice) AS BIGINT) AS max_memory_mb,
+  o_orderkey % 5000 AS min_memory_mb, o_orderkey % 8 AS max_dop,
+  CASE WHEN o_orderdate > (SELECT MAX(o_orderdate) FROM orders) - INTERVAL 1 DAY THEN 'Yes' ELSE 'No' END AS is_current,
+  c_mktsegment AS edition, 'SP' || CAST(c_nationkey % 4 AS VARCHAR) || ' (13.0.' || CAST(c_nationkey AS VARCHAR) || ')' AS product_version,
+  n_name AS collation, CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'No' END AS is_production,
+  CAST(floor(o_totalprice) AS BIGINT) // 1024 AS max_memory_gb, (o_orderkey % 5000) // 1024 AS min_memory_gb
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+"""
+
+
+def _instances(t, **options):
+    """Orders as the instances of their customer's server."""
+    server = F.concat(F.lit("SRV"), F.col("c_custkey").cast("string")).alias("server_name")
+    conf = t.orders.select(
+        F.concat(F.lit("SRV"), F.col("o_custkey").cast("string")).alias("server_name"),
+        F.concat(F.lit("I"), F.col("o_orderkey").cast("string")).alias("instance_name"),
+        F.col("o_orderdate").alias("collection_time"), F.floor("o_totalprice").cast("bigint").alias("max_memory_mb"),
+        (F.col("o_orderkey") % 5000).alias("min_memory_mb"), (F.col("o_orderkey") % 8).alias("max_dop"))
+    props = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        server, F.col("c_mktsegment").alias("edition"),
+        F.concat(F.lit("SP"), (F.col("c_nationkey") % 4).cast("string")).alias("product_level"),
+        F.concat(F.lit("13.0."), F.col("c_nationkey").cast("string")).alias("product_version"),
+        F.col("n_name").alias("collation"))
+    servers = t.customer.select(server, (F.col("c_acctbal") > 0).alias("is_production"))
+    return B.instance_inventory(conf, props, servers, **options)
+
+
+@query("b11_instances", f"SELECT * FROM ({_INSTANCES_SQL}) x WHERE is_current = 'Yes'")
+def b11_instances(t):
+    """Current instances."""
+    return _instances(t)
+
+
+@query("b11_instances_all", f"SELECT * FROM ({_INSTANCES_SQL}) x WHERE server_name ILIKE 'srv1%'")
+def b11_instances_all(t):
+    """Instances, current or not, of the servers named like a pattern."""
+    return _instances(t, only_current=False, name_like="srv1%")
+
+
+@query("b11_servers", """
+SELECT c_name AS server_name, c_mktsegment AS os, CASE WHEN c_custkey % 2 = 0 THEN '64-bit' ELSE '32-bit' END AS os_architecture,
+  CAST(c_nationkey AS VARCHAR) AS os_patch_level, '10.' || CAST(c_nationkey AS VARCHAR) AS os_version,
+  c_custkey * 1000 AS usable_memory, c_custkey * 1024 AS installed_memory,
+  strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey), '%d/%m/%Y %H:%M:%S') AS last_boot_time,
+  strftime(MAX(o_orderdate), '%d/%m/%Y %H:%M:%S') AS last_collection_time
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+""")
+def b11_servers(t):
+    """Customers as servers, last read at their last order."""
+    read = t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("collection_time"))
+    info = t.customer.join(read, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+        F.col("c_name").alias("server_name"), F.col("c_mktsegment").alias("os"),
+        F.when(F.col("c_custkey") % 2 == 0, "64-bit").otherwise("32-bit").alias("os_architecture"),
+        F.col("c_nationkey").cast("string").alias("os_patch_level"),
+        F.concat(F.lit("10."), F.col("c_nationkey").cast("string")).alias("os_version"),
+        (F.col("c_custkey") * 1000).alias("total_visible_memory"),
+        (F.col("c_custkey") * 1024).alias("total_physical_memory"),
+        F.timestamp_add("MINUTE", F.col("c_custkey"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+        .alias("last_boot_time"), "collection_time")
+    return B.server_inventory(info)
+
+
+@query("b11_disks", """
+SELECT 'O' || CAST(l_orderkey AS VARCHAR) AS server_name, l_linenumber AS drive, l_returnflag AS volume_name,
+  l_linestatus AS file_system, CAST(l_quantity AS BIGINT) * 1000 AS size_mb, CAST(l_quantity AS BIGINT) * 1000 // 1024 AS size_gb,
+  CAST(l_quantity AS BIGINT) * 300 AS free_mb, CAST(l_quantity AS BIGINT) * 300 // 1024 AS free_gb,
+  30 AS free_percent, NULL AS message, o_orderdate AS last_collection_time
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+""")
+def b11_disks(t):
+    """Order lines as the drives of their order's server."""
+    name = lambda c: F.concat(F.lit("O"), F.col(c).cast("string")).alias("server_name")
+    q = F.col("l_quantity").cast("bigint")
+    disks = t.lineitem.select(
+        name("l_orderkey"), F.col("l_linenumber").alias("drive"), F.col("l_returnflag").alias("volume_name"),
+        F.col("l_linestatus").alias("file_system"), (q * 1000).alias("size_mb"), (q * 300).alias("free_mb"),
+        F.lit(30).alias("free_percent"), F.lit(None).cast("string").alias("message"))
+    return B.disk_inventory(disks, t.orders.select(name("o_orderkey"), F.col("o_orderdate").alias("collection_time")))
+
+
 @query("b5_clock_dim_events", """
 WITH c AS (SELECT CAST(hour(ts) * 3600 + minute(ts) * 60 AS INTEGER) AS second_of_day FROM events)
 SELECT lpad(CAST(second_of_day // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((second_of_day // 60) % 60 AS VARCHAR), 2, '0')

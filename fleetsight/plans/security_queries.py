@@ -87,6 +87,44 @@ def f2_principal_permissions(t):
     return S.principal_permissions(g)
 
 
+@query("f2_permissions_by_class", """
+WITH g AS (
+  SELECT DISTINCT l_suppkey AS grantee_id, [0, 1, 3, 6, 25][l_linenumber % 5 + 1] AS class,
+    CASE l_linenumber % 5 WHEN 0 THEN 0 WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey % 25 WHEN 3 THEN l_partkey % 7
+      ELSE l_partkey END AS major_id,
+    CASE l_linestatus WHEN 'O' THEN 'GRANT' ELSE 'DENY' END AS state,
+    CASE l_returnflag WHEN 'A' THEN 'SELECT' WHEN 'N' THEN 'INSERT' ELSE 'UPDATE' END AS permission
+  FROM lineitem),
+n AS (
+  SELECT g.*, CASE class WHEN 0 THEN '[estate]' WHEN 1 THEN '[' || p_mfgr || '].[' || p_name || ']'
+                WHEN 3 THEN '[' || n_name || ']' WHEN 6 THEN '[' || r_name || ']' END AS object_name,
+    CASE class WHEN 0 THEN 'DATABASE' WHEN 1 THEN p_type WHEN 3 THEN 'SCHEMA' WHEN 6 THEN 'TYPE' END AS class_desc
+  FROM g LEFT JOIN (SELECT p_partkey, p_name, p_type, p_brand AS p_mfgr FROM part) p ON class = 1 AND p_partkey = major_id
+  LEFT JOIN nation ON class = 3 AND n_nationkey = major_id LEFT JOIN region ON class = 6 AND r_regionkey = major_id)
+SELECT grantee_id, class, class_desc, major_id, object_name, state, string_agg(permission, ', ' ORDER BY permission) AS permission_list
+FROM n GROUP BY ALL
+""")
+def f2_permissions_by_class(t):
+    """grants on the database, parts as objects (their brand as schema), nations as schemas, regions as
+    types and a class without names."""
+    kind = F.col("l_linenumber") % 5
+    part = F.col("l_partkey")
+    g = t.lineitem.select(
+        F.col("l_suppkey").alias("grantee_id"),
+        F.element_at(F.array(*[F.lit(c) for c in (0, 1, 3, 6, 25)]), kind + 1).alias("class"),
+        F.when(kind == 0, 0).when(kind == 2, part % 25).when(kind == 3, part % 7).otherwise(part).alias("major_id"),
+        F.lit("estate").alias("database_name"),
+        F.when(F.col("l_linestatus") == "O", "GRANT").otherwise("DENY").alias("state"),
+        F.when(F.col("l_returnflag") == "A", "SELECT").when(F.col("l_returnflag") == "N", "INSERT")
+        .otherwise("UPDATE").alias("permission"), F.lit(None).cast("string").alias("column_name"))
+    named = S.name_grants(
+        g, objects=t.part.select(F.col("p_partkey").alias("object_id"), F.col("p_brand").alias("schema_name"),
+                                 F.col("p_name").alias("name"), F.col("p_type").alias("type_desc")),
+        schemas=t.nation.select(F.col("n_nationkey").alias("schema_id"), F.col("n_name").alias("name")),
+        types=t.region.select(F.col("r_regionkey").alias("type_id"), F.col("r_name").alias("name")))
+    return S.principal_permissions(named, by=("class", "class_desc", "major_id"))
+
+
 @query("f3_orphan_principals", """
 SELECT c_custkey, c_name, c_mktsegment, 'SQL_USER' AS principal_type_desc FROM customer
 WHERE c_name NOT IN ('dbo', 'guest', 'INFORMATION_SCHEMA', 'sys') AND c_mktsegment <> 'BUILDING'
