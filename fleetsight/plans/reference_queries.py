@@ -424,3 +424,34 @@ def b5_clock_dim_events(t):
     e = t.events.select((F.hour("ts") * 3600 + F.minute("ts") * 60).cast("int").alias("second_of_day"))
     j = e.join(clock, "second_of_day")
     return j.groupBy("hours_minutes", "am_pm", "is_working_hours").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+_DAYS_SQL = ", ".join(f"CASE WHEN o_orderkey & {bit} <> 0 THEN '{name}' END" for bit, name, _ in B.WEEKDAY_BITS)
+
+
+@query("sql_functions", f"""
+WITH o AS (SELECT *, o_orderkey * 977 AS secs, o_custkey * 61 AS dur,
+                  'C:\\data\\' || o_orderstatus || '\\' || CAST(o_orderkey AS VARCHAR) || '.mdf' AS path FROM orders)
+SELECT o_orderkey,
+  CASE WHEN secs // 86400 <> 0 THEN CAST(secs // 86400 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST(secs // 3600 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(secs // 60 % 60 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(secs % 60 AS VARCHAR), 2, '0') AS run_time,
+  CASE WHEN dur // 10000 // 24 <> 0 THEN CAST(dur // 10000 // 24 AS VARCHAR) || '.' ELSE '' END
+    || lpad(CAST(dur // 10000 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(dur // 100 % 100 AS VARCHAR), 2, '0')
+    || ':' || lpad(CAST(dur % 100 AS VARCHAR), 2, '0') AS duration,
+  CAST(o_orderkey AS VARCHAR) || '.mdf' AS file, 'C:\\data\\' || o_orderstatus || '\\' AS folder, '.mdf' AS ext,
+  'C:' AS drive, CAST(CAST(o_custkey % 15 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) AS DECIMAL(3,1)) AS version,
+  COALESCE(NULLIF(concat_ws(', ', {_DAYS_SQL}), ''), 'None') AS day_list
+FROM o
+""")
+def sql_functions(t):
+    """2.2 and B6 called in SQL: orders' keys as seconds, durations, files, versions and weekday masks."""
+    from fleetsight.functions.sql import register_functions
+    spark = t.orders.sparkSession
+    register_functions(spark)
+    return spark.sql(r"""
+        WITH f AS (SELECT *, 'C:\\data\\' || o_orderstatus || '\\' || o_orderkey || '.mdf' AS path FROM {orders})
+        SELECT o_orderkey, fmt_seconds(o_orderkey * 977) AS run_time, fmt_hhmmss(o_custkey * 61) AS duration,
+          file_name(path) AS file, file_dir(path) AS folder, file_ext(path) AS ext, file_drive(path) AS drive,
+          numeric_version((o_custkey % 15) || '.' || (o_orderkey % 10) || '.1') AS version, d.day_list
+        FROM f, LATERAL day_names_list(o_orderkey) d""", orders=t.orders)
