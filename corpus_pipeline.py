@@ -64,8 +64,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat one of a document with a smaller id are cut out; n_chars follows the text (a null text
     keeps its own)."""
     ship_package(spark)
-    passages = substrings.near_duplicate_passages(docs.select("doc_id", "text"))
-    return _unpacked(substrings.cut_passages(_packed(docs), passages), docs, recount=True)
+    packed = _packed(docs)
+    return _unpacked(substrings.cut_passages(packed, substrings.near_duplicate_passages(packed)), docs, recount=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

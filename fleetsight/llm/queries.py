@@ -197,7 +197,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_compact_windows")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of every document that repeat one of a document with a smaller id."""
-    return substrings.near_duplicate_passages(read_table(spark, sf_dir, "documents"))
+    return substrings.near_duplicate_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
