@@ -303,8 +303,8 @@ def share_of_total(df: DataFrame, group: list[str], bytes_read: str, size_bytes:
                    exclude: Column | None = None, n: int | None = None) -> DataFrame:
     """Read volume per group in MB/GB/TB, per hour since start, as a multiple
     of the size on disk, and as a percent of the grand total. ``n``: only the
-    n groups that read most (ties by group), picked per partition first; the
-    percentages stay those of the whole."""
+    n groups that read most (ties by group), from a distributed sort of the
+    groups; the percentages stay those of the whole."""
     d = df.filter(~exclude) if exclude is not None else df
     agg = d.groupBy(*group).agg(F.sum(bytes_read).alias("__read"), F.sum(size_bytes).alias("__size"))
     # grand total as a scalar subquery: computed once, used as a constant
