@@ -40,6 +40,31 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES)
     return F.broadcast(df) if est is not None and est <= max_bytes else df
 
 
+PARTITION_BYTES = 8 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, as stored (no job runs). None when it reads something else, such as a
+    checkpoint, which does not tell its own size."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = [leaves.apply(k) for k in range(leaves.size())]
+        files = all(x.getClass().getSimpleName() == "LogicalRelation" for x in leaves)
+        return sum(int(str(x.stats().sizeInBytes())) for x in leaves) if files else None
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return None
+
+
+def spread_by(df: DataFrame, keys: list[str], each: int = PARTITION_BYTES) -> DataFrame:
+    """``df`` exchanged by ``keys`` into one partition per ``each`` bytes read, at least the session's number. AQE
+    alone merges partitions to one per core or 64 MB of compressed shuffle, so what a task holds grows with the
+    table until then; that is left for sources that do not tell their size."""
+    cols, size = [F.col(f"`{k}`") for k in keys], input_bytes(df)
+    if size is None:
+        return df.repartition(*cols)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)), *cols)
+
+
 def previous_in_order(df: DataFrame, keys: list[str], order_cols: list[str], value_cols: list[str],
                       bucket: Column, prefix: str = "prev_", keep_bucket_last: bool = False) -> DataFrame:
     """Add ``prefix + v`` = value of ``v`` in the previous row of the same key.
