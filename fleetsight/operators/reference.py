@@ -19,6 +19,9 @@ WEEKDAY_BITS = [(1, "Sunday", 7), (2, "Monday", 1), (4, "Tuesday", 2), (8, "Wedn
 SERVICE_PACK_EXCLUDES = ["%CTP%", "%beta%", "%unidentified%", "%patch%", "%issue%"]
 
 
+HOT_NODE = 20_000        # rows of one node that are not left to one task
+HOT_STEPS = 500_000      # edges that are broadcast
+
 # --------------------------------------------------------------------- B1
 def latest_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key in ``order`` (row_number() = 1; partial group limit
@@ -127,61 +130,76 @@ def implied_permissions(edges: DataFrame, starts: DataFrame) -> DataFrame:
     level up. For every start and node the greatest path length is kept
     (a node may recur at several levels).
 
-    The frontier holds the nodes reached by paths of exactly ``depth`` steps,
-    de-duplicated per step, so the loop ends when no path is longer. A path
-    of more steps than there are nodes repeats one, so the edges hold a cycle
-    and the closure has no end: that raises ``ValueError``. Each loop step extends the frontier by one
-    edge and by a precomputed two-edge path (half the steps and jobs) and is
-    materialised once by a reliable checkpoint (shared folder, survives
-    executor loss), so neither the emptiness test nor the final union
-    recomputes earlier steps.
+    Nodes are numbered, so the loop moves rows of four numbers. The frontier
+    holds the nodes reached by paths of exactly ``depth`` steps, de-duplicated
+    per step, so the loop ends when no path is longer. A path of more steps
+    than there are nodes repeats one, so the edges hold a cycle and the
+    closure has no end: that raises ``ValueError``. Each loop step extends the
+    frontier by one edge and is materialised once by a reliable checkpoint
+    (shared folder, survives executor loss), so neither the emptiness test nor
+    the final union recomputes earlier steps. Nodes that many starts have
+    reached (a common parent) meet their edges by broadcast, so none of them
+    is one task.
     """
     e = edges.select("class_desc", "permission_name", "covering_permission_name",
                      "parent_class_desc", "parent_covering_permission_name")
     inside = e.filter(F.length("covering_permission_name") > 0).select(
-        "class_desc", "permission_name", F.col("covering_permission_name").alias("next_permission"),
-        F.col("class_desc").alias("next_class"), F.lit(0).alias("level_step"))
+        "class_desc", "permission_name", F.col("class_desc").alias("next_class"),
+        F.col("covering_permission_name").alias("next_permission"), F.lit(0).alias("level_step"))
     upward = e.filter(F.length("parent_covering_permission_name") > 0).select(
-        "class_desc", "permission_name", F.col("parent_covering_permission_name").alias("next_permission"),
-        F.col("parent_class_desc").alias("next_class"), F.lit(1).alias("level_step"))
-    # the step table is read by every loop step: materialise it once
-    steps = broadcast_if_small(cut_lineage(inside.unionByName(upward).distinct()))
-    # two-edge paths, so one loop step advances the frontier by two depths
-    s2 = steps.alias("a").join(steps.alias("b"), (F.col("a.next_class") == F.col("b.class_desc"))
-                               & (F.col("a.next_permission") == F.col("b.permission_name"))).select(
-        F.col("a.class_desc").alias("class_desc"), F.col("a.permission_name").alias("permission_name"),
-        F.col("b.next_class").alias("next_class"), F.col("b.next_permission").alias("next_permission"),
-        (F.col("a.level_step") + F.col("b.level_step")).alias("level_step")).distinct()
-    steps2 = broadcast_if_small(cut_lineage(s2))
-
-    def advance(front: DataFrame, edges: DataFrame, by: int) -> DataFrame:
-        return (front.join(edges, ["class_desc", "permission_name"])
-                .select("start_class", "start_permission", F.col("next_class").alias("class_desc"),
-                        F.col("next_permission").alias("permission_name"),
-                        (F.col("level") + F.col("level_step")).alias("level"),
-                        (F.col("depth") + F.lit(by)).alias("depth")))
-
-    frontier = cut_lineage(starts.select(
-        F.col("class_desc").alias("start_class"), F.col("permission_name").alias("start_permission"),
-        "class_desc", "permission_name", F.lit(0).alias("level"), F.lit(0).alias("depth")))
-    reached = [frontier]
-    depth = 0
-    n_nodes = steps.select("class_desc", "permission_name").unionByName(
-        steps.select(F.col("next_class").alias("class_desc"), F.col("next_permission").alias("permission_name"))
-    ).distinct().count()
+        "class_desc", "permission_name", F.col("parent_class_desc").alias("next_class"),
+        F.col("parent_covering_permission_name").alias("next_permission"), F.lit(1).alias("level_step"))
+    named = cut_lineage(inside.unionByName(upward).distinct())
+    first = starts.select("class_desc", "permission_name").distinct()
+    # the checkpoint fixes the numbers
+    nodes = cut_lineage(first.union(named.select("class_desc", "permission_name")).union(
+        named.select("next_class", "next_permission")).distinct().select(
+            F.monotonically_increasing_id().alias("node"), "class_desc", "permission_name"))
+
+    def number(df: DataFrame, cls: str, permission: str, out: str) -> DataFrame:
+        of = nodes.select(F.col("node").alias(out), F.col("class_desc").alias("__c"), F.col("permission_name").alias("__p"))
+        return df.join(of, F.col(cls).eqNullSafe(F.col("__c")) & F.col(permission).eqNullSafe(F.col("__p"))).drop(
+            "__c", "__p", cls, permission)
+
+    # an edge from a null name is followed by none
+    followed = named.filter(F.col("class_desc").isNotNull() & F.col("permission_name").isNotNull())
+    steps = cut_lineage(number(number(followed, "class_desc", "permission_name", "node"),
+                               "next_class", "next_permission", "next"))
+    frontier = cut_lineage(number(first, "class_desc", "permission_name", "start").select(
+        "start", F.col("start").alias("node"), F.lit(0).alias("level")))
+    n_nodes = named.select("class_desc", "permission_name").union(
+        named.select("next_class", "next_permission")).distinct().count()
+
+    def advance(front: DataFrame, by: DataFrame) -> DataFrame:
+        return front.join(by, "node").select("start", F.col("next").alias("node"),
+                                             (F.col("level") + F.col("level_step")).alias("level"))
+
+    degree = steps.groupBy("node").count().agg(F.max("count")).first()[0] or 0
+    reached, depth = [frontier.withColumn("depth", F.lit(0))], 0
     while True:
-        # nodes at depth + 1 and depth + 2, de-duplicated per depth, materialised once
-        both = cut_lineage(advance(frontier, steps, 1).unionByName(advance(frontier, steps2, 2)).distinct())
-        if both.isEmpty():
+        n = F.col("count")
+        rows, many, hot = frontier.groupBy("node").count().agg(
+            F.sum(n), F.sum(F.when(n > HOT_NODE, n)), F.collect_list(F.when(n > HOT_NODE, F.col("node")))).first()
+        if not rows:
             break
         if depth > n_nodes:
             raise ValueError("the permission edges hold a cycle; the closure has no end")
-        reached.append(both)
-        frontier = both.filter(F.col("depth") == depth + 2)
-        depth += 2
-    allr = reduce(DataFrame.unionByName, reached)
-    return allr.groupBy("start_class", "start_permission", "class_desc", "permission_name", "level") \
-               .agg(F.max("depth").alias("max_depth"))
+        if depth:
+            reached.append(frontier.withColumn("depth", F.lit(depth)))
+        ahead = []
+        if hot:                                            # at most one node per HOT_NODE rows
+            by = steps.where(F.col("node").isin(hot))
+            ahead.append(advance(frontier.where(F.col("node").isin(hot)),
+                                 F.broadcast(by) if len(hot) * degree <= HOT_STEPS else by))
+        if rows > (many or 0):
+            ahead.append(advance(frontier.where(~F.col("node").isin(hot)), steps) if hot else advance(frontier, steps))
+        frontier = cut_lineage(reduce(DataFrame.unionByName, ahead).distinct())
+        depth += 1
+    longest = reduce(DataFrame.unionByName, reached).groupBy("start", "node", "level").agg(F.max("depth").alias("max_depth"))
+    own = nodes.select(F.col("node").alias("start"), F.col("class_desc").alias("start_class"),
+                       F.col("permission_name").alias("start_permission"))
+    return longest.join(own, "start").join(nodes, "node").select(
+        "start_class", "start_permission", "class_desc", "permission_name", "level", "max_depth")
 
 
 # --------------------------------------------------------------------- B9
