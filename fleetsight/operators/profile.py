@@ -171,9 +171,9 @@ def _deadlock(payload: Column) -> Column:
 
 
 def _xml_value(payload: Column, event_name: Column, value: Column, xml_events: list[str]) -> Column:
-    """The value of a data field: of a deadlock report the report itself, of other events with XML content the
-    whole event, else the text."""
-    out = F.when(event_name == DEADLOCK_EVENT, F.coalesce(_deadlock(payload), value))
+    """The value of a data field: of one that holds a deadlock report the report itself, of other events with XML
+    content the whole event, else the text."""
+    out = F.when((event_name == DEADLOCK_EVENT) & value.contains("<deadlock"), F.coalesce(_deadlock(payload), value))
     return (out.when(event_name.isin(list(xml_events)), payload) if xml_events else out).otherwise(value)
 
 
@@ -186,7 +186,7 @@ def event_attributes(events: DataFrame, payload: str, fields: list[str], actions
     {..}}``. XML payloads (``<event name=.. timestamp=..><action
     name=..><value/></action><data name=..><value/></data></event>``) are
     parsed to name and value pairs, of which each wanted name takes its
-    greatest value; a field of a deadlock report is the report's XML, and a
+    greatest value; a field that holds a deadlock report is its XML, and a
     field of one of ``xml_events`` the whole event. With actions (JSON) and
     always in XML the event's own name and time are added.
     This equals pivoting fields and actions separately and full-outer
